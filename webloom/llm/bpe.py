@@ -45,7 +45,7 @@ class WordBpe:
     """Encoder and decoder of a ``tokenizers`` definition: BPE with an end-of-word suffix, words found by ``ANY_WORD``."""
 
     #: Words whose ids are kept; beyond it the store starts anew, so that memory stays bounded.
-    KEEP = 700_000
+    KEEP = 300_000
 
     def __init__(self, definition: str):
         spec = json.loads(definition)
@@ -200,33 +200,46 @@ def loaded(definition: str) -> WordBpe:
 
 
 #: Bytes of text whose words are held at once.
-HELD = 12 << 20
+HELD = 6 << 20
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Token ids of every whole text: doc_id, ids array<int>.
+def _source(docs: DataFrame, tokenizer_path: str):
+    """The definition for the tasks, and slim rows of the texts."""
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    definition = Path(tokenizer_path).read_text(encoding="utf-8")
+    return docs.sparkSession.sparkContext.broadcast(definition), rows.withColumn("n_bytes", F.octet_length("text"))
+
 
-    tokenizer_path: a ``tokenizers`` JSON file that the driver can read; its content goes to the executors.
+def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataFrame:
+    """Token ids of every whole text: doc_id, ids array<int>, packed (the ids as little-endian unsigned 32-bit integers).
+
+    tokenizer_path: a ``tokenizers`` JSON file that the driver can read; its content goes to the executors. With
+    ``decoded``, the ids are decoded again, as ``decode`` does it, into a further column of that name.
 
     A null text counts as empty (no ids); repeated rows and null ids stay; other columns are ignored. Each task merges
-    each distinct word of its rows once; there is no shuffle.
+    each distinct word of a stretch of its rows once; there is no shuffle.
     """
-    source = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+    source, rows = _source(docs, tokenizer_path)
+    names = ["doc_id", "ids", "packed", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value)
         for batch in batches:
             for a, b in chunks(batch.column("n_bytes").to_pylist(), HELD):
                 flat, ends = bpe.encode(batch.column("text").slice(a, b - a).to_pylist())
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), ids], names=["doc_id", "ids"])
+                flat = flat.astype("<i4")
+                parts = [flat[x:y] for x, y in zip(ends, ends[1:])]
+                out = [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+                out.append(pa.array([p.tobytes() for p in parts], pa.binary()))
+                if decoded:
+                    out.append(pa.array([bpe.decode(p.tolist()) for p in parts], pa.string()))
+                yield pa.record_batch(out, names=names)
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("n_bytes", F.octet_length("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, packed binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Texts of the rows of ``encode``: doc_id, ids, decoded. Null ids decode to an empty text."""
+    """Texts of rows with ids: doc_id, ids, decoded. Null ids decode to an empty text."""
     source = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

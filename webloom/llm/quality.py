@@ -25,6 +25,16 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 NEAR = 2
 
 
+#: What stands for a word that repeats the one before it.
+AGAIN = "again 0"
+
+
+def told(text: str) -> list[str]:
+    """The words of a text, repetitions marked."""
+    words = TOKEN.findall(text)
+    return [AGAIN if a == b else b for a, b in zip([None, *words], words)]
+
+
 def shape(token: str) -> str:
     """What stands for a word that the vocabulary lacks: its kind of letters and its length. Holds a space, unlike words."""
     kind = "digits" if token[0].isdigit() else "signs" if not token[0].isalpha() else "upper" if token.isupper() and len(token) > 1 else "title" if token[0].isupper() else "lower" if token.islower() else "mixed"
@@ -53,7 +63,7 @@ class Model:
 
     def ids(self, text: str) -> np.ndarray:
         get = self.number.get
-        return np.array([n if (n := get(t)) is not None else get(shape(t), 0) for t in TOKEN.findall(text)], np.int64)
+        return np.array([n if (n := get(t)) is not None else get(shape(t), 0) for t in told(text)], np.int64)
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """Mean vector of each text; zero for a text without a word."""
@@ -75,23 +85,42 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def ranges(tokens: list[list[str]], number: dict[str, int]) -> Iterator[np.ndarray]:
+    """Numbers of the words of some texts, with -1 between texts, in bounded parts."""
+    ids: list[int] = []
+    for ts in tokens:
+        ids += [n if (n := number.get(t)) is not None else number[shape(t)] for t in ts]
+        ids += [-1] * NEAR
+    ids = np.array(ids, np.int64)
+    for a in range(0, len(ids), 200_000):
+        yield ids[a : a + 200_000]
+
+
+def _add(total: np.ndarray, words: np.ndarray, index: np.ndarray, near: np.ndarray) -> None:
+    """Adds the index vector of each neighbour to its word's row."""
+    real = (words >= 0) & (near >= 0)
+    words, near = words[real], near[real]
+    if len(words):
+        order = np.argsort(words, kind="stable")
+        words, near = words[order], near[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(words)) + 1])
+        total[words[starts]] += np.add.reduceat(index[near], starts, axis=0)
+
+
 def word_vectors(texts: list[str], dim: int, ones: int, most_words: int) -> tuple[dict[str, int], np.ndarray]:
     """Vocabulary (the ``most_words`` most frequent words that occur twice, then shapes) and its vectors: context, then index."""
-    tokens = [TOKEN.findall(t) for t in texts]
+    tokens = [told(t) for t in texts]
     counts = Counter(t for ts in tokens for t in ts)
     words = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most_words] if n > 1]
     shapes = sorted({f"{k} {n}" for k in ("digits", "signs", "upper", "title", "lower", "mixed") for n in range(6)})
-    number = {w: i for i, w in enumerate([*shapes, *words])}
+    number = {w: i for i, w in enumerate(dict.fromkeys([*shapes, AGAIN, *words]))}
     index = np.array([index_vector(w, dim, ones) for w in number])
     context = np.zeros_like(index)
-    for ts in tokens:
-        ids = np.array([n if (n := number.get(t)) is not None else number[shape(t)] for t in ts], np.int64)
-        for a in range(0, len(ids), 65536):
-            part = ids[a : a + 65536]
+    for a, b in chunks(map(len, tokens), 200_000):
+        for ids in ranges(tokens[a:b], number):
             for step in range(1, NEAR + 1):
-                left, right = part[:-step], part[step:]
-                np.add.at(context, left, index[right])
-                np.add.at(context, right, index[left])
+                _add(context, ids[:-step], index, ids[step:])
+                _add(context, ids[step:], index, ids[:-step])
     context /= np.maximum(np.sqrt((context**2).sum(1, keepdims=True)), 1e-9)
     index /= np.sqrt(ones)
     return number, np.hstack([context, index]).astype(np.float32)

@@ -2,38 +2,35 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, embedding_dedup, line_dedup, mixing, simhash, token_counts, warc
+from webloom.llm import bpe, embedding_dedup, line_dedup, mixing, quality, simhash, token_counts, topk, warc
 from webloom.llm.common import table
 
 
-@F.pandas_udf("string")
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], dtype=str)
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return out.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    out = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op5_line_dedup, op6_bpe, op7_token_counts, op8_warc, op9_embedding_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_source_mixing, op4_topk, op5_line_dedup, op6_bpe, op7_token_counts, op8_warc, op9_embedding_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
