@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from webloom.llm.common import chunks, pick
 
@@ -183,28 +184,30 @@ def held_out(doc_id: str = "doc_id", parts: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 6000, sample_bytes: int = 65_536) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 6000, sample_bytes: int = 65_536, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score of every whole text: doc_id, held_out, score, predicted (score >= ``threshold``).
 
     The fit, word vectors included, uses a bounded sample: at most ``sample_rows`` labelled texts that aren't held out,
     of at most ``sample_bytes`` bytes each. Scoring covers every row and every text whole, and sees nothing but the
     text. A null or empty text is scored as a document without words. Repeated and contradictory labels of a document
     count as their majority (ties: 1). With no usable labels all scores are equal. Repeated rows and null ids stay;
-    other columns are ignored. The model sent to the tasks is bounded by the vocabulary (30,000 words).
+    of other columns those named in ``carry`` go along. The model sent to the tasks is bounded by the vocabulary (30,000 words).
     """
     texts, y = sample(docs, labels, sample_rows, sample_bytes, ~held_out())
     model = docs.sparkSession.sparkContext.broadcast(train(texts, y))
 
+    rows = pick(docs, "doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
+    kinds = rows.schema
+    rows = rows.select(*rows.columns, F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes_"), held_out().alias("held_out_"))
+    names = list(dict.fromkeys(["doc_id", *carry]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = [np.zeros(0)]
-            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
-                found.append(model.value.score(batch.column("text").slice(a, b - a).to_pylist()))
-            score = np.concatenate(found)
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
-            )
-
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"n_bytes": F.octet_length("text"), "held_out": held_out()})
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+            for a, b in chunks(batch.column("n_bytes_").to_pylist(), 4 << 20):
+                part = batch.slice(a, b - a)
+                score = model.value.score([t or "" for t in part.column("text").to_pylist()])
+                made = [part.column("held_out_"), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+                yield pa.record_batch([*map(part.column, names), *made], names=[*names, "held_out", "score", "predicted"])
+
+    schema = StructType([kinds[c] for c in names] + [StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(run, schema)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, embedding_dedup, line_dedup, mixing, quality, simhash, token_counts, topk, warc
+from webloom.llm import bpe, brown, embedding_dedup, line_dedup, mixing, quality, simhash, token_counts, topk, warc
 from webloom.llm.common import table
 
 
@@ -20,6 +21,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +56,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_source_mixing, op4_topk, op5_line_dedup, op6_bpe, op7_token_counts, op8_warc, op9_embedding_dedup, op10_simhash)}
+    found = {f.__name__: f for f in (op1_quality, op2_source_mixing, op3_brown_lm, op4_topk, op5_line_dedup, op6_bpe, op7_token_counts, op8_warc, op9_embedding_dedup, op10_simhash)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
