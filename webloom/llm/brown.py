@@ -27,7 +27,7 @@ FREQUENT, ENDINGS, ENDING = 4096, 1024, 3
 #: Words whose counts go to all tasks; counts of the others are joined.
 LISTED = 65_536
 #: Bytes of text handled at once.
-HELD = 2 << 20
+HELD = 1 << 20
 
 
 def pooled_unit(word: bytes, cache: dict[bytes, int]) -> int:
@@ -63,7 +63,7 @@ def count_words(rows: DataFrame) -> DataFrame:
                 for text in batch.column("text").slice(a, b - a).to_pylist():
                     found.update(words(text))
                 found[END] += b - a
-                if len(found) > 250_000:
+                if len(found) > 150_000:
                     yield out()
         yield out()
 
@@ -112,7 +112,7 @@ def count_pairs(rows: DataFrame, units: Units) -> DataFrame:
                 both = np.concatenate([code, new])
                 code, at = np.unique(both, return_inverse=True)
                 total = np.bincount(at, weights=np.concatenate([total, n]), minlength=len(code)).astype(np.int64)
-                if len(code) > 2_000_000:
+                if len(code) > 1_000_000:
                     yield out()
                     code, total = code[:0], total[:0]
         yield out()
