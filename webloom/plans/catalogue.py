@@ -1,6 +1,506 @@
-"""Queries over the driver's tables, each with its DuckDB equivalent."""
+"""Queries over the driver's tables, each with its DuckDB equivalent.
+
+The SQL is written apart from the expressions it checks. Where it converts pages it leans on what the test pages hold:
+no lists in lists, no preformatted text, no quotes.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.functions import errors, http
+from webloom.functions import html as H
+from webloom.functions import text as T
+from webloom.functions import url as U
+from webloom.operators import guard, repository, rpc, sinks
+from webloom.operators.fetch import fetch_with_options
+from webloom.operators.registry import FetcherRegistry
+from webloom.options import FetchOptions, Tool
+from webloom.sources.captured import from_pages, varied
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+BOTH = FetchOptions(enable_markdown=True, enable_text=True)
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages")
+
+
+def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda v: "null" if v is None else str(v) if isinstance(v, (int, bool)) else "'" + v.replace("'", "''") + "'"
+    return f"(values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
+
+
+# ---- SQL parts -------------------------------------------------------------------------------------------------------
+
+SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+NO_NEWLINE = SPACE.replace(r"\t-\r", r"\t\x{b}-\r")
+
+
+def _sql_clean(x: str) -> str:
+    x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    x = f"regexp_replace({x}, '[{NO_NEWLINE}]+', ' ', 'g')"
+    x = rf"regexp_replace({x}, ' ?(\n+) ?', '\1', 'g')"
+    return rf"regexp_replace({x}, '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+def _sql_cap(x: str) -> str:
+    return rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def _sql_convert(html: str, opens: dict[str, str], closes: dict[str, str], links: bool) -> str:
+    skip = "|".join(rf"<[{SPACE}]*{t}(?:[{SPACE}](?:[^>]*[^/>])?)?>[\s\S]*?</[{SPACE}]*{t}(?:[{SPACE}][^>]*)?>" for t in H.SKIPPED.split("|"))
+    tokens = f"regexp_extract_all({html}, '(?i){skip}|<[^>]*>?|&[^;{SPACE}]{{0,11}};?|[^<&]+')"
+    text = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    table = lambda d: "map {" + ", ".join(f"'{k}': {text(v)}" for k, v in d.items()) + "}"
+    name = rf"lower(regexp_extract(t, '^</?[{SPACE}]*([^{SPACE}>]*)', 1))"
+    mapped = f"coalesce(case when starts_with(t, '</') then map_extract_value({table(closes)}, {name}) else map_extract_value({table(opens)}, {name}) end, '')"
+    if links:
+        href = r"""coalesce('[](' || regexp_extract(t, '(?i)href="([^"]*)"', 1) || ')', '')"""
+        mapped = rf"case when {name} = 'a' and not starts_with(t, '</') and regexp_matches(t, '(?i)href=') then {href} when {name} = 'a' then '' else {mapped} end"
+    entity = f"case when ends_with(t, ';') then coalesce(map_extract_value({table(H.ENTITIES)}, t[2:-2]), '&') else '&' end"
+    one = f"case when starts_with(t, '<') then case when regexp_matches(t, '(?i)^<[{SPACE}]*(?:{H.SKIPPED})[{SPACE}>]') then '' else {mapped} end when starts_with(t, '&') then {entity} else t end"
+    return _sql_clean(f"coalesce(array_to_string(list_transform({tokens}, lambda t: {one}), ''), '')")
+
+
+SQL_MARKDOWN = _sql_convert("html", H.MARKDOWN_OPEN, H.MARKDOWN_CLOSE, True)
+SQL_TEXT = _sql_convert("html", H.TEXT_OPEN, H.TEXT_CLOSE, False)
+SQL_PATH = r"regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
+SQL_HOST = r"lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+SQL_FILE = f"case when contains(string_split({SQL_PATH}, '/')[-1], '.') then string_split({SQL_PATH}, '/')[-1] end"
+SQL_SCHEME = "(starts_with(url, 'http://') or starts_with(url, 'https://'))"
+
+SQL_CAPTURE = """
+cap as (select page_id, url, html,
+  case when page_id % 10 = 0 then 'HEAD' end as method, page_id % 3 = 0 as as_markdown, page_id % 3 in (0, 1) as as_text,
+  case when page_id % 11 = 0 then 404 when page_id % 13 = 0 then 500 else 200 end as status_code,
+  ['text/html', 'text/html; charset=utf-8', 'TEXT/HTML', null, 'text/plain', 'application/pdf', 'IMAGE/png', 'application/json'][page_id % 8 + 1] as content_type,
+  case when page_id % 17 = 0 then 'abc' else strlen(html)::varchar end as content_length,
+  case when page_id % 5 = 0 then 'Tue, 01 Jan 2024 00:00:00 GMT' end as last_modified,
+  ['attachment; filename="report.txt"', 'attachment; filename=file.pdf', 'inline; filename="r.xlsx"; size=1', 'inline', 'attachment; filename=""', null, null, null][page_id % 8 + 1] as disposition,
+  page_id % 7 = 0 as truncated,
+  case when page_id % 19 = 0 then 'timeout' when page_id % 23 = 0 then 'connect' when page_id % 29 = 0 then 'other' end as net_error from pages)"""
+SQL_BINARY = "(" + " or ".join(f"starts_with(lower(content_type), '{p}')" for p in http.BINARY_TYPES) + ")"
+SQL_IS_HTML = r"(coalesce(contains(lower(content_type), 'text/html'), false) or coalesce(contains(lower(content_type), 'application/xhtml'), false) or regexp_matches(html, '^\s*(<!DOCTYPE|<html)'))"
+SQL_DISPOSITION = r"""case when regexp_matches(disposition, 'filename="[^"]*"') then regexp_extract(disposition, 'filename="([^"]*)"', 1)
+  when contains(disposition, 'filename=') and trim(regexp_extract(disposition, 'filename=([^\s;]*)', 1), '"') <> '' then trim(regexp_extract(disposition, 'filename=([^\s;]*)', 1), '"') end"""
+SQL_KIND = "case when net_error = 'timeout' then 'FirstByteTimeout' when net_error = 'connect' then 'ConnectError' when net_error is not null then 'RequestError' end"
+SQL_RESULT = f"""with {SQL_CAPTURE},
+x as (select *, net_error is null as ok, coalesce(method, 'GET') = 'HEAD' as head, coalesce({SQL_BINARY}, false) as bin, {SQL_IS_HTML} as is_html, {SQL_DISPOSITION} as dn from cap),
+y as (select *, case when ok and not head and not bin then case when is_html and as_markdown then 'markdown' when is_html and as_text then 'text' else 'raw' end end as format from x),
+z as (select *, {_sql_cap(f"case format when 'markdown' then {SQL_MARKDOWN} when 'text' then {SQL_TEXT} when 'raw' then html end")} as c from y),
+r as (select page_id, url, case when ok then status_code end as status_code, case when ok then content_type end as content_type,
+  case when format is not null then strlen(html) when ok and regexp_matches(content_length, '^[0-9]+$') then content_length::bigint end as size,
+  case when ok then last_modified end as last_modified, case when ok then coalesce(dn, {SQL_FILE}) end as filename, format,
+  case when format is not null and truncated then c || chr(10) || chr(10) || '[..more content timed out...]' else c end as content,
+  case when format is not null and truncated then true end as truncated, case when ok and head then 'HEAD' end as method,
+  case when ok and not head and bin then 'Binary content is not supported. Only textual content (HTML, text, JSON, etc.) can be fetched.' end as error,
+  {SQL_KIND} as error_kind,
+  case when net_error = 'timeout' then 'Request timed out: server did not respond within 1 second' when net_error = 'connect' then 'Failed to connect to server' when net_error is not null then 'Request failed: ' || net_error end as error_message
+  from z)"""
+
+
+# ---- URL checks and routes -------------------------------------------------------------------------------------------
+
+
+@query(f"select page_id, url from pages where {SQL_SCHEME}")
+def scheme_filter(spark, sf_dir):
+    return guard.passed(_pages(spark, sf_dir), FetchOptions()).select("page_id", "url")
+
+
+def _mutated(spark, sf_dir) -> DataFrame:
+    i = F.col("page_id")
+    changed = F.when(i % 5 == 0, "").when(i % 5 == 1, F.concat(F.lit("ftp://"), F.col("url"))).when(i % 5 == 2, F.concat(F.lit(" "), F.col("url"))).when(i % 5 == 3, F.upper("url")).otherwise(F.col("url"))
+    return _pages(spark, sf_dir).select("page_id", changed.alias("url"))
+
+
+SQL_MUTATED = "m as (select page_id, case page_id % 5 when 0 then '' when 1 then 'ftp://' || url when 2 then ' ' || url when 3 then upper(url) else url end as url from pages)"
+
+
+@query(f"""with {SQL_MUTATED} select page_id, case when url = '' then 'MissingUrl' when not {SQL_SCHEME} then 'InvalidUrlScheme' end as error_kind,
+  case when url = '' then 'Missing required parameter: url' when not {SQL_SCHEME} then 'Invalid URL: must start with http:// or https://' end as error_message from m""")
+def invalid_scheme_errors(spark, sf_dir):
+    kind = guard.error_kind(F.col("url"), FetchOptions())
+    return _mutated(spark, sf_dir).select("page_id", kind.alias("error_kind"), errors.message(kind).alias("error_message"))
+
+
+@query("select page_id, url from pages where starts_with(url, 'https://')")
+def allow_prefix(spark, sf_dir):
+    return guard.passed(_pages(spark, sf_dir), FetchOptions(allow_prefixes=("https://",))).select("page_id", "url")
+
+
+@query(f"select page_id, url from pages where {SQL_SCHEME} and not starts_with(url, 'http://')")
+def block_prefix(spark, sf_dir):
+    return guard.passed(_pages(spark, sf_dir), FetchOptions(block_prefixes=("http://",))).select("page_id", "url")
+
+
+@query("select page_id, url from pages where (starts_with(url, 'https://') or starts_with(url, 'http://s')) and not starts_with(url, 'https://site1')")
+def allow_then_block(spark, sf_dir):
+    return guard.passed(_pages(spark, sf_dir), FetchOptions(allow_prefixes=("https://", "http://s"), block_prefixes=("https://site1",))).select("page_id", "url")
+
+
+@query("with p as (select prefix from (values ('http://'), ('https://site2')) t(prefix)) select page_id, url from pages where not exists (select 1 from p where starts_with(url, prefix))")
+def block_prefix_table(spark, sf_dir):
+    prefixes = _rows(spark, "prefix string", [("http://",), ("https://site2",)])
+    return guard.blocked_by_table(_pages(spark, sf_dir), prefixes).select("page_id", "url")
+
+
+@query(f"""with {SQL_MUTATED} select page_id, case when url = '' then 'MissingUrl' when not {SQL_SCHEME} then 'InvalidUrlScheme'
+  when not starts_with(url, 'http') or starts_with(url, 'http://') then 'BlockedUrl' end as error_kind from m""")
+def url_guard(spark, sf_dir):
+    options = FetchOptions(allow_prefixes=("http",), block_prefixes=("http://",))
+    return _mutated(spark, sf_dir).select("page_id", guard.error_kind(F.col("url"), options).alias("error_kind"))
+
+
+REPO_URLS = [
+    (1, "https://github.com/owner/repo"), (2, "https://github.com/owner/repo/"), (3, "https://github.com/owner"), (4, "https://github.com/owner/repo/issues"), (5, "https://github.com/settings/profile"),
+    (6, "https://gitlab.com/owner/repo"), (7, "http://user@GitHub.com:8080/a/b.git?x=1#y"), (8, "https://www.github.com/a/b"), (9, "https://github.com//b"), (10, "https://github.com/explore/x"),
+]
+SQL_REPO = f"""({SQL_HOST} = 'github.com' and len(string_split({SQL_PATH}, '/')) = 3 and string_split({SQL_PATH}, '/')[2] <> '' and string_split({SQL_PATH}, '/')[3] <> ''
+  and string_split({SQL_PATH}, '/')[2] not in ({', '.join(repr(o) for o in U.RESERVED_OWNERS)}))"""
+
+
+@query(f"""with u as (select page_id as id, url from pages union all select -id, url from {_values(REPO_URLS, 'id, url')})
+  select id, url, case when {SQL_REPO} then 'github_repo' else 'default' end as route from u""")
+def route_dispatch(spark, sf_dir):
+    urls = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), "url").unionByName(_rows(spark, "id long, url string", REPO_URLS).withColumn("id", -F.col("id")))
+    return urls.select("id", "url", FetcherRegistry.with_defaults().route(F.col("url")).alias("route"))
+
+
+@query(f"""select id, case when {SQL_REPO} then string_split({SQL_PATH}, '/')[2] end as owner, case when {SQL_REPO} then string_split({SQL_PATH}, '/')[3] end as repo,
+  case when {SQL_REPO} then 'https://api.github.com/repos/' || string_split({SQL_PATH}, '/')[2] || '/' || string_split({SQL_PATH}, '/')[3] end as api_url from {_values(REPO_URLS, 'id, url')}""")
+def github_url_parse(spark, sf_dir):
+    r = U.repository(F.col("url"))
+    api = F.when(r.isNotNull(), repository.api_url(F.col("url")))
+    return _rows(spark, "id int, url string", REPO_URLS).select("id", r.owner.alias("owner"), r.repo.alias("repo"), api.alias("api_url"))
+
+
+@query(f"select page_id, {SQL_FILE} as filename from pages")
+def url_filename(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.file_name(F.col("url")).alias("filename"))
+
+
+# ---- headers, types, methods -----------------------------------------------------------------------------------------
+
+
+@query(f"with {SQL_CAPTURE} select page_id, coalesce({SQL_DISPOSITION}, {SQL_FILE}) as filename from cap")
+def content_disposition_filename(spark, sf_dir):
+    c = varied(_pages(spark, sf_dir))
+    return c.select("page_id", http.file_name(http.header(F.col("headers"), "content-disposition"), F.col("url")).alias("filename"))
+
+
+@query(f"with {SQL_CAPTURE} select page_id, coalesce({SQL_BINARY}, false) as is_binary from cap")
+def binary_content_type(spark, sf_dir):
+    return varied(_pages(spark, sf_dir)).select("page_id", http.is_binary(http.header(F.col("headers"), "content-type")).alias("is_binary"))
+
+
+@query(f"with {SQL_CAPTURE} select page_id, {SQL_IS_HTML} as is_html from cap")
+def is_html_by_type(spark, sf_dir):
+    c = varied(_pages(spark, sf_dir))
+    return c.select("page_id", http.is_html(http.header(F.col("headers"), "content-type"), T.lossy(F.col("body"))).alias("is_html"))
+
+
+@query(r"select doc_id, coalesce(regexp_matches(text, '^\s*(<!DOCTYPE|<html)'), false) as is_html from documents")
+def is_html_by_body(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", http.is_html(F.lit(None).cast("string"), F.col("text")).alias("is_html"))
+
+
+METHODS = [(1, "GET"), (2, "get"), (3, "Get"), (4, "HEAD"), (5, "head"), (6, "POST"), (7, "invalid"), (8, None), (9, "")]
+
+
+@query(f"""select id, coalesce(upper(method), 'GET') as effective, case when upper(method) not in ('GET', 'HEAD') then 'InvalidMethod' end as error_kind,
+  case when upper(method) not in ('GET', 'HEAD') then 'Invalid method: must be GET or HEAD' end as error_message from {_values(METHODS, 'id, method')}""")
+def method_parse(spark, sf_dir):
+    kind = errors.method_kind(F.col("method"))
+    return _rows(spark, "id int, method string", METHODS).select("id", http.effective_method(F.col("method")).alias("effective"), kind.alias("error_kind"), errors.message(kind).alias("error_message"))
+
+
+@query("select page_id, strlen(html) as size from pages")
+def body_size(spark, sf_dir):
+    return from_pages(_pages(spark, sf_dir)).select("page_id", F.octet_length("body").cast("bigint").alias("size"))
+
+
+# ---- text and HTML ---------------------------------------------------------------------------------------------------
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
+    return d.unionByName(_table(spark, sf_dir, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))
+
+
+SQL_TEXTS = "(select 'd' as kind, doc_id as id, 0::bigint as turn, text from documents union all select 'c', conv_id, turn, text from conversations)"
+
+
+@query(f"select kind, id, turn, {_sql_cap('text')} as text from {SQL_TEXTS}")
+def filter_newlines(spark, sf_dir):
+    return _texts(spark, sf_dir).select("kind", "id", "turn", T.filter_excessive_newlines(F.col("text")).alias("text"))
+
+
+@query(f"select kind, id, turn, {_sql_clean('text')} as text from {SQL_TEXTS}")
+def clean_whitespace(spark, sf_dir):
+    return _texts(spark, sf_dir).select("kind", "id", "turn", T.clean_whitespace(F.col("text")).alias("text"))
+
+
+@query(rf"""select page_id, array_to_string(list_transform(regexp_extract_all(html, '&[^;{SPACE}]{{0,11}};?'), lambda t: case when ends_with(t, ';')
+  then coalesce(map_extract_value(map {{{', '.join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in H.ENTITIES.items())}}}, t[2:-2]), '&') else '&' end), '') as entities from pages""")
+def decode_entities(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit(r"(?U)&[^;\s]{0,11};?"), F.lit(0))
+    return _pages(spark, sf_dir).select("page_id", F.array_join(F.transform(found, lambda t: H.decode_entity(t, F.lit(False))), "").alias("entities"))
+
+
+@query(r"""select page_id, regexp_extract_all(html, '<a\s[^>]*>') as tags, list_transform(regexp_extract_all(html, '<a\s[^>]*>'), lambda t: case when regexp_matches(t, '(?i)href="[^"]*"') then regexp_extract(t, '(?i)href="([^"]*)"', 1) end) as hrefs from pages""")
+def extract_href(spark, sf_dir):
+    tags = F.regexp_extract_all("html", F.lit(r"<a\s[^>]*>"), F.lit(0))
+    return _pages(spark, sf_dir).select("page_id", tags.alias("tags"), F.transform(tags, lambda t: H.attribute(t, "href")).alias("hrefs"))
+
+
+SQL_STRIP = "html"
+for _tag in H.SKIPPED.split("|"):
+    SQL_STRIP = rf"regexp_replace({SQL_STRIP}, '(?i)<\s*{_tag}(?:\s(?:[^>]*[^/>])?)?>[\s\S]*?</\s*{_tag}(?:\s[^>]*)?>', '', 'g')"
+
+
+@query(f"select page_id, {SQL_STRIP} as html from pages")
+def strip_skip_elements(spark, sf_dir):
+    tokens = F.regexp_extract_all("html", F.lit(H.TOKEN), F.lit(0))
+    kept = F.filter(tokens, lambda t: ~F.rlike(t, F.lit(rf"(?iU)^<\s*(?:{H.SKIPPED})[\s>]")))
+    return _pages(spark, sf_dir).select("page_id", F.array_join(kept, "").alias("html"))
+
+
+@query(f"select page_id, {SQL_TEXT} as text from pages")
+def html_to_text(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.html_to_text(F.col("html")).alias("text"))
+
+
+@query(f"select page_id, {SQL_MARKDOWN} as markdown from pages")
+def html_to_markdown(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+# ---- results ---------------------------------------------------------------------------------------------------------
+
+
+def _fetched(spark, sf_dir, options: FetchOptions, **flags) -> DataFrame:
+    return fetch_with_options(from_pages(_pages(spark, sf_dir), **flags), options).select("page_id", "url", "status_code", "size", "format", "content")
+
+
+def _sql_fetched(form: str, content: str) -> str:
+    return f"select page_id, url, 200 as status_code, strlen(html) as size, '{form}' as format, {_sql_cap(content)} as content from pages"
+
+
+@query(_sql_fetched("markdown", SQL_MARKDOWN))
+def fetch_markdown(spark, sf_dir):
+    return _fetched(spark, sf_dir, BOTH, as_markdown=True)
+
+
+@query(_sql_fetched("text", SQL_TEXT))
+def fetch_text(spark, sf_dir):
+    return _fetched(spark, sf_dir, BOTH, as_text=True)
+
+
+@query(_sql_fetched("raw", "html"))
+def fetch_raw(spark, sf_dir):
+    return _fetched(spark, sf_dir, BOTH)
+
+
+@query(_sql_fetched("raw", "html"))
+def fetch_conversion_disabled(spark, sf_dir):
+    return _fetched(spark, sf_dir, FetchOptions(), as_markdown=True, as_text=True)
+
+
+@query(f"{SQL_RESULT} select * from r")
+def fetch_varied(spark, sf_dir):
+    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH)
+
+
+@query(f"{SQL_RESULT} select page_id, status_code, content_type, size, last_modified, filename, method from r where method = 'HEAD'")
+def head_metadata(spark, sf_dir):
+    out = fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("method = 'HEAD'")
+    return out.select("page_id", "status_code", "content_type", "size", "last_modified", "filename", "method")
+
+
+@query(f"{SQL_RESULT} select page_id, truncated, content from r where truncated")
+def truncation_marker(spark, sf_dir):
+    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("truncated").select("page_id", "truncated", "content")
+
+
+@query(f"{SQL_RESULT} select page_id, size, content, format, error from r where error is not null")
+def binary_response(spark, sf_dir):
+    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("error is not null").select("page_id", "size", "content", "format", "error")
+
+
+@query(f"{SQL_RESULT} select page_id, status_code, format, content from r where status_code >= 400")
+def status_passthrough(spark, sf_dir):
+    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("status_code >= 400").select("page_id", "status_code", "format", "content")
+
+
+@query(f"""{SQL_RESULT} select page_id, concat('---', chr(10), 'url: ', url, chr(10), 'status_code: ' || status_code || chr(10), 'source_content_type: ' || content_type || chr(10), 'source_size: ' || size || chr(10),
+  'last_modified: ' || last_modified || chr(10), 'filename: ' || filename || chr(10), case when truncated then 'truncated: true' || chr(10) end, '---', chr(10), coalesce(content, error, '')) as front from r where error_kind is null""")
+def front_matter(spark, sf_dir):
+    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("error_kind is null").select("page_id", sinks.front_matter().alias("front"))
+
+
+@query(f"""{SQL_RESULT}, j as (select page_id, json_merge_patch('{{}}', to_json({{url: url, status_code: status_code, content_type: content_type, size: size, last_modified: last_modified, filename: filename, format: format,
+  truncated: truncated, method: method, error: error}}))::varchar as json from r where error_kind is null) select * from j""")
+def response_json(spark, sf_dir):
+    out = fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("error_kind is null").withColumn("content", F.lit(None).cast("string"))
+    return out.select("page_id", sinks.response_json().alias("json"))
+
+
+@query("select page_id, 'FetchResponse(url=\"' || url || '\", status_code=200)' as line from pages")
+def short_form(spark, sf_dir):
+    return fetch_with_options(from_pages(_pages(spark, sf_dir)), BOTH).select("page_id", sinks.short_form().alias("line"))
+
+
+REQUESTS = [(1, '{"url":"https://a.b","method":"GET","as_markdown":true,"extra":1}'), (2, '{"method":"GET"}'), (3, '{"url":"x","method":"get"}'), (4, "not json"), (5, '{"url":"y"}')]
+
+
+@query("select * from (values (1, 'https://a.b', 'GET', true, null::varchar), (2, null, 'GET', null, 'InvalidRequest'), (3, 'x', 'get', null, 'InvalidRequest'), (4, null, null, null, 'InvalidRequest'), (5, 'y', null, null, null)) t(id, url, method, as_markdown, error_kind)")
+def request_json(spark, sf_dir):
+    return sinks.parse_requests(_rows(spark, "id int, value string", REQUESTS)).select("id", "url", "method", "as_markdown", "error_kind")
+
+
+NETWORK = [(1, "timeout"), (2, "connect"), (3, "reset by peer"), (4, None)]
+
+
+@query(f"""select id, {SQL_KIND} as error_kind, case when net_error = 'timeout' then 'Request timed out: server did not respond within 1 second' when net_error = 'connect' then 'Failed to connect to server'
+  when net_error is not null then 'Request failed: ' || net_error end as error_message from {_values(NETWORK, 'id, net_error')}""")
+def error_taxonomy(spark, sf_dir):
+    kind = errors.network_kind(F.col("net_error"))
+    return _rows(spark, "id int, net_error string", NETWORK).select("id", kind.alias("error_kind"), errors.message(kind, F.col("net_error")).alias("error_message"))
+
+
+# ---- repositories ----------------------------------------------------------------------------------------------------
+
+BASE64 = [(1, "SGVsbG8sIFdvcmxkIQ=="), (2, ""), (3, "abc"), (4, "SGVs\nbG8="), (5, "////"), (6, None)]
+
+
+@query("select * from (values (1, 'Hello, World!'), (2, ''), (3, null), (4, 'Hello'), (5, null), (6, null)) t(id, text)")
+def github_base64(spark, sf_dir):
+    return _rows(spark, "id int, encoded string", BASE64).select("id", T.base64_text(F.col("encoded")).alias("text"))
+
+
+def _repo(**changes) -> str:
+    full = {
+        "name": "repo", "full_name": "owner/repo", "description": "A thing", "html_url": "https://github.com/owner/repo", "homepage": "https://h.example", "stargazers_count": 5, "forks_count": 2, "open_issues_count": 1,
+        "language": "Java", "license": {"name": "MIT License", "spdx_id": "MIT"}, "default_branch": "main", "created_at": "2020-01-01T00:00:00Z", "updated_at": "2021-01-01T00:00:00Z", "pushed_at": "2022-01-01T00:00:00Z",
+        "topics": ["a", "b"], "archived": False, "fork": False, "owner": {"login": "owner", "type": "User"},
+    }
+    return json.dumps({k: v for k, v in (full | changes).items() if v != "drop"})
+
+
+README = json.dumps({"content": "IyBSZWFk\nbWU=", "encoding": "base64"})
+REPOS = [
+    (1, 200, _repo(), 200, README), (2, 200, _repo(description=None, homepage="", language=None, license=None, topics=[], archived=True, fork=True), 404, None),
+    (3, 200, _repo(license={"name": "Own", "spdx_id": None}, topics=None), 200, '{"content":"x","encoding":"none"}'), (4, 404, None, None, None), (5, 403, None, None, None), (6, 500, None, None, None),
+    (7, 200, _repo(pushed_at="drop"), None, None), (8, 200, "no json", None, None),
+]
+
+
+def _repo_sql() -> str:
+    j = lambda p: f"json_extract_string(repo_json, '$.{p}')"
+    line = lambda label, v: f"'- **{label}:** ' || {v} || chr(10)"
+    valid = [(i, s, r if r != "no json" else None, rs, rd) for i, s, r, rs, rd in REPOS]
+    text = f"""concat('# ', {j('full_name')}, chr(10), chr(10), {j('description')} || chr(10) || chr(10), '## Repository Info', chr(10), chr(10), {line('Stars', j('stargazers_count'))}, {line('Forks', j('forks_count'))},
+      {line('Open Issues', j('open_issues_count'))}, {line('Language', j('language'))}, {line('License', f"coalesce({j('license.spdx_id')}, {j('license.name')})")},
+      {line('Topics', "nullif(array_to_string(from_json(json_extract(repo_json, '$.topics'), '[\"VARCHAR\"]'), ', '), '')")}, {line('URL', j('html_url'))}, {line('Homepage', f"nullif({j('homepage')}, '')")}, {line('Default Branch', j('default_branch'))},
+      {line('Owner', f"{j('owner.login')} || ' (' || {j('owner.type')} || ')'")}, case when {j('archived')} = 'true' then '- **Status:** Archived' || chr(10) end, case when {j('fork')} = 'true' then '- **Fork:** Yes' || chr(10) end,
+      {line('Created', j('created_at'))}, {line('Last Updated', j('updated_at'))}, {line('Last Push', j('pushed_at'))},
+      chr(10) || '---' || chr(10) || chr(10) || '## README' || chr(10) || chr(10) || case when readme_status = 200 and contains(readme_json, 'base64') then '# Readme' end)"""
+    return f"""with g as (select *, repo_status = 200 and repo_json is not null and {j('pushed_at')} is not null as fine from {_values(valid, 'id, repo_status, repo_json, readme_status, readme_json')})
+      select id, case when repo_status <> 200 then repo_status when fine then 200 end as status_code, case when fine then 'text/markdown' end as content_type, case when fine then 'github_repo' end as format,
+      case when fine then {text} end as content, case repo_status when 404 then 'Repository owner/repo not found' when 403 then 'GitHub API rate limit exceeded' when 500 then 'GitHub API error: HTTP 500' end as error,
+      case when repo_status = 200 and not fine then 'Fetcher error: Failed to parse repo data' end as error_message from g"""
+
+
+@query(_repo_sql())
+def github_markdown(spark, sf_dir):
+    rows = _rows(spark, "id int, repo_status int, repo_json string, readme_status int, readme_json string", REPOS)
+    from webloom.schemas import CAPTURE_SCHEMA
+
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in CAPTURE_SCHEMA}
+    captures = rows.select("*", *[F.lit("https://github.com/owner/repo").alias("url") if n == "url" else c for n, c in blank.items()])
+    return fetch_with_options(captures, BOTH).select("id", "status_code", "content_type", "format", "content", "error", "error_message")
+
+
+API_STATUS = [(1, 200), (2, 404), (3, 403), (4, 500), (5, 301), (6, 299)]
+
+
+@query(f"select id, case when status between 200 and 299 then null when status = 404 then 'Repository o/r not found' when status = 403 then 'GitHub API rate limit exceeded' else 'GitHub API error: HTTP ' || status end as error from {_values(API_STATUS, 'id, status')}")
+def github_api_error(spark, sf_dir):
+    return _rows(spark, "id int, status int", API_STATUS).select("id", repository.api_error(F.lit("o"), F.lit("r"), F.col("status")).alias("error"))
+
+
+# ---- JSON-RPC, schemas, streams --------------------------------------------------------------------------------------
+
+LINES = [
+    '{"jsonrpc":"2.0","id":1,"method":"initialize"}', '{"jsonrpc":"2.0","id":"a","method":"tools/list"}', '{"jsonrpc":"2.0","method":"notifications/initialized"}',
+    '{"jsonrpc":"2.0","id":2,"method":"tools/call","params":{"name":"nope"}}', '{"jsonrpc":"2.0","id":3,"method":"tools/call","params":{"name":"webloom","arguments":{}}}',
+    '{"jsonrpc":"2.0","id":4,"method":"tools/call","params":{"name":"webloom","arguments":{"url":7}}}', '{"jsonrpc":"2.0","id":5,"method":"tools/call","params":{"name":"webloom","arguments":{"url":"ftp://x"}}}',
+    '{"jsonrpc":"2.0","id":6,"method":"zzz"}', '{"jsonrpc":"2.0","method":"zzz"}', "not json", "", '{"jsonrpc":"2.0","id":7,"method":"notifications/initialized"}', '{"id":8}',
+]
+ANSWERS = [
+    (3, '{"jsonrpc":"2.0","id":2,"error":{"code":-32602,"message":"Unknown tool: nope"}}'), (4, '{"jsonrpc":"2.0","id":3,"error":{"code":-32602,"message":"Missing required argument: url"}}'),
+    (5, '{"jsonrpc":"2.0","id":4,"error":{"code":-32602,"message":"Missing required argument: url"}}'),
+    (6, '{"jsonrpc":"2.0","id":5,"result":{"content":[{"type":"text","text":"Error: Invalid URL: must start with http:// or https://"}],"isError":true}}'),
+    (7, '{"jsonrpc":"2.0","id":6,"error":{"code":-32601,"message":"Method not found: zzz"}}'), (8, '{"jsonrpc":"2.0","error":{"code":-32601,"message":"Method not found: zzz"}}'),
+    (9, '{"jsonrpc":"2.0","error":{"code":-32700,"message":"Parse error: not a request"}}'), (11, '{"jsonrpc":"2.0","id":7,"result":null}'), (12, '{"jsonrpc":"2.0","error":{"code":-32700,"message":"Parse error: not a request"}}'),
+]
+
+
+@query("select * from " + _values(ANSWERS, "line, reply"))
+def jsonrpc_dispatch(spark, sf_dir):
+    lines = _rows(spark, "line int, value string", list(enumerate(LINES)))
+    return rpc.replies(lines).where(~F.contains("reply", F.lit("serverInfo")) & ~F.contains("reply", F.lit('"tools"'))).select("line", "reply")
+
+
+@query(f"""select page_id, '{{"jsonrpc":"2.0","id":' || page_id || ',"result":{{"content":[{{"type":"text","text":' || to_json(concat('---', chr(10), 'url: ', url, chr(10), 'status_code: 200', chr(10), 'source_content_type: text/html', chr(10),
+  'source_size: ', strlen(html), chr(10), 'filename: ' || ({SQL_FILE}) || chr(10), '---', chr(10), {_sql_cap(SQL_MARKDOWN)}))::varchar || '}}]}}}}' as reply from pages""")
+def jsonrpc_tools_call(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    ask = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.col("page_id").cast("string"), F.lit(',"method":"tools/call","params":{"name":"webloom","arguments":{"url":"'), F.col("url"), F.lit('"}}}'))
+    captures = from_pages(pages).drop("page_id")
+    return rpc.replies(pages.select("page_id", ask.alias("value")), captures).select("page_id", "reply")
+
+
+@query()
+def tool_schema(spark, sf_dir):
+    tools = [("all", Tool()), ("no_text", Tool.builder().enable_text(False).build())]
+    return _rows(spark, "tool string, input string, output string", [(n, json.dumps(t.input_schema()), json.dumps(t.output_schema())) for n, t in tools])
+
+
+@query(_sql_fetched("text", SQL_TEXT))
+def stream_fetch_text(spark, sf_dir):
+    import uuid
+
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("html", StringType())])
+    # a file stream reads folders or patterns
+    pages = spark.readStream.schema(schema).parquet(f"{sf_dir}/pages.parquet*")
+    out = fetch_with_options(from_pages(pages, as_text=True), BOTH).select("page_id", "url", "status_code", "size", "format", "content")
+    name = f"stream_{uuid.uuid4().hex}"
+    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
