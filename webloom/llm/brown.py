@@ -40,7 +40,7 @@ def pooled_unit(word: bytes, cache: dict[bytes, int]) -> int:
 
 
 def ending_unit(word: str):
-    return F.pmod(F.xxhash64(F.expr(f"right({word}, {ENDING})")), F.lit(ENDINGS))
+    return F.pmod(F.xxhash64(F.expr(f"substring({word}, -{ENDING}, {ENDING})")), F.lit(ENDINGS))
 
 
 def words(text: bytes) -> list[bytes]:
@@ -170,7 +170,8 @@ def sweep(of: np.ndarray, m: np.ndarray, after: np.ndarray, before: np.ndarray,
 def cluster(pairs: DataFrame, size: int, fixed: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Class of each unit and the table of class transitions. END (``fixed``) has a class of its own.
 
-    Each round is a job over the unit pairs, at most size**2 rows however large the corpus is.
+    Each round is a job over the unit pairs, at most size**2 rows however large the corpus is. The likelihood can fall, as a
+    round's moves don't see each other's effect on contexts; the best round counts.
     """
     of = np.arange(size) % (classes - 1) + 1
     of[fixed] = 0
@@ -181,8 +182,6 @@ def cluster(pairs: DataFrame, size: int, fixed: int, classes: int, rounds: int)
         np.add.at(m.T, of, after)
         if (value := likelihood(m)) > best[0]:
             best = value, of, m
-        elif n > 1 and value < best[0]:
-            break
         if n < rounds:
             of = sweep(of, m, after, before, fixed)
     return best[1], best[2]
@@ -226,7 +225,7 @@ class Model:
         return n, sums[2].astype(np.int64), sums[0], sums[1], np.searchsorted(ends, rare), [ws[i] for i in rare], last[rare] * len(self.seen) + cls[rare]
 
 
-def fit(rows: DataFrame, classes: int = 64, rounds: int = 6, weight: float = 0.98, strength: float = 5.0) -> tuple[Model, DataFrame]:
+def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, weight: float = 0.98, strength: float = 5.0) -> tuple[Model, DataFrame]:
     """The model of the texts of ``rows``, and the counts of all its words (word, n)."""
     counts = Stored(count_words(rows)).df
     total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()

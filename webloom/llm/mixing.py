@@ -67,13 +67,15 @@ def solve(counted: DataFrame, plan: dict, most: float, tolerance: float, rounds:
         worst = 0.0
         for s, g, h in terms.groupBy("source").agg(F.sum("g"), F.sum("h")).collect():
             gap = plan[s][1] - g
-            worst = max(worst, abs(gap) / plan[s][1])
+            if abs(gap) < tolerance * plan[s][1]:
+                continue
+            worst = max(worst, abs(gap))
             (low if gap > 0 else high)[s] = x[s]
             step = x[s] + gap / h if h > 0 else math.inf
             if not low[s] < step < high[s]:  # outside the bracket: halve it, or widen it while it is open
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else x[s] + math.copysign(1 + abs(x[s]), gap)
             x[s] = step
-        if worst < tolerance:
+        if not worst:
             break
     return {s: math.inf if cap[s] else x[s] for s in plan}
 
