@@ -2,12 +2,14 @@
 
 Every word has a sparse random index vector, drawn from its hash. Its context vector is the sum of the index vectors of
 its neighbours in the sample. A document is the mean of both over its words; a network of one hidden layer gives a
-logit, which a temperature fitted on rows set aside turns into a calibrated probability.
+logit, which a temperature fitted on rows set aside turns into a calibrated probability. The temperature is 1 or more:
+where the rows set aside are all told apart, they are no reason to be surer than the network.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,15 +88,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def ranges(tokens: list[list[str]], number: dict[str, int]) -> Iterator[np.ndarray]:
-    """Numbers of the words of some texts, with -1 between texts, in bounded parts."""
-    ids: list[int] = []
-    for ts in tokens:
-        ids += [n if (n := number.get(t)) is not None else number[shape(t)] for t in ts]
-        ids += [-1] * NEAR
-    ids = np.array(ids, np.int64)
-    for a in range(0, len(ids), 200_000):
-        yield ids[a : a + 200_000]
+def ranges(texts: list[str], number: dict[str, int], most: int = 200_000) -> Iterator[np.ndarray]:
+    """Numbers of the words of some texts, with -1 between texts, in parts of about ``most``."""
+    ids = array("q")
+    for text in texts:
+        ids.extend(n if (n := number.get(t)) is not None else number[shape(t)] for t in told(text))
+        ids.extend([-1] * NEAR)
+        if len(ids) > most:
+            yield np.array(ids)
+            ids = array("q")
+    yield np.array(ids, np.int64)
 
 
 def _add(total: np.ndarray, words: np.ndarray, index: np.ndarray, near: np.ndarray) -> None:
@@ -105,23 +108,27 @@ def _add(total: np.ndarray, words: np.ndarray, index: np.ndarray, near: np.ndarr
         order = np.argsort(words, kind="stable")
         words, near = words[order], near[order]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(words)) + 1])
-        total[words[starts]] += np.add.reduceat(index[near], starts, axis=0)
+        for a in range(0, len(starts), 8192):  # bounded rows at a time
+            part = starts[a : a + 8192]
+            end = starts[a + 8192] if a + 8192 < len(starts) else len(words)
+            total[words[part]] += np.add.reduceat(index[near[part[0] : end]], part - part[0], axis=0)
 
 
 def word_vectors(texts: list[str], dim: int, ones: int, most_words: int) -> tuple[dict[str, int], np.ndarray]:
     """Vocabulary (the ``most_words`` most frequent words that occur twice, then shapes) and its vectors: context, then index."""
-    tokens = [told(t) for t in texts]
-    counts = Counter(t for ts in tokens for t in ts)
+    counts: Counter[str] = Counter()
+    for text in texts:
+        counts.update(told(text))
     words = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most_words] if n > 1]
     shapes = sorted({f"{k} {n}" for k in ("digits", "signs", "upper", "title", "lower", "mixed") for n in range(6)})
     number = {w: i for i, w in enumerate(dict.fromkeys([*shapes, AGAIN, *words]))}
     index = np.array([index_vector(w, dim, ones) for w in number])
     context = np.zeros_like(index)
-    for a, b in chunks(map(len, tokens), 200_000):
-        for ids in ranges(tokens[a:b], number):
-            for step in range(1, NEAR + 1):
-                _add(context, ids[:-step], index, ids[step:])
-                _add(context, ids[step:], index, ids[:-step])
+    del counts
+    for ids in ranges(texts, number):
+        for step in range(1, NEAR + 1):
+            _add(context, ids[:-step], index, ids[step:])
+            _add(context, ids[step:], index, ids[:-step])
     context /= np.maximum(np.sqrt((context**2).sum(1, keepdims=True)), 1e-9)
     index /= np.sqrt(ones)
     return number, np.hstack([context, index]).astype(np.float32)
@@ -160,7 +167,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 48, ones: int = 4, mo
             best = loss, [p.copy() for p in w]
     model.w1, model.b1, model.w2, model.b2 = best[1][0], best[1][1], best[1][2], float(best[1][3])
     z = np.tanh(x[aside] @ model.w1 + model.b1) @ model.w2 + model.b2
-    model.temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda v: log_loss(z / v, y[aside])))
+    model.temperature = float(min(np.geomspace(1, 8, 61), key=lambda v: log_loss(z / v, y[aside])))
     return model
 
 
