@@ -18,8 +18,9 @@ def clean_whitespace(s: Column) -> Column:
     the steps is part of the function: the cut comes first.
     """
     s = filter_excessive_newlines(s)
-    s = F.regexp_replace(s, r"(?U)[\s&&[^\n]]+", " ")
-    s = F.regexp_replace(s, r" ?(\n+) ?", "$1")
+    # Only runs that change are matched: anything but one plain space, and newlines with a space beside them.
+    s = F.regexp_replace(s, r"(?U) *+[\s&&[^\n ]][\s&&[^\n]]*+| {2,}+", " ")
+    s = F.regexp_replace(s, r" (\n++) ?|(\n++) ", "$1$2")
     return F.regexp_replace(s, r"\A[ \n]+|[ \n]+\z", "")
 
 
