@@ -70,7 +70,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         raise ValueError("threshold and recall must lie between 0 and 1")
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast(f"array<{kind}>"))
     fit = F.coalesce((F.size("embedding") > 0) & finite, F.lit(False))
     signed = rows.withColumns({"s1": F.when(fit, F.xxhash64("embedding")), "s2": F.when(fit, F.xxhash64(F.lit(1), "embedding"))})
     ids = signed.select("vec_id", "s1", "s2")
@@ -124,7 +125,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         yield pa.record_batch([pa.array(node[out]), pa.array(node[label[out]]), pa.array(links[out])], names=["a", "b", "links"])
 
     entries = nodes.df.select("node", "copies", "embedding", F.size("embedding").alias("dim")).mapInArrow(
-        spread, "lsh_table int, code bigint, dim int, node bigint, copies bigint, embedding array<double>"
+        spread, "lsh_table int, code bigint, dim int, node bigint, copies bigint, embedding array<" + kind + ">"
     )
     stars = Stored(in_blocks(entries, ["dim", "lsh_table", "code"], F.col("node"), BLOCK).mapInArrow(compare, "a bigint, b bigint, links bigint"))
     links = stars.df.groupBy("a").agg(F.sum("links").alias("links"))

@@ -77,7 +77,7 @@ def solve(counted: DataFrame, plan: dict, most: float, tolerance: float, rounds:
             x[s] = step
         if not worst:
             break
-    return {s: math.inf if cap[s] else x[s] for s in plan}
+    return {s: math.inf if cap[s] else round(x[s], 9) for s in plan}  # the order of a sum must not show
 
 
 def rounded(most: int):
