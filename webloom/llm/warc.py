@@ -99,7 +99,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100) -> DataFrame:
                 n += 1
         if out is not None:
             out.close()
-            store.move(own, name)
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                store.move(own, name)
+            else:  # another attempt at this task has ended before
+                store.delete_file(own)
         yield pa.record_batch([pa.array([name] * bool(n), pa.string()), pa.array([n] * bool(n), pa.int64())], names=["path", "records"])
 
     return marked(pages, least_bytes).mapInArrow(run, "path string, records bigint")
