@@ -271,10 +271,12 @@ def decode_entities(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.array_join(F.transform(found, lambda t: H.decode_entity(t, F.lit(False))), "").alias("entities"))
 
 
-@query(r"""select page_id, regexp_extract_all(html, '<a\s[^>]*>') as tags, list_transform(regexp_extract_all(html, '<a\s[^>]*>'), lambda t: case when regexp_matches(t, '(?i)href="[^"]*"') then regexp_extract(t, '(?i)href="([^"]*)"', 1) end) as hrefs from pages""")
+@query(r"""select page_id, len(regexp_extract_all(html, '<a\s[^>]*>')) as links, coalesce(array_to_string(list_transform(regexp_extract_all(html, '<a\s[^>]*>'),
+  lambda t: case when regexp_matches(t, '(?i)href="[^"]*"') then regexp_extract(t, '(?i)href="([^"]*)"', 1) else '-' end), ' '), '') as hrefs from pages""")
 def extract_href(spark, sf_dir):
     tags = F.regexp_extract_all("html", F.lit(r"<a\s[^>]*>"), F.lit(0))
-    return _pages(spark, sf_dir).select("page_id", tags.alias("tags"), F.transform(tags, lambda t: H.attribute(t, "href")).alias("hrefs"))
+    hrefs = F.array_join(F.transform(tags, lambda t: F.coalesce(H.attribute(t, "href"), F.lit("-"))), " ")
+    return _pages(spark, sf_dir).select("page_id", F.size(tags).cast("bigint").alias("links"), hrefs.alias("hrefs"))
 
 
 SQL_STRIP = "html"
