@@ -164,6 +164,13 @@ def test_tool(spark):
     assert ToolStatus("x").with_message("m").with_eta(5) == ToolStatus("x", "m", None, 5)
 
 
-def test_no_shuffle(spark):
-    plan = fetch(spark.read.schema(CAPTURE_SCHEMA).parquet("/tmp/none")) if False else default_response(captured(spark), BOTH)
-    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+def test_one_scan_and_no_shuffle(spark, tmp_path):
+    captured(spark).write.parquet(str(tmp_path / "c"))
+    plan = fetch(spark.read.parquet(str(tmp_path / "c")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan
+    metadata = fetch(spark.read.parquet(str(tmp_path / "c"))).select("url", "status_code", "last_modified")
+    assert "body" not in metadata._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+def test_default_fetcher_alone(spark):
+    assert default_response(captured(spark, body="x"), BOTH).first().content == "x"

@@ -39,7 +39,8 @@ def parses(url: Column) -> Column:
     port = F.regexp_extract(authority, r":([^:@\]]*)$", 1)
     name = host(url)
     good = (name != "") & ~F.rlike(name, F.lit(r"[\x00-\x20<>^|%\"`{}\\]|^\[(?![0-9a-f:.]+\]$)"))
-    return good & ((port == "") | F.coalesce(F.rlike(port, F.lit("^[0-9]+$")) & (F.expr("true") & (F.try_to_number(F.when(F.rlike(port, F.lit("^[0-9]{1,9}$")), port), F.lit("999999999")) <= 65535)), F.lit(False)))
+    number = F.when(F.rlike(port, F.lit("^[0-9]{1,9}$")), port).try_cast("int")
+    return good & ((port == "") | F.coalesce(number <= 65535, F.lit(False)))
 
 
 def path(url: Column) -> Column:

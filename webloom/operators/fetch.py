@@ -28,28 +28,30 @@ def result(df: DataFrame, fields: dict[str, Column], columns: list[str] | None =
     return df.select(*rest, *[fields.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in RESULT_FIELDS])
 
 
-def failure(df: DataFrame, kind: Column, detail: Column) -> DataFrame:
-    return result(df, {"url": F.col("url"), "error_kind": kind, "error_message": errors.message(kind, detail)})
+Fields = tuple[DataFrame, dict[str, Column]]
 
 
-def default_response(captures: DataFrame, options: FetchOptions) -> DataFrame:
-    """Results of captures of ordinary URLs, without a shuffle.
+def failure_fields(kind: Column, detail: Column) -> dict[str, Column]:
+    return {"url": F.col("url"), "error_kind": kind, "error_message": errors.message(kind, detail)}
+
+
+def default_fields(captures: DataFrame, options: FetchOptions, active: Column) -> Fields:
+    """The captures with helper columns, and the result fields of ordinary URLs for the rows that are ``active``.
 
     HEAD rows have metadata only, with the size from Content-Length; binary types have an error text and no content;
     others have the decoded body, converted if it is HTML and the conversion is both asked for and enabled (Markdown
     before text), with newlines capped and then, if the body was cut off, a mark. Statuses of 400 and above are
     ordinary. A network error gives error_kind and error_message alone.
     """
-    headers, ok, cols = F.col("headers"), F.col("net_error").isNull(), captures.columns
+    headers = F.col("headers")
     # Values that several fields need are columns of their own, which the planner computes once.
-    step = captures.withColumns({
-        "_kind": F.when(ok, http.header(headers, "content-type")),
-        "_head": ok & (http.effective_method(F.col("method")) == "HEAD"),
-        "_body": F.coalesce(lossy(F.col("body")), F.lit("")),
-    })
+    step = captures.withColumn("_ok", F.coalesce(active & F.col("net_error").isNull(), F.lit(False)))
+    ok = F.col("_ok")
+    step = step.withColumns({"_kind": F.when(ok, http.header(headers, "content-type")), "_head": ok & (http.effective_method(F.col("method")) == "HEAD")})
     kind, head = F.col("_kind"), F.col("_head")
     step = step.withColumns({"_binary": ok & ~head & http.is_binary(kind), "_textual": ok & ~head & ~http.is_binary(kind)})
     textual = F.col("_textual")
+    step = step.withColumn("_body", F.when(textual, F.coalesce(lossy(F.col("body")), F.lit(""))))
     markdown = F.lit(options.enable_markdown) & F.coalesce(F.col("as_markdown"), F.lit(False))
     text = F.lit(options.enable_text) & F.coalesce(F.col("as_text"), F.lit(False))
     form = F.when(textual, F.when((markdown | text) & http.is_html(kind, F.col("_body")), F.when(markdown, "markdown").otherwise("text")).otherwise("raw"))
@@ -60,13 +62,13 @@ def default_response(captures: DataFrame, options: FetchOptions) -> DataFrame:
     if options.enable_markdown:
         content = F.coalesce(content, H.html_to_markdown(F.when(F.col("_format") == "markdown", F.col("_body"))))
     cut = textual & F.coalesce(F.col("truncated"), F.lit(False))
-    network = errors.network_kind(F.col("net_error"))
     step = step.withColumns({
         "_size": F.when(textual, F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")).when(ok, http.content_length(http.header(headers, "content-length"))),
         "_content": F.concat(filter_excessive_newlines(content), F.when(cut, TRUNCATED).otherwise("")),
         "_filename": F.when(ok, http.file_name(http.header(headers, "content-disposition"), F.col("url"))),
     })
-    return result(step, {
+    network = F.when(active, errors.network_kind(F.col("net_error")))
+    return step, {
         "url": F.col("url"),
         "status_code": F.when(ok, F.col("status_code")),
         "content_type": kind,
@@ -80,7 +82,13 @@ def default_response(captures: DataFrame, options: FetchOptions) -> DataFrame:
         "error": F.when(F.col("_binary"), BINARY),
         "error_kind": network,
         "error_message": errors.message(network, F.col("net_error")),
-    }, cols)
+    }
+
+
+def default_response(captures: DataFrame, options: FetchOptions) -> DataFrame:
+    """Results of captures of ordinary URLs; see ``default_fields``."""
+    step, fields = default_fields(captures, options, F.lit(True))
+    return result(step, fields, captures.columns)
 
 
 def fetch_with_options(captures: DataFrame, options: FetchOptions) -> DataFrame:

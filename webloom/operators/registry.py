@@ -17,7 +17,11 @@ from webloom.options import FetchOptions
 
 
 class Fetcher(Protocol):
-    """A plug-in: a predicate on the URL, and rows of captures to rows of results (keeping all other columns)."""
+    """A plug-in: a predicate on the URL, and rows of captures to rows of results (keeping all other columns).
+
+    One that also has ``fields(captures, options, active)``, which gives the captures with helper columns and a column
+    for each result field, shares a single pass over the captures with all others that have it.
+    """
 
     name: str
 
@@ -35,6 +39,9 @@ class DefaultFetcher:
     def fetch(self, captures: DataFrame, options: FetchOptions) -> DataFrame:
         return respond.default_response(captures, options)
 
+    def fields(self, captures: DataFrame, options: FetchOptions, active: Column) -> respond.Fields:
+        return respond.default_fields(captures, options, active)
+
 
 class RepositoryFetcher:
     """Pages of repositories: the capture holds repo_status, repo_json, readme_status and readme_json."""
@@ -47,6 +54,9 @@ class RepositoryFetcher:
     def fetch(self, captures: DataFrame, options: FetchOptions) -> DataFrame:
         return repository.repository_response(captures)
 
+    def fields(self, captures: DataFrame, options: FetchOptions, active: Column) -> respond.Fields:
+        return repository.repository_fields(captures, active)
+
 
 @dataclass
 class FetcherRegistry:
@@ -72,9 +82,20 @@ class FetcherRegistry:
         failure doesn't fall back to another fetcher.
         """
         url = F.col("url")
-        kind = F.coalesce(guard.error_kind(url, options, missing), errors.method_kind(F.col("method")))
-        checked = captures.withColumn("check_kind", kind).withColumn("route", F.when(F.col("check_kind").isNull(), self.route(url)))
-        nobody = F.when(F.col("check_kind").isNull(), "FetcherError").otherwise(F.col("check_kind"))
-        failed = respond.failure(checked.where("route is null"), nobody, F.lit("No fetcher available for URL"))
-        parts = [f.fetch(checked.where(F.col("route") == f.name), options) for f in self.fetchers]
-        return reduce(lambda a, b: a.unionByName(b), [p.drop("check_kind", "route") for p in parts], failed.drop("check_kind", "route"))
+        checked = captures.withColumn("_check", F.coalesce(guard.error_kind(url, options, missing), errors.method_kind(F.col("method"))))
+        checked = checked.withColumn("_route", F.when(F.col("_check").isNull(), self.route(url)))
+        route = F.coalesce(F.col("_route"), F.lit(""))
+        apart = [f for f in self.fetchers if not hasattr(f, "fields")]
+        step = checked.where(~route.isin(*[f.name for f in apart])) if apart else checked
+        made = [(F.lit(True), respond.failure_fields(F.coalesce(F.col("_check"), F.when(route == "", "FetcherError")), F.lit("No fetcher available for URL")))]
+        for f in self.fetchers:
+            if f not in apart:
+                step, fields = f.fields(step, options, route == f.name)
+                made.append((route == f.name, fields))
+        fields = {}
+        for name in respond.RESULT_FIELDS:
+            cases = [(active, given[name]) for active, given in reversed(made) if name in given]
+            fields[name] = reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])) if cases else F.lit(None)
+        out = respond.result(step, fields, captures.columns)
+        parts = [f.fetch(checked.where(route == f.name).drop("_check", "_route"), options) for f in apart]
+        return reduce(lambda a, b: a.unionByName(b), parts, out)

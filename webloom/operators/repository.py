@@ -56,29 +56,41 @@ def markdown(repo: Column, readme: Column) -> Column:
     return F.concat_ws("", *top, *info, F.concat(F.lit("\n---\n\n## README\n\n"), readme))
 
 
-def repository_response(captures: DataFrame) -> DataFrame:
-    """Results of repository pages, whatever method or conversion was asked for."""
-    from webloom.operators.fetch import result
-
+def repository_fields(captures: DataFrame, active: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """The captures with helper columns, and the result fields of repository pages, whatever method or conversion was asked for."""
+    step = captures
     for name, kind in (("repo_status", "int"), ("repo_json", "string"), ("readme_status", "int"), ("readme_json", "string")):
         if name not in captures.columns:
-            captures = captures.withColumn(name, F.lit(None).cast(kind))
-    status = F.coalesce("repo_status", F.lit(404))
+            step = step.withColumn(name, F.lit(None).cast(kind))
+    step = step.withColumn("_repo_status", F.when(active, F.coalesce("repo_status", F.lit(404))))
+    status = F.col("_repo_status")
     ok = status.between(200, 299)
-    repo = F.from_json("repo_json", REPO_SCHEMA)
+    step = step.withColumns({"_repo": F.when(ok, F.from_json("repo_json", REPO_SCHEMA)), "_readme": F.when(ok, readme_text(F.col("readme_status"), F.col("readme_json"))), "_name": F.when(active, U.repository(F.col("url")))})
+    repo = F.col("_repo")
     complete = F.lit(True)
     for name in REQUIRED:
-        complete = complete & repo[name].isNotNull() if "." not in name else complete & repo[name.split(".")[0]][name.split(".")[1]].isNotNull()
-    fine = ok & F.coalesce(complete, F.lit(False))
+        field = repo
+        for part in name.split("."):
+            field = field[part]
+        complete = complete & field.isNotNull()
+    step = step.withColumn("_fine", ok & F.coalesce(complete, F.lit(False)))
+    fine = F.col("_fine")
     kind = F.when(ok & ~fine, "FetcherError")
-    found = U.repository(F.col("url"))
-    return result(captures, {
+    return step, {
         "url": F.col("url"),
         "status_code": F.when(~ok, status).when(fine, 200),
         "content_type": F.when(fine, "text/markdown"),
         "format": F.when(fine, "github_repo"),
-        "content": F.when(fine, markdown(repo, readme_text(F.col("readme_status"), F.col("readme_json")))),
-        "error": api_error(found.owner, found.repo, status),
+        "content": F.when(fine, markdown(repo, F.col("_readme"))),
+        "error": api_error(F.col("_name").owner, F.col("_name").repo, status),
         "error_kind": kind,
         "error_message": errors.message(kind, F.lit("Failed to parse repo data")),
-    })
+    }
+
+
+def repository_response(captures: DataFrame) -> DataFrame:
+    """Results of repository pages; see ``repository_fields``."""
+    from webloom.operators.fetch import result
+
+    step, fields = repository_fields(captures, F.lit(True))
+    return result(step, fields, captures.columns)
