@@ -24,7 +24,7 @@ from webloom.llm.common import Stored, chunks, pick
 END = b" "
 #: Words with a unit of their own in the clustering, endings that pool the others, and bytes of an ending.
 FREQUENT, ENDINGS, ENDING = 4096, 1024, 3
-#: Words whose counts go to all tasks; counts of the others are joined.
+#: Words whose counts go to all tasks, the most frequent ones, this many at most; counts of the others are joined.
 LISTED = 65_536
 #: Bytes of text handled at once.
 HELD = 1 << 20
@@ -229,7 +229,13 @@ def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, weight: float = 0.9
     """The model of the texts of ``rows``, and the counts of all its words (word, n)."""
     counts = Stored(count_words(rows)).df
     total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(LISTED).collect()
+    # By a histogram of the counts, so that no task has to send its own best LISTED words.
+    left, least = LISTED, None
+    for n, words_ in sorted(map(tuple, counts.groupBy(F.least("n", F.lit(1_000_000))).count().collect()), reverse=True):
+        if (left := left - words_) < 0:
+            break
+        least = n
+    top = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r[1], bytes(r[0]))) if least else []
     listed = {END: 0} | {w: i for i, w in enumerate((bytes(r[0]) for r in top if bytes(r[0]) != END), 1)}
     known = {bytes(r[0]): r[1] for r in top}
     if END not in known:
