@@ -19,6 +19,8 @@ from webloom.llm.common import WORD, Stored, pick
 
 #: Documents of a source that are rounded together, about.
 ROUNDED = 2_000
+#: Sources up to which their table is broadcast.
+BROADCAST = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -63,7 +65,8 @@ def solve(counted: DataFrame, plan: dict, most: float, tolerance: float, rounds:
         now = spark.createDataFrame([(s, x[s], plan[s][0]) for s in open_], "source string, x double, mean double")
         w = rate(F.col("size"), F.col("x"), F.col("mean"), most)
         inner = F.when(w < most, w * F.col("size") * F.col("size") / F.col("mean")).otherwise(0.0)
-        terms = counted.join(F.broadcast(now), counted.source.eqNullSafe(now.source)).select(now.source, (w * F.col("size") * F.col("n")).alias("g"), (inner * F.col("n")).alias("h"))
+        now = F.broadcast(now) if len(open_) <= BROADCAST else now
+        terms = counted.join(now, counted.source.eqNullSafe(now.source)).select(now.source, (w * F.col("size") * F.col("n")).alias("g"), (inner * F.col("n")).alias("h"))
         worst = 0.0
         for s, g, h in terms.groupBy("source").agg(F.sum("g"), F.sum("h")).collect():
             gap = plan[s][1] - g
@@ -114,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     counted.drop()
     terms = [(r["source"], r["total"], t, x.get(r["source"], 0.0), max(r["total"] / r["rows"], 1e-9), math.ceil(r["rows"] / ROUNDED)) for r, t in zip(sums, goal)]
     known = docs.sparkSession.createDataFrame(terms, "of string, source_size bigint, target double, x double, mean double, buckets int")
-    side = F.broadcast(known) if len(terms) <= 100_000 else known
+    side = F.broadcast(known) if len(terms) <= BROADCAST else known
     rows = slim.df.join(side, slim.df.source.eqNullSafe(known.of))
     tilt = F.when(F.col("x") == float("inf"), float(most)).otherwise(rate(F.col("size"), F.col("x"), F.col("mean"), most))
     rows = rows.withColumns({"rate": F.when(F.col("size") > 0, tilt).otherwise(1.0), "bucket": F.pmod(F.xxhash64("place"), F.col("buckets"))})
