@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, line_dedup, mixing, quality, simhash
+from webloom.llm import bpe, jaccard, line_dedup, mixing, quality
 from webloom.llm.common import Stored, pick, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,12 +30,15 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id. A document without an id counts after all others."""
+    """One document of each group of near copies, that with the smallest id. A document without an id counts after all others.
+
+    Near copies have five-word shingles with a Jaccard similarity of 0.8 or more, or are linked by such ones.
+    """
     rows = pick(docs, *COLUMNS)
     spare = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
     rows = rows.withColumn("key_", F.coalesce("doc_id", spare))
-    groups = simhash.near_duplicates(rows.select(F.col("key_").alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key_")).distinct()
+    groups = jaccard.near_copies(rows.select(F.col("key_").alias("doc_id"), "text"))
+    first = groups.groupBy("group").agg(F.min("doc_id").alias("key_")).select("key_")
     return rows.join(first, "key_", "left_semi").dropDuplicates(["key_"]).select(*COLUMNS)
 
 
@@ -53,12 +56,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_boilerplate),
-    ("simhash near-dedup", keep_one_of_near_copies),
+    ("near-dedup", keep_one_of_near_copies),
     ("mixing sources", mix_sources),
     ("bpe", encode),
 ]
 
-#: SQL can't express these stages: a trained model, fingerprints, a numeric optimum, BPE.
+#: SQL can't express these stages: a trained model, components of near copies, a numeric optimum, BPE.
 ORACLE_SQL = None
 
 

@@ -1,11 +1,13 @@
 """The pipeline's stages, and the queries of the subpackage."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webloom.llm import queries
+from webloom.llm import jaccard, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +30,36 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "q r s"), (1, "a b c d"), (3, "")]
 
 
+def similar(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_near_copies_of_changed_words_go(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(40, 400))]
+        texts.append(base)
+        for _ in range(5):
+            other = list(base)
+            for i in rng.sample(range(len(other)), max(1, len(other) * rng.randrange(1, 5) // 100)):
+                other[i] = f"v{rng.randrange(500)}"
+            texts.append(other)
+    texts = [" ".join(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(texts[i], texts[j]) >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 12 < len(set(root)) < 60
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
 def test_stages_take_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, "x " * 50_000, "en", "s", 100_000), (2, "x " * 50_000, "en", "s", 100_000), (3, "fine text here", "en", None, 14)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(1) for c in ("place", "copies", "kept", "predicted", "size")})
