@@ -214,6 +214,38 @@ def test_exchange_finds_the_two_classes(spark):
     assert not own(left) & own(right)
 
 
+def test_brown_words_of_one_ending_part_by_their_contexts(spark, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 9)
+    rng = random.Random(6)
+    frame = {0: ["aq", "bw", "ce", "dr"], 1: ["xt", "yy", "zu", "wi"]}
+    rare = {0: [f"l{i}-end" for i in range(20)], 1: [f"r{i}-end" for i in range(20)]}
+    texts = []
+    for i in range(600):
+        words = [rng.choice(frame[k % 2]) for k in range(20)]
+        for _ in range(2):  # the words of rare[0] stand where those of frame[0] do
+            at = rng.randrange(20)
+            words[at] = rng.choice(rare[at % 2])
+        texts.append((" ".join(words), ))
+    rows = spark.createDataFrame([*texts, ("once-end",)], "text string").select(F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("n_bytes"))
+    model, _ = brown.fit(rows, classes=7, rounds=6)
+    units = {k: model.units.of([w.encode() for w in rare[k]]) for k in rare}
+    assert len({*units[0].tolist(), *units[1].tolist()}) == 40
+    assert not set(model.of[units[0]]) & set(model.of[units[1]])
+    assert model.units.of([b"once-end"])[0] < model.units.base
+
+
+def test_brown_transitions_are_those_of_the_classes(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("n_bytes"))
+    model, counts = brown.fit(rows, classes=8, rounds=1)
+    m = np.zeros((8, 8))
+    for r in rows.collect():
+        c = model.of[model.units.of([b" ", *bytes(r.text or b"").lower().split(), b" "])]
+        np.add.at(m, (c[:-1], c[1:]), 1)
+    prior = (m.sum(0) + 1) / (m.sum() + 8)
+    assert np.allclose(model.follow, (m + 5 * prior) / (m.sum(1)[:, None] + 5), atol=1e-3)
+    assert len(model.units.hashes) == sum(r.n >= brown.OWN and bytes(r.word) not in model.units.number for r in counts.collect())
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

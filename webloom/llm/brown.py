@@ -1,7 +1,8 @@
 """LM scoring by Brown's class-based n-grams.
 
-Exchange clustering gives every word a class: the FREQUENT most frequent words one each by their own contexts, all other
-words (unseen ones too) by the contexts of the words with their ending. A word's probability is that of its class after
+Exchange clustering gives every word a class. The FREQUENT most frequent words and the endings of all others are clustered
+first; then every other word seen OWN times or more goes to the class that suits its own contexts, in rounds over tables
+that stay distributed. Only rarer words, and unseen ones, keep the class of their ending. A word's probability is that of its class after
 the last word's class, times its share of its class; unseen words get the share of a class that its words seen once
 have, as if there were as many unseen ones as seen ones. This is mixed with the plain add-one unigram.
 """
@@ -19,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import Stored, chunks, pick
+from webloom.llm.links import whole_groups
 
 #: The token at the end of each text, also what stands before its first. No word holds a space.
 END = b" "
-#: Words with a unit of their own in the clustering, endings that pool the others, and bytes of an ending.
+#: Words that are clustered one after the other, endings that pool the others meanwhile, and bytes of an ending.
 FREQUENT, ENDINGS, ENDING = 4096, 1024, 3
+#: Occurrences from which on a word has a class by its own contexts, however many such words there are.
+OWN = 10
 #: Words whose counts go to all tasks, the most frequent ones, this many at most; counts of the others are joined.
 LISTED = 65_536
 #: Bytes of text handled at once.
@@ -72,9 +76,13 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Units:
-    """Numbers of the units: the words with one of their own, then the endings."""
+    """Numbers of the units: the most frequent words, then the endings, then all other words of OWN occurrences or more.
+
+    The last ones are found by their 64-bit hashes (sorted, unsigned), so a task holds 8 bytes for each and no text.
+    """
 
     frequent: list[bytes]
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     number: dict[bytes, int] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -82,20 +90,38 @@ class Units:
         self.cache: dict[bytes, int] = {}
 
     def __len__(self) -> int:
+        return self.base + len(self.hashes)
+
+    @property
+    def base(self) -> int:
+        """Number of the first unit that is found by its hash."""
         return len(self.frequent) + ENDINGS
 
     def of(self, ws: list[bytes]) -> np.ndarray:
-        get, cache, base = self.number.get, self.cache, len(self.frequent)
+        get, cache, first = self.number.get, self.cache, len(self.frequent)
         if len(cache) > 200_000:
             cache.clear()
-        return np.array([u if (u := get(w)) is not None else base + pooled_unit(w, cache) for w in ws], np.int64)
-
-
-def count_pairs(rows: DataFrame, units: Units) -> DataFrame:
-    """(a, b, n): how often unit b stands after unit a; a text begins and ends with END."""
-    size = len(units)
+        found = np.array([u if (u := get(w)) is not None else -1 for w in ws], np.int64)
+        rest = np.flatnonzero(found < 0)
+        if len(self.hashes) and len(rest):
+            h = np.array([xxhash.xxh64_intdigest(ws[i], 42) for i in rest.tolist()], np.uint64)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            own = self.hashes[at] == h
+            found[rest[own]] = self.base + at[own]
+            rest = rest[~own]
+        found[rest] = [first + pooled_unit(ws[i], cache) for i in rest.tolist()]
+        return found
+
+
+def count_pairs(rows: DataFrame, units) -> DataFrame:
+    """(a, b, n): how often unit b stands after unit a; a text begins and ends with END. A pair can have several rows.
+
+    ``units`` is a broadcast of Units.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = units.value
+        size = len(known)
         code, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
@@ -107,7 +133,7 @@ def count_pairs(rows: DataFrame, units: Units) -> DataFrame:
                 for text in batch.column("text").slice(a, b - a).to_pylist():
                     ws += words(text)
                     ws.append(END)
-                u = units.of(ws)
+                u = known.of(ws)
                 new, n = np.unique(u[:-1] * size + u[1:], return_counts=True)
                 both = np.concatenate([code, new])
                 code, at = np.unique(both, return_inverse=True)
@@ -117,7 +143,106 @@ def count_pairs(rows: DataFrame, units: Units) -> DataFrame:
                     code, total = code[:0], total[:0]
         yield out()
 
-    return rows.select("text", "n_bytes").mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return rows.select("text", "n_bytes").mapInArrow(run, "a int, b int, n bigint")
+
+
+def pooled_pairs(pairs: DataFrame, fold) -> DataFrame:
+    """The pairs with each unit by its number in ``fold`` (a broadcast array), each pair once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = fold.value
+        size = int(to.max()) + 1
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            code, at = np.unique(to[a] * size + to[b], return_inverse=True)
+            yield pa.record_batch([pa.array((code // size).astype(np.int32)), pa.array((code % size).astype(np.int32)), pa.array(np.bincount(at, weights=n, minlength=len(code)).astype(np.int64))], names=["a", "b", "n"])
+
+    return pairs.mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def transitions(pairs: DataFrame, of, classes: int) -> np.ndarray:
+    """Table of class transitions; ``of`` is a broadcast of the units' classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(classes * classes)
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            m += np.bincount(of.value[a].astype(np.int64) * classes + of.value[b], weights=n, minlength=len(m))
+        yield pa.record_batch([pa.array(np.arange(len(m))), pa.array(m.astype(np.int64))], names=["at", "n"])
+
+    rows = pairs.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(classes * classes)
+    m[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return m.reshape(classes, classes)
+
+
+def best_class(left: np.ndarray, right: np.ndarray, own: int, m: np.ndarray, logs: np.ndarray, barred: int) -> int:
+    """The class where the likelihood is highest for a word now in ``own``, by its contexts; ``logs`` is plogp(m)."""
+    i, j = np.flatnonzero(left), np.flatnonzero(right)
+    x, y, l, r = m[i], m[:, j], left[i, None], right[None, j]
+    gain = (plogp(x + l) - logs[i]).sum(0) + (plogp(y + r) - logs[:, j]).sum(1)
+    rest, after = np.maximum(x[:, own] - left[i], 0), np.maximum(y[own] - right[j], 0)
+    gain[own] = (plogp(rest + left[i]) - plogp(rest)).sum() + (plogp(after + right[j]) - plogp(after)).sum()
+    column, row, n, k = m.sum(0), m.sum(1), left.sum(), right.sum()
+    column[own], row[own] = max(column[own] - n, 0), max(row[own] - k, 0)
+    gain -= plogp(column + n) - plogp(column) + plogp(row + k) - plogp(row)
+    gain[barred] = -np.inf
+    return int(np.argmax(gain))
+
+
+def place(pairs: DataFrame, base: int, of: np.ndarray, m: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes with the words from unit ``base`` on placed by their own contexts, and the table of class transitions.
+
+    Each round looks at all these words with the contexts of its start. Contexts are dealt by word once; a round shuffles
+    nothing but class transitions, and a class for each word comes to the driver. The best round counts.
+    """
+    spark = pairs.sparkSession
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number in whole_groups(batches, ["unit"]):
+            unit, side, n = (rows.column(c).to_numpy() for c in ("unit", "side", "n"))
+            starts = np.flatnonzero(np.diff(number, prepend=-1))
+            cuts = pa.array(np.append(starts, len(unit)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (side, n)]
+            yield pa.record_batch([pa.array(unit[starts]), *lists], names=["unit", "side", "n"])
+
+    sides = [pairs.where(F.col(u) >= base).select(F.col(u).alias("unit"), (2 * F.col(v).cast("bigint") + side).alias("side"), "n") for u, v, side in (("b", "a", 0), ("a", "b", 1))]
+    dealt = sides[0].union(sides[1]).repartition("unit").sortWithinPartitions("unit")
+    dealt = Stored(dealt.mapInArrow(pack, "unit int, side array<bigint>, n array<bigint>"))
+    best = likelihood(m), of, m
+    for _ in range(rounds):
+        now, table = spark.sparkContext.broadcast(of), m
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = now.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, 512):
+                    part = batch.slice(a, 512)
+                    unit, many = part.column("unit").to_numpy(), part.num_rows
+                    word = np.repeat(np.arange(many), part.column("side").value_lengths().to_numpy())
+                    side, n = (part.column(c).flatten().to_numpy() for c in ("side", "n"))
+                    at = (2 * word + side % 2) * classes + kind[side // 2]
+                    context = np.bincount(at, weights=n, minlength=many * 2 * classes).reshape(many, 2, classes)
+                    # these words see each other's moves, or else all would go to the same empty class; others' they don't
+                    m, to = table.copy(), kind[unit]
+                    logs = plogp(m)
+                    for w, (left, right) in enumerate(context):
+                        last, to[w] = to[w], best_class(left, right, to[w], m, logs, kind[0])
+                        if last != to[w]:
+                            for c, sign in ((last, -1), (to[w], 1)):
+                                m[:, c] = np.maximum(m[:, c] + sign * left, 0)
+                                m[c] = np.maximum(m[c] + sign * right, 0)
+                                logs[:, c], logs[c] = plogp(m[:, c]), plogp(m[c])
+                    yield pa.record_batch([pa.array(unit), pa.array(to, pa.int16())], names=["unit", "class"])
+
+        moved = dealt.df.mapInArrow(run, "unit int, class short").toArrow()
+        of = of.copy()
+        of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
+        m = transitions(pairs, spark.sparkContext.broadcast(of), classes)
+        if (value := likelihood(m)) > best[0]:
+            best = value, of, m
+    dealt.drop()
+    return best[1], best[2]
 
 
 def contexts(pairs: DataFrame, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +350,7 @@ class Model:
         return n, sums[2].astype(np.int64), sums[0], sums[1], np.searchsorted(ends, rare), [ws[i] for i in rare], last[rare] * len(self.seen) + cls[rare]
 
 
-def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, weight: float = 0.98, strength: float = 5.0) -> tuple[Model, DataFrame]:
+def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 3, weight: float = 0.98, strength: float = 5.0) -> tuple[Model, DataFrame]:
     """The model of the texts of ``rows``, and the counts of all its words (word, n)."""
     counts = Stored(count_words(rows)).df
     total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -240,19 +365,29 @@ def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, weight: float = 0.9
     known = {bytes(r[0]): r[1] for r in top}
     if END not in known:
         known[END] = next((r[0] for r in counts.where(F.col("word") == F.lit(END)).select("n").collect()), 0)
-    units = Units(list(listed)[:FREQUENT])
-    pairs = Stored(count_pairs(rows, units))
-    of, m = cluster(pairs.df, len(units), 0, classes, rounds)
+    frequent = list(listed)[:FREQUENT]
+    common = F.col("word").isin(frequent)
+    own = counts.where((F.col("n") >= OWN) & ~common).select(F.xxhash64("word").alias("hash"), ending_unit("word").cast("int").alias("ending")).toArrow()
+    hashes, at = np.unique(own.column("hash").to_numpy().view(np.uint64), return_index=True)
+    units = Units(frequent, hashes)
+    fold = np.concatenate([np.arange(units.base), len(frequent) + own.column("ending").to_numpy()[at]])
+    context = rows.sparkSession.sparkContext
+    pairs = Stored(count_pairs(rows, context.broadcast(units)))
+    pooled = Stored(pooled_pairs(pairs.df, context.broadcast(fold)))
+    of, m = cluster(pooled.df, units.base, 0, classes, rounds)
+    pooled.drop()
+    of = of[fold]
+    if len(hashes):
+        of, m = place(pairs.df, units.base, of, m, classes, placing)
     pairs.drop()
     column, row = m.sum(0), m.sum(1)
     prior = (column + 1) / (column.sum() + classes)
     follow = (m + strength * prior) / (row[:, None] + strength)
-    own = F.col("word").isin(units.frequent)
-    pooled = counts.where(~own).groupBy(ending_unit("word").alias("unit")).agg(F.count(F.lit(1)), F.sum((F.col("n") == 1).cast("int"))).collect()
+    rare = counts.where((F.col("n") < OWN) & ~common).groupBy(ending_unit("word").alias("unit")).agg(F.count(F.lit(1)), F.sum((F.col("n") == 1).cast("int"))).collect()
     home = of[: len(units.frequent)]
-    types = np.bincount(home, minlength=classes).astype(float)
+    types = (np.bincount(home, minlength=classes) + np.bincount(of[units.base :], minlength=classes)).astype(float)
     single = np.bincount(home, weights=[known.get(w) == 1 for w in units.frequent], minlength=classes)
-    for unit, n, once in pooled:
+    for unit, n, once in rare:
         types[of[len(units.frequent) + unit]] += n
         single[of[len(units.frequent) + unit]] += once
     share = np.clip((single + 0.5) / (column + 1), 1e-4, 0.9)  # Good and Turing's share of what is unseen
