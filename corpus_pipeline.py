@@ -35,11 +35,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Near copies have five-word shingles with a Jaccard similarity of 0.8 or more, or are linked by such ones.
     """
     rows = pick(docs, *COLUMNS)
-    spare = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    rows = rows.withColumn("key_", F.coalesce("doc_id", spare))
-    groups = jaccard.near_copies(rows.select(F.col("key_").alias("doc_id"), "text"))
-    first = groups.groupBy("group").agg(F.min("doc_id").alias("key_")).select("key_")
-    return rows.join(first, "key_", "left_semi").dropDuplicates(["key_"]).select(*COLUMNS)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    first = jaccard.near_copies(rows).groupBy("group").agg(least).select("least.row")
+    return rows.withColumn("row", jaccard.row_key()).join(first, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "q r s"), (1, "a b c d"), (3, "")]
 
 
+def test_texts_of_one_id_are_chosen_one_by_one(spark):
+    rows = [(3, "a b c d e f", "en", "s", 11), (5, "q r s t u v", "en", "s", 11), (5, "A b c d e f", "en", "s", 11), (7, "k l m n o p", "en", "s", 11), (7, "w x y z z y", "en", "s", 11)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, rows[0][1]), (5, rows[1][1]), (7, rows[3][1]), (7, rows[4][1])]
+
+
 def similar(a, b):
     a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
     return len(a & b) / len(a | b)

@@ -85,9 +85,14 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
+def row_key():
+    """A hash of id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.withColumns({"n_bytes": F.octet_length("text"), "row": F.xxhash64("doc_id", "text")})
+    return rows.withColumns({"n_bytes": F.octet_length("text"), "row": row_key()})
 
 
 def _signed(values: list[int]) -> pa.Array:
