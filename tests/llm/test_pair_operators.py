@@ -180,6 +180,11 @@ def test_warc_splits_own_each_record_once(spark, tmp_path, split):
     assert sorted(map(tuple, got)) == [(i, 3 * (i % 7) + 50) for i in range(60)]
 
 
+def test_warc_header_of_any_length(spark):
+    given = spark.createDataFrame([(1, "http://h/" + "a" * 1_200_000, "x" * 50), (2, "http://h/" + "é" * 400_000, "y" * 50)], "page_id bigint, url string, html string")
+    assert sorted((r.page_id, bytes(r.payload)) for r in warc.round_trip(given).collect()) == [(1, b"x" * 50), (2, b"y" * 50)]
+
+
 def test_warc_damage_is_seen(spark, tmp_path):
     raw = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\nWARC-Payload-Digest: sha256:" + b"0" * 64 + b"\r\n\r\nabc\r\n\r\n")
     (tmp_path / "a.warc.gz").write_bytes(raw)

@@ -26,8 +26,6 @@ MAGIC = b"\x1f\x8b\x08"
 IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Bytes read at a time.
 STEP = 1 << 20
-#: Decoded bytes in which a WARC header must end.
-HEADER = 1 << 20
 
 
 def record_id(page: int | None, digest: str) -> str:
@@ -130,14 +128,20 @@ class Member:
     def header(self) -> dict[str, str] | None:
         """The WARC header's fields, or None if no WARC record starts here."""
         try:
-            while b"\r\n\r\n" not in self.out and len(self.out) < HEADER and self.more():
+            seen = 0
+            while self.out.find(b"\r\n\r\n", max(0, seen - 3)) < 0:
+                seen = len(self.out)
+                if not self.more():
+                    break
                 if len(self.out) >= 7 and not self.out.startswith(b"WARC/1."):
                     return None
         except zlib.error:
             return None
-        head, end, _ = bytes(self.out[:HEADER]).partition(b"\r\n\r\n")
-        if not end or not head.startswith(b"WARC/1."):
+        if not self.out.startswith(b"WARC/1."):
             return None
+        if (end := self.out.find(b"\r\n\r\n")) < 0:
+            raise ValueError("the header of a WARC record is cut short")
+        head = bytes(self.out[:end])
         self.body = len(head) + 4
         return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
