@@ -8,6 +8,7 @@ tallied over all 8 positions; pairs that reach the minimum are verified bit by b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import Stored, chunks, pick
-from webloom.llm.links import components, in_blocks, join_labels, pairs, whole_groups
+from webloom.llm.links import components, edges_in_blocks, heavy_from, join_labels, looked_up, pairs, whole_groups
 
 #: Entries of one posting list that are compared in one task, at most twice this many.
 BLOCK = 2048
@@ -54,19 +55,25 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.withColumn("n_bytes", F.octet_length("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def linked(distinct: DataFrame, bits: int = 3, joint: int = 3) -> DataFrame:
+def joint_bytes(n: int, bits: int, length: int = 64) -> int:
+    """Positional bytes of a posting, for lists of about ``length`` unrelated fingerprints out of ``n``; no more than can be guaranteed."""
+    return min(8 - bits, max(2, math.ceil(math.log(max(n / length, 1), 256))))
+
+
+def linked(distinct: DataFrame, bits: int = 3, joint: int | None = None) -> DataFrame:
     """Edges (a, b) that join every two distinct fingerprints (column fp) at ``bits`` or fewer differing bits.
 
     Edges are not all pairs: what is connected inside a group of a task is given as a star, so a group of n near
     copies leaves no more than n rows for each list. ``joint`` (1 to 8 - bits) sets how long the lists are: a list has
-    about n / 256**joint of n fingerprints besides true neighbours; 3 suits up to some 10**8 of them, 4 more.
+    about n / 256**joint of n fingerprints besides true neighbours. It follows from n if it isn't given.
     """
-    if not 0 <= bits < 8 or not 1 <= joint <= 8 - bits:
+    if not 0 <= bits < 8 or joint is not None and not 1 <= joint <= 8 - bits:
         raise ValueError("bits must be 0 to 7 and joint 1 to 8 - bits")
+    joint = joint or joint_bytes(distinct.count(), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, number in whole_groups(batches, ["posting", "low_block", "high_block"]):
-            fp, own, low, high = (rows.column(c).to_numpy() for c in ("fp", "own_block", "low_block", "high_block"))
+            fp, own, low, high = (rows.column(c).to_numpy() for c in ("node", "own_block", "low_block", "high_block"))
             label = np.arange(len(fp))
             for i, j in pairs(number, own, low, high):
                 differ = fp[i] ^ fp[j]
@@ -84,21 +91,26 @@ def linked(distinct: DataFrame, bits: int = 3, joint: int = 3) -> DataFrame:
         for p in at:
             code = F.shiftleft(code, 8).bitwiseOR(byte[p])
         postings.append(code)
-    entries = distinct.select("fp", F.explode(F.array(*postings)).alias("posting"))
-    return in_blocks(entries, ["posting"], F.col("fp"), BLOCK).mapInArrow(run, "a bigint, b bigint").distinct()
+    entries = Stored(distinct.select(F.col("fp").alias("node"), F.explode(F.array(*postings)).alias("posting")))
+    return edges_in_blocks(entries.df, "posting", BLOCK, run)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, joint: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, joint: int | None = None) -> DataFrame:
     """Components of documents whose fingerprints are linked: doc_id, fp, component_id (the smallest doc_id reachable).
 
     One row for each row of ``docs``. Equal fingerprints are one node from the start, so copies are never expanded into
     pairs. Null and empty texts have fingerprint zero and are linked like others. A null doc_id is never the smallest;
-    a component of null ids alone has a null component_id. Repeated rows stay; other columns are ignored.
+    a component of null ids alone has a null component_id. Very long texts are read whole, 65,536 shingles at a time.
+    Repeated rows stay; an empty table gives none; other columns are ignored. A fingerprint that very many documents
+    share is looked up apart, so its documents don't meet in one task.
     """
     rows = Stored(fingerprints(docs, words))
-    nodes = Stored(rows.df.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
+    nodes = Stored(rows.df.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")))
+    total = nodes.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     root = components(linked(nodes.df.select("fp"), bits, joint))
-    nodes_root = nodes.df.join(root, nodes.df.fp == root.node, "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
-    least = nodes_root.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = nodes_root.join(least, "root").select("fp", "component_id")
-    return rows.df.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes_root = nodes.df.join(root, nodes.df.fp == root.node, "left").select("fp", "smallest", "n", F.coalesce("root", "fp").alias("root"))
+    of_roots = nodes_root.groupBy(F.col("root").alias("node")).agg(F.min("smallest").alias("m"), F.count(F.lit(1)).alias("n"))
+    # a root's smallest id may be null, which a lookup would take for a miss: so it goes as a struct
+    of_roots = of_roots.withColumn("m", F.struct("m"))
+    named = looked_up(nodes_root, "root", of_roots, heavy_from(total)).select(F.col("fp").alias("node"), "m", "n")
+    return looked_up(rows.df, "fp", named, heavy_from(total)).select("doc_id", "fp", F.col("m.m").alias("component_id"))
