@@ -2,9 +2,11 @@
 
 import gzip
 import math
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from webloom.llm import embedding_dedup, links, simhash, topk, warc
@@ -42,6 +44,24 @@ def test_components(spark, pairs):
     assert {r.node: r.root for r in links.components(edges).collect()} == {x: want[x] for x in linked}
 
 
+@pytest.mark.parametrize("heavy", [1, 50_000])
+def test_components_of_hubs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(links, "heavy_from", lambda rows, least=64: heavy)
+    pairs = [(0, i) for i in range(1, 200)] + [(299, i) for i in range(150, 260)] + [(270, 271)]
+    want = roots(300, pairs)
+    got = {r.node: r.root for r in links.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {x: want[x] for p in pairs for x in p}
+
+
+def test_counts_of_many_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(links, "HEAVY", 3)
+    df = spark.range(400).select((F.col("id") % 7).alias("k"), "id").where("k <> 6 or id < 20").union(spark.range(50).select(F.lit(9).cast("bigint"), F.col("id") + 1000))
+    want = {r.k: r.n for r in df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    heavy, n, total = links.heavy_keys(df, ["k"], 10)
+    out = links.with_counts(df, ["k"], heavy, n, total).collect()
+    assert n == 7 and len(out) == df.count() and all(r.entries == (want[r.k] if want[r.k] > 10 else None) for r in out)
+
+
 def test_blocks_meet_every_pair_once(spark):
     df = spark.range(60).select((F.col("id") % 3 == 0).cast("int").alias("k"), "id")
 
@@ -58,8 +78,23 @@ def test_blocks_meet_every_pair_once(spark):
         assert got == [(a, b) for a in range(60) for b in range(a + 1, 60) if (a % 3 == 0) == (b % 3 == 0)]
 
 
-@pytest.mark.parametrize("block", [8, 2048])
-def test_simhash_links(spark, monkeypatch, block):
+def slow_fingerprint(text, words):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+    shingles = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    hashes = [xxhash.xxh64(s.encode(), 42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_are_those_of_a_slow_simhash(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    texts = [r.text for r in docs] + ["", " \t\n", "a", "A b", "Ä Öx\x85y z É", "a a a a a", "\x1c x\x0by z w", "İ ſ K"]
+    for words in (3, 5):
+        assert [simhash.fingerprint(t.encode(), words) for t in texts] == [slow_fingerprint(t, words) for t in texts]
+
+
+@pytest.mark.parametrize("block", [3, 8, 2048])
+@pytest.mark.parametrize("joint", [None, 4])
+def test_simhash_links(spark, monkeypatch, block, joint):
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(1)
     fps = [int(x) for x in rng.integers(0, 1 << 63, 150)]
@@ -73,7 +108,7 @@ def test_simhash_links(spark, monkeypatch, block):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
     assert len(pairs) > 50
-    edges = simhash.linked(spark.createDataFrame([(f,) for f in signed], "fp bigint"))
+    edges = simhash.linked(spark.createDataFrame([(f,) for f in signed], "fp bigint"), joint=joint)
     at = {f: i for i, f in enumerate(signed)}
     assert roots(len(fps), [(at[r.a], at[r.b]) for r in edges.collect()]) == roots(len(fps), pairs)
 
@@ -172,6 +207,74 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark).limit(0)).count() == 0
 
 
+def test_of_repeated_pages_one_is_the_response(spark, monkeypatch):
+    rows = [(1, "u", "x" * 200)] * 3 + [(1, "v", "x" * 200), (2, "u", "x" * 200), (None, "u", "x" * 200), (4, "u", "x")] + [(4, "u", "x")] + [(None, "n", "z" * 300)] * 2 + [(9, None, None)] * 2
+    given = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (200_000, 0):
+        monkeypatch.setattr(warc, "COPIED", most)
+        out = warc.round_trip(given).collect()
+        assert len(out) == len(rows)
+        kinds = sorted((r.record_type, r.page_id or 0, r.refers_to or 0) for r in out if r.payload_digest == warc.hashlib.sha256(b"x" * 200).hexdigest())
+        assert kinds == [("response", 1, 0)] + [("revisit", i, 1) for i in (0, 1, 1, 1, 2)]
+        assert all(r.record_type == "response" for r in out if r.page_id in (4, 9) or r.payload_bytes == 300)
+
+
+def test_warc_digests_and_ids(spark, tmp_path):
+    warc.write(pages(spark).union(pages(spark)), f"file://{tmp_path}/a").collect()
+    texts = {i: (h or "").encode() for i, _, h in PAGES}
+    out = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert len(out) == 2 * len(PAGES) and all(r.payload_digest == warc.hashlib.sha256(texts[r.page_id]).hexdigest() for r in out)
+    heads = [head for p in (tmp_path / "a").glob("*.warc.gz") for _, head, _ in warc.records(warc.fs.LocalFileSystem(), str(p), 0, p.stat().st_size, p.stat().st_size)]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(ids) and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= set(ids)
+
+
+@pytest.mark.parametrize("split", [1 << 20, 4000])
+def test_a_damaged_record_is_an_error(spark, tmp_path, split):
+    members = [warc.record("response", i, f"http://h/{i}", bytes(np.random.default_rng(i).integers(0, 256, 500, np.uint8)), warc.hashlib.sha256(bytes(np.random.default_rng(i).integers(0, 256, 500, np.uint8))).hexdigest(), None) for i in range(40)]
+    raw, at = b"".join(members), sum(map(len, members[:20]))
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    assert warc.read(spark, f"file://{tmp_path}", split).count() == 40
+    for place in (at, at + 1, at + 12, at + 300, at + len(members[20]) - 6):
+        (tmp_path / "a.warc.gz").write_bytes(raw[:place] + bytes([raw[place] ^ 0x55]) + raw[place + 1 :])
+        with pytest.raises(Exception, match="damaged at byte"):
+            warc.read(spark, f"file://{tmp_path}", split).collect()
+
+
+def test_archives_are_read_once(tmp_path):
+    raw = b"".join(warc.record("response", i, f"http://h/{i}", b"%d" % i * 40, warc.hashlib.sha256(b"%d" % i * 40).hexdigest(), None) for i in range(3000))
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+
+    class Counted:
+        def __init__(self):
+            self.file, self.read_bytes = open(tmp_path / "a.warc.gz", "rb"), 0
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            self.read_bytes += n
+            return self.file.read(n)
+
+    class Store:
+        def open_input_file(self, _):
+            self.source = Counted()
+            return self.source
+
+    store, total, found, step = Store(), 0, 0, 100_000
+    for a in range(0, len(raw), step):
+        found += sum(1 for _ in warc.records(store, "a", a, min(a + step, len(raw)), len(raw)))
+    assert found == 3000
+    store = Store()
+    assert sum(1 for _ in warc.records(store, "a", 0, len(raw), len(raw))) == 3000 and store.source.read_bytes < 1.5 * len(raw)
+
+
 @pytest.mark.parametrize("split", [37, 1000, 1 << 20])
 def test_warc_splits_own_each_record_once(spark, tmp_path, split):
     raw = b"".join(warc.record("response", i, f"http://h/{i}", b"\x1f\x8b\x08" * (i % 7) + bytes([i % 256]) * 50, warc.hashlib.sha256(b"\x1f\x8b\x08" * (i % 7) + bytes([i % 256]) * 50).hexdigest(), None) for i in range(60))
