@@ -29,8 +29,9 @@ def looked_up(rows: DataFrame, key: str, found: DataFrame, heavy: int) -> DataFr
     """
     top = found.where(F.col("n") > heavy).select(F.col("node").alias("heavy_node"), F.col("m").alias("heavy_m"))
     marked = rows.join(F.broadcast(top), F.col(key) == F.col("heavy_node"), "left")
-    light = marked.where("heavy_m is null").join(found.where(F.col("n") <= heavy).select("node", "m"), F.col(key) == F.col("node"))
-    return light.select(*rows.columns, "m").union(marked.where("heavy_m is not null").select(*rows.columns, F.col("heavy_m").alias("m")))
+    rest = found.where(F.col("n") <= heavy).select(F.col("node").alias("light_node"), F.col("m").alias("light_m"))
+    light = marked.where("heavy_m is null").join(rest, F.col(key) == F.col("light_node"))
+    return light.select(*rows.columns, F.col("light_m").alias("m")).union(marked.where("heavy_m is not null").select(*rows.columns, F.col("heavy_m").alias("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
