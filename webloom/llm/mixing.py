@@ -46,11 +46,12 @@ def rate(size, x, mean, most):
     return F.least(F.lit(float(most)), F.exp(F.least(x * size / mean, F.lit(math.log(most)))))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, place (a hash that orders equals): slim rows, from one scan of the texts."""
-    rows = pick(docs, "doc_id", "text", "source")
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, place (a hash that orders equals), row: slim rows, from one scan of the texts."""
+    rows = pick(docs, "doc_id", "text", "source", *([row] if row else []))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return rows.select(F.col("doc_id").cast("bigint"), F.col("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("place"))
+    number = F.col(row) if row else F.lit(None)
+    return rows.select(F.col("doc_id").cast("bigint"), F.col("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("place"), number.cast("bigint").alias("row"))
 
 
 def solve(counted: DataFrame, plan: dict, most: float, tolerance: float, rounds: int) -> dict:
@@ -87,27 +88,28 @@ def rounded(most: int):
     """Rounds the rates of the documents of one bucket: from the largest size down, what rounding gains or loses is carried on."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "place", "doc_id"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["size", "place", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
         carry, copies = 0.0, []
         for size, rate_ in zip(rows["size"].tolist(), rows["rate"].tolist()):
             n = min(most, max(0, math.floor(rate_ + (carry / size if size else 0.0) + 0.5)))
             carry += size * (rate_ - n)
             copies.append(n)
-        return rows.assign(copies=copies)[["doc_id", "source", "place", "size", "source_size", "target", "copies"]]
+        return rows.assign(copies=copies)[["doc_id", "source", "place", "row", "size", "source_size", "target", "copies"]]
 
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, tolerance: float = 1e-5, rounds: int = 60) -> DataFrame:
-    """Copies of each document: doc_id, source, place, size, source_size, target, rate's rounding ``copies``, taken.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, tolerance: float = 1e-5, rounds: int = 60, row: str | None = None) -> DataFrame:
+    """Copies of each document: doc_id, source, place, row, size, source_size, target, rate's rounding ``copies``, taken.
 
     Sources in code point order, null last, get ``weights`` in turn and share the total of all sizes; see ``targets``.
     taken = copies * size. One row for each row of ``docs``; a null or empty text has size 0, and its copies don't count
     towards any target. Sources without a word have target 0. Repeated rows and null ids stay. What comes to the driver
     is one row for each source, which weights are set for one by one. Documents of a source are rounded in buckets
-    of about ROUNDED, dealt by the hash of id and text; so a hot source is spread, and reruns agree.
+    of about ROUNDED, dealt by the hash of id and text; so a hot source is spread, and reruns agree. ``row`` names a
+    column of row numbers, if there is one; it goes along. An empty table gives no rows; other columns are ignored.
     """
-    slim = Stored(sized(docs))
+    slim = Stored(sized(docs, row))
     counted = Stored(slim.df.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sums = counted.df.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("rows")).collect()
     sums.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
@@ -121,23 +123,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     rows = slim.df.join(side, slim.df.source.eqNullSafe(known.of))
     tilt = F.when(F.col("x") == float("inf"), float(most)).otherwise(rate(F.col("size"), F.col("x"), F.col("mean"), most))
     rows = rows.withColumns({"rate": F.when(F.col("size") > 0, tilt).otherwise(1.0), "bucket": F.pmod(F.xxhash64("place"), F.col("buckets"))})
-    schema = "doc_id bigint, source string, place bigint, size bigint, source_size bigint, target double, copies int"
-    made = rows.select("doc_id", "source", "place", "size", "source_size", "target", "rate", "bucket").groupBy("source", "bucket").applyInPandas(rounded(most), schema)
+    schema = "doc_id bigint, source string, place bigint, row bigint, size bigint, source_size bigint, target double, copies int"
+    made = rows.select("doc_id", "source", "place", "row", "size", "source_size", "target", "rate", "bucket").groupBy("source", "bucket").applyInPandas(rounded(most), schema)
     return made.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame:
-    """The mix itself: every document as often as ``mix`` takes it, with ``columns``.
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, with ``columns``.
 
-    Copies of a document are found again by the hash of id and text; equal rows share the mean of their copies, rounded
-    up for as many of them as the sum needs.
+    The rows are written once under numbers, by which their copies are found again; so equal rows are told apart, and
+    the join is by a key that no two rows share. Texts without a word stay once; null ids and sources stay as they are;
+    a document of any length is written as often as it is taken; an empty table gives no rows.
     """
-    made = mix(docs, **options).groupBy("place", "doc_id", "source").agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("rows"))
-    # equal rows: one of them stands for all, so the number of output rows is the sum of their copies
-    rows = pick(docs, *columns)
-    keyed = rows.withColumn("place", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text")))
-    out = keyed.alias("d").join(
-        made.alias("m"), (F.col("d.place") == F.col("m.place")) & F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source"))
-    )
-    share = F.ceil(F.col("all_copies") / F.col("rows")).cast("int")
-    return out.where("all_copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), share))).select(*[F.col(f"d.{c}") for c in columns])
+    known = pick(docs, *dict.fromkeys([*columns, "doc_id", "text", "source"])).withColumn("row_", F.monotonically_increasing_id())
+    rows = Stored(known)
+    made = mix(rows.df, row="row_", **options).where("copies > 0").select(F.col("row").alias("row_"), "copies")
+    out = rows.df.join(made, "row_").withColumn("again_", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(*columns)
