@@ -1,26 +1,16 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Exact Jaccard similarity of word shingles: sets, their MinHash bands, and the links among sets.
 
-Candidates share a band of MinHash values: at a similarity of 0.8 a pair shares none of the 32 bands of 6 values with a
-probability of (1 - 0.8**6) ** 32, 0.00006. Bands only deal texts out into groups; inside a group every text is
-compared by its whole set of shingles with all that aren't yet known to belong to it.
+What ``simhash.near_copies`` needs to verify its candidates, and to find pairs that lie outside the reach of its
+fingerprints. Sets share a band of MinHash values: at a similarity of 0.8 a pair shares none of the 32 bands of 6 values
+with a probability of (1 - 0.8**6) ** 32, 0.00006.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from webloom.llm.common import Stored, chunks, pick
-from webloom.llm.links import components, in_blocks, whole_groups
 
 BANDS, WIDTH = 32, 6
-#: Texts of one group that are compared in one task, at most twice this many.
-BLOCK = 1024
 #: Least similarity, as a fraction, so that the comparison is one of whole numbers.
 LEAST = (4, 5)
 _random = np.random.default_rng(42)
@@ -28,13 +18,18 @@ FLIP, ODD = (_random.integers(0, 1 << 64, BANDS * WIDTH, np.uint64) for _ in ran
 ODD |= np.uint64(1)
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``words`` words; a shorter text is one shingle, one without a word has none."""
+def hashes(text: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of the shingles of ``words`` words, A-Z lower-cased, repeats included; a shorter text is one shingle, one without a word has none."""
     w = text.lower().split()  # on bytes both know only ASCII
     if not w:
         return np.zeros(0, np.uint64)
     parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) > words else [b" ".join(w)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in parts], np.uint64))
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in parts], np.uint64)
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct ``hashes``."""
+    return np.unique(hashes(text, words))
 
 
 def node(found: np.ndarray) -> int:
@@ -83,65 +78,3 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
             label[near] = first
             ahead += near.tolist()
     return label
-
-
-def row_key():
-    """A hash of id and text."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary"))
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.withColumns({"n_bytes": F.octet_length("text"), "row": row_key()})
-
-
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
-
-
-def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Groups of texts linked by a similarity of LEAST or more: doc_id, row (a hash of id and text), group.
-
-    One row for each row of ``docs``. Equal sets of shingles are one node from the start. Null and empty texts are
-    equal, and linked to no others. Other columns are ignored.
-    """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, codes = [], []
-            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
-                for text in batch.column("text").slice(a, b - a).to_pylist():
-                    found = shingles(text, words)
-                    nodes.append(node(found))
-                    codes.append(bands(found).view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), _signed(nodes), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "bands"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
-                sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
-                yield pa.record_batch([batch.column("root").slice(a, b - a), _signed([node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, number in whole_groups(batches, ["root", "low_block", "high_block"]):
-            own, held = rows.column("node").to_numpy(), rows.column("shingles")
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a > 1:
-                    label = link([np.frombuffer(s.as_buffer(), np.uint64) for s in held.slice(a, b - a)])
-                    yield pa.record_batch([pa.array(own[a:b]), pa.array(own[a:b][label])], names=["a", "b"])
-
-    texts = _texts(docs)
-    rows = Stored(texts.mapInArrow(sketch, "doc_id bigint, row bigint, node bigint, bands array<bigint>"))
-    nodes = rows.df.groupBy("node").agg(F.min("row").alias("row"), F.any_value("bands").alias("bands"))
-    entries = Stored(nodes.select("node", F.explode("bands").alias("band")))
-    least = entries.df.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = entries.df.join(least, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    maybe = components(met)
-    one = rows.df.groupBy("node").agg(F.min("row").alias("row")).join(maybe, "node").select("row", "root")
-    sets = Stored(texts.join(one, "row").select("root", "text", "n_bytes").mapInArrow(whole, "root bigint, node bigint, shingles binary"))
-    edges = in_blocks(sets.df, ["root"], F.col("node"), BLOCK).mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
-    root = components(edges)
-    entries.drop()
-    sets.drop()
-    return rows.df.select("doc_id", "row", "node").join(root, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("group"))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, brown, embedding_dedup, line_dedup, mixing, quality, simhash, token_counts, topk, warc
+from webloom.llm import bpe, brown, embedding_dedup, line_dedup, mixing, pipeline, quality, simhash, token_counts, topk, warc
 from webloom.llm.common import table
 
 
@@ -57,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f.__name__: f for f in (op1_quality, op2_source_mixing, op3_brown_lm, op4_topk, op5_line_dedup, op6_bpe, op7_token_counts, op8_warc, op9_embedding_dedup, op10_simhash)}
-    return found | {"pipeline": corpus_pipeline.run}
+    return found | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,26 +14,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import Stored, chunks, pick
-from webloom.llm.links import components, edges_in_blocks, heavy_from, join_labels, looked_up, pairs, whole_groups
+from webloom.llm.jaccard import bands, hashes, link, node, shingles
+from webloom.llm.links import components, edges_in_blocks, heavy_from, in_blocks, join_labels, looked_up, pairs, whole_groups
 
-#: Entries of one posting list that are compared in one task, at most twice this many.
-BLOCK = 2048
+#: Entries of one posting list that are compared in one task, at most twice this many; and whole sets of shingles.
+BLOCK, SETS = 2048, 1024
 
 
 def fingerprint(text: bytes, words: int) -> int:
     """SimHash of UTF-8 text: A-Z lower-cased, shingles of ``words`` words, XXH64 with seed 42, strict majority of bits."""
-    w = text.lower().split()  # on bytes both know only ASCII
-    if not w:
-        return 0
-    if len(w) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(w), 42)
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], "<u8")
+    return majority(hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; none of none."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 65536):
         ones += np.unpackbits(h[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -114,3 +112,76 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, joint: int |
     of_roots = of_roots.withColumn("m", F.struct("m"))
     named = looked_up(nodes_root, "root", of_roots, heavy_from(total)).select(F.col("fp").alias("node"), "m", "n")
     return looked_up(rows.df, "fp", named, heavy_from(total)).select("doc_id", "fp", F.col("m.m").alias("component_id"))
+
+
+def row_key():
+    """A hash of id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+
+
+def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
+    """Groups of texts linked by a Jaccard similarity of 0.8 or more of their shingles: doc_id, row (a hash of id and text), group.
+
+    Candidates are what the byte-position index links at ``bits`` or fewer differing bits, and, as pairs at 0.8 differ by
+    up to some 15 bits of 64, which no number of shared bytes guarantees, also what shares a MinHash band. The connected
+    candidates are only a way to deal texts out: inside, every set of shingles is compared whole with all that aren't
+    yet known to belong to it, and only similarity decides.
+
+    One row for each row of ``docs``. Equal sets of shingles are one node from the start. Null and empty texts are
+    equal, and linked to no others. Very long texts are read whole. Repeated rows and null ids stay; an empty table
+    gives none; other columns are ignored.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints, codes = [], [], []
+            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
+                for text in batch.column("text").slice(a, b - a).to_pylist():
+                    h = hashes(text, words)
+                    found = np.unique(h)
+                    nodes.append(node(found))
+                    prints.append(majority(h))
+                    codes.append(bands(found).view(np.int64))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), _signed(nodes), _signed(prints), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "bands"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
+                sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
+                yield pa.record_batch([batch.column("root").slice(a, b - a), _signed([node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number in whole_groups(batches, ["root", "low_block", "high_block"]):
+            own, held = rows.column("node").to_numpy(), rows.column("shingles")
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    label = link([np.frombuffer(s.as_buffer(), np.uint64) for s in held.slice(a, b - a)])
+                    yield pa.record_batch([pa.array(own[a:b]), pa.array(own[a:b][label])], names=["a", "b"])
+
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = texts.withColumns({"n_bytes": F.octet_length("text"), "row": row_key()})
+    rows = Stored(texts.mapInArrow(sketch, "doc_id bigint, row bigint, node bigint, fp bigint, bands array<bigint>"))
+    # equal sets may have several fingerprints, as these count repeated shingles; one will do
+    nodes = Stored(rows.df.groupBy("node").agg(F.min("row").alias("row"), F.any_value("bands").alias("bands"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    total = nodes.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    entries = Stored(nodes.df.select("node", F.explode("bands").alias("band")))
+    least = entries.df.groupBy(F.col("band").alias("node")).agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = looked_up(entries.df, "band", least, heavy_from(32 * total)).select(F.col("node").alias("a"), F.col("m").alias("b"))
+    first = nodes.df.groupBy("fp").agg(F.min("node").alias("first"))
+    alike = linked(first.select("fp"), bits)
+    ends = alike.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    same = nodes.df.join(first, "fp").select("node", "first")
+    maybe = components(met.union(ends).union(same).where("a <> b").distinct())
+    one = nodes.df.join(maybe, "node").select("row", "root")
+    sets = Stored(texts.join(one, "row").select("root", "text", "n_bytes").mapInArrow(whole, "root bigint, node bigint, shingles binary"))
+    once = in_blocks(sets.df, ["root"], F.col("node"), SETS)
+    root = components(once.mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct())
+    entries.drop()
+    sets.drop()
+    group = nodes.df.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("m"), "n")
+    return looked_up(rows.df, "node", group, heavy_from(total)).select("doc_id", "row", F.col("m").alias("group"))
