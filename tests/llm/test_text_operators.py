@@ -109,15 +109,24 @@ def test_line_dedup(spark):
 def test_line_dedup_cases(spark, monkeypatch, broadcast):
     monkeypatch.setattr(line_dedup, "BROADCAST", broadcast)
     rows = [(i, f"top\nown {i}\n top \n\nbottom {i % 20}", "en", "a" if i < 90 else None, 0) for i in range(100)] + [(200, None, None, "a", 0), (201, "", "en", "b", 0), (202, "top", "en", "b", 0), (203, "top", "en", "a", 0)]
-    rows += [(300 + i, "copied\nlines", "en", "c", 0) for i in range(50)]  # one page, many times
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).withColumn("boiler", F.lit(1)), 0.5, 3).collect()}
-    assert len(out) == len(rows)
-    assert (out[3].text, out[3].n_lines, out[3].n_dropped) == ("own 3\n\nbottom 3", 5, 2)
-    assert out[95].text == "own 95\n\nbottom 15" and out[202].text == "top" and out[203].text == "" and out[300].text == "copied\nlines"
-    assert out[200].text is None and out[200].n_lines == 0 and out[201].text == ""
+    rows += [(300 + i, "copied\nlines", "en", "c", 0) for i in range(50)] + [(400, "alone", "en", "d", 0)]
+    clashing = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("boiler", "k1", "bad", "bare", "split")})
+    for distinct in (True, False):
+        out = {r.doc_id: r for r in line_dedup.dedup_lines(clashing, 0.5, 2, distinct).collect()}
+        assert len(out) == len(rows)
+        assert (out[3].text, out[3].n_lines, out[3].n_dropped) == ("own 3\n\nbottom 3", 5, 2)
+        assert out[95].text == "own 95\n\nbottom 15" and out[202].text == "top" and out[203].text == ""
+        assert out[300].text == ("copied\nlines" if distinct else "") and out[400].text == "alone"
+        assert out[200].text is None and out[200].n_lines == 0 and out[201].text == ""
     assert line_dedup.dedup_lines(empty(spark)).count() == 0 and line_dedup.dedup_lines(odd_docs(spark)).count() == len(ODD) + 4
 
 
+def test_line_ratio_is_pages_by_host_pages(spark):
+    rows = [(i, "\n".join(["x"] * 3 * (i < 2) + ["y"] * (i < 3) + [f"own {i}"]), None, "s", 0) for i in range(10)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), 0.2, 1).collect()}
+    assert out[0] == "x\nx\nx\nown 0" and out[2] == "own 2"  # x is on 2 of 10 pages, which doesn't exceed 0.2; y on 3
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [5, 2, 1], 3) == [18.75, 7.5, 3.75]
     assert mixing.targets([1, 100, 100], [5, 2, 1], 3) == pytest.approx([3, 132, 66])
@@ -159,6 +168,16 @@ def test_mixing_cases(spark):
     assert made == {r.doc_id: r.copies for r in mixing.mix(plain).collect() if r.copies}
 
 
+def test_copies_of_equal_rows(spark):
+    rows = [(1, "a b c", "en", "s", 0)] * 3 + [(2, "a b c d e", "en", "s", 0)] * 5 + [(3, "q " * 40, "en", "t", 0), (None, "u v", None, None, 0), (None, "u v", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = [tuple(r) for r in mixing.mixed_documents(docs, ["doc_id", "text", "lang", "source", "n_chars"]).collect()]
+    taken = {r.source: r.words for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    assert set(out) <= set(rows)
+    for source, words in taken.items():
+        assert sum(len(r[1].split()) for r in out if r[3] == source) == words
+
+
 def test_brown_base_score(spark):
     docs = odd_docs(spark).select("*").union(spark.read.parquet(f"{SF}/documents.parquet").select("*", *[F.lit(1)] * 12))
     given = docs.select("doc_id", "text").collect()
