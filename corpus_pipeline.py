@@ -1,73 +1,5 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage.
+"""The corpus pipeline: documents through the training-data operators, stage by stage; see ``webloom.llm.pipeline``."""
 
-Each stage is (name, function); the function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
-the columns of documents. ``run`` writes each stage's rows to the folder that driver and executors share and reads them
-again, so a lost executor costs no more than the stage at hand.
-"""
+from webloom.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from webloom.llm import bpe, jaccard, line_dedup, mixing, quality
-from webloom.llm.common import Stored, pick, table
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
-    return scored.where("predicted = 1").select(*COLUMNS)
-
-
-def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars is that of the new text."""
-    clean = line_dedup.dedup_lines(docs)
-    return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
-
-
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id. A document without an id counts after all others.
-
-    Near copies have five-word shingles with a Jaccard similarity of 0.8 or more, or are linked by such ones.
-    """
-    rows = pick(docs, *COLUMNS)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    first = jaccard.near_copies(rows).groupBy("group").agg(least).select("least.row")
-    return rows.withColumn("row", jaccard.row_key()).join(first, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
-    return mixing.mixed_documents(docs, list(COLUMNS))
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text that they decode to."""
-    out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
-
-
-STAGES = [
-    ("quality classifier", keep_quality),
-    ("line dedup", drop_boilerplate),
-    ("near-dedup", keep_one_of_near_copies),
-    ("mixing sources", mix_sources),
-    ("bpe", encode),
-]
-
-#: SQL can't express these stages: a trained model, components of near copies, a numeric optimum, BPE.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = Stored(docs).df
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
