@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tokenizers import Tokenizer
-from webloom.llm import bpe, brown, line_dedup, mixing, quality, token_counts
+from webloom.llm import bpe, brown, line_dedup, mixing, packed, quality, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -191,21 +191,27 @@ def test_brown_base_score(spark):
     assert all(r.train_tokens == n and r.score < 0 and math.isfinite(r.score) for r in out)
 
 
-def test_brown_joined_counts_equal_listed_ones(spark, monkeypatch):
+def learned(df):
+    return df.select(F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("n_bytes"), F.lit(False).alias("held_out"))
+
+
+def test_brown_looked_up_counts_equal_listed_ones(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     monkeypatch.setattr(brown, "FREQUENT", 20)
-    want = {r.doc_id: r for r in brown.score(docs, classes=8, rounds=1).collect()}
-    monkeypatch.setattr(brown, "LISTED", 200)
-    for r in brown.score(docs, classes=8, rounds=1).collect():
-        assert r.n_known == want[r.doc_id].n_known and r.score == pytest.approx(want[r.doc_id].score, abs=1e-6)
+    options = {"classes": 8, "rounds": 1, "placing": 0, "own": 1}
+    want = {r.doc_id: r for r in brown.score(docs, **options).collect()}
+    for most in (200, 0):
+        for summed in (4_000_000, 100):
+            monkeypatch.setattr(brown, "SUMMED", summed)
+            for r in brown.score(docs, vocabulary=most, **options).collect():
+                assert r.n_known == want[r.doc_id].n_known and r.score == pytest.approx(want[r.doc_id].score, abs=1e-6) and r.base_score == pytest.approx(want[r.doc_id].base_score, abs=1e-6)
 
 
 def test_brown_is_a_distribution_and_beats_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r for r in brown.score(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    rows = docs.select(F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("n_bytes")).where("n_bytes < 2000")
-    model, counts = brown.fit(rows, classes=8, rounds=2)
+    model, counts = brown.fit(learned(docs).where("n_bytes < 2000"), classes=8, rounds=2)
     seen = {bytes(r.word): r.n for r in counts.collect()}
     of = model.of[model.units.of(list(seen))]
     n = np.array(list(seen.values()))
@@ -217,6 +223,85 @@ def test_brown_is_a_distribution_and_beats_the_base(spark):
         assert known + unseen == pytest.approx(1, abs=1e-4)
 
 
+def slow_score(texts, held, model):
+    """Scores from the classes alone: counts, transitions and shares anew, word by word."""
+    told = [[x for x in t.lower().split()] + [b" "] for t in texts]
+    learn = [t for t, h in zip(told, held) if not h]
+    count = Counter(w for t in learn for w in t)
+    cls = {w: int(model.of[model.units.of([w])[0]]) for t in told for w in t}
+    k = len(model.seen)
+    pair = Counter((cls[a], cls[b]) for t in learn for a, b in zip([b" ", *t], t))
+    mass = [sum(pair[a, b] for a in range(k)) for b in range(k)]
+    total, kinds = sum(count.values()), len(count)
+    kind = Counter(cls[w] for w in count)
+    once = Counter(cls[w] for w, n in count.items() if n == 1)
+    out = []
+    for t in told:
+        value = 0.0
+        for a, b in zip([b" ", *t], t):
+            c, d = cls[a], cls[b]
+            follow = (pair[c, d] + 5 * (mass[d] + 1) / (sum(mass) + k)) / (sum(pair[c, x] for x in range(k)) + 5)
+            free = min(0.9, max(1e-4, (once[d] + 0.5) / (mass[d] + 1)))
+            emit = (1 - free) * count[b] / mass[d] if count[b] else free / (kind[d] + 1)
+            value += math.log10(0.98 * follow * emit + 0.02 * (count[b] + 1) / (total + kinds + 1))
+        out.append(value)
+    return out
+
+
+def test_brown_score_equals_a_slow_one(spark, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 50)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 3000").limit(90)
+    rows = docs.select("doc_id", "text").collect()
+    held = [zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
+    with_flag = docs.withColumns({"n_bytes": F.octet_length("text"), "held_out": F.crc32(F.col("doc_id").cast("string")) % 7 == 2, "text": F.col("text").cast("binary")})
+    model, _ = brown.fit(with_flag, classes=9, rounds=2, vocabulary=300)
+    got = {r.doc_id: r.score for r in brown.score(docs, classes=9, rounds=2, vocabulary=300).collect()}
+    assert [got[r.doc_id] for r in rows] == pytest.approx(slow_score([r.text.encode() for r in rows], held, model), abs=1e-6)
+    assert any(held)
+
+
+def test_exchange_equals_a_slow_one():
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        size, classes = 14, 5
+        pairs = rng.poisson(0.6, (size, size)).astype(float) * rng.integers(1, 30, (size, 1))
+        of = np.zeros(size, int)
+        order = [u for u in np.argsort(-pairs.sum(0), kind="stable") if u]
+        of[order] = np.arange(size - 1) % (classes - 1) + 1
+
+        def value(of):
+            member = np.eye(classes)[of]
+            return brown.likelihood(member.T @ pairs @ member)
+
+        for _ in range(3):
+            for u in order:
+                if pairs[:, u].any():
+                    values = [value(np.where(np.arange(size) == u, c, of)) for c in range(1, classes)]
+                    of[u] = 1 + int(np.argmax(np.round(values, 9)))
+        got = brown.exchange(pairs, classes, 3)
+        assert value(got) == pytest.approx(value(of)) and got[0] == 0 and 0 not in got[1:]
+
+
+def test_thresholds_at_any_counts(spark):
+    big = spark.range(5000).select(F.col("id").cast("string").cast("binary").alias("word"), (F.col("id") * 1_000_003 + 2_000_000).alias("m"))
+    least, following = brown.least_bin(big, "m", 700)
+    chosen = big.where(brown.count_bin(F.col("m")) >= least).count()
+    assert 690 < chosen <= 700 and following < least
+    same = spark.range(3000).select(F.lit(7).cast("bigint").alias("m"))
+    assert brown.least_bin(same, "m", 700) == (8, 7) and brown.least_bin(same, "m", 3000) == (7, 7) and brown.least_bin(same.limit(0), "m", 5) == (1, 1)
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(0, 1 << 64, 1000, np.uint64), np.sort(rng.integers(-5, 99, 77)), rng.standard_normal(10), np.zeros(0, np.int64), np.array([7], np.int32)):
+        assert (packed.unpack(packed.pack(x), x.dtype) == x).all()
+    part = rng.integers(0, 5, 100)
+    for batch in packed.by_part(part, {"code": np.arange(100)}, kind=3):
+        for r in batch.to_pylist():
+            assert packed.unpack(r["code"], np.int64).tolist() == np.flatnonzero(part == r["part"]).tolist() and r["kind"] == 3
+    assert [b.num_rows for b in packed.by_part(part[:0], {"code": part[:0]})] == [0]
+
+
 def test_brown_empty(spark):
     assert brown.score(empty(spark)).count() == 0
     only = spark.createDataFrame([(i, None, None, None, 0) for i in range(5)], DOCS)
@@ -227,9 +312,8 @@ def test_exchange_finds_the_two_classes(spark):
     rng = random.Random(4)
     left, right = ["aq", "bw", "ce", "dr"], ["xt", "yy", "zu", "wi"]
     texts = [(" ".join(rng.choice(left if i % 2 else right) for i in range(60)),) for _ in range(60)]
-    rows = spark.createDataFrame(texts, "text string").select(F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("n_bytes"))
-    model, _ = brown.fit(rows, classes=7, rounds=6)
-    own = lambda ws: {int(model.of[model.units.number[w.encode()]]) for w in ws}
+    model, _ = brown.fit(learned(spark.createDataFrame(texts, "text string")), classes=7, rounds=6)
+    own = lambda ws: {int(model.of[u]) for u in model.units.of([w.encode() for w in ws])}
     assert not own(left) & own(right)
 
 
@@ -245,8 +329,7 @@ def test_brown_words_of_one_ending_part_by_their_contexts(spark, monkeypatch):
             at = rng.randrange(20)
             words[at] = rng.choice(rare[at % 2])
         texts.append((" ".join(words), ))
-    rows = spark.createDataFrame([*texts, ("once-end",)], "text string").select(F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("n_bytes"))
-    model, _ = brown.fit(rows, classes=7, rounds=6)
+    model, _ = brown.fit(learned(spark.createDataFrame([*texts, ("once-end",)], "text string")), classes=7, rounds=6)
     units = {k: model.units.of([w.encode() for w in rare[k]]) for k in rare}
     assert len({*units[0].tolist(), *units[1].tolist()}) == 40
     assert not set(model.of[units[0]]) & set(model.of[units[1]])
@@ -254,7 +337,7 @@ def test_brown_words_of_one_ending_part_by_their_contexts(spark, monkeypatch):
 
 
 def test_brown_transitions_are_those_of_the_classes(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("text").cast("binary").alias("text"), F.octet_length("text").alias("n_bytes"))
+    rows = learned(spark.read.parquet(f"{SF}/documents.parquet"))
     model, counts = brown.fit(rows, classes=8, rounds=1)
     m = np.zeros((8, 8))
     for r in rows.collect():
@@ -262,7 +345,7 @@ def test_brown_transitions_are_those_of_the_classes(spark):
         np.add.at(m, (c[:-1], c[1:]), 1)
     prior = (m.sum(0) + 1) / (m.sum() + 8)
     assert np.allclose(model.follow, (m + 5 * prior) / (m.sum(1)[:, None] + 5), atol=1e-3)
-    assert len(model.units.hashes) == sum(r.n >= brown.OWN and bytes(r.word) not in model.units.number for r in counts.collect())
+    assert len(model.units.hashes) == sum(r.n >= 5 and bytes(r.word) not in model.units.frequent for r in counts.collect())
 
 
 def test_quality_held_out(spark):
