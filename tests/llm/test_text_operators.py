@@ -345,7 +345,7 @@ def test_brown_transitions_are_those_of_the_classes(spark):
         np.add.at(m, (c[:-1], c[1:]), 1)
     prior = (m.sum(0) + 1) / (m.sum() + 8)
     assert np.allclose(model.follow, (m + 5 * prior) / (m.sum(1)[:, None] + 5), atol=1e-3)
-    assert len(model.units.hashes) == sum(r.n >= 5 and bytes(r.word) not in model.units.frequent for r in counts.collect())
+    assert len(model.units.hashes) == sum(r.n >= 3 and bytes(r.word) not in model.units.frequent for r in counts.collect())
 
 
 def test_quality_held_out(spark):

@@ -370,7 +370,7 @@ class Model:
         return n, *sums, np.searchsorted(ends, rare), hashes, last[rare] * len(self.seen) + cls[rare]
 
 
-def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 2, weight: float = 0.98, strength: float = 5.0, vocabulary: int = VOCABULARY, own: int = 5) -> tuple[Model, DataFrame]:
+def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 2, weight: float = 0.98, strength: float = 5.0, vocabulary: int = VOCABULARY, own: int = 3) -> tuple[Model, DataFrame]:
     """The model of the texts of ``rows`` that aren't held_out, and the counts of all their words (word, n, m, listed).
 
     ``classes`` 127 at most. n is how often a word is learned from, m how often it occurs at all: words that occur ``own``
