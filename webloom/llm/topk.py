@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from webloom.llm.common import Stored, pick
 
 #: Candidates and queries of one group, about.
-CANDIDATES, QUERIES = 8192, 2048
+CANDIDATES, QUERIES = 8192, 8192
 #: Longest vectors from which the first bounds come.
 FIRST = 2048
 #: Local cosine threshold from which coordinates are pruned, and how many coordinates.
@@ -42,15 +42,15 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Bucket:
     """Candidates of one group, longest first."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
         length = np.sqrt((x.astype(np.float64) ** 2).sum(1))
         order = np.lexsort((ids, -length))
-        self.ids, self.x, self.length = ids[order], x[order], length[order]
+        self.rows, self.ids, self.x, self.length = rows[order], ids[order], x[order], length[order]
         self.exact = self.x.astype(np.float64)
         self.unit = self.exact / np.maximum(self.length, 1e-300)[:, None]
 
     def search(self, own: int, q: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k for one query, among scores of ``bound`` or more."""
+        """Ids and scores of the best k for the query of row ``own``, among scores of ``bound`` or more."""
         size = math.sqrt(float((q.astype(np.float64) ** 2).sum()))
         best, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
         unit = q / max(size, 1e-300)
@@ -76,7 +76,7 @@ class Bucket:
                 at = np.arange(a, a + int(np.searchsorted(-self.length[part], -bound / size * (1 - SLACK), "right")))
             else:
                 at = np.arange(a, min(a + 2048, len(self.ids)))
-            at = at[self.ids[at] != own]
+            at = at[self.rows[at] != own]
             score = products(self.x[at], q)
             good = score >= bound
             best, ids = np.concatenate([best, score[good]]), np.concatenate([ids, self.ids[at][good]])
@@ -87,17 +87,32 @@ class Bucket:
         return ids, best
 
 
+def blocks_of(needed: np.ndarray, each: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of about ``most`` queries, by the length that a candidate needs at least to matter to a query.
+
+    ``needed`` is a sorted sample of these lengths, each of which stands for ``each`` queries. Returns for ranges of needed
+    lengths their lower bounds, the number of the first block of each, and how many blocks it has: more than one where
+    very many queries need the same.
+    """
+    step = max(1, int(most / each))
+    lower, cuts = np.unique(needed[::step], return_counts=True)
+    blocks = np.maximum(1, np.ceil(cuts * step * each / most)).astype(np.int64)
+    return lower, np.cumsum(blocks) - blocks, blocks
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
     """Best ``k`` candidates by inner product of floor(``scale`` * component): query_id, rank, vec_id, score.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates all rows but those with the query's vec_id.
-    Ties go to the smaller vec_id; fewer candidates give fewer rows. Vectors that are null, empty, or hold null or
-    non-finite components take no part, nor do rows with a null vec_id. Vectors are compared with those of their own
-    length only. A repeated query row gives its ranks again. Other columns are ignored. Scores are exact; beyond 64
-    bits an error is raised.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates all rows but the query's own, so another row
+    of the same vec_id is one. Ties go to the smaller vec_id; fewer candidates give fewer rows. Vectors that are null,
+    empty, or hold null or non-finite components take no part, nor do rows with a null vec_id. Vectors are compared with
+    those of their own length only. A repeated query row gives its ranks again. An empty table gives no rows; other
+    columns are ignored. Scores are exact; beyond 64 bits an error is raised.
 
-    Only the FIRST longest vectors are sent to all tasks. Candidates of a bucket are dealt into groups by hash, so many
-    vectors of one length make many groups.
+    Only the FIRST longest vectors are sent to all tasks, from which each query has a first bound and with it the length
+    that a candidate needs. Queries are dealt into blocks by that length, so that a bucket of shorter candidates goes
+    only to the blocks that it can matter to. Candidates of a bucket are dealt into groups by hash, so many vectors of one
+    length make many groups.
     """
     x = F.col("embedding")
     rows = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
@@ -106,43 +121,63 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     whole = whole.withColumn("length", length).withColumn("bucket", F.when(F.col("length") > 0, F.floor(F.log2("length") * 4)).otherwise(-1000).cast("int"))
     stored = Stored(whole.withColumn("row", F.monotonically_increasing_id()))
-    stats = stored.df.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.sum((F.col("vec_id") % every == 0).cast("int")).alias("queries")).collect()
+    stats = stored.df.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).collect()
     spark = vectors.sparkSession
-    first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     dims = sorted({r["dim"] for r in stats})
+    longest = Window.partitionBy("dim").orderBy(F.desc("length"), "vec_id", "row")
+    some = stored.df.withColumn("place", F.row_number().over(longest)).where(F.col("place") <= max(k + 1, FIRST // max(1, len(dims)))).select("dim", "row", "v").toArrow()
+    first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    dim_of = some.column("dim").to_numpy()
     for dim in dims:
-        best = stored.df.where(F.col("dim") == dim).orderBy(F.desc("length"), "vec_id").limit(FIRST).select("vec_id", "v").collect()
-        first[dim] = np.array([r[0] for r in best], np.int64), np.array([r[1] for r in best], np.int64).reshape(len(best), dim)
+        own = some.take(pa.array(np.flatnonzero(dim_of == dim)))
+        first[dim] = own.column("row").to_numpy(), own.column("v").combine_chunks().flatten().to_numpy().reshape(own.num_rows, dim)
     shared = spark.sparkContext.broadcast(first)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for own, v, dim in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "v", "dim"))):
-                ids, c = shared.value[dim]
-                score = np.sort(products(c[ids != own], np.array(v, np.int64)))
+            for own, v, dim in zip(*(batch.column(c).to_pylist() for c in ("row", "v", "dim"))):
+                at, c = shared.value[dim]
+                score = np.sort(products(c[at != own], np.array(v, np.int64)))
                 found.append(float(score[-k]) if len(score) >= k else -math.inf)
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "bound"])
+            bound = np.array(found)
+            size = batch.column("length").to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                needed = np.where(bound > 0, bound / size, 0.0)
+            yield pa.record_batch([*batch.columns, pa.array(bound), pa.array(needed)], names=[*batch.schema.names, "bound", "needed"])
 
     asked = stored.df.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v", "dim", "length")
-    asked = asked.mapInArrow(bounded, "row bigint, vec_id bigint, v array<bigint>, dim int, length double, bound double")
+    asked = Stored(asked.mapInArrow(bounded, "row bigint, vec_id bigint, v array<bigint>, dim int, length double, bound double, needed double")).df
+    queries = sum(r["queries"] for r in stats)
+    points = min(1_000, queries)
+    at_ = [(i + 0.5) / points for i in range(points)]
+    quantiles = asked.agg(F.percentile_approx("needed", F.array(*map(F.lit, at_)), F.lit(10_000))).first()[0] if queries > QUERIES else [0.0]
+    lower, at, blocks = blocks_of(np.array([0.0, *quantiles[1:]]), max(queries, 1) / len(quantiles), QUERIES)
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = np.searchsorted(lower, batch.column("needed").to_numpy(), "right") - 1
+            mixed = batch.column("row").to_numpy() * 2654435761 >> 16
+            yield batch.append_column("block", pa.array((at[i] + mixed % blocks[i]).astype(np.int32)))
+
+    reach = [float(r["longest"]) * (1 + SLACK) for r in stats]
+    most = [int((at + blocks)[np.searchsorted(lower, x, "right") - 1]) for x in reach]  # blocks that a bucket can matter to
     buckets = spark.createDataFrame(
-        [(r["dim"], r["bucket"], float(r["longest"]), math.ceil(r["n"] / CANDIDATES)) for r in stats], "of int, bucket int, longest double, groups int"
+        [(r["dim"], r["bucket"], x, math.ceil(r["n"] / CANDIDATES), n) for r, x, n in zip(stats, reach, most)], "of int, its int, reach double, groups int, blocks int"
     )
-    blocks = max(1, math.ceil(sum(r["queries"] for r in stats) / QUERIES))
-    sent = asked.join(F.broadcast(buckets), F.col("dim") == F.col("of")).where((F.col("bound") <= 0) | (F.col("length") * F.col("longest") * (1 + SLACK) >= F.col("bound")))
-    sent = sent.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("groups") - 1)), "block": F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")})
-    sent = sent.select("dim", "bucket", "part", "block", "row", "vec_id", "v", "bound")
-    held = stored.df.join(F.broadcast(buckets.select("of", F.col("bucket").alias("its"), "groups")), (F.col("dim") == F.col("of")) & (F.col("bucket") == F.col("its")))
-    held = held.withColumns({"part": F.pmod(F.xxhash64("row"), F.col("groups")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    held = held.select("dim", "bucket", "part", "block", "vec_id", "v")
+    asked = asked.mapInArrow(in_blocks, "row bigint, vec_id bigint, v array<bigint>, dim int, length double, bound double, needed double, block int")
+    sent = asked.join(F.broadcast(buckets), (F.col("dim") == F.col("of")) & (F.col("needed") <= F.col("reach")))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("dim", F.col("its").alias("bucket"), "part", "block", "row", "v", "vec_id", "bound")
+    held = stored.df.join(F.broadcast(buckets), (F.col("dim") == F.col("of")) & (F.col("bucket") == F.col("its")))
+    held = held.withColumns({"part": F.pmod(F.xxhash64("row"), F.col("groups")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    held = held.select("dim", "bucket", "part", "block", "row", "vec_id", "v")
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(asked) and len(held):
-            bucket = Bucket(held["vec_id"].to_numpy(np.int64), np.stack(held["v"].to_numpy()).astype(np.int64))
+            bucket = Bucket(held["row"].to_numpy(np.int64), held["vec_id"].to_numpy(np.int64), np.stack(held["v"].to_numpy()).astype(np.int64))
             for row, own, v, bound in zip(asked["row"], asked["vec_id"], asked["v"], asked["bound"]):
-                ids, score = bucket.search(own, np.asarray(v, np.int64), bound, k)
+                ids, score = bucket.search(row, np.asarray(v, np.int64), bound, k)
                 out.append(pd.DataFrame({"row": row, "query_id": own, "vec_id": ids[:k], "score": score[:k]}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("row", "query_id", "vec_id", "score")})
 
