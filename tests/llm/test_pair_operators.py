@@ -162,9 +162,9 @@ def test_recall_at_the_threshold(spark):
 def best(rows, k=5, every=50):
     good = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in good:
+    for at, (i, q) in enumerate(good):
         if i % every == 0:
-            found = sorted((-int(c @ q), j) for j, c in good if j != i and len(c) == len(q))[:k]
+            found = sorted((-int(c @ q), j) for other, (j, c) in enumerate(good) if other != at and len(c) == len(q))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
     return sorted(out)
 
@@ -178,10 +178,18 @@ def test_top_k(spark, monkeypatch, groups):
     x[200:] = x[:100] + rng.standard_normal((100, 8)) * 0.01
     x[150:160] = x[150]  # ties
     rows = [(i * 5, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))] + BAD + [(9150, [0.0] * 8, 0), (9200, [1.0, 2.0], 0), (9250, [1.0, 2.0, 3.0], 0), (9300, [2.0, 1.0, 3.0], 0)]
+    rows += [(0, x[0].tolist(), 0), (0, x[7].tolist(), 0), (35, x[7].tolist(), 1), (250, x[50].tolist(), 0)]  # ids that repeat, with equal and with other vectors
     assert sorted(map(tuple, topk.top_k(vectors(spark, rows)).collect())) == best(rows)
     assert topk.top_k(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_blocks_of_queries():
+    needed = np.array([0.0] * 500 + list(range(1, 501)), float)
+    lower, at, blocks = topk.blocks_of(needed, 100.0, 2000)
+    assert lower[0] == 0 and blocks[0] == 25 and (np.diff(lower) > 0).all() and (at == np.cumsum(blocks) - blocks).all() and blocks.sum() == 50
+    assert [x.tolist() for x in topk.blocks_of(np.array([0.0]), 3.0, 2000)] == [[0.0], [0], [1]]
+
+
 def test_products_are_exact():
     x, q = np.array([[2**40, 1]]), np.array([2**20, 1])
     assert topk.products(x, q).tolist() == [2**60 + 1]
