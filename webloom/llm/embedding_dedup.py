@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import Stored, pick
-from webloom.llm.links import components, in_blocks, join_labels, pairs, whole_groups
+from webloom.llm.links import components, dealt, heavy_from, in_blocks, join_labels, looked_up, pairs, whole_groups
 
 #: Entries of one bucket that are compared in one task, at most twice this many.
 BLOCK = 1024
@@ -57,14 +57,37 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """A byte for each component, then two floats: the step of the bytes, and how far the vector is from its sketch."""
+    step = np.maximum(np.abs(unit).max(1), 1e-30) / 127
+    rough = np.rint(unit / step[:, None]).astype(np.int8)
+    # a little more than the distance, so that rounding to float doesn't make it less
+    away = np.sqrt(((unit - rough * step.astype(np.float32).astype(np.float64)[:, None]) ** 2).sum(1)) * (1 + 1e-5) + 1e-6
+    return np.hstack([rough.view(np.uint8), np.stack([step, away], 1).astype("<f4").view(np.uint8).reshape(len(unit), 8)])
+
+
+def may_reach(sketch: np.ndarray, dim: int, p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of pairs of sketched vectors can be ``threshold`` or more; never false for one that is.
+
+    u.v is that of the sketches, and what the sketches miss is |v - v'| |u'| + |u - u'| |v| at most.
+    """
+    step, away = sketch[:, dim:].copy().view("<f4").astype(np.float64).T
+    rough = sketch[:, :dim].view(np.int8).astype(np.float32)
+    dot = np.einsum("nd,nd->n", rough[p], rough[q]) * step[p] * step[q]
+    return dot * (1 + 1e-5) + away[q] * (1 + away[p]) + away[p] + 1e-5 >= threshold
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, width: float = 2.0, bucket: int = 50, seed: int = 7) -> DataFrame:
     """Links between vectors (vec_id, embedding) of cosine >= ``threshold``: vec_id, n_links, component_id, kept.
 
     One row for each row of ``vectors``. Equal vectors are one node from the start and count as linked. Vectors that are
     null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths don't link.
     A null vec_id takes part, but is never a component's smallest; kept is false for it. Each pair found is counted
-    once, in the first table where it meets, and no pair is written: tasks give counts and stars. Other columns, the
-    label too, are ignored.
+    once, in the first table where it meets, and no pair is written: tasks give counts and stars. Repeated rows stay, and
+    are linked as equal vectors; an empty table gives no rows; other columns, the label too, are ignored.
+
+    Through the tables go sketches of a byte a component, which tell the entries that can have a partner; only these
+    get their vectors, for the exact cosines.
     """
     if not 0 < threshold < 1 or not 0 < recall < 1:
         raise ValueError("threshold and recall must lie between 0 and 1")
@@ -79,6 +102,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     nodes = Stored(groups.withColumn("node", F.monotonically_increasing_id()))
     n = nodes.df.count()
     k, tables = plan_tables(n, threshold, recall, width, bucket)
+    key = ["dim", "lsh_table", "code"]
+    group = [*key, "low_block", "high_block"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +111,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
             for dim in np.unique(size):
                 for part in np.array_split(at := np.flatnonzero(size == dim), len(at) // 1000 + 1):
                     own = batch.take(pa.array(part))
-                    found = codes(unit_rows(own.column("embedding"), dim), k, tables, width, seed)
+                    unit = unit_rows(own.column("embedding"), dim)
+                    found = codes(unit, k, tables, width, seed)
                     index = pa.array(np.tile(np.arange(len(part)), tables))
+                    sketch = pa.array([x.tobytes() for x in sketches(unit)], pa.binary()).take(index)
                     yield pa.record_batch(
-                        [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(part))), pa.array(found.T.ravel()), *(own.column(c).take(index) for c in ("dim", "node", "copies", "embedding"))],
-                        names=["lsh_table", "code", "dim", "node", "copies", "embedding"],
+                        [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(part))), pa.array(found.T.ravel()), *(own.column(c).take(index) for c in ("dim", "node")), sketch],
+                        names=["lsh_table", "code", "dim", "node", "sketch"],
                     )
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [*group, "own_block", "node"]
+        for rows, number in whole_groups(batches, group):
+            again = np.flatnonzero(np.bincount(number)[number] > 1)
+            rows, number = rows.take(pa.array(again)), number[again]
+            dims = rows.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                part, own_number = rows.take(pa.array(at)), number[at]
+                own, low, high = (part.column(c).to_numpy() for c in ("own_block", "low_block", "high_block"))
+                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, dim + 8)
+                hit = np.zeros(len(at), bool)
+                for i, j in pairs(own_number, own, low, high):
+                    for a in range(0, len(i), 50_000):
+                        p, q = i[a : a + 50_000], j[a : a + 50_000]
+                        near = may_reach(sketch, dim, p, q, threshold)
+                        hit[p[near]] = hit[q[near]] = True
+                yield from part.select(kept).take(pa.array(np.flatnonzero(hit))).to_batches()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, number in whole_groups(batches, ["dim", "lsh_table", "code", "low_block", "high_block"]):
+        for rows, number in whole_groups(batches, group):
             again = np.flatnonzero(np.bincount(number)[number] > 1)
             if not len(again):
                 continue
@@ -124,15 +170,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         out = np.flatnonzero(links)
         yield pa.record_batch([pa.array(node[out]), pa.array(node[label[out]]), pa.array(links[out])], names=["a", "b", "links"])
 
-    entries = nodes.df.select("node", "copies", "embedding", F.size("embedding").alias("dim")).mapInArrow(
-        spread, "lsh_table int, code bigint, dim int, node bigint, copies bigint, embedding array<" + kind + ">"
-    )
-    stars = Stored(in_blocks(entries, ["dim", "lsh_table", "code"], F.col("node"), BLOCK).mapInArrow(compare, "a bigint, b bigint, links bigint"))
+    entries = nodes.df.select("node", "embedding", F.size("embedding").alias("dim")).mapInArrow(spread, "lsh_table int, code bigint, dim int, node bigint, sketch binary")
+    found = in_blocks(entries, key, F.col("node"), BLOCK).mapInArrow(likely, "dim int, lsh_table int, code bigint, low_block int, high_block int, own_block int, node bigint")
+    found = Stored(found)
+    stars = Stored(dealt(found.df.join(nodes.df.select("node", "copies", "embedding"), "node"), key).mapInArrow(compare, "a bigint, b bigint, links bigint"))
+    found.drop()
     links = stars.df.groupBy("a").agg(F.sum("links").alias("links"))
     root = components(stars.df.select("a", "b"))
     known = nodes.df.select("node", "s1", "s2", "smallest", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = known.join(links, known.node == links.a, "left")
-    least = known.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = known.join(least, "root").select("s1", "s2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = ids.join(named, ["s1", "s2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    known = known.join(links, known.node == links.a, "left").select("s1", "s2", "smallest", "copies", "links", "root")
+    # a component's smallest id may be null, which a look-up would take for a miss: so it goes as a struct
+    least = known.groupBy(F.col("root").alias("node")).agg(F.struct(F.min("smallest").alias("id")).alias("m"), F.count(F.lit(1)).alias("n"))
+    named = looked_up(known, "root", least, heavy_from(n)).select("s1", F.struct("s2", F.col("m.id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).alias("of"), "copies")
+    # by the first half of the signature, whose second half is compared then; a vector that very many rows share is looked up apart
+    signed = named.groupBy(F.col("s1").alias("node")).agg(F.collect_list("of").alias("m"), F.sum("copies").alias("n"))
+    total = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    linked = looked_up(ids.where("s1 is not null"), "s1", signed, heavy_from(total))
+    linked = linked.withColumn("of", F.filter("m", lambda x: x.s2 == F.col("s2"))[0]).select("vec_id", "of.n_links", "of.component_id")
+    alone = ids.where("s1 is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
