@@ -146,6 +146,25 @@ def test_embedding_links(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.1], 0), (None, [1.0, 0.1], 0), (4, [0.0, 1.0], 0), (None, [-1.0, 0.0], 0)]
+    out = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_duplicates(vectors(spark, rows), recall=0.9999).collect())
+    assert out == [(0, 0, 0, False), (0, 4, 1, False), (1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True)]
+
+
+def test_sketches_never_lose_a_pair():
+    rng = np.random.default_rng(9)
+    for dim, spread in ((3, 0.1), (64, 0.04), (300, 0.02)):
+        a = rng.standard_normal((2000, dim))
+        a[::3, 1:] *= 0.01
+        b = a + rng.standard_normal(a.shape) * spread * np.linalg.norm(a, axis=1, keepdims=True)
+        unit = np.vstack([a, b]) / np.linalg.norm(np.vstack([a, b]), axis=1, keepdims=True)
+        p, q = np.arange(2000), np.arange(2000, 4000)
+        cosine = (unit[p] * unit[q]).sum(1)
+        may = embedding_dedup.may_reach(embedding_dedup.sketches(unit), dim, p, q, 0.95)
+        assert may[cosine >= 0.95].all() and not may[cosine < 0.9].any() and 0 < (cosine >= 0.95).sum()
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(3)
     a = rng.standard_normal((4000, 64))
