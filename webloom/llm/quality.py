@@ -2,8 +2,7 @@
 
 Every word has a sparse random index vector, drawn from its hash. Its context vector is the sum of the index vectors of
 its neighbours in the sample. A document is the mean of both over its words; a network of one hidden layer gives a
-logit, which a temperature fitted on rows set aside turns into a calibrated probability. The temperature is 1 or more:
-where the rows set aside are all told apart, they are no reason to be surer than the network.
+logit, which a temperature fitted on rows set aside for that alone turns into a calibrated probability.
 """
 
 from __future__ import annotations
@@ -145,7 +144,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 48, ones: int = 4, mo
     x, y = model.pooled(texts), labels.astype(np.float64)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
-    aside, used = np.split(order, [len(y) // 5])
+    aside, warm, used = np.split(order, [len(y) // 6, len(y) // 3])  # to choose the epoch by, to fit the temperature on, to learn from
     model.mean, model.spread = x[used].mean(0), x[used].std(0) + 1e-4
     x = (x - model.mean) / model.spread
     w = [rng.standard_normal((d, hidden)) / np.sqrt(d), np.zeros(hidden), rng.standard_normal(hidden) / np.sqrt(hidden), np.array(model.b2)]
@@ -166,8 +165,11 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 48, ones: int = 4, mo
         if loss < best[0]:
             best = loss, [p.copy() for p in w]
     model.w1, model.b1, model.w2, model.b2 = best[1][0], best[1][1], best[1][2], float(best[1][3])
-    z = np.tanh(x[aside] @ model.w1 + model.b1) @ model.w2 + model.b2
-    model.temperature = float(min(np.geomspace(1, 8, 61), key=lambda v: log_loss(z / v, y[aside])))
+    z = np.tanh(x[warm] @ model.w1 + model.b1) @ model.w2 + model.b2
+    positive = y[warm].sum()
+    # Platt's targets: as if one more row of each kind had been seen on either side, so that no certainty comes of few rows
+    goal = np.where(y[warm] > 0, (positive + 1) / (positive + 2), 1 / (len(warm) - positive + 2))
+    model.temperature = float(min(np.geomspace(1 / 8, 8, 121), key=lambda v: log_loss(z / v, goal)))
     return model
 
 
@@ -176,12 +178,17 @@ def log_loss(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seen: F.col) -> tuple[list[str], np.ndarray]:
-    """Up to ``rows`` labelled texts of up to ``most_bytes`` bytes, those whose ids have the smallest hashes among ``seen`` ones."""
+    """Up to ``rows`` labelled texts of up to ``most_bytes`` bytes, those whose ids have the smallest hashes among ``seen`` ones.
+
+    A label whose document isn't there, or is longer, takes no place as long as no more than half of the labels are of that
+    kind: so many ids are looked for. Of texts that share an id the smallest counts.
+    """
     known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(seen)
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = known.orderBy(*order).limit(2 * rows)
     texts = pick(docs, "doc_id", "text").where(F.octet_length("text") <= most_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(*order).limit(rows).collect()
     found.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in found], np.array([r["quality"] for r in found], np.int64)
 
@@ -191,17 +198,18 @@ def held_out(doc_id: str = "doc_id", parts: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 6000, sample_bytes: int = 65_536, carry: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 6000, sample_bytes: int = 65_536, most_words: int = 30_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Score of every whole text: doc_id, held_out, score, predicted (score >= ``threshold``).
 
     The fit, word vectors included, uses a bounded sample: at most ``sample_rows`` labelled texts that aren't held out,
     of at most ``sample_bytes`` bytes each. Scoring covers every row and every text whole, and sees nothing but the
     text. A null or empty text is scored as a document without words. Repeated and contradictory labels of a document
     count as their majority (ties: 1). With no usable labels all scores are equal. Repeated rows and null ids stay;
-    of other columns those named in ``carry`` go along. The model sent to the tasks is bounded by the vocabulary (30,000 words).
+    an empty table gives no rows; of other columns those named in ``carry`` go along. ``most_words`` bounds the vocabulary,
+    the most frequent words of the sample, and with it the model that is sent to the tasks; other words count by their shape.
     """
     texts, y = sample(docs, labels, sample_rows, sample_bytes, ~held_out())
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, y))
+    model = docs.sparkSession.sparkContext.broadcast(train(texts, y, most_words=most_words))
 
     rows = pick(docs, "doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
     kinds = rows.schema
