@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from webloom.llm.common import chunks, pick
 #: string holds white space. Other white space stays inside a stretch.
 STRETCH = re.compile(r"\s*+\S++(?:(?:\s{2,}+|[^\S \n]|[ \n]\Z)\S*+)*+|\s++")
 
+#: Inside a stretch of LONG characters or more, a digit beside a letter is a safe boundary too, for the pre-tokenizer that
+#: puts letters and digits into different pieces, if no special string holds such a pair.
+TURN, LONG = regex.compile(r"(?V1)(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"), 4096
+
 #: Stretches whose lengths a worker keeps; beyond it the store starts anew, so that memory stays bounded.
 KEEP = 1_200_000
 
@@ -34,6 +40,22 @@ def loaded(definition: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def turns(definition: str) -> bool:
+    """Whether TURN is a safe boundary."""
+    spec = json.loads(definition)
+    plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True)
+    return bool(plain) and not any(TURN.search(t["content"]) for t in spec.get("added_tokens", []))
+
+
+def stretches(text: str, split_long: bool) -> list[str]:
+    """The stretches of a text, which joined give it again."""
+    parts = STRETCH.findall(text)
+    if split_long and len(text) >= LONG and any(len(p) >= LONG for p in parts):
+        return [q for p in parts for q in (TURN.split(p) if len(p) >= LONG else [p])]
+    return parts
+
+
 @lru_cache(maxsize=2)
 def known(definition: str) -> dict[str, int]:
     return {}
@@ -44,9 +66,11 @@ def lengths(texts: list[str], definition: str, batch_bytes: int) -> list[int]:
     tokenizer, seen = loaded(definition), known(definition)
     if len(seen) > KEEP:
         seen.clear()
-    parts = [STRETCH.findall(text) for text in texts]
+    split_long = turns(definition)
+    parts = [stretches(text, split_long) for text in texts]
     new = list({p for ps in parts for p in ps if p not in seen})
-    for a, b in chunks(map(len, new), batch_bytes):
+    sizes = (len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in new)
+    for a, b in chunks(sizes, batch_bytes):
         seen.update(zip(new[a:b], map(len, tokenizer.encode_batch_fast(new[a:b], add_special_tokens=False))))
     return [sum(map(seen.__getitem__, ps)) for ps in parts]
 
@@ -58,7 +82,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, batch_
     goes to the executors with the function.
 
     Returns doc_id, n_bytes, n_tokens, over_limit, one row for each row of ``docs``. A null text counts as empty (0
-    bytes, 0 tokens); repeated rows and null ids stay as they are; other columns are ignored. The plan is a scan and a
+    bytes, 0 tokens); repeated rows and null ids stay as they are; an empty table gives no rows; other columns are ignored.
+    Texts are split at safe boundaries, however long they are; only a run without any, such as one of letters alone,
+    is encoded in one piece, as it has to be. The plan is a scan and a
     map: no shuffle, so neither a hot source nor a group of copies meets in one task.
     """
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
