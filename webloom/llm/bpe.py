@@ -34,6 +34,18 @@ ANY_WORD = regex.compile(SHORT + rf"\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 ASCII_WORD = re.compile(SHORT + r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
+# The normalizer, pre-tokenizer and flags of a definition that ``WordBpe`` reads.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+OFF = ("unk_token", "dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, the rest in order from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,6 +65,12 @@ class WordBpe:
         suffix = model.get("end_of_word_suffix")
         if model["type"] != "BPE" or not suffix or spec.get("decoder") or spec.get("post_processor"):
             raise ValueError("only BPE with an end-of-word suffix, without decoder and post-processor, is read here")
+        if spec.get("normalizer") != NORMALIZER or spec.get("pre_tokenizer") != PRE_TOKENIZER:
+            raise ValueError("only NFC, single blanks and lower case, and words of letters, one digit or other signs are read here")
+        if on := [f for f in OFF if model.get(f)]:
+            raise ValueError(f"a model with {on} isn't read here")
+        if any(t.get(f) for t in spec.get("added_tokens", []) for f in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("only added tokens that are found as they stand are read here")
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         letters = byte_letters()
