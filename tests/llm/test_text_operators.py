@@ -65,7 +65,7 @@ def test_merges_made_twice_or_overlapping():
     letters = bpe.byte_letters()
     vocab = {c: i for i, c in enumerate([*letters, *[c + "#" for c in letters], "aa", "aaaa", "ab", "abc", "bc", "c#", "abc#", "bc#"])}
     merges = [["b", "c"], ["a", "a"], ["a", "b"], ["ab", "c"], ["a", "bc"], ["aa", "aa"], ["b", "c#"], ["a", "bc#"]]
-    own = bpe.WordBpe(json.dumps({"model": {"type": "BPE", "vocab": vocab, "merges": merges, "end_of_word_suffix": "#"}, "added_tokens": []}))
+    own = bpe.WordBpe(json.dumps({"model": {"type": "BPE", "vocab": vocab, "merges": merges, "end_of_word_suffix": "#"}, "added_tokens": [], "normalizer": bpe.NORMALIZER, "pre_tokenizer": bpe.PRE_TOKENIZER}))
     rank = {tuple(m): i for i, m in enumerate(merges)}
 
     def slow(word):
@@ -83,6 +83,30 @@ def test_merges_made_twice_or_overlapping():
         assert flat[a:b].tolist() == slow(w), w
 
 
+def test_other_definitions_are_refused():
+    import json
+
+    spec = json.loads(open(WORDS).read())
+    bpe.WordBpe(json.dumps(spec))
+    token = spec["added_tokens"][0]
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [token | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.WordBpe(json.dumps(spec | change))
+
+
+def test_long_runs_are_split(monkeypatch):
+    library = Tokenizer.from_file(BYTES)
+    definition = open(BYTES).read()
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aZé1٣½'s中-_<|>") for _ in range(rng.randrange(1, 9000))) for _ in range(60)] + ["ab12" * 5000 + "<|endoftext|>9a" * 300]
+    assert token_counts.turns(definition) and any(len(token_counts.stretches(t, True)) > len(token_counts.stretches(t, False)) for t in texts)
+    for long in (1, 4096):
+        monkeypatch.setattr(token_counts, "LONG", long)
+        token_counts.known.cache_clear()
+        assert token_counts.lengths(texts, definition, 1000) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert all("".join(token_counts.stretches(t, True)) == t for t in texts)
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(BYTES)
     docs = odd_docs(spark)
