@@ -7,6 +7,7 @@ logit, which a temperature fitted on rows set aside for that alone turns into a
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
@@ -177,7 +178,7 @@ def log_loss(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.mean(np.logaddexp(0, z) - y * z)) if len(y) else 0.0
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seen: F.col) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seen: Column) -> DataFrame:
     """Up to ``rows`` labelled texts of up to ``most_bytes`` bytes, those whose ids have the smallest hashes among ``seen`` ones.
 
     A label whose document isn't there, or is longer, takes no place as long as no more than half of the labels are of that
@@ -188,9 +189,19 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seen:
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.orderBy(*order).limit(2 * rows)
     texts = pick(docs, "doc_id", "text").where(F.octet_length("text") <= most_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(*order).limit(rows).collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in found], np.array([r["quality"] for r in found], np.int64)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(*order).limit(rows)
+
+
+def fit(labelled: DataFrame, most_words: int) -> Model:
+    """The model of a bounded sample (doc_id, text, quality): one task fits it, so the driver holds nothing but the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
+        model = train([r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = labelled.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else train([], np.zeros(0, np.int64), most_words=most_words)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5):
@@ -208,8 +219,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_
     an empty table gives no rows; of other columns those named in ``carry`` go along. ``most_words`` bounds the vocabulary,
     the most frequent words of the sample, and with it the model that is sent to the tasks; other words count by their shape.
     """
-    texts, y = sample(docs, labels, sample_rows, sample_bytes, ~held_out())
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, y, most_words=most_words))
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, sample_rows, sample_bytes, ~held_out()), most_words))
 
     rows = pick(docs, "doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
     kinds = rows.schema

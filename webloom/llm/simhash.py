@@ -123,7 +123,7 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
     """Groups of texts linked by a Jaccard similarity of 0.8 or more of their shingles: doc_id, row (a hash of id and text), group.
 
     Candidates are what the byte-position index links at ``bits`` or fewer differing bits, and, as pairs at 0.8 differ by
