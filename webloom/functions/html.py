@@ -8,10 +8,10 @@ by itself, the results are joined, and white space is cleaned. Rows for which a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.scanner import scan
+from webloom.functions.scanner import cleaned_scan, scan
 from webloom.functions.text import clean_whitespace
 
 # Elements that are left out whole.
@@ -96,15 +96,31 @@ def _mapped(html: Column, opens: dict[str, str], closes: dict[str, str], links:
     return F.element_at(F.transform(tokens, lambda ts: F.array_join(F.transform(ts, lambda t, i: one(t, i == F.size(ts) - 1)), "")), 1)
 
 
+def converted(html: Column, markdown: Column | None, text: Column | None) -> Column:
+    """Markdown of the pages where ``markdown`` holds, plain text of those where ``text`` does, null for others.
+
+    Either may be None, if no row wants that form. Both forms share one pass of the scanner and one cleaning.
+    """
+    odd, parts = F.lit(False), []
+    for wanted, form, links in ((markdown, (MARKDOWN_OPEN, MARKDOWN_CLOSE), True), (text, (TEXT_OPEN, TEXT_CLOSE), False)):
+        if wanted is not None:
+            own = wanted & irregular(F.when(wanted, html), links)
+            odd = odd | F.coalesce(own, F.lit(False))
+            parts.append(_mapped(F.when(wanted & ~own, html), *form, links))
+    return clean_whitespace(F.coalesce(*parts, scan(F.when(odd, html), F.lit(False) if markdown is None else F.coalesce(markdown, F.lit(False)))))
+
+
 def html_to_markdown(html: Column) -> Column:
     """Markdown of a page. A null page gives null; the output may hold more than two newlines in a row."""
-    odd = irregular(html, True)
-    native = clean_whitespace(_mapped(F.when(~odd, html), MARKDOWN_OPEN, MARKDOWN_CLOSE, True))
-    return F.coalesce(native, clean_whitespace(scan(F.when(odd, html), F.lit(True))))
+    return converted(html, F.lit(True), None)
 
 
 def html_to_text(html: Column) -> Column:
     """Plain text of a page. A null page gives null."""
-    odd = irregular(html, False)
-    native = clean_whitespace(_mapped(F.when(~odd, html), TEXT_OPEN, TEXT_CLOSE, False))
-    return F.coalesce(native, clean_whitespace(scan(F.when(odd, html), F.lit(False))))
+    return converted(html, None, F.lit(True))
+
+
+def register(spark: SparkSession) -> None:
+    """``html_to_markdown`` and ``html_to_text`` as SQL functions of the session, in the stateful form, by Arrow batches."""
+    for name, markdown in (("html_to_markdown", True), ("html_to_text", False)):
+        spark.udf.register(name, cleaned_scan(markdown))

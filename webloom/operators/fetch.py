@@ -56,11 +56,10 @@ def default_fields(captures: DataFrame, options: FetchOptions, active: Column) -
     text = F.lit(options.enable_text) & F.coalesce(F.col("as_text"), F.lit(False))
     form = F.when(textual, F.when((markdown | text) & http.is_html(kind, F.col("_body")), F.when(markdown, "markdown").otherwise("text")).otherwise("raw"))
     step = step.withColumn("_format", form)
+    wanted = {name: F.coalesce(F.col("_format") == name, F.lit(False)) if on else None for name, on in (("markdown", options.enable_markdown), ("text", options.enable_text))}
     content = F.when(F.col("_format") == "raw", F.col("_body"))
-    if options.enable_text:
-        content = F.coalesce(content, H.html_to_text(F.when(F.col("_format") == "text", F.col("_body"))))
-    if options.enable_markdown:
-        content = F.coalesce(content, H.html_to_markdown(F.when(F.col("_format") == "markdown", F.col("_body"))))
+    if options.enable_markdown or options.enable_text:
+        content = F.coalesce(content, H.converted(F.col("_body"), wanted["markdown"], wanted["text"]))
     cut = textual & F.coalesce(F.col("truncated"), F.lit(False))
     step = step.withColumns({
         "_size": F.when(textual, F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")).when(ok, http.content_length(http.header(headers, "content-length"))),
