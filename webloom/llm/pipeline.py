@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import bpe, line_dedup, mixing, quality, simhash
 from webloom.llm.common import Stored, pick, table
+from webloom.sources.layout import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -82,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

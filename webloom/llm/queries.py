@@ -8,8 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, brown, embedding_dedup, line_dedup, mixing, pipeline, quality, simhash, token_counts, topk, warc
-from webloom.llm.common import table
+from webloom.llm import bpe, brown, common, embedding_dedup, line_dedup, mixing, pipeline, quality, simhash, token_counts, topk, warc
+from webloom.sources.layout import spread
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The whole table; a small one is dealt to all cores."""
+    return spread(common.table(spark, sf_dir, name))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
