@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import errors
 from webloom.functions import url as U
 from webloom.functions.text import base64_text
+from webloom.operators.fetch import spare
 from webloom.schemas import README_SCHEMA, REPO_SCHEMA
 
 #: Fields that a repository record must have.
@@ -23,9 +24,9 @@ def api_url(url: Column) -> Column:
 
 
 def api_error(owner: Column, repo: Column, status: Column) -> Column:
-    """Text for a status that isn't 200 to 299."""
+    """Text for a status that isn't 200 to 299; null for none."""
     return (
-        F.when(status.between(200, 299), None)
+        F.when(status.isNull() | status.between(200, 299), None)
         .when(status == 404, F.format_string("Repository %s/%s not found", owner, repo))
         .when(status == 403, "GitHub API rate limit exceeded")
         .otherwise(F.format_string("GitHub API error: HTTP %d", status))
@@ -57,34 +58,43 @@ def markdown(repo: Column, readme: Column) -> Column:
 
 
 def repository_fields(captures: DataFrame, active: Column) -> tuple[DataFrame, dict[str, Column]]:
-    """The captures with helper columns, and the result fields of repository pages, whatever method or conversion was asked for."""
+    """The captures with helper columns, and the result fields of repository pages, whatever method or conversion was asked for.
+
+    A network error is an error like that of any page; so is a capture without a record, which says nothing of the
+    repository.
+    """
     step = captures
     for name, kind in (("repo_status", "int"), ("repo_json", "string"), ("readme_status", "int"), ("readme_json", "string")):
         if name not in captures.columns:
             step = step.withColumn(name, F.lit(None).cast(kind))
-    step = step.withColumn("_repo_status", F.when(active, F.coalesce("repo_status", F.lit(404))))
-    status = F.col("_repo_status")
-    ok = status.between(200, 299)
-    step = step.withColumns({"_repo": F.when(ok, F.from_json("repo_json", REPO_SCHEMA)), "_readme": F.when(ok, readme_text(F.col("readme_status"), F.col("readme_json"))), "_name": F.when(active, U.repository(F.col("url")))})
-    repo = F.col("_repo")
+    # a network error counts before any record; without either, nothing was captured
+    p = spare(step.columns)
+    step = step.withColumn(f"{p}repo_status", F.when(active & F.col("net_error").isNull(), F.col("repo_status")))
+    status = F.col(f"{p}repo_status")
+    ok = F.coalesce(status.between(200, 299), F.lit(False))
+    step = step.withColumns({f"{p}repo": F.when(ok, F.from_json("repo_json", REPO_SCHEMA)), f"{p}readme": F.when(ok, readme_text(F.col("readme_status"), F.col("readme_json"))), f"{p}name": F.when(active, U.repository(F.col("url")))})
+    repo = F.col(f"{p}repo")
     complete = F.lit(True)
     for name in REQUIRED:
         field = repo
         for part in name.split("."):
             field = field[part]
         complete = complete & field.isNotNull()
-    step = step.withColumn("_fine", ok & F.coalesce(complete, F.lit(False)))
-    fine = F.col("_fine")
-    kind = F.when(ok & ~fine, "FetcherError")
+    step = step.withColumn(f"{p}fine", ok & F.coalesce(complete, F.lit(False)))
+    fine = F.col(f"{p}fine")
+    network = F.when(active, errors.network_kind(F.col("net_error")))
+    missing = active & network.isNull() & status.isNull()
+    kind = F.coalesce(network, F.when(missing | ok & ~fine, "FetcherError"))
+    detail = F.when(network.isNotNull(), F.col("net_error")).when(missing, "No repository record was captured").otherwise("Failed to parse repo data")
     return step, {
         "url": F.col("url"),
         "status_code": F.when(~ok, status).when(fine, 200),
         "content_type": F.when(fine, "text/markdown"),
         "format": F.when(fine, "github_repo"),
-        "content": F.when(fine, markdown(repo, F.col("_readme"))),
-        "error": api_error(F.col("_name").owner, F.col("_name").repo, status),
+        "content": F.when(fine, markdown(repo, F.col(f"{p}readme"))),
+        "error": api_error(F.col(f"{p}name").owner, F.col(f"{p}name").repo, status),
         "error_kind": kind,
-        "error_message": errors.message(kind, F.lit("Failed to parse repo data")),
+        "error_message": errors.message(kind, detail),
     }
 
 

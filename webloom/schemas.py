@@ -18,6 +18,9 @@ CAPTURE_SCHEMA = _struct(
     ("headers", MapType(StringType(), StringType())), ("body", BinaryType()), ("truncated", BooleanType()), ("net_error", StringType()),
 )
 
+#: What ``sources.live`` captures: beside that, the code host's records of a repository's page.
+LIVE_SCHEMA = StructType([*CAPTURE_SCHEMA, *_struct(("repo_status", IntegerType()), ("repo_json", StringType()), ("readme_status", IntegerType()), ("readme_json", StringType()))])
+
 #: A result, in the order in which its fields are written. Null fields are left out of JSON.
 RESPONSE_SCHEMA = _struct(
     ("url", StringType()), ("status_code", IntegerType()), ("content_type", StringType()), ("size", LongType()), ("last_modified", StringType()), ("filename", StringType()),

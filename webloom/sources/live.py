@@ -6,8 +6,10 @@ anything else reads them: a repeated task asks the servers again.
 
 from __future__ import annotations
 
-import gzip
-import socket
+import functools
+import http.client
+import io
+import ssl
 import time
 import zlib
 from collections.abc import Iterator
@@ -15,85 +17,191 @@ from concurrent.futures import ThreadPoolExecutor
 from urllib import error, request
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from webloom.options import DEFAULT_USER_AGENT, FetchOptions
-from webloom.schemas import CAPTURE_SCHEMA, REQUEST_SCHEMA
+from webloom.schemas import LIVE_SCHEMA, REQUEST_SCHEMA
 
-#: Seconds to the first byte and for the body, and the most bytes that are read.
-FIRST_BYTE, BODY, MOST_BYTES = 1.0, 30.0, 64 << 20
+#: Seconds for a request as a whole, from the connection to the last byte, and for one to the code host's API.
+TOTAL, API = 1.0, 10.0
+API_BASE = "https://api.github.com"
 
 # Accept headers.
 ACCEPT_MARKDOWN = "text/html, text/markdown, text/plain, */*;q=0.8"
 ACCEPT_TEXT = "text/html, text/plain, */*;q=0.8"
 ACCEPT_RAW = "*/*"
+ACCEPT_API = "application/vnd.github+json"
 
 
 def accept(markdown: bool, text: bool) -> str:
     return ACCEPT_MARKDOWN if markdown else ACCEPT_TEXT if text else ACCEPT_RAW
 
 
-def _inflate(body: bytes, coding: str, cut: bool) -> bytes:
-    if coding not in ("gzip", "deflate"):
-        return body
-    try:
-        return zlib.decompressobj(47).decompress(body) if cut or coding == "deflate" else gzip.decompress(body)
-    except (OSError, zlib.error):
-        return body
+class _Timed(io.RawIOBase):
+    """A socket's stream whose reads end at a moment, however many there are."""
+
+    def __init__(self, raw: io.RawIOBase, sock, end: float):
+        self.inner, self.sock, self.end = raw, sock, end
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int | None:
+        left = self.end - time.monotonic()
+        if left <= 0:
+            raise TimeoutError("timed out")
+        self.sock.settimeout(left)
+        return self.inner.readinto(buffer)
+
+    def close(self) -> None:
+        self.inner.close()
+        super().close()
+
+
+class _Response(http.client.HTTPResponse):
+    def __init__(self, sock, *args, end: float, **kwargs):
+        super().__init__(sock, *args, **kwargs)
+        self.fp = io.BufferedReader(_Timed(self.fp.detach(), sock, end))
+
+
+def _opener(end: float) -> request.OpenerDirector:
+    """Opens URLs with one deadline for connections, redirects, headers and bodies together."""
+
+    def timed(kind):
+        def connect(host: str, **kwargs):
+            connection = kind(host, **kwargs | {"timeout": max(0.001, end - time.monotonic())})
+            connection.response_class = functools.partial(_Response, end=end)
+            return connection
+
+        return connect
+
+    class Plain(request.HTTPHandler):
+        def http_open(self, asked):
+            return self.do_open(timed(http.client.HTTPConnection), asked)
+
+    class Secure(request.HTTPSHandler):
+        def https_open(self, asked):
+            return self.do_open(timed(http.client.HTTPSConnection), asked, context=ssl.create_default_context())
+
+    return request.build_opener(Plain, Secure)
 
 
-def get(url: str, method: str | None, markdown: bool, text: bool, agent: str | None) -> tuple:
-    """status_code, headers, body, truncated, net_error of one request. Statuses of 400 and above are responses."""
+def inflate(body: bytes, coding: str) -> tuple[bytes, bool]:
+    """The decoded body as far as it goes, and whether it is whole."""
+    if coding == "br":
+        out, stream = [], pa.CompressedInputStream(pa.BufferReader(body), "brotli")
+        try:
+            while part := stream.read(65536):
+                out.append(part)
+        except OSError:
+            return b"".join(out), False
+        return b"".join(out), True
+    raw = coding == "deflate" and body[:1] and (body[0] & 15 != 8 or (body[0] << 8 | body[1] if len(body) > 1 else 1) % 31)
+    out = []
+    while body:
+        unpack = zlib.decompressobj(-15 if raw else 47)
+        try:
+            for a in range(0, len(body), 65536):
+                out.append(unpack.decompress(body[a : a + 65536]))
+                if unpack.eof:
+                    break
+        except zlib.error:
+            return b"".join(out), False
+        if not unpack.eof:
+            return b"".join(out), False
+        body = unpack.unused_data + body[a + 65536 :] if coding == "gzip" else b""
+    return b"".join(out), True
+
+
+def get(url: str, method: str | None, markdown: bool, text: bool, agent: str | None, seconds: float = TOTAL, accepted: str | None = None) -> tuple:
+    """status_code, headers, body, truncated, net_error of one request. Statuses of 400 and above are responses.
+
+    ``seconds`` are for all of it. A body that breaks off, or isn't there in time, is kept as far as it came; it counts as
+    truncated if any of it came. Decoded bodies lose the headers on their coded form.
+    """
+    end = time.monotonic() + seconds
     agent = agent if agent and agent.isascii() and agent.isprintable() else DEFAULT_USER_AGENT
     head = (method or "GET").upper() == "HEAD"
-    asked = request.Request(url, method="HEAD" if head else "GET", headers={"User-Agent": agent, "Accept": accept(markdown, text), "Accept-Encoding": "gzip, deflate"})
+    headers = {"User-Agent": agent, "Accept": accepted or accept(markdown, text), "Accept-Encoding": "gzip, br, deflate"}
     try:
         try:
-            answer = request.urlopen(asked, timeout=FIRST_BYTE)
+            answer = _opener(end).open(request.Request(url, method="HEAD" if head else "GET", headers=headers), timeout=seconds)
         except error.HTTPError as e:
             answer = e
         headers = {k.lower(): v for k, v in answer.headers.items()}
-        parts, size, cut, end = [], 0, False, time.monotonic() + BODY
-        while not head:
-            try:
-                if not (part := answer.read1(65536)):
+        parts, cut = [], False
+        with answer:
+            while not head:
+                try:
+                    if not (part := answer.read1(65536)):
+                        cut = bool(getattr(answer, "length", None)) and bool(parts)  # fewer bytes than were announced
+                        break
+                except (OSError, ValueError, http.client.HTTPException):
+                    cut = bool(parts)
                     break
-            except (OSError, ValueError):
-                cut = size > 0
-                break
-            parts.append(part)
-            size += len(part)
-            if time.monotonic() > end or size >= MOST_BYTES:
-                cut = True
-                break
-        return answer.status, headers, _inflate(b"".join(parts), headers.get("content-encoding", ""), cut), cut, None
-    except (TimeoutError, socket.timeout):
+                parts.append(part)
+        body = b"".join(parts)
+        coding = headers.get("content-encoding", "").strip().lower()
+        if coding in ("gzip", "br", "deflate") and headers.get("content-length") != "0":
+            headers = {k: v for k, v in headers.items() if k not in ("content-encoding", "content-length")}
+            body, whole = inflate(body, coding) if body else (body, True)
+            cut = bool(body) and (cut or not whole)
+        return answer.status, headers, body, cut, None
+    except TimeoutError:
         return None, None, None, None, "timeout"
     except error.URLError as e:
         return None, None, None, None, "timeout" if isinstance(e.reason, TimeoutError) else "connect"
-    except (OSError, ValueError) as e:
+    except (OSError, ValueError, http.client.HTTPException) as e:
         return None, None, None, None, str(e) or type(e).__name__
 
 
-def capture(requests: DataFrame, options: FetchOptions = FetchOptions(), together: int = 16) -> DataFrame:
-    """Captures (CAPTURE_SCHEMA) of a DataFrame of requests. URLs that fail the checks aren't asked for, and have no response."""
-    from pyspark.sql import functions as F
+def repository(owner: str, repo: str, agent: str | None, base: str = API_BASE) -> tuple:
+    """The five fields of ``get`` and repo_status, repo_json, readme_status, readme_json of a repository's page, by two API calls.
+
+    Only a failure of the first is one; the second, which isn't made unless the first succeeds, may fail.
+    """
 
+    def ask(path: str) -> tuple[int | None, str | None, str | None]:
+        status, _, body, _, failed = get(f"{base}/repos/{owner}/{repo}{path}", None, False, False, agent, API, ACCEPT_API)
+        return status, None if body is None else body.decode("utf-8", "replace"), failed
+
+    status, record, failed = ask("")
+    readme = ask("/readme")[:2] if status is not None and 200 <= status < 300 else (None, None)
+    return None, None, None, None, failed, status, record, *readme
+
+
+def capture(requests: DataFrame, options: FetchOptions = FetchOptions(), together: int = 16, api: str = API_BASE) -> DataFrame:
+    """Captures (LIVE_SCHEMA) of a DataFrame of requests. URLs that fail the checks aren't asked for, and have no response.
+
+    Repository pages are asked for by the code host's API, under ``api``.
+    """
+    from webloom.functions import url as U
     from webloom.operators.guard import error_kind
 
-    checked = requests.select(*REQUEST_SCHEMA.fieldNames(), error_kind(F.col("url"), options).isNull().alias("ask"))
+    page = U.repository(F.col("url"))
+    checked = requests.select(*REQUEST_SCHEMA.fieldNames(), error_kind(F.col("url"), options).isNull().alias("ask"), page.owner.alias("owner"), page.repo.alias("repo"))
+    names = LIVE_SCHEMA.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flag = lambda v: bool(v) if v is not None else False
+
+        def ask(r) -> tuple:
+            if not r.ask:
+                return (None,) * 9
+            if r.owner is not None:
+                return repository(r.owner, r.repo, options.user_agent, api)
+            return *get(r.url, r.method, options.enable_markdown and flag(r.as_markdown), options.enable_text and flag(r.as_text), options.user_agent), *(None,) * 4
+
         with ThreadPoolExecutor(together) as pool:
             for b in batches:
-                flag = lambda v: bool(v) if v is not None else False
-                ask = lambda r: get(r.url, r.method, options.enable_markdown and flag(r.as_markdown), options.enable_text and flag(r.as_text), options.user_agent) if r.ask else (None,) * 5
-                found = pd.DataFrame(list(pool.map(ask, b.itertuples())), columns=["status_code", "headers", "body", "truncated", "net_error"], dtype=object)
-                yield pd.concat([b.drop(columns="ask").reset_index(drop=True), found], axis=1)
+                found = pd.DataFrame(list(pool.map(ask, b.itertuples())), columns=names[4:], dtype=object)
+                yield pd.concat([b[names[:4]].reset_index(drop=True), found], axis=1)
 
-    return checked.mapInPandas(run, CAPTURE_SCHEMA)
+    return checked.mapInPandas(run, LIVE_SCHEMA)
 
 
 class _Part(InputPartition):
@@ -114,7 +222,7 @@ class _Reader(DataSourceReader):
         markdown, text = (str(self.options.get(k, "false")).lower() == "true" for k in ("as_markdown", "as_text"))
         for url in partition.urls:
             method = self.options.get("method")
-            yield (url, method, markdown, text, *get(url, method, markdown, text, self.options.get("user_agent")))
+            yield (url, method, markdown, text, *get(url, method, markdown, text, self.options.get("user_agent")), *(None,) * 4)
 
 
 class WebSource(DataSource):
@@ -125,7 +233,7 @@ class WebSource(DataSource):
         return "webloom"
 
     def schema(self) -> StructType:
-        return CAPTURE_SCHEMA
+        return LIVE_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
