@@ -1,6 +1,7 @@
-"""URL predicates and parts. They work on the raw string; ASCII http(s) URLs are covered exactly.
+"""URL predicates and parts of http(s) URLs, normalised as a browser does.
 
-Not covered: dot segments, percent-encoding of other characters and international host names are left as written.
+Blanks at the ends and line breaks are dropped, dot segments resolved, signs that a path can't hold percent-encoded, and
+hosts percent-decoded. Not covered: international host names stay in Unicode, in lower case.
 """
 
 from __future__ import annotations
@@ -28,24 +29,54 @@ def has_scheme(url: Column) -> Column:
     return any_prefix(url, ("http://", "https://"))
 
 
+def bare(url: Column) -> Column:
+    """The URL without the control signs and blanks at its ends, and without tabs and line breaks."""
+    odd = F.rlike(url, F.lit(r"[\t\n\r]|[\x00-\x20]\z"))
+    return F.when(odd, F.regexp_replace(F.regexp_replace(url, r"[\x00-\x20]+\z", ""), r"[\t\n\r]", "")).otherwise(url)
+
+
 def host(url: Column) -> Column:
-    """Lower-case host, without user and port."""
-    return F.lower(F.regexp_extract(F.regexp_extract(url, AUTHORITY, 1), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
+    """Lower-case host, percent-decoded, without user and port; null if it can't be decoded."""
+    raw = F.lower(F.regexp_extract(F.regexp_extract(bare(url), AUTHORITY, 1), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
+    return F.when(F.contains(raw, F.lit("%")), F.lower(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")))).otherwise(raw)
 
 
 def parses(url: Column) -> Column:
     """Whether the URL has a host without forbidden characters and, if any, a port in range."""
-    authority = F.regexp_extract(url, AUTHORITY, 1)
+    authority = F.regexp_extract(bare(url), AUTHORITY, 1)
     port = F.regexp_extract(authority, r":([^:@\]]*)$", 1)
     name = host(url)
     good = (name != "") & ~F.rlike(name, F.lit(r"[\x00-\x20<>^|%\"`{}\\]|^\[(?![0-9a-f:.]+\]$)"))
     number = F.when(F.rlike(port, F.lit("^[0-9]{1,9}$")), port).try_cast("int")
-    return good & ((port == "") | F.coalesce(number <= 65535, F.lit(False)))
+    return F.coalesce(good, F.lit(False)) & ((port == "") | F.coalesce(number <= 65535, F.lit(False)))
+
+
+#: What is percent-encoded in a path, and segments that are resolved.
+ENCODED = r"[\x00-\x20\x22<>`{}\x7f]|[^\x00-\x7F]"
+DOTS = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"
+
+
+def _resolved(raw: Column) -> Column:
+    """A path without its dot segments."""
+    segments = F.split(raw, "/")
+    inner = F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0)))
+    told = F.transform(inner, lambda x, i: F.struct(F.regexp_replace(x, "(?i)%2e", ".").alias("plain"), x.alias("text"), (i == F.size(inner) - 1).alias("last")))
+
+    def add(made: Column, x: Column) -> Column:
+        ends = F.when(x.last, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        shorter = F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0)))
+        return F.when(x.plain == "..", F.concat(shorter, ends)).when(x.plain == ".", F.concat(made, ends)).otherwise(F.concat(made, F.array(x.text)))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(told, F.array().cast("array<string>"), add), "/"))
 
 
 def path(url: Column) -> Column:
-    """Path, beginning with a slash or empty."""
-    return F.translate(F.regexp_extract(url, r"^https?:[/\\]*[^/\\?#]*([^?#]*)", 1), "\\", "/")
+    """Path, beginning with a slash or empty, normalised."""
+    raw = F.translate(F.regexp_extract(bare(url), r"^https?:[/\\]*[^/\\?#]*([^?#]*)", 1), "\\", "/")
+    raw = F.when(F.rlike(raw, F.lit(DOTS)), _resolved(raw)).otherwise(raw)
+    signs = F.regexp_extract_all(raw, F.lit("(?s)."), F.lit(0))
+    encoded = F.array_join(F.transform(signs, lambda c: F.when(F.rlike(c, F.lit(ENCODED)), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)), "")
+    return F.when(F.rlike(raw, F.lit(ENCODED)), encoded).otherwise(raw)
 
 
 def file_name(url: Column) -> Column:
