@@ -3,34 +3,19 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
 from pyspark.sql import SparkSession
 
-from webloom.operators.sinks import front_matter
-from webloom.options import TOOL_GUIDE, FetchOptions
-from webloom.schemas import REQUEST_SCHEMA, RESPONSE_FIELDS
+from webloom.api import FetchRequest, FetchTool
+from webloom.operators.sinks import front_matter, response_json
+from webloom.options import TOOL_GUIDE
 
 
 def _session() -> SparkSession:
     return SparkSession.builder.appName("webloom").config("spark.ui.enabled", "false").getOrCreate()
 
 
-def fetch_one(spark: SparkSession, url: str, method: str | None = None, as_markdown: bool | None = None, as_text: bool | None = None, options: FetchOptions | None = None) -> dict:
-    """Result of one live request without its null fields; ValueError with the message where there is none."""
-    from webloom.operators.fetch import fetch_with_options
-    from webloom.sources.live import capture
-
-    options = options or FetchOptions(enable_markdown=True, enable_text=True)
-    asked = spark.createDataFrame([(url, method, as_markdown, as_text)], REQUEST_SCHEMA)
-    out = fetch_with_options(capture(asked, options), options)
-    row = out.select(*RESPONSE_FIELDS, "error_message", front_matter().alias("front")).first().asDict()
-    if row["error_message"]:
-        raise ValueError(row["error_message"])
-    return {k: v for k, v in row.items() if v is not None and k != "error_message"}
-
-
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="webloom")
     parser.add_argument("--guide", action="store_true")
@@ -46,9 +31,11 @@ def main(args: list[str] | None = None) -> int:
         return 0
     try:
         if known.command == "fetch":
-            out = fetch_one(_session(), known.url, as_markdown=True, options=FetchOptions(known.user_agent, enable_markdown=True, enable_text=True))
-            front = out.pop("front")
-            print(front if known.output == "md" else json.dumps(out, indent=2, ensure_ascii=False))
+            asked = FetchRequest(known.url, as_markdown=True)
+            out = FetchTool(user_agent=known.user_agent, spark=_session()).results(asked).select("error_message", front_matter().alias("md"), response_json(pretty=True).alias("json")).first()
+            if out["error_message"]:
+                raise ValueError(out["error_message"])
+            print(out[known.output])
             return 0
         if known.command == "rpc":
             from webloom.operators.rpc import parse, replies

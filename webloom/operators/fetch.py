@@ -28,6 +28,14 @@ def result(df: DataFrame, fields: dict[str, Column], columns: list[str] | None =
     return df.select(*rest, *[fields.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in RESULT_FIELDS])
 
 
+def spare(columns: list[str]) -> str:
+    """A prefix for helper columns that none of ``columns`` has."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 Fields = tuple[DataFrame, dict[str, Column]]
 
 
@@ -44,41 +52,42 @@ def default_fields(captures: DataFrame, options: FetchOptions, active: Column) -
     ordinary. A network error gives error_kind and error_message alone.
     """
     headers = F.col("headers")
+    p = spare(captures.columns)
     # Values that several fields need are columns of their own, which the planner computes once.
-    step = captures.withColumn("_ok", F.coalesce(active & F.col("net_error").isNull(), F.lit(False)))
-    ok = F.col("_ok")
-    step = step.withColumns({"_kind": F.when(ok, http.header(headers, "content-type")), "_head": ok & (http.effective_method(F.col("method")) == "HEAD")})
-    kind, head = F.col("_kind"), F.col("_head")
-    step = step.withColumns({"_binary": ok & ~head & http.is_binary(kind), "_textual": ok & ~head & ~http.is_binary(kind)})
-    textual = F.col("_textual")
-    step = step.withColumn("_body", F.when(textual, F.coalesce(lossy(F.col("body")), F.lit(""))))
+    step = captures.withColumn(f"{p}ok", F.coalesce(active & F.col("net_error").isNull(), F.lit(False)))
+    ok = F.col(f"{p}ok")
+    step = step.withColumns({f"{p}kind": F.when(ok, http.header(headers, "content-type")), f"{p}head": ok & (http.effective_method(F.col("method")) == "HEAD")})
+    kind, head = F.col(f"{p}kind"), F.col(f"{p}head")
+    step = step.withColumns({f"{p}binary": ok & ~head & http.is_binary(kind), f"{p}textual": ok & ~head & ~http.is_binary(kind)})
+    textual = F.col(f"{p}textual")
+    step = step.withColumn(f"{p}body", F.when(textual, F.coalesce(lossy(F.col("body")), F.lit(""))))
     markdown = F.lit(options.enable_markdown) & F.coalesce(F.col("as_markdown"), F.lit(False))
     text = F.lit(options.enable_text) & F.coalesce(F.col("as_text"), F.lit(False))
-    form = F.when(textual, F.when((markdown | text) & http.is_html(kind, F.col("_body")), F.when(markdown, "markdown").otherwise("text")).otherwise("raw"))
-    step = step.withColumn("_format", form)
-    wanted = {name: F.coalesce(F.col("_format") == name, F.lit(False)) if on else None for name, on in (("markdown", options.enable_markdown), ("text", options.enable_text))}
-    content = F.when(F.col("_format") == "raw", F.col("_body"))
+    form = F.when(textual, F.when((markdown | text) & http.is_html(kind, F.col(f"{p}body")), F.when(markdown, "markdown").otherwise("text")).otherwise("raw"))
+    step = step.withColumn(f"{p}format", form)
+    wanted = {name: F.coalesce(F.col(f"{p}format") == name, F.lit(False)) if on else None for name, on in (("markdown", options.enable_markdown), ("text", options.enable_text))}
+    content = F.when(F.col(f"{p}format") == "raw", F.col(f"{p}body"))
     if options.enable_markdown or options.enable_text:
-        content = F.coalesce(content, H.converted(F.col("_body"), wanted["markdown"], wanted["text"]))
+        content = F.coalesce(content, H.converted(F.col(f"{p}body"), wanted["markdown"], wanted["text"]))
     cut = textual & F.coalesce(F.col("truncated"), F.lit(False))
     step = step.withColumns({
-        "_size": F.when(textual, F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")).when(ok, http.content_length(http.header(headers, "content-length"))),
-        "_content": F.concat(filter_excessive_newlines(content), F.when(cut, TRUNCATED).otherwise("")),
-        "_filename": F.when(ok, http.file_name(http.header(headers, "content-disposition"), F.col("url"))),
+        f"{p}size": F.when(textual, F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")).when(ok, http.content_length(http.header(headers, "content-length"))),
+        f"{p}content": F.concat(filter_excessive_newlines(content), F.when(cut, TRUNCATED).otherwise("")),
+        f"{p}filename": F.when(ok, http.file_name(http.header(headers, "content-disposition"), F.col("url"))),
     })
     network = F.when(active, errors.network_kind(F.col("net_error")))
     return step, {
         "url": F.col("url"),
         "status_code": F.when(ok, F.col("status_code")),
         "content_type": kind,
-        "size": F.col("_size"),
+        "size": F.col(f"{p}size"),
         "last_modified": F.when(ok, http.header(headers, "last-modified")),
-        "filename": F.col("_filename"),
-        "format": F.col("_format"),
-        "content": F.col("_content"),
+        "filename": F.col(f"{p}filename"),
+        "format": F.col(f"{p}format"),
+        "content": F.col(f"{p}content"),
         "truncated": F.when(cut, True),
         "method": F.when(head, "HEAD"),
-        "error": F.when(F.col("_binary"), BINARY),
+        "error": F.when(F.col(f"{p}binary"), BINARY),
         "error_kind": network,
         "error_message": errors.message(network, F.col("net_error")),
     }
@@ -91,7 +100,7 @@ def default_response(captures: DataFrame, options: FetchOptions) -> DataFrame:
 
 
 def fetch_with_options(captures: DataFrame, options: FetchOptions) -> DataFrame:
-    """Results of captures through the default registry. Captures of repository pages carry further columns; without them those rows count as not found."""
+    """Results of captures through the default registry. Captures of repository pages carry further columns; without them those rows are errors."""
     from webloom.operators.registry import FetcherRegistry
 
     return FetcherRegistry.with_defaults().fetch(captures, options, missing=True)

@@ -36,9 +36,17 @@ def passed(df: DataFrame, options: FetchOptions) -> DataFrame:
     return df.where(U.parses(url))
 
 
-def blocked_by_table(df: DataFrame, prefixes: DataFrame, most: int = 10_000) -> DataFrame:
-    """Rows that start with none of the prefixes of a table (prefix), which may hold up to ``most`` rows: a larger one raises."""
-    if prefixes.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} prefixes")
-    p = F.broadcast(prefixes.select("prefix"))
-    return df.join(p, F.startswith(df["url"], p["prefix"]), "left_anti")
+def blocked_by_table(df: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Rows whose URL starts with none of the prefixes of a table (prefix), however many these are. Null URLs stay.
+
+    Each distinct URL is cut to every length that a prefix has; the cuts meet the prefixes in an equi-join, so no URL is
+    held against every prefix. What comes to the driver is the distinct lengths.
+    """
+    known = prefixes.select("prefix").where("prefix is not null").distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("prefix")).distinct().collect())
+    if not lengths:
+        return df
+    cuts = F.array(*[F.when(F.length("_url") >= n, F.substring("_url", 1, n)) for n in lengths])
+    urls = df.select(F.col("url").alias("_url")).where("_url is not null").distinct().select("_url", F.explode(cuts).alias("prefix"))
+    blocked = urls.join(known, "prefix", "left_semi").select("_url").distinct()
+    return df.join(blocked, df["url"] == blocked["_url"], "left_anti")

@@ -81,13 +81,13 @@ class FetcherRegistry:
         Rows that fail a check, or that no fetcher takes, have an error and nothing else but their URL. A fetcher's
         failure doesn't fall back to another fetcher.
         """
-        url = F.col("url")
-        checked = captures.withColumn("_check", F.coalesce(guard.error_kind(url, options, missing), errors.method_kind(F.col("method"))))
-        checked = checked.withColumn("_route", F.when(F.col("_check").isNull(), self.route(url)))
-        route = F.coalesce(F.col("_route"), F.lit(""))
+        url, p = F.col("url"), respond.spare(captures.columns)
+        checked = captures.withColumn(f"{p}check", F.coalesce(guard.error_kind(url, options, missing), errors.method_kind(F.col("method"))))
+        checked = checked.withColumn(f"{p}route", F.when(F.col(f"{p}check").isNull(), self.route(url)))
+        route = F.coalesce(F.col(f"{p}route"), F.lit(""))
         apart = [f for f in self.fetchers if not hasattr(f, "fields")]
         step = checked.where(~route.isin(*[f.name for f in apart])) if apart else checked
-        made = [(F.lit(True), respond.failure_fields(F.coalesce(F.col("_check"), F.when(route == "", "FetcherError")), F.lit("No fetcher available for URL")))]
+        made = [(F.lit(True), respond.failure_fields(F.coalesce(F.col(f"{p}check"), F.when(route == "", "FetcherError")), F.lit("No fetcher available for URL")))]
         for f in self.fetchers:
             if f not in apart:
                 step, fields = f.fields(step, options, route == f.name)
@@ -97,5 +97,5 @@ class FetcherRegistry:
             cases = [(active, given[name]) for active, given in reversed(made) if name in given]
             fields[name] = reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])) if cases else F.lit(None)
         out = respond.result(step, fields, captures.columns)
-        parts = [f.fetch(checked.where(route == f.name).drop("_check", "_route"), options) for f in apart]
+        parts = [f.fetch(checked.where(route == f.name).drop(f"{p}check", f"{p}route"), options) for f in apart]
         return reduce(lambda a, b: a.unionByName(b), parts, out)

@@ -15,7 +15,10 @@ from webloom.operators.sinks import front_matter
 from webloom.options import TOOL_DESCRIPTION, TOOL_NAME, FetchOptions
 from webloom.schemas import RESPONSE_FIELDS
 
+# The protocol's version, its error codes, and the messages that go with them.
 PROTOCOL = "2024-11-05"
+PARSE_ERROR, NOT_FOUND, BAD_PARAMS = -32700, -32601, -32602
+UNKNOWN_TOOL, MISSING_URL, UNKNOWN_METHOD = "Unknown tool: ", "Missing required argument: url", "Method not found: "
 
 
 def _reply(id_: Column, body: Column) -> Column:
@@ -60,24 +63,27 @@ def replies(lines: DataFrame, captures: DataFrame | None = None, column: str = "
     if captures is None:
         told = told.withColumn("text", F.lit(None).cast("string"))
     else:
+        # only pages that are called for are converted; a broadcast of the calls, where they are few, saves the shuffle
+        called = told.where("call_url is not null").select("call_url").distinct()
+        captures = captures.join(called, captures["url"] == called["call_url"], "left_semi")
         pages = fetch(captures.withColumn("as_markdown", F.lit(True)).select(*captures.columns if "as_markdown" in captures.columns else [*captures.columns, "as_markdown"]))
         pages = pages.select(F.col("url").alias("page_url"), F.when(F.col("error_kind").isNull(), front_matter({n: F.col(n) for n in RESPONSE_FIELDS})).alias("text"), "error_message")
         told = told.join(pages, told.call_url == pages.page_url, "left")
         failure = F.coalesce("error_message", failure)
     content = lambda s, more: F.concat(F.lit('"result":{"content":[{"type":"text","text":'), _quoted(s), F.lit("}]" + more + "}"))
-    listed = {"tools": [{"name": tool_name, "description": TOOL_DESCRIPTION, "inputSchema": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"]}}]}
+    listed = {"tools": [{"name": tool_name, "description": TOOL_DESCRIPTION, "inputSchema": {"type": "object", "properties": {"url": {"type": "string", "description": "Address of the page, beginning with http:// or https://"}}, "required": ["url"]}}]}
     first = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": tool_name, "version": __version__}}
     constant = lambda x: F.lit('"result":' + json.dumps(x, separators=(",", ":")))
     method = F.col("rpc_method")
     body = (
-        F.when(F.col("bad"), _error(-32700, F.lit("Parse error: not a request")))
+        F.when(F.col("bad"), _error(PARSE_ERROR, F.lit("Parse error: not a request")))
         .when(method == "initialize", constant(first))
         .when(method == "tools/list", constant(listed))
-        .when((method == "tools/call") & ~F.coalesce(F.col("tool") == tool_name, F.lit(False)), _error(-32602, F.concat(F.lit("Unknown tool: "), F.coalesce("tool", F.lit("")))))
-        .when((method == "tools/call") & F.col("call_url").isNull(), _error(-32602, F.lit("Missing required argument: url")))
+        .when((method == "tools/call") & ~F.coalesce(F.col("tool") == tool_name, F.lit(False)), _error(BAD_PARAMS, F.concat(F.lit(UNKNOWN_TOOL), F.coalesce("tool", F.lit("")))))
+        .when((method == "tools/call") & F.col("call_url").isNull(), _error(BAD_PARAMS, F.lit(MISSING_URL)))
         .when((method == "tools/call") & F.col("text").isNotNull(), content(F.col("text"), ""))
         .when(method == "tools/call", content(F.concat(F.lit("Error: "), failure), ',"isError":true'))
         .when(method == "notifications/initialized", F.lit('"result":null'))
-        .otherwise(_error(-32601, F.concat(F.lit("Method not found: "), method)))
+        .otherwise(_error(NOT_FOUND, F.concat(F.lit(UNKNOWN_METHOD), method)))
     )
     return told.select(*kept, _reply(F.when(~F.col("bad"), F.col("id")), body).alias("reply"))

@@ -18,9 +18,17 @@ def front_matter(r: dict[str, Column] | None = None) -> Column:
     )
 
 
+def _member(name: str) -> Column:
+    """A field as a member of a JSON object with a blank after the colon, null if the field is."""
+    value = F.regexp_replace(F.to_json(F.array(F.col(name))), r"^\[|\]$", "")
+    return F.when(F.col(name).isNotNull(), F.concat(F.lit(f'"{name}": '), value))
+
+
 def response_json(pretty: bool = False) -> Column:
-    """A result as JSON, without its null fields."""
-    return F.to_json(F.struct(*RESPONSE_FIELDS), {"pretty": "true"} if pretty else {})
+    """A result as JSON, without its null fields; ``pretty`` with a line for each field, two blanks ahead."""
+    if pretty:
+        return F.concat(F.lit("{\n  "), F.concat_ws(",\n  ", *[_member(n) for n in RESPONSE_FIELDS]), F.lit("\n}"))
+    return F.to_json(F.struct(*RESPONSE_FIELDS))
 
 
 def request_json() -> Column:

@@ -94,8 +94,12 @@ class Tool:
 
     def input_schema(self) -> dict:
         """JSON Schema of a request, without the conversions that are off."""
-        flag = {"type": ["boolean", "null"]}
-        properties = {"url": {"type": "string"}, "method": {"enum": ["GET", "HEAD", None]}, "as_markdown": flag, "as_text": flag}
+        flag = lambda text: {"type": ["boolean", "null"], "description": text}
+        properties = {
+            "url": {"type": "string", "description": "Address of the page, beginning with http:// or https://"},
+            "method": {"enum": ["GET", "HEAD", None], "description": "GET unless it is given; HEAD gives metadata alone"},
+            "as_markdown": flag("Turn HTML into Markdown"), "as_text": flag("Turn HTML into plain text"),
+        }
         off = {"as_markdown": not self.options.enable_markdown, "as_text": not self.options.enable_text}
         return {"type": "object", "required": ["url"], "properties": {k: v for k, v in properties.items() if not off.get(k)}}
 
@@ -105,7 +109,13 @@ class Tool:
         from webloom.schemas import RESPONSE_SCHEMA
 
         kinds = {"string": "string", "integer": "integer", "long": "integer", "boolean": "boolean"}
-        properties = {f.name: {"type": kinds[f.dataType.typeName()] if f.name in ("url", "status_code") else [kinds[f.dataType.typeName()], "null"]} for f in RESPONSE_SCHEMA}
+        told = {
+            "url": "Address as it was asked for", "status_code": "HTTP status", "content_type": "Content-Type header", "size": "Bytes of the body", "last_modified": "Last-Modified header",
+            "filename": "From Content-Disposition, else from the address", "format": "markdown, text, raw or github_repo", "content": "The text", "truncated": "Whether the body was cut off",
+            "method": "HEAD for such a request", "error": "Why there is no content",
+        }
+        kind = lambda f: kinds[f.dataType.typeName()]
+        properties = {f.name: {"type": kind(f) if f.name in ("url", "status_code") else [kind(f), "null"], "description": told[f.name]} for f in RESPONSE_SCHEMA}
         return {"type": "object", "required": ["url", "status_code"], "properties": properties}
 
     def execute(self, captures: DataFrame) -> DataFrame:
@@ -116,6 +126,8 @@ class Tool:
     def execute_with_status(self, captures: DataFrame, report: Callable[[ToolStatus], None]) -> DataFrame:
         """Runs the job now, with reports: validate 0, connect 10, fetch 20, complete 100.
 
+        The result is persisted, as the job has run once it is returned; unpersist() it when it isn't needed any more.
+
         As soon as a URL of the batch is empty or lacks a scheme, nothing after validate is reported; such rows carry
         their errors all the same.
         """
@@ -128,7 +140,7 @@ class Tool:
             return out
         report(ToolStatus("connect").with_percent(10.0))
         report(ToolStatus("fetch").with_percent(20.0))
-        out = out.cache()
+        out = out.persist()
         out.count()
         report(ToolStatus("complete").with_percent(100.0))
         return out
