@@ -1,26 +1,31 @@
 """Queries over the driver's tables, each with its DuckDB equivalent.
 
 The SQL is written apart from the expressions it checks. Where it converts pages it leans on what the test pages hold:
-no lists in lists, no preformatted text, no quotes.
+no lists in lists, no preformatted text, no quotes; ``html_nested`` has pages with these and what they become.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from webloom.functions import errors, http
 from webloom.functions import html as H
 from webloom.functions import text as T
 from webloom.functions import url as U
 from webloom.operators import guard, repository, rpc, sinks
-from webloom.operators.fetch import fetch_with_options
-from webloom.operators.registry import FetcherRegistry
+from webloom.operators.fetch import fetch_with_options, result
+from webloom.operators.registry import DefaultFetcher, FetcherRegistry
 from webloom.options import FetchOptions, Tool
+from webloom.schemas import CAPTURE_SCHEMA, RESPONSE_FIELDS
 from webloom.sources.captured import from_pages, varied
+from webloom.sources.layout import shared_dir, spread
+from webloom.streaming.fetch_stream import to_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +50,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages")
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for expensive expressions: a small table is dealt to all cores."""
+    return spread(_pages(spark, sf_dir))
+
+
 def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -203,6 +213,49 @@ def url_filename(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", U.file_name(F.col("url")).alias("filename"))
 
 
+class _Notes:
+    """A plug-in for addresses below a prefix: its results name it."""
+
+    name = "notes"
+
+    def matches(self, url: Column) -> Column:
+        return F.startswith(url, F.lit("https://site1"))
+
+    def fetch(self, captures: DataFrame, options: FetchOptions) -> DataFrame:
+        return result(captures, {"url": F.col("url"), "status_code": F.lit(200), "format": F.lit("notes"), "content": F.concat(F.lit("notes on "), F.col("url"))})
+
+
+@query("select page_id, url, 200 as status_code, case when starts_with(url, 'https://site1') then 'notes' else 'raw' end as format, case when starts_with(url, 'https://site1') then 'notes on ' || url end as notes from pages")
+def registry_plugin(spark, sf_dir):
+    registry = FetcherRegistry([_Notes()]).register(DefaultFetcher())
+    out = registry.fetch(from_pages(_dealt(spark, sf_dir)))
+    return out.select("page_id", "url", "status_code", "format", F.when(F.col("format") == "notes", F.col("content")).alias("notes"))
+
+
+@query("select page_id, url, 'FetcherError' as error_kind, 'Fetcher error: No fetcher available for URL' as error_message from pages")
+def registry_empty(spark, sf_dir):
+    return FetcherRegistry().fetch(from_pages(_pages(spark, sf_dir))).select("page_id", "url", "error_kind", "error_message")
+
+
+@query(f"""select page_id, case when starts_with(url, 'http://') then 'BlockedUrl' end as error_kind, case when starts_with(url, 'http://') then 'Blocked URL: prefix not allowed' end as error_message,
+  case when not starts_with(url, 'http://') then 'raw' end as format, case when not starts_with(url, 'http://') then {_sql_cap("html")} end as content from pages""")
+def tool_execute(spark, sf_dir):
+    tool = Tool.builder().enable_markdown(False).allow_prefix("http").block_prefix("http://").build()
+    return tool.execute(from_pages(_dealt(spark, sf_dir), as_markdown=True)).select("page_id", "error_kind", "error_message", "format", "content")
+
+
+STEPS = [(1, "validate", 0.0), (2, "connect", 10.0), (3, "fetch", 20.0), (4, "complete", 100.0)]
+
+
+@query("select n, phase, percent::double as percent, (select count(*) from pages) as rows from (values (1, 'validate', 0), (2, 'connect', 10), (3, 'fetch', 20), (4, 'complete', 100)) t(n, phase, percent)")
+def tool_status(spark, sf_dir):
+    told = []
+    out = Tool().execute_with_status(from_pages(_dealt(spark, sf_dir), as_text=True), told.append)
+    rows = out.count()
+    out.unpersist()
+    return _rows(spark, "n int, phase string, percent double, rows long", [(i + 1, s.phase, s.percent_complete, rows) for i, s in enumerate(told)])
+
+
 # ---- headers, types, methods -----------------------------------------------------------------------------------------
 
 
@@ -247,7 +300,7 @@ def body_size(spark, sf_dir):
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
+    d = spread(_table(spark, sf_dir, "documents")).select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
     return d.unionByName(_table(spark, sf_dir, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))
 
 
@@ -288,24 +341,49 @@ for _tag in H.SKIPPED.split("|"):
 def strip_skip_elements(spark, sf_dir):
     tokens = F.regexp_extract_all("html", F.lit(H.TOKEN), F.lit(0))
     kept = F.filter(tokens, lambda t: ~F.rlike(t, F.lit(rf"(?iU)^<\s*(?:{H.SKIPPED})[\s>]")))
-    return _pages(spark, sf_dir).select("page_id", F.array_join(kept, "").alias("html"))
+    return _dealt(spark, sf_dir).select("page_id", F.array_join(kept, "").alias("html"))
 
 
 @query(f"select page_id, {SQL_TEXT} as text from pages")
 def html_to_text(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", H.html_to_text(F.col("html")).alias("text"))
+    return _dealt(spark, sf_dir).select("page_id", H.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"select page_id, {SQL_MARKDOWN} as markdown from pages")
 def html_to_markdown(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
+    return _dealt(spark, sf_dir).select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+NESTED = [
+    (1, "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>z", "\n- a\n- b\n- c\nz".strip(), "ab\n\nc\nz"),
+    (2, "x<pre>a  b\n<code>c</code></pre>y", "x\n```\na b\nc\n```\ny", "xa b\ncy"),
+    (3, "p<blockquote>q\nr</blockquote>s", "p\n> q\n> r\ns", "pq\nrs"),
+    (4, "a<script>var x='<script>';</script>b</script>c", "ac", "ac"),
+    (5, "<ol><li>1<ol><li>2</li></ol></ol><p>t</p>", "- 1\n- 2\nt", "12\n\nt"),
+    (6, "<pre><b>x</b></pre>&amp;<blockquote>&lt;</blockquote>", "```\n**x**\n```\n&\n> <", "x&<"),
+    (7, "<svg><style>s</svg>t</style></svg>u", "u", "u"),
+    (8, "&#x41;&#66;&mdash;&unknown;&amp", "AB—&&", "AB—&&"),
+    (9, "<BLOCKQUOTE><h2>T</h2>b</BLOCKQUOTE>", ">\n## T\n\nb", "T\nb"),
+]
+
+
+@query("select * from " + _values(NESTED, "id, html, markdown, text").replace("(id, html, markdown, text)", "(id, html, markdown, text)"))
+def html_nested(spark, sf_dir):
+    rows = _rows(spark, "id int, html string", [r[:2] for r in NESTED])
+    return rows.select("id", "html", H.html_to_markdown(F.col("html")).alias("markdown"), H.html_to_text(F.col("html")).alias("text"))
+
+
+@query(f"select page_id, {SQL_MARKDOWN} as markdown, {SQL_TEXT} as text from pages")
+def sql_functions(spark, sf_dir):
+    H.register(spark)
+    return _dealt(spark, sf_dir).selectExpr("page_id", "html_to_markdown(html) as markdown", "html_to_text(html) as text")
 
 
 # ---- results ---------------------------------------------------------------------------------------------------------
 
 
 def _fetched(spark, sf_dir, options: FetchOptions, **flags) -> DataFrame:
-    return fetch_with_options(from_pages(_pages(spark, sf_dir), **flags), options).select("page_id", "url", "status_code", "size", "format", "content")
+    return fetch_with_options(from_pages(_dealt(spark, sf_dir), **flags), options).select("page_id", "url", "status_code", "size", "format", "content")
 
 
 def _sql_fetched(form: str, content: str) -> str:
@@ -334,46 +412,57 @@ def fetch_conversion_disabled(spark, sf_dir):
 
 @query(f"{SQL_RESULT} select * from r")
 def fetch_varied(spark, sf_dir):
-    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH)
+    return fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH)
 
 
 @query(f"{SQL_RESULT} select page_id, status_code, content_type, size, last_modified, filename, method from r where method = 'HEAD'")
 def head_metadata(spark, sf_dir):
-    out = fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("method = 'HEAD'")
+    out = fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("method = 'HEAD'")
     return out.select("page_id", "status_code", "content_type", "size", "last_modified", "filename", "method")
 
 
 @query(f"{SQL_RESULT} select page_id, truncated, content from r where truncated")
 def truncation_marker(spark, sf_dir):
-    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("truncated").select("page_id", "truncated", "content")
+    return fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("truncated").select("page_id", "truncated", "content")
 
 
 @query(f"{SQL_RESULT} select page_id, size, content, format, error from r where error is not null")
 def binary_response(spark, sf_dir):
-    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("error is not null").select("page_id", "size", "content", "format", "error")
+    return fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("error is not null").select("page_id", "size", "content", "format", "error")
 
 
 @query(f"{SQL_RESULT} select page_id, status_code, format, content from r where status_code >= 400")
 def status_passthrough(spark, sf_dir):
-    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("status_code >= 400").select("page_id", "status_code", "format", "content")
+    return fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("status_code >= 400").select("page_id", "status_code", "format", "content")
 
 
 @query(f"""{SQL_RESULT} select page_id, concat('---', chr(10), 'url: ', url, chr(10), 'status_code: ' || status_code || chr(10), 'source_content_type: ' || content_type || chr(10), 'source_size: ' || size || chr(10),
   'last_modified: ' || last_modified || chr(10), 'filename: ' || filename || chr(10), case when truncated then 'truncated: true' || chr(10) end, '---', chr(10), coalesce(content, error, '')) as front from r where error_kind is null""")
 def front_matter(spark, sf_dir):
-    return fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("error_kind is null").select("page_id", sinks.front_matter().alias("front"))
+    return fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("error_kind is null").select("page_id", sinks.front_matter().alias("front"))
 
 
 @query(f"""{SQL_RESULT}, j as (select page_id, json_merge_patch('{{}}', to_json({{url: url, status_code: status_code, content_type: content_type, size: size, last_modified: last_modified, filename: filename, format: format,
-  truncated: truncated, method: method, error: error}}))::varchar as json from r where error_kind is null) select * from j""")
+  content: content, truncated: truncated, method: method, error: error}}))::varchar as json from r where error_kind is null) select * from j""")
 def response_json(spark, sf_dir):
-    out = fetch_with_options(varied(_pages(spark, sf_dir)), BOTH).where("error_kind is null").withColumn("content", F.lit(None).cast("string"))
+    out = fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("error_kind is null")
     return out.select("page_id", sinks.response_json().alias("json"))
 
 
+def _sql_member(name: str) -> str:
+    return f"""'"{name}": ' || to_json({name})::varchar"""
+
+
+@query(f"""{SQL_RESULT} select page_id, '{{' || chr(10) || '  ' || array_to_string(list_filter([{', '.join(_sql_member(n) for n in RESPONSE_FIELDS)}], lambda x: x is not null), ',' || chr(10) || '  ') || chr(10) || '}}' as json
+  from r where error_kind is null""")
+def response_json_pretty(spark, sf_dir):
+    out = fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("error_kind is null")
+    return out.select("page_id", sinks.response_json(pretty=True).alias("json"))
+
+
 @query("select page_id, 'FetchResponse(url=\"' || url || '\", status_code=200)' as line from pages")
 def short_form(spark, sf_dir):
-    return fetch_with_options(from_pages(_pages(spark, sf_dir)), BOTH).select("page_id", sinks.short_form().alias("line"))
+    return fetch_with_options(from_pages(_dealt(spark, sf_dir)), BOTH).select("page_id", sinks.short_form().alias("line"))
 
 
 REQUESTS = [(1, '{"url":"https://a.b","method":"GET","as_markdown":true,"extra":1}'), (2, '{"method":"GET"}'), (3, '{"url":"x","method":"get"}'), (4, "not json"), (5, '{"url":"y"}')]
@@ -394,12 +483,24 @@ def error_taxonomy(spark, sf_dir):
     return _rows(spark, "id int, net_error string", NETWORK).select("id", kind.alias("error_kind"), errors.message(kind, F.col("net_error")).alias("error_message"))
 
 
+KINDS = [
+    ("MissingUrl", "Missing required parameter: url"), ("InvalidUrlScheme", "Invalid URL: must start with http:// or https://"), ("InvalidMethod", "Invalid method: must be GET or HEAD"),
+    ("BlockedUrl", "Blocked URL: prefix not allowed"), ("ClientBuildError", "Failed to create HTTP client"), ("FirstByteTimeout", "Request timed out: server did not respond within 1 second"),
+    ("ConnectError", "Failed to connect to server"), ("RequestError", "Request failed: why"), ("FetcherError", "Fetcher error: why"),
+]
+
+
+@query("select kind, message from " + _values(KINDS, "kind, message"))
+def error_messages(spark, sf_dir):
+    return _rows(spark, "kind string", [(k,) for k, _ in KINDS]).select("kind", errors.message(F.col("kind"), F.lit("why")).alias("message"))
+
+
 # ---- repositories ----------------------------------------------------------------------------------------------------
 
-BASE64 = [(1, "SGVsbG8sIFdvcmxkIQ=="), (2, ""), (3, "abc"), (4, "SGVs\nbG8="), (5, "////"), (6, None)]
+BASE64 = [(1, "SGVsbG8sIFdvcmxkIQ=="), (2, ""), (3, "abc"), (4, "SGVs\nbG8="), (5, "////"), (6, None), (7, "QQ==Qg==Q0Q="), (8, "QU=DQUJD")]
 
 
-@query("select * from (values (1, 'Hello, World!'), (2, ''), (3, null), (4, 'Hello'), (5, null), (6, null)) t(id, text)")
+@query("select * from (values (1, 'Hello, World!'), (2, ''), (3, null), (4, 'Hello'), (5, null), (6, null), (7, 'ABCD'), (8, 'A' || chr(3) || 'ABC')) t(id, text)")
 def github_base64(spark, sf_dir):
     return _rows(spark, "id int, encoded string", BASE64).select("id", T.base64_text(F.col("encoded")).alias("text"))
 
@@ -440,13 +541,37 @@ def _repo_sql() -> str:
 @query(_repo_sql())
 def github_markdown(spark, sf_dir):
     rows = _rows(spark, "id int, repo_status int, repo_json string, readme_status int, readme_json string", REPOS)
-    from webloom.schemas import CAPTURE_SCHEMA
-
     blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in CAPTURE_SCHEMA}
     captures = rows.select("*", *[F.lit("https://github.com/owner/repo").alias("url") if n == "url" else c for n, c in blank.items()])
     return fetch_with_options(captures, BOTH).select("id", "status_code", "content_type", "format", "content", "error", "error_message")
 
 
+FAILED = [(1, "timeout", None), (2, "connect", 200), (3, "reset", None), (4, None, None), (5, None, 404)]
+
+
+@query(f"""select id, case when net_error is null and repo_status = 404 then 404 end as status_code, case when net_error is null and repo_status = 404 then 'Repository owner/repo not found' end as error,
+  case net_error when 'timeout' then 'FirstByteTimeout' when 'connect' then 'ConnectError' when 'reset' then 'RequestError' else case when repo_status is null then 'FetcherError' end end as error_kind,
+  case net_error when 'timeout' then 'Request timed out: server did not respond within 1 second' when 'connect' then 'Failed to connect to server' when 'reset' then 'Request failed: reset'
+  else case when repo_status is null then 'Fetcher error: No repository record was captured' end end as error_message from {_values(FAILED, 'id, net_error, repo_status')}""")
+def github_network_errors(spark, sf_dir):
+    rows = _rows(spark, "id int, net_error string, repo_status int", FAILED)
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in CAPTURE_SCHEMA if f.name not in ("url", "net_error")}
+    captures = rows.select("*", F.lit("https://github.com/owner/repo").alias("url"), *blank.values())
+    return fetch_with_options(captures, BOTH).select("id", "status_code", "error", "error_kind", "error_message")
+
+
+URLS = [
+    (1, "https://github.com/a/./b", "a", "b", None), (2, "https://github.com/x/../a/b.c", "a", "b.c", "b.c"), (3, "https://github.com/a/b/%2E%2e/c.d", "a", "c.d", "c.d"), (4, "https://github.com/a/\t b.é", "a", "%20b.%C3%A9", "%20b.%C3%A9"),
+    (5, "https://git%68ub.com/a/b", "a", "b", None), (6, "https://github.com/a/b/..", None, None, None), (7, "https://h/q{1}.x?y.z", None, None, "q%7B1%7D.x"), (8, "https://h/a/b.x/.", None, None, None), (9, "https://h/x.y \n", None, None, "x.y"),
+]
+
+
+@query("select id, owner, repo, filename from " + _values(URLS, "id, url, owner, repo, filename"))
+def url_normalised(spark, sf_dir):
+    r = U.repository(F.col("url"))
+    return _rows(spark, "id int, url string", [x[:2] for x in URLS]).select("id", r.owner.alias("owner"), r.repo.alias("repo"), U.file_name(F.col("url")).alias("filename"))
+
+
 API_STATUS = [(1, 200), (2, 404), (3, 403), (4, 500), (5, 301), (6, 299)]
 
 
@@ -478,31 +603,49 @@ def jsonrpc_dispatch(spark, sf_dir):
     return rpc.replies(lines).where(~F.contains("reply", F.lit("serverInfo")) & ~F.contains("reply", F.lit('"tools"'))).select("line", "reply")
 
 
+HANDSHAKE = [
+    (0, '{"jsonrpc":"2.0","id":1,"result":{"protocolVersion":"2024-11-05","capabilities":{"tools":{}},"serverInfo":{"name":"webloom","version":"0.1.0"}}}'),
+    (1, '{"jsonrpc":"2.0","id":"a","result":{"tools":[{"name":"webloom","description":"Turns web responses into Markdown or plain text with their metadata; binary content gives metadata only.","inputSchema":'
+    '{"type":"object","properties":{"url":{"type":"string","description":"Address of the page, beginning with http:// or https://"}},"required":["url"]}}]}}'),
+]
+
+
+@query("select * from " + _values(HANDSHAKE, "line, reply"))
+def jsonrpc_handshake(spark, sf_dir):
+    return rpc.replies(_rows(spark, "line int, value string", list(enumerate(LINES[:2])))).select("line", "reply")
+
+
 @query(f"""select page_id, '{{"jsonrpc":"2.0","id":' || page_id || ',"result":{{"content":[{{"type":"text","text":' || to_json(concat('---', chr(10), 'url: ', url, chr(10), 'status_code: 200', chr(10), 'source_content_type: text/html', chr(10),
   'source_size: ', strlen(html), chr(10), 'filename: ' || ({SQL_FILE}) || chr(10), '---', chr(10), {_sql_cap(SQL_MARKDOWN)}))::varchar || '}}]}}}}' as reply from pages""")
 def jsonrpc_tools_call(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = _dealt(spark, sf_dir)
     ask = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.col("page_id").cast("string"), F.lit(',"method":"tools/call","params":{"name":"webloom","arguments":{"url":"'), F.col("url"), F.lit('"}}}'))
     captures = from_pages(pages).drop("page_id")
     return rpc.replies(pages.select("page_id", ask.alias("value")), captures).select("page_id", "reply")
 
 
-@query()
+@query("""with a as (select * from (values ('in', 'url', 'string', true), ('in', 'method', 'GET,HEAD,null', false), ('in', 'as_markdown', 'boolean,null', false), ('in', 'as_text', 'boolean,null', false),
+  ('out', 'url', 'string', true), ('out', 'status_code', 'integer', true), ('out', 'content_type', 'string,null', false), ('out', 'size', 'integer,null', false), ('out', 'last_modified', 'string,null', false),
+  ('out', 'filename', 'string,null', false), ('out', 'format', 'string,null', false), ('out', 'content', 'string,null', false), ('out', 'truncated', 'boolean,null', false), ('out', 'method', 'string,null', false),
+  ('out', 'error', 'string,null', false)) t(side, property, kinds, required))
+  select 'all' as tool, *, true as described from a union all select 'no_text', *, true from a where not (side = 'in' and property = 'as_text')""")
 def tool_schema(spark, sf_dir):
-    tools = [("all", Tool()), ("no_text", Tool.builder().enable_text(False).build())]
-    return _rows(spark, "tool string, input string, output string", [(n, json.dumps(t.input_schema()), json.dumps(t.output_schema())) for n, t in tools])
+    rows = []
+    for name, tool in (("all", Tool()), ("no_text", Tool.builder().enable_text(False).build())):
+        for side, schema in (("in", tool.input_schema()), ("out", tool.output_schema())):
+            for field, spec in schema["properties"].items():
+                kinds = spec.get("enum", spec.get("type"))
+                told = ",".join("null" if k is None else k for k in kinds) if isinstance(kinds, list) else kinds
+                rows.append((name, side, field, told, field in schema["required"], bool(spec.get("description"))))
+    return _rows(spark, "tool string, side string, property string, kinds string, required boolean, described boolean", rows)
 
 
 @query(_sql_fetched("text", SQL_TEXT))
 def stream_fetch_text(spark, sf_dir):
-    import uuid
-
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
     schema = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("html", StringType())])
     # a file stream reads folders or patterns
     pages = spark.readStream.schema(schema).parquet(f"{sf_dir}/pages.parquet*")
     out = fetch_with_options(from_pages(pages, as_text=True), BOTH).select("page_id", "url", "status_code", "size", "format", "content")
-    name = f"stream_{uuid.uuid4().hex}"
-    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    to_parquet(out, f"{folder}/out", f"{folder}/state").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
