@@ -1,12 +1,18 @@
 """Live requests against a server on this machine, the command line, and streams."""
 
+import base64
+import gzip
 import json
+import random
 import threading
+import time
+import zlib
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import pyarrow as pa
 import pytest
 
-from webloom import cli
+from webloom import api, cli
 from webloom.operators.fetch import fetch_with_options
 from webloom.options import FetchOptions
 from webloom.schemas import REQUEST_SCHEMA
@@ -16,14 +22,59 @@ from webloom.streaming import fetch_stream
 BOTH = FetchOptions(enable_markdown=True, enable_text=True)
 
 
+TEXT = "<p>" + "tide " * 4000 + "</p>"
+REPO = {
+    "name": "r", "full_name": "o/r", "html_url": "https://github.com/o/r", "stargazers_count": 1, "forks_count": 0, "open_issues_count": 0, "default_branch": "main", "created_at": "a", "updated_at": "b",
+    "pushed_at": "c", "archived": False, "fork": False, "owner": {"login": "o", "type": "User"},
+}
+
+
+def brotli(raw):
+    sink = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(sink, "brotli") as out:
+        out.write(raw)
+    return sink.getvalue().to_pybytes()
+
+
+CODED = {
+    "gzip": gzip.compress(TEXT.encode()), "deflate": zlib.compress(TEXT.encode()), "br": brotli(TEXT.encode()), "raw-deflate": zlib.compress(TEXT.encode())[2:-4],
+    "two": gzip.compress(TEXT[:99].encode()) + gzip.compress(TEXT[99:].encode()), "half": gzip.compress(random.Random(1).randbytes(90_000).hex().encode())[:20_000],
+}
+
+
 class Handler(BaseHTTPRequestHandler):
     def do_GET(self):
-        if self.path == "/slow":
+        name = self.path.strip("/")
+        if name == "slow":
             threading.Event().wait(2.5)
-        self.send_response(404 if self.path == "/gone" else 200)
+        if name.startswith("repos/"):
+            kind = name.split("/")[1]
+            status = {"o": 200, "gone": 404, "rate": 403}.get(kind, 200)
+            record = {"content": base64.b64encode(b"# Tide").decode(), "encoding": "base64"} if name.endswith("/readme") else REPO
+            body = json.dumps(record if self.headers["Accept"] == live.ACCEPT_API else {}).encode()
+            return self.answer(404 if kind == "bare" and name.endswith("/readme") else status, body)
+        if name in CODED:
+            return self.answer(200, CODED[name], {"two": "gzip", "half": "gzip", "raw-deflate": "deflate"}.get(name, name))
+        if name in ("cut", "trickle", "chunks"):  # a body that breaks off, one that never ends, one that breaks off between chunks
+            self.send_response(200)
+            self.send_header("Content-Type", "text/plain")
+            self.send_header(*(("Transfer-Encoding", "chunked") if name == "chunks" else ("Content-Length", "1000")))
+            self.end_headers()
+            self.wfile.write(b"4\r\nsome\r\n" if name == "chunks" else b"some")
+            for _ in range(40 if name == "trickle" else 0):
+                self.wfile.write(b".")
+                self.wfile.flush()
+                time.sleep(0.1)
+            self.close_connection = True
+            return None
+        return self.answer(404 if name == "gone" else 200, f"<h1>{self.headers['Accept']}</h1>".encode())
+
+    def answer(self, status, body, coding=None):
+        self.send_response(status)
         self.send_header("Content-Type", "text/html")
-        body = f"<h1>{self.headers['Accept']}</h1>".encode()
         self.send_header("Content-Length", str(len(body)))
+        if coding:
+            self.send_header("Content-Encoding", coding)
         self.end_headers()
         if self.command == "GET":
             self.wfile.write(body)
@@ -52,6 +103,45 @@ def test_capture(spark, base):
     assert [found[(u, None)].error_kind for u in ("http://127.0.0.1:9/", f"{base}/slow", "ftp://x")] == ["ConnectError", "FirstByteTimeout", "InvalidUrlScheme"]
 
 
+@pytest.mark.parametrize("name", ["gzip", "deflate", "br", "raw-deflate", "two"])
+def test_codings(base, name):
+    status, headers, body, cut, failed = live.get(f"{base}/{name}", None, False, False, None)
+    assert (status, body.decode(), cut, failed) == (200, TEXT, False, None) and "content-encoding" not in headers and "content-length" not in headers
+
+
+def test_broken_bodies(base):
+    assert live.get(f"{base}/cut", None, False, False, None)[2:] == (b"some", True, None)
+    assert live.get(f"{base}/chunks", None, False, False, None)[2:] == (b"some", True, None)
+    status, _, body, cut, failed = live.get(f"{base}/half", None, False, False, None)
+    assert (status, cut, failed) == (200, True, None) and 0 < len(body) < 180_000 and random.Random(1).randbytes(90_000).hex().encode().startswith(body)
+
+
+def test_one_second_for_all(base):
+    began = time.monotonic()
+    _, _, body, cut, failed = live.get(f"{base}/trickle", None, False, False, None)
+    assert time.monotonic() - began < 1.6 and body.startswith(b"some.") and cut and failed is None
+
+
+def test_repositories(spark, base):
+    asked = [(f"https://github.com/{o}/r", None, None, None) for o in ("o", "gone", "rate", "bare")]
+    requests = spark.createDataFrame(asked, REQUEST_SCHEMA).coalesce(1)
+    found = {r.url.split("/")[3]: r for r in fetch_with_options(live.capture(requests, BOTH, api=base), BOTH).collect()}
+    assert found["o"].format == "github_repo" and found["o"].content.startswith("# o/r\n") and found["o"].content.endswith("## README\n\n# Tide")
+    assert found["bare"].format == "github_repo" and "README" not in found["bare"].content
+    assert (found["gone"].status_code, found["gone"].error) == (404, "Repository gone/r not found") and found["rate"].error == "GitHub API rate limit exceeded"
+    (row,) = fetch_with_options(live.capture(requests.limit(1), BOTH, api="http://127.0.0.1:9"), BOTH).collect()
+    assert (row.status_code, row.error, row.error_kind) == (None, None, "ConnectError")
+
+
+def test_api(spark, base):
+    tool = api.FetchTool(spark=spark)
+    got = tool.fetch(f"{base}/a", as_markdown=True)
+    assert got.format == "markdown" and got.status_code == 200 and json.loads(got.to_json())["content"] == got.content
+    assert tool.execute(api.FetchRequest(f"{base}/a", "HEAD")).method == "HEAD"
+    with pytest.raises(ValueError, match="must start with"):
+        tool.fetch("ftp://x")
+
+
 def test_data_source(spark, base):
     live.register(spark)
     df = spark.read.format("webloom").option("urls", f"{base}/a {base}/gone").option("partitions", 2).load()

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import api
 from webloom.functions import errors, http
 from webloom.functions import text as T
 from webloom.functions import url as U
@@ -15,7 +16,7 @@ from webloom.options import FetchOptions, Tool, ToolStatus
 from webloom.schemas import CAPTURE_SCHEMA, RESPONSE_FIELDS
 
 BOTH = FetchOptions(enable_markdown=True, enable_text=True)
-PAGE = "<html><body><h1>Hello World</h1><p>A <strong>test</strong></p><script>x</script><ul><li>Item 1</li></ul></body></html>"
+PAGE = "<html><body><h2>Low tide</h2><p>The <b>mud</b></p><style>y</style><ol><li>crab</li></ol></body></html>"
 
 
 def one(spark, value, expression):
@@ -39,18 +40,18 @@ def test_not_binary(spark, kind):
 
 @pytest.mark.parametrize(
     "value, want",
-    [('attachment; filename="file.pdf"', "file.pdf"), ("attachment; filename=file.pdf", "file.pdf"), ('inline; filename="report.xlsx"; size=1', "report.xlsx"), ("inline", None), ('a; filename=""', ""), ("filename*=UTF-8''x", None), (None, None)],
+    [('attachment; filename="tide table.csv"', "tide table.csv"), ("attachment; filename=crab.tar.gz; x=y", "crab.tar.gz"), ('inline; size=1; filename="a;b.ods"; q=1', "a;b.ods"), ("inline", None), ('a; filename=""', ""), ("filename*=UTF-8''x", None), (None, None)],
 )
 def test_disposition(spark, value, want):
     assert one(spark, value, http.disposition_name) == want
 
 
-@pytest.mark.parametrize("url, want", [("https://e.com/path/to/file.pdf", "file.pdf"), ("https://e.com/path/to/document", None), ("https://e.com/", None), ("https://e.com/a.b?x=/c.d#e.f", "a.b"), ("https://e.com", None)])
+@pytest.mark.parametrize("url, want", [("https://e.com/m/n/tide.csv", "tide.csv"), ("https://e.com/m/n.o/p", None), ("https://e.com/m/../x%2Ey/./z.w", "z.w"), ("https://e.com/ä b.c", "%C3%A4%20b.c"), ("https://e.com/", None), ("https://e.com/a.b?x=/c.d#e.f", "a.b"), ("https://e.com", None)])
 def test_url_file_name(spark, url, want):
     assert one(spark, url, U.file_name) == want
 
 
-@pytest.mark.parametrize("url, good", [("http://a.b", True), ("https://a.b:80/x y", True), ("http://", False), ("https://?x", False), ("http://a:99999", False), ("http://a:x/", False), ("http://a b/", False), ("http://[::1]/", True)])
+@pytest.mark.parametrize("url, good", [("http://a.b", True), ("https://a.b:80/x y", True), ("http://", False), ("https://?x", False), ("http://a:99999", False), ("http://a:x/", False), ("http://a b/", False), ("http://[::1]/", True), ("http://a%2eb/", True), ("http://a%20b/", False), ("http://a%zz/", False), ("http://a.b\n/c ", True)])
 def test_parses(spark, url, good):
     assert one(spark, url, U.parses) is good
 
@@ -71,7 +72,7 @@ def test_prefix_filters_reach_the_scan(spark):
 
 
 def test_base64(spark):
-    assert [one(spark, v, T.base64_text) for v in ("SGVsbG8sIFdvcmxkIQ==", "", "abc", "////")] == ["Hello, World!", "", None, None]
+    assert [one(spark, v, T.base64_text) for v in ("bG93IHRpZGUsIMOp", "", "abc", "////", "YQ==Yg==", "====", "=AAA", "Y===")] == ["low tide, é", "", None, None, "ab", "\0", "\0\0\0", "`"]
 
 
 @pytest.mark.parametrize("raw, want", [(b"\xe2\x80A", "�A"), (b"\xf0\x9f\x98", "�"), (b"\xed\xa0\x80", "�" * 3), (b"ok", "ok")])
@@ -85,10 +86,10 @@ def test_content_length(spark, value, want):
 
 
 CASES = [
-    (dict(headers={"content-type": "text/plain"}, body="Hello, World!"), dict(format="raw", content="Hello, World!", size=13, status_code=200)),
+    (dict(headers={"content-type": "text/plain"}, body="low tide, é"), dict(format="raw", content="low tide, é", size=12, status_code=200)),
     (dict(url="http://h/path/to/file.pdf", method="HEAD", headers={"content-type": "application/pdf", "content-length": "12345"}), dict(method="HEAD", size=12345, content=None, filename="file.pdf", error=None)),
-    (dict(headers={"content-type": "text/html"}, body=PAGE, md=True), dict(format="markdown", content="# Hello World\n\nA **test**\n\n- Item 1")),
-    (dict(headers={"content-type": "text/html"}, body=PAGE, text=True), dict(format="text", content="Hello World\n\nA test\nItem 1")),
+    (dict(headers={"content-type": "text/html"}, body=PAGE, md=True), dict(format="markdown", content="## Low tide\n\nThe **mud**\n\n- crab")),
+    (dict(headers={"content-type": "text/html"}, body=PAGE, text=True), dict(format="text", content="Low tide\n\nThe mud\ncrab")),
     (dict(headers={"content-type": "image/png", "content-length": "4"}, body=b"\x89PNG"), dict(size=4, content=None, format=None)),
     (dict(status=404, body="gone"), dict(status_code=404, content="gone")),
     (dict(headers={"content-disposition": 'attachment; filename="report.txt"'}), dict(filename="report.txt")),
@@ -132,9 +133,25 @@ def test_registry(spark):
     assert registry.fetch(captured(spark, url="http://other/", body="x")).first().content == "x"
 
 
-def test_repository_without_capture_is_not_found(spark):
+def test_repository_without_capture_is_an_error(spark):
     row = fetch(captured(spark, url="https://github.com/o/r")).first()
-    assert (row.status_code, row.error) == (404, "Repository o/r not found")
+    assert (row.status_code, row.error, row.error_message) == (None, None, "Fetcher error: No repository record was captured")
+    row = fetch(captured(spark, url="https://github.com/o/r", net="timeout").withColumn("repo_status", F.lit(404))).first()
+    assert (row.status_code, row.error, row.error_kind) == (None, None, "FirstByteTimeout")
+
+
+def test_own_columns_stay(spark):
+    df = captured(spark, body="x").withColumns({c: F.lit(c) for c in ("_ok", "_kind", "__body", "_check", "_route", "_repo", "mine")})
+    row = fetch(df).first().asDict()
+    assert row["content"] == "x" and all(row[c] == c for c in ("_ok", "_kind", "__body", "_check", "_route", "_repo", "mine"))
+
+
+def test_any_number_of_prefixes(spark):
+    urls = spark.createDataFrame([(f"http://h{i}/x",) for i in range(300)] + [(None,), ("",), ("http://h1/x",)], "url string")
+    prefixes = spark.range(20_000).select(F.concat(F.lit("http://h"), (F.col("id") * 2).cast("string"), F.lit("/")).alias("prefix")).union(spark.createDataFrame([(None,), ("http://h299/x and more",)], "prefix string"))
+    left = [r.url for r in guard.blocked_by_table(urls, prefixes).collect()]
+    assert sorted(left, key=str) == sorted([f"http://h{i}/x" for i in range(1, 300, 2)] + [None, "", "http://h1/x"], key=str)
+    assert guard.blocked_by_table(urls, prefixes.limit(0)).count() == 303
 
 
 def test_front_matter_and_json(spark):
@@ -145,6 +162,27 @@ def test_front_matter_and_json(spark):
     assert df.select(sinks.short_form()).first()[0] == 'FetchResponse(url="http://h/p", status_code=200)'
 
 
+def test_pretty_json(spark):
+    df = fetch(captured(spark, url="http://h/\"é\n", headers={"content-type": "text/plain"}, body="a\t\"b\"\n", cut=True))
+    pretty, plain = df.select(sinks.response_json(pretty=True), sinks.response_json()).first()
+    assert pretty == json.dumps(json.loads(plain), indent=2, ensure_ascii=False)
+
+
+def test_api_objects():
+    r = api.FetchRequest("http://h/", "head", as_text=True)
+    assert r.to_json() == '{"url":"http://h/","method":"HEAD","as_text":true}' and api.FetchRequest.from_json(r.to_json()) == r
+    assert api.FetchRequest.from_json('{"url":"u","other":1}') == api.FetchRequest("u")
+    for bad in ('{"method":"GET"}', '{"url":"u","method":"get"}', '{"url":1}', "[]", "no", '{"url":"u","as_text":1}'):
+        with pytest.raises(ValueError):
+            api.FetchRequest.from_json(bad)
+    with pytest.raises(ValueError, match="must be GET or HEAD"):
+        api.FetchRequest("u", "POST")
+    got = api.FetchResponse("http://h/", 200, content="é")
+    assert repr(got) == 'FetchResponse(url="http://h/", status_code=200)' and got.to_json() == '{"url":"http://h/","status_code":200,"content":"é"}'
+    tool = api.FetchTool(enable_text=False)
+    assert "as_text" not in json.loads(tool.input_schema())["properties"] and "status_code" in json.loads(tool.output_schema())["properties"] and tool.description() and tool.llmtxt()
+
+
 def test_messages(spark):
     df = spark.createDataFrame([(k,) for k in errors.MESSAGES], "k string")
     got = dict(df.select("k", errors.message(F.col("k"), F.lit("why"))).collect())
@@ -156,7 +194,7 @@ def test_tool(spark):
     assert set(tool.input_schema()["properties"]) == {"url", "method", "as_markdown"} and list(tool.output_schema()["properties"]) == RESPONSE_FIELDS
     assert tool.execute(captured(spark, url="http://no/x")).first().error_kind == "BlockedUrl"
     seen = []
-    tool.execute_with_status(captured(spark), lambda s: seen.append((s.phase, s.percent_complete)))
+    tool.execute_with_status(captured(spark), lambda s: seen.append((s.phase, s.percent_complete))).unpersist()
     assert seen == [("validate", 0.0), ("connect", 10.0), ("fetch", 20.0), ("complete", 100.0)]
     seen.clear()
     tool.execute_with_status(captured(spark, url=""), lambda s: seen.append(s.phase))
