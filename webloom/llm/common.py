@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.sources.layout import shared_dir
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,21 +30,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{columns.index(n)}").alias(n) for n in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local master (as in tests) gets a temporary folder; on a cluster, whose executors couldn't see
-    one, it is an error.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='webloom-')}")
-        set_dir = spark.sparkContext.getCheckpointDir()
-    return set_dir.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,6 +37,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 _left: dict[str, SparkSession] = {}
+#: Paths made since the innermost ``settled`` began.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @atexit.register
@@ -66,6 +55,8 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder; removed when the driver ends, or by ``forget``."""
     path = f"{shared_dir(spark)}/webloom-{uuid.uuid4().hex}"
     _left[path] = spark
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -90,6 +81,20 @@ class Stored:
         forget(self.spark, self.path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; all tables that were written on the way to it are removed."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        df = make()
+    finally:
+        _made.reset(token)
+    out = Stored(df)
+    for path in made:
+        forget(out.spark, path)
+    return out.df
+
+
 def chunks(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours with ``most`` in total at most, or a single one that is larger."""
     start = total = end = 0

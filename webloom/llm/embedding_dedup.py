@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import Stored, pick
+from webloom.llm.common import Stored, pick, settled
 from webloom.llm.links import components, dealt, heavy_from, in_blocks, join_labels, looked_up, pairs, whole_groups
 
 #: Entries of one bucket that are compared in one task, at most twice this many.
@@ -171,12 +171,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         yield pa.record_batch([pa.array(node[out]), pa.array(node[label[out]]), pa.array(links[out])], names=["a", "b", "links"])
 
     entries = nodes.df.select("node", "embedding", F.size("embedding").alias("dim")).mapInArrow(spread, "lsh_table int, code bigint, dim int, node bigint, sketch binary")
-    found = in_blocks(entries, key, F.col("node"), BLOCK).mapInArrow(likely, "dim int, lsh_table int, code bigint, low_block int, high_block int, own_block int, node bigint")
-    found = Stored(found)
-    stars = Stored(dealt(found.df.join(nodes.df.select("node", "copies", "embedding"), "node"), key).mapInArrow(compare, "a bigint, b bigint, links bigint"))
-    found.drop()
+    found = settled(lambda: in_blocks(entries, key, F.col("node"), BLOCK).mapInArrow(likely, "dim int, lsh_table int, code bigint, low_block int, high_block int, own_block int, node bigint"))
+    stars = Stored(dealt(found.join(nodes.df.select("node", "copies", "embedding"), "node"), key).mapInArrow(compare, "a bigint, b bigint, links bigint"))
     links = stars.df.groupBy("a").agg(F.sum("links").alias("links"))
-    root = components(stars.df.select("a", "b"))
+    root = settled(lambda: components(stars.df.select("a", "b")))
     known = nodes.df.select("node", "s1", "s2", "smallest", "copies").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = known.join(links, known.node == links.a, "left").select("s1", "s2", "smallest", "copies", "links", "root")
     # a component's smallest id may be null, which a look-up would take for a miss: so it goes as a struct

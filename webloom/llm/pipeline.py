@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import bpe, line_dedup, mixing, quality, simhash
-from webloom.llm.common import Stored, pick, table
+from webloom.llm.common import pick, settled, table
 from webloom.sources.layout import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -85,7 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spread(table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = Stored(docs).df
+        before = docs
+        docs = settled(lambda: stage(spark, before, sf_dir)) if i + 1 < len(STAGES) else stage(spark, before, sf_dir)  # noqa: B023
     return docs

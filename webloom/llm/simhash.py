@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import Stored, chunks, pick
+from webloom.llm.common import Stored, chunks, pick, settled
 from webloom.llm.jaccard import bands, hashes, link, node, shingles
 from webloom.llm.links import components, edges_in_blocks, heavy_from, in_blocks, join_labels, looked_up, pairs, whole_groups
 
@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, joint: int |
     rows = Stored(fingerprints(docs, words))
     nodes = Stored(rows.df.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")))
     total = nodes.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    root = components(linked(nodes.df.select("fp"), bits, joint))
+    root = settled(lambda: components(linked(nodes.df.select("fp"), bits, joint)))
     nodes_root = nodes.df.join(root, nodes.df.fp == root.node, "left").select("fp", "smallest", "n", F.coalesce("root", "fp").alias("root"))
     of_roots = nodes_root.groupBy(F.col("root").alias("node")).agg(F.min("smallest").alias("m"), F.count(F.lit(1)).alias("n"))
     # a root's smallest id may be null, which a lookup would take for a miss: so it goes as a struct
@@ -173,14 +173,17 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
     least = entries.df.groupBy(F.col("band").alias("node")).agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = looked_up(entries.df, "band", least, heavy_from(32 * total)).select(F.col("node").alias("a"), F.col("m").alias("b"))
     first = nodes.df.groupBy("fp").agg(F.min("node").alias("first"))
-    alike = linked(first.select("fp"), bits)
-    ends = alike.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     same = nodes.df.join(first, "fp").select("node", "first")
-    maybe = components(met.union(ends).union(same).where("a <> b").distinct())
+
+    def candidates() -> DataFrame:
+        alike = linked(first.select("fp"), bits)
+        ends = alike.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+        return components(met.union(ends).union(same).where("a <> b").distinct())
+
+    maybe = settled(candidates)
     one = nodes.df.join(maybe, "node").select("row", "root")
     sets = Stored(texts.join(one, "row").select("root", "text", "n_bytes").mapInArrow(whole, "root bigint, node bigint, shingles binary"))
-    once = in_blocks(sets.df, ["root"], F.col("node"), SETS)
-    root = components(once.mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct())
+    root = settled(lambda: components(in_blocks(sets.df, ["root"], F.col("node"), SETS).mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()))
     entries.drop()
     sets.drop()
     group = nodes.df.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("m"), "n")
