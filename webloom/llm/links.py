@@ -14,6 +14,8 @@ from webloom.llm.common import Stored
 
 #: Rows of a table of heavy keys, at most, that is sent to all tasks.
 HEAVY = 50_000
+#: Keys that the links of a node are spread over in a join.
+SALT = 8
 
 
 def heavy_from(rows: int, least: int = 64) -> int:
@@ -34,23 +36,30 @@ def looked_up(rows: DataFrame, key: str, found: DataFrame, heavy: int) -> DataFr
     return light.select(*rows.columns, F.col("light_m").alias("m")).union(marked.where("heavy_m is not null").select(*rows.columns, F.col("heavy_m").alias("m")))
 
 
+def joined(rows: DataFrame, key: str, other: str, least: DataFrame) -> DataFrame:
+    """``rows`` with column m of ``least`` (node, m) where node is their ``key``, whose rows are spread by ``other`` over SALT keys."""
+    salts = least.select(F.col("node").alias("its"), "m", F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("its_salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALT)).cast("int"))
+    return salted.join(salts, (F.col(key) == F.col("its")) & (F.col("salt") == F.col("its_salt"))).select(*rows.columns, "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node that each node reaches: ``edges`` (a, b bigint) to (node, root), for nodes with an edge to another.
 
     Large-star and small-star rounds, each written to the shared folder: every node is linked to the smallest of its
-    neighbours, until all components are stars. The minima are taken before the shuffle, and nodes with very many links
-    are looked up apart. Nothing but a count and a checksum comes to the driver.
+    neighbours, until all components are stars. The minima are taken before the shuffle, and the links of a node are
+    spread over SALT keys in joins whose large partitions the planner can split further, so a hub is no hot spot. Nothing
+    but a count and a checksum comes to the driver.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     now = Stored(edges.where("a <> b").select(hi.alias("hi"), lo.alias("lo")).distinct())
     state = _state(now.df)
     while state[0]:
-        heavy = heavy_from(2 * state[0])
         stars = now.df.select(F.col("hi").alias("node"), F.col("lo").alias("v")).union(now.df.select("lo", "hi"))
-        least = stars.groupBy("node").agg(F.least(F.col("node"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = looked_up(now.df, "lo", least, heavy).select("hi", F.col("m").alias("lo")).distinct()
-        least = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = looked_up(large, "hi", least, heavy).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least = stars.groupBy("node").agg(F.least(F.col("node"), F.min("v")).alias("m"))
+        large = joined(now.df, "lo", "hi", least).select("hi", F.col("m").alias("lo")).distinct()
+        least = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
+        small = joined(large, "hi", "lo", least).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after = Stored(small.union(least.select("node", "m")).distinct())
         now.drop()
         now, last, state = after, state, _state(after.df)

@@ -114,6 +114,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, joint: int |
     return looked_up(rows.df, "fp", named, heavy_from(total)).select("doc_id", "fp", F.col("m.m").alias("component_id"))
 
 
+def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``rows`` of two numbers, to be sent to all tasks if there are ``most`` at most; then what they are joined with isn't shuffled."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def row_key():
     """A hash of id and text."""
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary"))
@@ -181,8 +186,8 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
         return components(met.union(ends).union(same).where("a <> b").distinct())
 
     maybe = settled(candidates)
-    one = nodes.df.join(maybe, "node").select("row", "root")
-    sets = Stored(texts.join(one, "row").select("root", "text", "n_bytes").mapInArrow(whole, "root bigint, node bigint, shingles binary"))
+    one = Stored(nodes.df.join(maybe, "node").select("row", "root"))
+    sets = Stored(texts.join(few(one.df), "row").select("root", "text", "n_bytes").mapInArrow(whole, "root bigint, node bigint, shingles binary"))
     root = settled(lambda: components(in_blocks(sets.df, ["root"], F.col("node"), SETS).mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()))
     entries.drop()
     sets.drop()
