@@ -44,13 +44,13 @@ def test_components(spark, pairs):
     assert {r.node: r.root for r in links.components(edges).collect()} == {x: want[x] for x in linked}
 
 
-@pytest.mark.parametrize("heavy", [1, 50_000])
-def test_components_of_hubs(spark, monkeypatch, heavy):
-    monkeypatch.setattr(links, "heavy_from", lambda rows, least=64: heavy)
-    pairs = [(0, i) for i in range(1, 200)] + [(299, i) for i in range(150, 260)] + [(270, 271)]
-    want = roots(300, pairs)
-    got = {r.node: r.root for r in links.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
-    assert got == {x: want[x] for p in pairs for x in p}
+@pytest.mark.parametrize("heavy", [1, 7, 1000])
+def test_look_ups_of_hubs(spark, heavy):
+    found = spark.range(40).select(F.col("id").alias("node"), (F.col("id") * 10).alias("m"), F.when(F.col("id") == 3, 500).otherwise(5).alias("n"))
+    rows = spark.createDataFrame([(3, i) for i in range(500)] + [(i, i) for i in range(60)], "k bigint, x bigint")
+    got = sorted(map(tuple, links.looked_up(rows, "k", found, heavy).collect()))
+    assert got == sorted((k, x, 10 * k) for k, x in map(tuple, rows.collect()) if k < 40)
+    assert links.heavy_from(10) == 64 and links.heavy_from(10**9) == 20_000
 
 
 def test_counts_of_many_heavy_keys(spark, monkeypatch):
