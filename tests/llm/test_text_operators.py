@@ -383,6 +383,38 @@ def test_quality_held_out(spark):
     assert out.where("held_out <> (crc32(cast(doc_id as string)) % 5 = 0)").count() == 0
 
 
+def test_word_vectors_equal_slow_ones():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["oak", "elm", "Ash", "12", "!", "oak oak", "x9_"]) for _ in range(rng.randrange(0, 40))) for _ in range(30)] + ["", "lonely"]
+    number, vectors = quality.word_vectors(texts, 12, 3, 1000)
+    context = {w: np.zeros(12) for w in number}
+    for text in texts:
+        words = [w if w in number else quality.shape(w) for w in quality.told(text)]
+        for i, w in enumerate(words):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words):
+                    context[w] += quality.index_vector(words[j], 12, 3)
+    for w, n in number.items():
+        size = np.linalg.norm(context[w])
+        assert np.allclose(vectors[n], np.concatenate([context[w] / size if size else context[w], quality.index_vector(w, 12, 3) / np.sqrt(3)]), atol=1e-5), w
+    labels = np.array([i % 2 for i in range(len(texts))])
+    model = quality.train(texts, labels, dim=12, ones=3, epochs=2)
+    for text, got in zip(texts, model.pooled(texts)):
+        ids = [model.number.get(w, model.number.get(quality.shape(w), 0)) for w in quality.told(text)]
+        assert np.allclose(got, model.vectors[ids].mean(0) if ids else 0, atol=1e-6)
+
+
+def test_temperature_is_calibrated():
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 2, 900)
+    texts = [" ".join(rng.choice(["good", "fine"] if y == (rng.random() > 0.2) else ["bad", "poor"], 12)) for y in labels]
+    model = quality.train(texts, labels, dim=16)
+    fresh = rng.integers(0, 2, 900)
+    said = model.score([" ".join(rng.choice(["good", "fine"] if y == (rng.random() > 0.2) else ["bad", "poor"], 12)) for y in fresh])
+    sure = np.where(said > 0.5, said, 1 - said)
+    assert abs(sure.mean() - ((said > 0.5) == fresh).mean()) < 0.06  # as often right as it says
+
+
 def test_quality_sees_only_texts_and_seen_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
