@@ -44,10 +44,11 @@ ODD = r"[İſK]|&[^;\s]{0,11}[^\x00-\x7F]"
 
 
 def irregular(html: Column, markdown: bool) -> Column:
-    """Rows that need the scanner."""
-    needs = F.rlike(html, F.lit(ODD)) | F.rlike(html, F.lit(NESTED_SKIP))
+    """Rows that need the scanner. What only letters beyond ASCII can cause is looked for only where there are any."""
+    wide = F.octet_length(html) > F.length(html)
+    needs = (wide & F.rlike(html, F.lit(ODD))) | F.rlike(html, F.lit(NESTED_SKIP))
     if markdown:
-        needs = needs | F.rlike(html, F.lit(NESTED_LIST)) | F.rlike(html, F.lit(r"(?iU)</?\s*(?:pre|blockquote)(?:[\s>]|\z)|<[^>]*[^\x00-\x7F][^>]*href="))
+        needs = needs | F.rlike(html, F.lit(NESTED_LIST)) | F.rlike(html, F.lit(r"(?iU)</?\s*(?:pre|blockquote)(?:[\s>]|\z)")) | (wide & F.rlike(html, F.lit(r"(?i)<[^>]*[^\x00-\x7F][^>]*href=")))
     return needs
 
 
