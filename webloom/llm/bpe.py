@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, pick
+from webloom.llm.common import chunks, kept, pick
 
 #: The word pattern of the vocabulary (contractions, letters, one digit, others), after NFC and lower-casing. White
 #: space is listed, since libraries differ on it.
@@ -217,6 +217,8 @@ def loaded(definition: str) -> WordBpe:
     return WordBpe(definition)
 
 
+kept.append(loaded.cache_clear)
+
 #: Bytes of text whose words are held at once.
 HELD = 6 << 20
 

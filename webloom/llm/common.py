@@ -95,6 +95,21 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return out.df
 
 
+#: How to let go of what the functions of this subpackage keep in a Python worker from one task to the next.
+kept: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Lets go of it: at the start of a task that needs memory for other things, since workers are used again."""
+    for clear in kept:
+        clear()
+
+
+def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``rows`` of two numbers, to be sent to all tasks if there are ``most`` at most; then what they are joined with isn't shuffled."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def chunks(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours with ``most`` in total at most, or a single one that is larger."""
     start = total = end = 0

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import WORD, Stored, pick
+from webloom.llm.common import WORD, Stored, few, pick, release
 
 #: Documents of a source that are rounded together, about.
 ROUNDED = 2_000
@@ -88,6 +88,7 @@ def rounded(most: int):
     """Rounds the rates of the documents of one bucket: from the largest size down, what rounding gains or loses is carried on."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         rows = rows.sort_values(["size", "place", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
         carry, copies = 0.0, []
         for size, rate_ in zip(rows["size"].tolist(), rows["rate"].tolist()):
@@ -137,6 +138,6 @@ def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame
     """
     known = pick(docs, *dict.fromkeys([*columns, "doc_id", "text", "source"])).withColumn("row_", F.monotonically_increasing_id())
     rows = Stored(known)
-    made = mix(rows.df, row="row_", **options).where("copies > 0").select(F.col("row").alias("row_"), "copies")
-    out = rows.df.join(made, "row_").withColumn("again_", F.explode(F.sequence(F.lit(1), "copies")))
+    made = Stored(mix(rows.df, row="row_", **options).where("copies > 0").select(F.col("row").alias("row_"), "copies"))
+    out = rows.df.join(few(made.df), "row_").withColumn("again_", F.explode(F.sequence(F.lit(1), "copies")))
     return out.select(*columns)

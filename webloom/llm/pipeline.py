@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import bpe, line_dedup, mixing, quality, simhash
-from webloom.llm.common import Stored, pick, settled, table
+from webloom.llm.common import Stored, few, pick, settled, table
 from webloom.sources.layout import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,7 +52,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     each = groups.groupBy("group", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("least")
     first = Stored(each.groupBy("group").agg(least).select("least.row", (F.col("least.n") > 1).alias("repeated"))).df
-    kept = rows.withColumn("row", simhash.row_key()).join(simhash.few(first), "row")
+    kept = rows.withColumn("row", simhash.row_key()).join(few(first), "row")
     if first.where("repeated").limit(1).count():
         kept = kept.where("not repeated").union(kept.where("repeated").dropDuplicates(["row"]))
     return kept.select(*COLUMNS)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from webloom.llm.common import chunks, pick
+from webloom.llm.common import chunks, pick, release
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Neighbours to either side that make a context.
@@ -196,6 +196,7 @@ def fit(labelled: DataFrame, most_words: int) -> Model:
     """The model of a bounded sample (doc_id, text, quality): one task fits it, so the driver holds nothing but the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
         model = train([r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
@@ -227,6 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_
     names = list(dict.fromkeys(["doc_id", *carry]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in chunks(batch.column("n_bytes_").to_pylist(), 4 << 20):
                 part = batch.slice(a, b - a)

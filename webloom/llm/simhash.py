@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import Stored, chunks, pick, settled
+from webloom.llm.common import Stored, chunks, few, pick, release, settled
 from webloom.llm.jaccard import bands, hashes, link, node, shingles
 from webloom.llm.links import components, edges_in_blocks, heavy_from, in_blocks, join_labels, looked_up, pairs, whole_groups
 
@@ -42,6 +42,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """Fingerprint of every whole text: doc_id, fp (the 64 bits as a signed long). Null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = []
             for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
@@ -114,11 +115,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, joint: int |
     return looked_up(rows.df, "fp", named, heavy_from(total)).select("doc_id", "fp", F.col("m.m").alias("component_id"))
 
 
-def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """``rows`` of two numbers, to be sent to all tasks if there are ``most`` at most; then what they are joined with isn't shuffled."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def row_key():
     """A hash of id and text."""
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary"))
@@ -128,7 +124,7 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-def near_copies(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
     """Groups of texts linked by a Jaccard similarity of 0.8 or more of their shingles: doc_id, row (a hash of id and text), group.
 
     Candidates are what the byte-position index links at ``bits`` or fewer differing bits, and, as pairs at 0.8 differ by
@@ -142,6 +138,7 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             nodes, prints, codes = [], [], []
             for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
@@ -154,12 +151,14 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), batch.column("row"), _signed(nodes), _signed(prints), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "bands"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
                 sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 yield pa.record_batch([batch.column("root").slice(a, b - a), _signed([node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows, number in whole_groups(batches, ["root", "low_block", "high_block"]):
             own, held = rows.column("node").to_numpy(), rows.column("shingles")
             cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]

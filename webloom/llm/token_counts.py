@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, pick
+from webloom.llm.common import chunks, kept, pick
 
 #: A stretch between safe boundaries. A boundary is one space or newline between two characters that are no white
 #: space: a byte-level pre-tokenizer always starts a piece there, whatever stands before or after, and no special
@@ -61,6 +61,9 @@ def known(definition: str) -> dict[str, int]:
     return {}
 
 
+kept += [loaded.cache_clear, known.cache_clear]
+
+
 def lengths(texts: list[str], definition: str, batch_bytes: int) -> list[int]:
     """Tokens of each text: the sum over its stretches. Equal stretches are encoded once, in batches of ``batch_bytes``."""
     tokenizer, seen = loaded(definition), known(definition)
