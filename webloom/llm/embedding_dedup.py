@@ -20,7 +20,7 @@ from webloom.llm.common import Stored, pick, settled
 from webloom.llm.links import components, dealt, heavy_from, in_blocks, join_labels, looked_up, pairs, whole_groups
 
 #: Entries of one bucket that are compared in one task, at most twice this many.
-BLOCK = 1024
+BLOCK = 256
 
 
 def collide(distance: float, width: float) -> float:
@@ -66,15 +66,19 @@ def sketches(unit: np.ndarray) -> np.ndarray:
     return np.hstack([rough.view(np.uint8), np.stack([step, away], 1).astype("<f4").view(np.uint8).reshape(len(unit), 8)])
 
 
-def may_reach(sketch: np.ndarray, dim: int, p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+def read_sketches(sketch: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketched vectors, and how far the vectors are from them."""
+    step, away = sketch[:, dim:].copy().view("<f4").T
+    return sketch[:, :dim].view(np.int8) * step[:, None], away
+
+
+def may_reach(rough: np.ndarray, away: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the cosine of pairs of sketched vectors can be ``threshold`` or more; never false for one that is.
 
     u.v is that of the sketches, and what the sketches miss is |v - v'| |u'| + |u - u'| |v| at most.
     """
-    step, away = sketch[:, dim:].copy().view("<f4").astype(np.float64).T
-    rough = sketch[:, :dim].view(np.int8).astype(np.float32)
-    dot = np.einsum("nd,nd->n", rough[p], rough[q]) * step[p] * step[q]
-    return dot * (1 + 1e-5) + away[q] * (1 + away[p]) + away[p] + 1e-5 >= threshold
+    dot = np.einsum("nd,nd->n", rough[p], rough[q])
+    return dot + away[q] * (1 + away[p]) + away[p] + 3e-5 >= threshold  # 3e-5: for products in single precision
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, width: float = 2.0, bucket: int = 50, seed: int = 7) -> DataFrame:
@@ -130,12 +134,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
                 at = np.flatnonzero(dims == dim)
                 part, own_number = rows.take(pa.array(at)), number[at]
                 own, low, high = (part.column(c).to_numpy() for c in ("own_block", "low_block", "high_block"))
-                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, dim + 8)
+                rough, away = read_sketches(np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, dim + 8), dim)
                 hit = np.zeros(len(at), bool)
                 for i, j in pairs(own_number, own, low, high):
                     for a in range(0, len(i), 50_000):
                         p, q = i[a : a + 50_000], j[a : a + 50_000]
-                        near = may_reach(sketch, dim, p, q, threshold)
+                        near = may_reach(rough, away, p, q, threshold)
                         hit[p[near]] = hit[q[near]] = True
                 yield from part.select(kept).take(pa.array(np.flatnonzero(hit))).to_batches()
 
