@@ -161,7 +161,7 @@ def test_sketches_never_lose_a_pair():
         unit = np.vstack([a, b]) / np.linalg.norm(np.vstack([a, b]), axis=1, keepdims=True)
         p, q = np.arange(2000), np.arange(2000, 4000)
         cosine = (unit[p] * unit[q]).sum(1)
-        may = embedding_dedup.may_reach(embedding_dedup.sketches(unit), dim, p, q, 0.95)
+        may = embedding_dedup.may_reach(*embedding_dedup.read_sketches(embedding_dedup.sketches(unit), dim), p, q, 0.95)
         assert may[cosine >= 0.95].all() and not may[cosine < 0.9].any() and 0 < (cosine >= 0.95).sum()
 
 
