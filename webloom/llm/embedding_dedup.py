@@ -78,7 +78,8 @@ def may_reach(rough: np.ndarray, away: np.ndarray, p: np.ndarray, q: np.ndarray,
     u.v is that of the sketches, and what the sketches miss is |v - v'| |u'| + |u - u'| |v| at most.
     """
     dot = np.einsum("nd,nd->n", rough[p], rough[q])
-    return dot + away[q] * (1 + away[p]) + away[p] + 3e-5 >= threshold  # 3e-5: for products in single precision
+    slack = 3e-5 + 1.2e-7 * rough.shape[1]  # for sums in single precision
+    return dot + away[q] * (1 + away[p]) + away[p] + slack >= threshold
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, width: float = 2.0, bucket: int = 50, seed: int = 7) -> DataFrame:
