@@ -57,7 +57,7 @@ class WordBpe:
     """Encoder and decoder of a ``tokenizers`` definition: BPE with an end-of-word suffix, words found by ``ANY_WORD``."""
 
     #: Words whose ids are kept; beyond it the store starts anew, so that memory stays bounded.
-    KEEP = 300_000
+    KEEP = 200_000
 
     def __init__(self, definition: str):
         spec = json.loads(definition)
@@ -220,7 +220,7 @@ def loaded(definition: str) -> WordBpe:
 kept.append(loaded.cache_clear)
 
 #: Bytes of text whose words are held at once.
-HELD = 6 << 20
+HELD = 2 << 20
 
 
 def _source(docs: DataFrame, tokenizer_path: str):

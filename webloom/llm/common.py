@@ -95,6 +95,13 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return out.df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of an Arrow batch for whole texts, unless the session has a number of its own: the default of 10,000 can be a whole partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 #: How to let go of what the functions of this subpackage keep in a Python worker from one task to the next.
 kept: list[Callable[[], None]] = []
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import bpe, line_dedup, mixing, quality, simhash
-from webloom.llm.common import Stored, few, pick, settled, table
+from webloom.llm.common import Stored, few, pick, settled, small_batches, table
 from webloom.sources.layout import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,6 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Each row is judged by its text alone, so repeated rows stay or go together; a null or empty text is one without
     words. Without a usable label nothing is told apart, and the share of label 1 is taken to be a half: all rows stay.
     """
+    small_batches(spark)
     scored = quality.classify(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
     return scored.where("predicted = 1").select(*COLUMNS)
 
@@ -46,6 +47,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ``simhash.near_copies``. Null and empty texts are one group. Of rows equal in id and text one stays; rows that
     share an id but not their text are kept or dropped one by one; ties of id go to the smaller hash of the row.
     """
+    small_batches(spark)
     rows = pick(docs, *COLUMNS)
     groups = settled(lambda: simhash.near_copies(rows))
     # equal rows share a key: how often it occurs is known before the texts are touched
@@ -71,6 +73,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row for each row of ``docs``; a null text is encoded as an empty one, which has no tokens.
     """
+    small_batches(spark)
     out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 

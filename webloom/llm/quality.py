@@ -230,7 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for a, b in chunks(batch.column("n_bytes_").to_pylist(), 4 << 20):
+            for a, b in chunks(batch.column("n_bytes_").to_pylist(), 1 << 20):
                 part = batch.slice(a, b - a)
                 score = model.value.score([t or "" for t in part.column("text").to_pylist()])
                 made = [part.column("held_out_"), pa.array(score), pa.array((score >= threshold).astype(np.int32))]

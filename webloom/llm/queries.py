@@ -14,6 +14,7 @@ from webloom.sources.layout import spread
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table; a small one is dealt to all cores."""
+    common.small_batches(spark)
     return spread(common.table(spark, sf_dir, name))
 
 

@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         release()
         for batch in batches:
             found = []
-            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
+            for a, b in chunks(batch.column("n_bytes").to_pylist(), 1 << 20):
                 found += [fingerprint(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
             fp = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
             yield pa.record_batch([batch.column("doc_id"), fp], names=["doc_id", "fp"])
@@ -141,7 +141,7 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
         release()
         for batch in batches:
             nodes, prints, codes = [], [], []
-            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
+            for a, b in chunks(batch.column("n_bytes").to_pylist(), 1 << 20):
                 for text in batch.column("text").slice(a, b - a).to_pylist():
                     h = hashes(text, words)
                     found = np.unique(h)
@@ -153,7 +153,7 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for a, b in chunks(batch.column("n_bytes").to_pylist(), 4 << 20):
+            for a, b in chunks(batch.column("n_bytes").to_pylist(), 1 << 20):
                 sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 yield pa.record_batch([batch.column("root").slice(a, b - a), _signed([node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "shingles"])
 
