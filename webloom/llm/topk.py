@@ -125,7 +125,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     spark = vectors.sparkSession
     dims = sorted({r["dim"] for r in stats})
     longest = Window.partitionBy("dim").orderBy(F.desc("length"), "vec_id", "row")
-    some = stored.df.withColumn("place", F.row_number().over(longest)).where(F.col("place") <= max(k + 1, FIRST // max(1, len(dims)))).select("dim", "row", "v").toArrow()
+    slim = stored.df.select("dim", "row", "length", "vec_id").withColumn("place", F.row_number().over(longest))
+    chosen = slim.where(F.col("place") <= max(k + 1, FIRST // max(1, len(dims)))).select("row")
+    some = stored.df.join(F.broadcast(chosen), "row").select("dim", "row", "v").toArrow()
     first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     dim_of = some.column("dim").to_numpy()
     for dim in dims:
