@@ -286,7 +286,11 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """Writes ``pages`` to archives in the shared folder and reads them back, as ``read`` gives them."""
+    """Writes ``pages`` to archives in the shared folder and reads them back, as ``read`` gives them.
+
+    A row for each row of ``pages``: null texts are empty payloads, null ids stay null, repeated rows and equal payloads
+    are told apart as by ``marked``, an empty table gives none. A task holds a payload at a time, whatever its length.
+    """
     spark = pages.sparkSession
     folder = scratch(spark)
     if "://" not in folder:
