@@ -9,9 +9,7 @@ documents). The rates are then rounded into whole copies.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,15 +85,16 @@ def solve(counted: DataFrame, plan: dict, most: float, tolerance: float, rounds:
 def rounded(most: int):
     """Rounds the rates of the documents of one bucket: from the largest size down, what rounding gains or loses is carried on."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         release()
-        rows = rows.sort_values(["size", "place", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_by([("size", "descending"), *((c, "ascending") for c in ("place", "doc_id", "row"))])
         carry, copies = 0.0, []
-        for size, rate_ in zip(rows["size"].tolist(), rows["rate"].tolist()):
+        for size, rate_ in zip(rows["size"].to_pylist(), rows["rate"].to_pylist()):
             n = min(most, max(0, math.floor(rate_ + (carry / size if size else 0.0) + 0.5)))
             carry += size * (rate_ - n)
             copies.append(n)
-        return rows.assign(copies=copies)[["doc_id", "source", "place", "row", "size", "source_size", "target", "copies"]]
+        kept = rows.select(["doc_id", "source", "place", "row", "size", "source_size", "target"])
+        return kept.append_column("copies", pa.array(copies, pa.int32()))
 
     return run
 
@@ -125,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     tilt = F.when(F.col("x") == float("inf"), float(most)).otherwise(rate(F.col("size"), F.col("x"), F.col("mean"), most))
     rows = rows.withColumns({"rate": F.when(F.col("size") > 0, tilt).otherwise(1.0), "bucket": F.pmod(F.xxhash64("place"), F.col("buckets"))})
     schema = "doc_id bigint, source string, place bigint, row bigint, size bigint, source_size bigint, target double, copies int"
-    made = rows.select("doc_id", "source", "place", "row", "size", "source_size", "target", "rate", "bucket").groupBy("source", "bucket").applyInPandas(rounded(most), schema)
+    made = rows.select("doc_id", "source", "place", "row", "size", "source_size", "target", "rate", "bucket").groupBy("source", "bucket").applyInArrow(rounded(most), schema)
     return made.withColumn("taken", F.col("copies") * F.col("size"))
 
 
