@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import Stored, chunks, few, pick, release, settled
 from webloom.llm.jaccard import bands, hashes, link, node, shingles
-from webloom.llm.links import components, edges_in_blocks, heavy_from, in_blocks, join_labels, looked_up, pairs, whole_groups
+from webloom.llm.links import components, edges_in_blocks, heavy_from, join_labels, looked_up, pairs, whole_groups
 
 #: Entries of one posting list that are compared in one task, at most twice this many; and whole sets of shingles.
-BLOCK, SETS = 2048, 1024
+BLOCK, SETS = 2048, 512
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -155,11 +155,11 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
         for batch in batches:
             for a, b in chunks(batch.column("n_bytes").to_pylist(), 1 << 20):
                 sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
-                yield pa.record_batch([batch.column("root").slice(a, b - a), _signed([node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "node", "shingles"])
+                yield pa.record_batch([batch.column("maybe").slice(a, b - a), _signed([node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["maybe", "node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for rows, number in whole_groups(batches, ["root", "low_block", "high_block"]):
+        for rows, number in whole_groups(batches, ["maybe", "low_block", "high_block"]):
             own, held = rows.column("node").to_numpy(), rows.column("shingles")
             cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
             for a, b in zip(cuts, cuts[1:]):
@@ -185,9 +185,9 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
         return components(met.union(ends).union(same).where("a <> b").distinct())
 
     maybe = settled(candidates)
-    one = Stored(nodes.df.join(maybe, "node").select("row", "root"))
-    sets = Stored(texts.join(few(one.df), "row").select("root", "text", "n_bytes").mapInArrow(whole, "root bigint, node bigint, shingles binary"))
-    root = settled(lambda: components(in_blocks(sets.df, ["root"], F.col("node"), SETS).mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()))
+    one = Stored(nodes.df.join(maybe, "node").select("row", F.col("root").alias("maybe")))
+    sets = Stored(texts.join(few(one.df), "row").select("maybe", "text", "n_bytes").mapInArrow(whole, "maybe bigint, node bigint, shingles binary"))
+    root = settled(lambda: components(edges_in_blocks(sets.df, "maybe", SETS, compare)))
     entries.drop()
     sets.drop()
     group = nodes.df.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("m"), "n")
