@@ -220,7 +220,7 @@ def loaded(definition: str) -> WordBpe:
 kept.append(loaded.cache_clear)
 
 #: Bytes of text whose words are held at once.
-HELD = 2 << 20
+HELD = 1 << 20
 
 
 def _source(docs: DataFrame, tokenizer_path: str):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import multiprocessing
+import pickle
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +113,23 @@ def release() -> None:
     """Lets go of it: at the start of a task that needs memory for other things, since workers are used again."""
     for clear in kept:
         clear()
+    pa.default_memory_pool().release_unused()
+
+
+def apart(make: Callable[..., object], *args, **options) -> bytes:
+    """The pickled result of a function that runs in a process of its own, which takes its memory along when it ends."""
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(False)
+    child = context.Process(target=lambda: there.send_bytes(pickle.dumps(make(*args, **options))))
+    child.start()
+    there.close()
+    try:
+        return here.recv_bytes()
+    except EOFError:
+        raise RuntimeError("the process has ended without a result") from None
+    finally:
+        child.join()
+        here.close()
 
 
 def few(rows: DataFrame, most: int = 500_000) -> DataFrame:

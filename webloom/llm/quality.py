@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from webloom.llm.common import chunks, pick, release
+from webloom.llm.common import apart, chunks, pick, release
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Neighbours to either side that make a context.
@@ -198,8 +198,8 @@ def fit(labelled: DataFrame, most_words: int) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
-        model = train([r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words)
-        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        model = apart(train, [r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words)
+        yield pa.record_batch([pa.array([model], pa.binary())], names=["model"])
 
     got = labelled.coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0][0]) if got else train([], np.zeros(0, np.int64), most_words=most_words)
