@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, kept, pick
+from webloom.llm.common import kept, pick, stretches
 
 #: The word pattern of the vocabulary (contractions, letters, one digit, others), after NFC and lower-casing. White
 #: space is listed, since libraries differ on it.
@@ -220,7 +220,7 @@ def loaded(definition: str) -> WordBpe:
 kept.append(loaded.cache_clear)
 
 #: Bytes of text whose words are held at once.
-HELD = 1 << 20
+HELD = 6 << 20
 
 
 def _source(docs: DataFrame, tokenizer_path: str):
@@ -244,16 +244,15 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value)
-        for batch in batches:
-            for a, b in chunks(batch.column("n_bytes").to_pylist(), HELD):
-                flat, ends = bpe.encode(batch.column("text").slice(a, b - a).to_pylist())
-                flat = flat.astype("<i4")
-                parts = [flat[x:y] for x, y in zip(ends, ends[1:])]
-                out = [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
-                out.append(pa.array([p.tobytes() for p in parts], pa.binary()))
-                if decoded:
-                    out.append(pa.array([bpe.decode(p.tolist()) for p in parts], pa.string()))
-                yield pa.record_batch(out, names=names)
+        for part in stretches(batches, "n_bytes", HELD):
+            flat, ends = bpe.encode(part.column("text").to_pylist())
+            flat = flat.astype("<i4")
+            ids = [flat[x:y] for x, y in zip(ends, ends[1:])]
+            out = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+            out.append(pa.array([p.tobytes() for p in ids], pa.binary()))
+            if decoded:
+                out.append(pa.array([bpe.decode(p.tolist()) for p in ids], pa.string()))
+            yield pa.record_batch(out, names=names)
 
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, packed binary" + ", decoded string" * decoded)
 

@@ -84,6 +84,23 @@ class Stored:
         forget(self.spark, self.path)
 
 
+def stretches(batches: Iterable[pa.RecordBatch], size: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes, as told by column ``size``, however large the given ones are."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        sizes = [n or 0 for n in batch.column(size).to_pylist()]
+        for a, b in chunks(sizes, most):
+            own = sum(sizes[a:b])
+            if held and total + own > most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, total = [], 0
+            held.append(batch.slice(a, b - a))
+            total += own
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` returns, written; all tables that were written on the way to it are removed."""
     made: list[str] = []
