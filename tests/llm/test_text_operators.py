@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tokenizers import Tokenizer
-from webloom.llm import bpe, brown, line_dedup, mixing, packed, quality, token_counts
+from webloom.llm import bpe, brown, common, line_dedup, mixing, packed, quality, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -315,6 +315,21 @@ def test_thresholds_at_any_counts(spark):
     assert brown.least_bin(same, "m", 700) == (8, 7) and brown.least_bin(same, "m", 3000) == (7, 7) and brown.least_bin(same.limit(0), "m", 5) == (1, 1)
 
 
+@pytest.mark.parametrize("most", [1, 10, 1000])
+def test_stretches_keep_rows(most):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(8) if i % 7 else None) for i in range(100)]
+    table = pa.table({"i": [r[0] for r in rows], "n": [r[1] for r in rows]})
+    for size in (1, 9, 100):
+        out = list(common.stretches(table.to_batches(size), "n", most))
+        assert [(r["i"], r["n"]) for b in out for r in b.to_pylist()] == rows
+        sizes = [[n for n in b.column("n").to_pylist() if n] for b in out]
+        assert all(len(ns) <= 1 or sum(ns) <= most for ns in sizes)
+    assert list(common.stretches([], "n", 5)) == []
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(1)
     for x in (rng.integers(0, 1 << 64, 1000, np.uint64), np.sort(rng.integers(-5, 99, 77)), rng.standard_normal(10), np.zeros(0, np.int64), np.array([7], np.int32)):
