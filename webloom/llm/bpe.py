@@ -220,7 +220,7 @@ def loaded(definition: str) -> WordBpe:
 kept.append(loaded.cache_clear)
 
 #: Bytes of text whose words are held at once.
-HELD = 6 << 20
+HELD = 2 << 20
 
 
 def _source(docs: DataFrame, tokenizer_path: str):
@@ -230,8 +230,8 @@ def _source(docs: DataFrame, tokenizer_path: str):
     return docs.sparkSession.sparkContext.broadcast(definition), rows.withColumn("n_bytes", F.octet_length("text"))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataFrame:
-    """Token ids of every whole text: doc_id, ids array<int>, packed (the ids as little-endian unsigned 32-bit integers).
+def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, packed: bool = True) -> DataFrame:
+    """Token ids of every whole text: doc_id, ids array<int>, and if ``packed``, the ids as little-endian unsigned 32-bit integers in a column of that name.
 
     tokenizer_path: a ``tokenizers`` JSON file that the driver can read; its content goes to the executors. With
     ``decoded``, the ids are decoded again, as ``decode`` does it, into a further column of that name.
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataF
     each distinct word of a stretch of its rows once; there is no shuffle.
     """
     source, rows = _source(docs, tokenizer_path)
-    names = ["doc_id", "ids", "packed", *["decoded"] * decoded]
+    names = ["doc_id", "ids", *["packed"] * packed, *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value)
@@ -249,12 +249,13 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataF
             flat = flat.astype("<i4")
             ids = [flat[x:y] for x, y in zip(ends, ends[1:])]
             out = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
-            out.append(pa.array([p.tobytes() for p in ids], pa.binary()))
+            if packed:
+                out.append(pa.array([p.tobytes() for p in ids], pa.binary()))
             if decoded:
                 out.append(pa.array([bpe.decode(p.tolist()) for p in ids], pa.string()))
             yield pa.record_batch(out, names=names)
 
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, packed binary" + ", decoded string" * decoded)
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>" + ", packed binary" * packed + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -74,7 +74,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row for each row of ``docs``; a null text is encoded as an empty one, which has no tokens.
     """
     small_batches(spark)
-    out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    out = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True, packed=False)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 

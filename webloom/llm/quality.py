@@ -193,16 +193,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seen:
 
 
 def fit(labelled: DataFrame, most_words: int) -> Model:
-    """The model of a bounded sample (doc_id, text, quality): one task fits it, so the driver holds nothing but the model."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
-        model = apart(train, [r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words)
-        yield pa.record_batch([pa.array([model], pa.binary())], names=["model"])
-
-    got = labelled.coalesce(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(got[0][0]) if got else train([], np.zeros(0, np.int64), most_words=most_words)
+    """The model of a bounded sample (doc_id, text, quality), in a process of its own: what it needs goes when it ends."""
+    rows = sorted(labelled.collect(), key=lambda r: r["doc_id"])
+    return pickle.loads(apart(train, [r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words))
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5):
