@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import multiprocessing
 import pickle
+import subprocess
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
@@ -133,20 +134,20 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def apart(make: Callable[..., object], *args, **options) -> bytes:
-    """The pickled result of a function that runs in a process of its own, which takes its memory along when it ends."""
-    context = multiprocessing.get_context("fork")
-    here, there = context.Pipe(False)
-    child = context.Process(target=lambda: there.send_bytes(pickle.dumps(make(*args, **options))))
-    child.start()
-    there.close()
-    try:
-        return here.recv_bytes()
-    except EOFError:
-        raise RuntimeError("the process has ended without a result") from None
-    finally:
-        child.join()
-        here.close()
+#: What a process of ``apart`` runs: a call from standard input, its result to standard output.
+_CALL = (
+    "import importlib, pickle, sys; sys.path[:], module, name, args, options = pickle.load(sys.stdin.buffer); "
+    "sys.stdout.buffer.write(pickle.dumps(getattr(importlib.import_module(module), name)(*args, **options)))"
+)
+
+
+def apart(make: Callable[..., object], *args, **options) -> object:
+    """The result of a function of a module, run by a process of its own, which takes its memory along when it ends."""
+    call = pickle.dumps((sys.path, make.__module__, make.__qualname__, args, options))
+    done = subprocess.run([sys.executable, "-c", _CALL], input=call, capture_output=True)
+    if done.returncode:
+        raise RuntimeError(f"{make.__qualname__} failed: {done.stderr.decode(errors='replace')[-1000:]}")
+    return pickle.loads(done.stdout)
 
 
 def few(rows: DataFrame, most: int = 500_000) -> DataFrame:

@@ -7,7 +7,6 @@ logit, which a temperature fitted on rows set aside for that alone turns into a
 
 from __future__ import annotations
 
-import pickle
 import re
 from array import array
 from collections import Counter
@@ -195,7 +194,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seen:
 def fit(labelled: DataFrame, most_words: int) -> Model:
     """The model of a bounded sample (doc_id, text, quality), in a process of its own: what it needs goes when it ends."""
     rows = sorted(labelled.collect(), key=lambda r: r["doc_id"])
-    return pickle.loads(apart(train, [r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words))
+    return apart(train, [r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5):
