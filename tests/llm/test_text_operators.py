@@ -419,6 +419,12 @@ def test_word_vectors_equal_slow_ones():
         assert np.allclose(got, model.vectors[ids].mean(0) if ids else 0, atol=1e-6)
 
 
+def test_a_process_apart():
+    assert common.apart(quality.shape, "Abc") == quality.shape("Abc")
+    with pytest.raises(RuntimeError, match="IndexError"):
+        common.apart(quality.shape, "")
+
+
 def test_temperature_is_calibrated():
     rng = np.random.default_rng(5)
     labels = rng.integers(0, 2, 900)
