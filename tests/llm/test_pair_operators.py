@@ -202,6 +202,22 @@ def test_top_k(spark, monkeypatch, groups):
     assert topk.top_k(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_top_k_of_two_dimensions(spark, monkeypatch):
+    """First bounds from parts of buckets, without a window over all rows."""
+    monkeypatch.setattr(topk, "FIRST", 24)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=(8, 3)[i % 2]) * (1 if i % 3 else 2)).astype(np.float32).tolist(), 0) for i in range(700)]
+    out = topk.top_k(vectors(spark, rows))
+    want = []
+    for dim in (8, 3):
+        own = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v, _ in rows if len(v) == dim]
+        for i, q in own:
+            if i % 50 == 0:
+                want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted((-int(q @ v), j) for j, v in own if j != i)[:5])]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "Window [dim" not in out._jdf.queryExecution().toString()
+
+
 def test_blocks_of_queries():
     needed = np.array([0.0] * 500 + list(range(1, 501)), float)
     lower, at, blocks = topk.blocks_of(needed, 100.0, 2000)

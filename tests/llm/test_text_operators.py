@@ -181,6 +181,23 @@ def test_tilt_solves_the_constraints(spark):
         assert (rates * sizes).sum() == pytest.approx(ratio * sizes.sum(), rel=1e-5)
 
 
+def test_mixing_of_many_equal_rows(spark, monkeypatch):
+    """A group of equal rows is dealt in pieces, also where rows have numbers; results don't depend on how the table lies."""
+    monkeypatch.setattr(mixing, "ROUNDED", 100)
+    rows = [(None, "one two three", "en", "a", 0)] * 3000 + [(i, "w " * (i % 40 + 1), "en", "ab"[i % 2], 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    slim = mixing.sized(docs)
+    cut = mixing.pieces(slim, None)
+    assert cut.agg(F.max("many"), F.sum("many"), F.count_if(F.col("many") > 1)).first() == (100, 3900, 30)
+    numbered = mixing.pieces(mixing.sized(docs.withColumn("at", F.monotonically_increasing_id()), "at"), "at")
+    assert numbered.groupBy("place", "piece").count().agg(F.max("count")).first()[0] < 150 and numbered.count() == 3900
+    made = [Counter(map(tuple, mixing.mix(d).select("doc_id", "source", "size", "copies", "taken").collect())) for d in (docs, docs.repartition(5))]
+    assert made[0] == made[1] and sum(made[0].values()) == 3900
+    for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert r.taken == pytest.approx(r.target, rel=0.01)
+    assert mixing.mixed_documents(docs, ["doc_id", "text", "source"]).count() == sum(k[3] * n for k, n in made[0].items())
+
+
 def test_mixing_cases(spark):
     docs = odd_docs(spark)
     out = mixing.mix(docs)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import WORD, Stored, few, pick, release
 
-#: Documents of a source that are rounded together, about.
+#: Documents of a source that are rounded together, about, and equal rows that are one row on the way there.
 ROUNDED = 2_000
 #: Sources up to which their table is broadcast.
 BROADCAST = 100_000
@@ -83,22 +83,42 @@ def solve(counted: DataFrame, plan: dict, most: float, tolerance: float, rounds:
 
 
 def rounded(most: int):
-    """Rounds the rates of the documents of one bucket: from the largest size down, what rounding gains or loses is carried on."""
+    """Rounds the rates of the documents of one bucket: from the largest size down, what rounding gains or loses is carried on.
+
+    A row stands for ``many`` equal documents, each of which gets ``copies``, ``extra`` of them one more.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         release()
-        rows = rows.sort_by([("size", "descending"), *((c, "ascending") for c in ("place", "doc_id", "row"))])
-        carry, copies = 0.0, []
-        for size, rate_ in zip(rows["size"].to_pylist(), rows["rate"].to_pylist()):
-            n = min(most, max(0, math.floor(rate_ + (carry / size if size else 0.0) + 0.5)))
-            carry += size * (rate_ - n)
-            copies.append(n)
-        kept = rows.select(["doc_id", "source", "place", "row", "size", "source_size", "target"])
-        return kept.append_column("copies", pa.array(copies, pa.int32()))
+        rows = rows.sort_by([("size", "descending"), *((c, "ascending") for c in ("place", "doc_id", "piece", "row"))])
+        carry, copies, extra = 0.0, [], []
+        for size, rate_, many in zip(rows["size"].to_pylist(), rows["rate"].to_pylist(), rows["many"].to_pylist()):
+            n = min(most * many, max(0, math.floor(rate_ * many + (carry / size if size else 0.0) + 0.5)))
+            carry += size * (rate_ * many - n)
+            copies.append(n // many)
+            extra.append(n % many)
+        kept = rows.select(["doc_id", "source", "place", "row", "size", "source_size", "target", "many"])
+        return kept.append_column("copies", pa.array(copies, pa.int32())).append_column("extra", pa.array(extra, pa.int32()))
 
     return run
 
 
+def pieces(slim: DataFrame, row: str | None) -> DataFrame:
+    """The rows of ``sized``, with the number of equal ones that each stands for (many, ROUNDED at most) and a number among them (piece).
+
+    So a group of equal rows, however large, is dealt to many buckets. Rows that have numbers of their own stay apart:
+    there only those of a group beyond ROUNDED are dealt, by their numbers.
+    """
+    if row is None:
+        grouped = slim.groupBy("doc_id", "source", "size", "place").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("row"))
+        cut = grouped.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / ROUNDED).cast("int"))))
+        return cut.withColumn("many", F.least(F.lit(ROUNDED), F.col("n") - F.col("piece") * ROUNDED).cast("int")).drop("n")
+    hot = few(slim.groupBy(F.col("place").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ROUNDED))
+    told = slim.join(hot, F.col("place") == F.col("hot"), "left")
+    piece = F.coalesce(F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / ROUNDED)), F.lit(0)).cast("int")
+    return told.withColumns({"piece": piece, "many": F.lit(1)}).drop("hot", "n")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, tolerance: float = 1e-5, rounds: int = 60, row: str | None = None) -> DataFrame:
     """Copies of each document: doc_id, source, place, row, size, source_size, target, rate's rounding ``copies``, taken.
 
@@ -120,12 +140,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     terms = [(r["source"], r["total"], t, x.get(r["source"], 0.0), max(r["total"] / r["rows"], 1e-9), math.ceil(r["rows"] / ROUNDED)) for r, t in zip(sums, goal)]
     known = docs.sparkSession.createDataFrame(terms, "of string, source_size bigint, target double, x double, mean double, buckets int")
     side = F.broadcast(known) if len(terms) <= BROADCAST else known
-    rows = slim.df.join(side, slim.df.source.eqNullSafe(known.of))
+    cut = pieces(slim.df, row)
+    rows = cut.join(side, cut.source.eqNullSafe(known.of))
     tilt = F.when(F.col("x") == float("inf"), float(most)).otherwise(rate(F.col("size"), F.col("x"), F.col("mean"), most))
-    rows = rows.withColumns({"rate": F.when(F.col("size") > 0, tilt).otherwise(1.0), "bucket": F.pmod(F.xxhash64("place"), F.col("buckets"))})
-    schema = "doc_id bigint, source string, place bigint, row bigint, size bigint, source_size bigint, target double, copies int"
-    made = rows.select("doc_id", "source", "place", "row", "size", "source_size", "target", "rate", "bucket").groupBy("source", "bucket").applyInArrow(rounded(most), schema)
-    return made.withColumn("taken", F.col("copies") * F.col("size"))
+    rows = rows.withColumns({"rate": F.when(F.col("size") > 0, tilt).otherwise(1.0), "bucket": F.pmod(F.xxhash64("place", "piece"), F.col("buckets"))})
+    schema = "doc_id bigint, source string, place bigint, row bigint, size bigint, source_size bigint, target double, many int, copies int, extra int"
+    made = rows.select("doc_id", "source", "place", "row", "size", "source_size", "target", "rate", "bucket", "piece", "many").groupBy("source", "bucket").applyInArrow(rounded(most), schema)
+    made = made.withColumn("number", F.explode(F.sequence(F.lit(1), "many"))).withColumn("copies", F.col("copies") + (F.col("number") <= F.col("extra")).cast("int"))
+    return made.select("doc_id", "source", "place", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import bpe, brown, common, embedding_dedup, line_dedup, mixing, pipeline, quality, simhash, token_counts, topk, warc
+from webloom.llm import alignment, bpe, brown, common, embedding_dedup, fingerprints, lexical, line_dedup, mixing, pipeline, quality, simhash, token_counts, topk, warc
 from webloom.sources.layout import spread
 
 
@@ -60,10 +60,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_quality, op2_source_mixing, op3_brown_lm, op4_topk, op5_line_dedup, op6_bpe, op7_token_counts, op8_warc, op9_embedding_dedup, op10_simhash)}
-    return found | {"pipeline": pipeline.run}
+    made = (op1_quality, op2_source_mixing, op3_brown_lm, op4_topk, op5_line_dedup, op6_bpe, op7_token_counts, op8_warc, op9_embedding_dedup, op10_simhash, op11_alignment, op12_fingerprints, op13_lexical)
+    return {f.__name__: f for f in made} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op5_line_dedup": line_dedup.ORACLE_SQL, "op13_lexical": lexical.ORACLE_SQL}

@@ -40,12 +40,32 @@ def loaded(definition: str):
     return tokenizer
 
 
+def loaded_plain(definition: str):
+    """A tokenizer that takes special strings in a text as plain text."""
+    tokenizer = loaded.__wrapped__(definition)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@lru_cache(maxsize=2)
+def safe(definition: str) -> bool:
+    """Whether texts may be split at the boundaries of STRETCH.
+
+    So it is for byte-level BPE whose pre-tokenizer is ByteLevel by its own pattern and without a prefix blank, with no
+    normalizer, if no added token holds white space, takes in what is beside it, or asks for word boundaries.
+    """
+    spec = json.loads(definition)
+    cut = spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    odd = any(re.search(r"\s", t["content"]) or any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in spec.get("added_tokens", []))
+    own = spec["model"]
+    return bool(plain) and own.get("type") == "BPE" and not own.get("dropout") and not odd and (spec.get("post_processor") or {}).get("type") in (None, "ByteLevel")
+
+
 @lru_cache(maxsize=2)
 def turns(definition: str) -> bool:
     """Whether TURN is a safe boundary."""
-    spec = json.loads(definition)
-    plain = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True)
-    return bool(plain) and not any(TURN.search(t["content"]) for t in spec.get("added_tokens", []))
+    return safe(definition) and not any(TURN.search(t["content"]) for t in json.loads(definition).get("added_tokens", []))
 
 
 def stretches(text: str, split_long: bool) -> list[str]:
@@ -70,7 +90,7 @@ def lengths(texts: list[str], definition: str, batch_bytes: int) -> list[int]:
     if len(seen) > KEEP:
         seen.clear()
     split_long = turns(definition)
-    parts = [stretches(text, split_long) for text in texts]
+    parts = [stretches(text, split_long) for text in texts] if safe(definition) else [[text] for text in texts]
     new = list({p for ps in parts for p in ps if p not in seen})
     sizes = (len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in new)
     for a, b in chunks(sizes, batch_bytes):
@@ -82,12 +102,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, batch_
     """Token count of every whole text.
 
     tokenizer_path: a ``tokenizers`` JSON file that the driver can read; its content (a few MB, whatever the data)
-    goes to the executors with the function.
+    goes to the executors with the function. Any kind of it gives the library's counts: texts are split at safe boundaries
+    where ``safe`` can tell that these are none of the definition's concern, and are encoded whole where it can't.
 
     Returns doc_id, n_bytes, n_tokens, over_limit, one row for each row of ``docs``. A null text counts as empty (0
     bytes, 0 tokens); repeated rows and null ids stay as they are; an empty table gives no rows; other columns are ignored.
-    Texts are split at safe boundaries, however long they are; only a run without any, such as one of letters alone,
-    is encoded in one piece, as it has to be. The plan is a scan and a
+    However long they are, only a run without a safe boundary, such as one of letters alone, is encoded in one piece, as
+    it has to be. The plan is a scan and a
     map: no shuffle, so neither a hot source nor a group of copies meets in one task.
     """
     definition = Path(tokenizer_path).read_text(encoding="utf-8")

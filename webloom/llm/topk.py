@@ -21,7 +21,7 @@ from webloom.llm.common import Stored, pick
 
 #: Candidates and queries of one group, about.
 CANDIDATES, QUERIES = 8192, 8192
-#: Longest vectors from which the first bounds come.
+#: Vectors from which the first bounds come, about: those of the longest buckets.
 FIRST = 2048
 #: Local cosine threshold from which coordinates are pruned, and how many coordinates.
 STEEP, FOCUS = 0.5, 4
@@ -109,8 +109,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     those of their own length only. A repeated query row gives its ranks again. An empty table gives no rows; other
     columns are ignored. Scores are exact; beyond 64 bits an error is raised.
 
-    Only the FIRST longest vectors are sent to all tasks, from which each query has a first bound and with it the length
-    that a candidate needs. Queries are dealt into blocks by that length, so that a bucket of shorter candidates goes
+    Only about FIRST vectors, of the longest buckets, are sent to all tasks, from which each query has a first bound and
+    with it the length that a candidate needs. Queries are dealt into blocks by that length, so that a bucket of shorter candidates goes
     only to the blocks that it can matter to. Candidates of a bucket are dealt into groups by hash, so many vectors of one
     length make many groups.
     """
@@ -124,10 +124,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     stats = stored.df.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).collect()
     spark = vectors.sparkSession
     dims = sorted({r["dim"] for r in stats})
-    longest = Window.partitionBy("dim").orderBy(F.desc("length"), "vec_id", "row")
-    slim = stored.df.select("dim", "row", "length", "vec_id").withColumn("place", F.row_number().over(longest))
-    chosen = slim.where(F.col("place") <= max(k + 1, FIRST // max(1, len(dims)))).select("row")
-    some = stored.df.join(F.broadcast(chosen), "row").select("dim", "row", "v").toArrow()
+    shares = []  # any candidates give bounds: whole buckets from the longest on, and of the last one as many as are missing, by hash
+    for dim in dims:
+        wanted = max(2 * (k + 1), FIRST // len(dims))
+        for r in sorted((r for r in stats if r["dim"] == dim), key=lambda r: -r["bucket"]):
+            if wanted <= 0:
+                break
+            shares.append((dim, r["bucket"], min(1.0, wanted / r["n"])))
+            wanted -= r["n"]
+    chosen = F.broadcast(spark.createDataFrame(shares, "dim int, bucket int, share double"))
+    some = stored.df.select("dim", "bucket", "row", "v").join(chosen, ["dim", "bucket"]).where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("dim", "row", "v").toArrow()
     first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     dim_of = some.column("dim").to_numpy()
     for dim in dims:
