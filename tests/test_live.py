@@ -42,6 +42,9 @@ CODED = {
 }
 
 
+ASKED: list[str] = []
+
+
 class Handler(BaseHTTPRequestHandler):
     def do_GET(self):
         name = self.path.strip("/")
@@ -53,6 +56,12 @@ class Handler(BaseHTTPRequestHandler):
             record = {"content": base64.b64encode(b"# Tide").decode(), "encoding": "base64"} if name.endswith("/readme") else REPO
             body = json.dumps(record if self.headers["Accept"] == live.ACCEPT_API else {}).encode()
             return self.answer(404 if kind == "bare" and name.endswith("/readme") else status, body)
+        ASKED.append(name)
+        if name.startswith("to-"):
+            self.send_response(302)
+            self.send_header("Location", {"to-ftp": "ftp://127.0.0.1/x", "to-file": "file:///etc/hostname", "to-a": "/a"}[name])
+            self.send_header("Content-Length", "0")
+            return self.end_headers()
         if name in CODED:
             return self.answer(200, CODED[name], {"two": "gzip", "half": "gzip", "raw-deflate": "deflate"}.get(name, name))
         if name in ("cut", "trickle", "chunks"):  # a body that breaks off, one that never ends, one that breaks off between chunks
@@ -148,6 +157,57 @@ def test_data_source(spark, base):
     assert sorted(r.status_code for r in df.collect()) == [200, 404]
 
 
+def source(spark, urls, **options):
+    live.register(spark)
+    reader = spark.read.format("webloom").option("urls", " ".join(urls))
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return reader.load()
+
+
+def test_only_http(spark, base, tmp_path):
+    """Local files, FTP and data URLs are refused, blocked ones never asked for, and redirects lead nowhere else."""
+    (tmp_path / "secret").write_text("secret")
+    urls = [f"file://{tmp_path}/secret", "ftp://127.0.0.1/x", "data:text/plain,x", "http:///", f"{base}/b-blocked", f"{base}/a", f"{base}/to-ftp", f"{base}/to-file", f"{base}/to-a"]
+    ASKED.clear()
+    made = source(spark, urls, partitions=3, block_prefixes=f"{base}/b- http://other/")
+    found = {r.url: r for r in fetch_with_options(made, BOTH).collect()}
+    assert [found[u].error_kind for u in urls] == ["InvalidUrlScheme"] * 4 + ["BlockedUrl", None, "RequestError", "RequestError", None]
+    assert found[urls[8]].content == found[urls[5]].content and "isn't http" in found[urls[6]].error_message
+    assert sorted(ASKED) == ["a", "a", "to-a", "to-file", "to-ftp"]
+    assert not any("secret" in str(r.asDict()) for r in made.collect() if not r.url.startswith("file"))
+    for url in urls[:2]:
+        assert live.get(url, None, False, False, None)[4] and live.get(url, None, False, False, None)[2] is None
+    allowed = fetch_with_options(source(spark, urls[4:6], allow_prefixes=f"{base}/a"), BOTH)
+    assert sorted(r.error_kind or "" for r in allowed.collect()) == ["", "BlockedUrl"]
+    bad = fetch_with_options(source(spark, [f"{base}/a"], method="POST"), BOTH).first()
+    assert bad.error_kind == "InvalidMethod"
+
+
+def test_filters_reach_the_source(spark, base):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        ASKED.clear()
+        made = source(spark, [f"{base}/{n}" for n in ("p1", "p2", "q1", "q2")], partitions=2, pushdown="true")
+        assert [r.url for r in made.where(made.url.startswith(f"{base}/p") & ~made.url.endswith("2")).collect()] == [f"{base}/p1"]
+        assert ASKED == ["p1"]
+        assert made.where(made.url.isin(f"{base}/q1", f"{base}/x")).where("status_code = 200").count() == 1 and ASKED == ["p1", "q1"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_repositories_of_the_source(spark, base):
+    made = source(spark, ["https://github.com/o/r", "https://github.com/x/../gone/r"], api=base)
+    found = {r.url: r for r in fetch_with_options(made, BOTH).collect()}
+    assert found["https://github.com/o/r"].content.startswith("# o/r\n") and found["https://github.com/x/../gone/r"].error == "Repository gone/r not found"
+
+
+def test_hosts_make_partitions(spark):
+    reader = live._Reader({"urls": " ".join([f"http://a/{i}" for i in range(6)] + ["http://c/", "http://b/", "x"]), "partitions": "3"})
+    parts = [p.urls for p in reader.partitions()]
+    assert [len(p) for p in parts] == [3, 3, 3] and all(u.startswith("http://a/") for u in parts[1])
+
+
 def test_command_line(spark, base, capsys):
     assert cli.main(["fetch", f"{base}/a", "-o", "json"]) == 0
     assert json.loads(capsys.readouterr().out)["format"] == "markdown"

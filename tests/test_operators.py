@@ -1,12 +1,13 @@
 """URL, header and result operators, sinks, JSON-RPC, the registry and the tool."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from webloom import api
-from webloom.functions import errors, http
+from webloom.functions import errors, hosts, http
 from webloom.functions import text as T
 from webloom.functions import url as U
 from webloom.operators import guard, sinks
@@ -212,3 +213,38 @@ def test_one_scan_and_no_shuffle(spark, tmp_path):
 
 def test_default_fetcher_alone(spark):
     assert default_response(captured(spark, body="x"), BOTH).first().content == "x"
+
+
+HOSTS = [
+    ("http://Bücher.example/a", "xn--bcher-kva.example"), ("http://FAß.de/", "fass.de"), ("http://例え。テスト/", "xn--r8jz45g.xn--zckzah"), ("http://b%C3%BCcher.example", "xn--bcher-kva.example"),
+    ("http://ｅｘ.com/", "ex.com"), ("http://xn--bcher-kva.example/", "xn--bcher-kva.example"), ("http://a\u00adb.com", "ab.com"), ("http://0x7f.1/", "127.0.0.1"), ("http://0177.0.0.1", "127.0.0.1"),
+    ("http://2130706433/", "127.0.0.1"), ("http://256.1.1.1/", None), ("http://1.2.3.4.5/", None), ("http://1.2.3.4./", "1.2.3.4"), ("http://0x/", "0.0.0.0"), ("http://4294967296/", None), ("http://08.1/", None),
+    ("http://a.1b/", "a.1b"), ("http://a.12/", None), ("http://１.2.3.4/", "1.2.3.4"), ("http://user:p@h.org:80/x", "h.org"), ("http://a b/", None), ("http://[::1]/", "[::1]"), ("http://h:99999/", None), ("http://a%00b/", None),
+    ("http:///", None), ("http://ü..de/", None), ("http://plain.example.com?x", "plain.example.com"), ("HTTP://x", None), ("http://0xffffffff", "255.255.255.255"), ("http://1.0x100", "1.0.1.0"), ("http://ﬁ.org", "fi.org"),
+]
+
+
+def test_hosts_by_the_standard(spark):
+    """Each rule, in Catalyst and in the form for single URLs; only names beyond ASCII are converted."""
+    df = spark.createDataFrame([(u,) for u, _ in HOSTS], "url string")
+    got = df.select("url", U.host(F.col("url")).alias("host"), U.parses(F.col("url")).alias("fine")).collect()
+    told = {r.url: r.host if r.fine else None for r in got}
+    for url, want in HOSTS:
+        assert told[url] == want, url
+        assert (hosts.parsed(url) or (None,))[0] == want, url
+    assert "Python" not in df.select(U.parses(F.col("url")))._jdf.queryExecution().toString()
+
+
+def test_single_urls_equal_columns(spark):
+    rng = random.Random(7)
+    letters = ["a", "B", ".", "..", "/", "%2e", "%41", "é", " ", "\\", "?", "#", "github.com", "@", ":", "8", "settings", "x.y", "\t", "0x1"]
+    urls = ["http" + rng.choice(["://", "s://", "s:///"]) + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    urls += ["https://github.com/" + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(500)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    u = F.col("url")
+    for r in df.select("url", U.parses(u).alias("fine"), U.host(u).alias("host"), U.path(u).alias("path"), U.repository(u).alias("page")).collect():
+        found = hosts.parsed(r.url)
+        assert (found is not None) == r.fine, r.url
+        if found:
+            assert found == (r.host, r.path), r.url
+            assert hosts.repository(r.url) == (tuple(r.page) if r.page else None), r.url

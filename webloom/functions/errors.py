@@ -25,8 +25,15 @@ def message(kind: Column, detail: Column | None = None) -> Column:
     return F.concat(base, F.when(kind.isin("RequestError", "FetcherError"), F.coalesce(detail, F.lit(""))).otherwise("")) if detail is not None else base
 
 
+#: Kinds of what a capture's net_error may say instead of a message: what befell the request, or why it wasn't made.
+NETWORK = {"timeout": "FirstByteTimeout", "connect": "ConnectError", "missing": "MissingUrl", "scheme": "InvalidUrlScheme", "method": "InvalidMethod", "blocked": "BlockedUrl"}
+
+
 def network_kind(net_error: Column) -> Column:
-    return F.when(net_error == "timeout", "FirstByteTimeout").when(net_error == "connect", "ConnectError").when(net_error.isNotNull(), "RequestError")
+    out = F.when(F.lit(False), "")
+    for said, kind in NETWORK.items():
+        out = out.when(net_error == said, kind)
+    return out.when(net_error.isNotNull(), "RequestError")
 
 
 def method_kind(method: Column) -> Column:

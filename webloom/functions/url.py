@@ -1,21 +1,19 @@
 """URL predicates and parts of http(s) URLs, normalised as a browser does.
 
 Blanks at the ends and line breaks are dropped, dot segments resolved, signs that a path can't hold percent-encoded, and
-hosts percent-decoded. Not covered: international host names stay in Unicode, in lower case.
+hosts percent-decoded; international names become Punycode, numeric addresses get their common form. A sharp s counts as
+ss and a final sigma as sigma, as in the older of the two rules for names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# First path segments of the code host that are no owners.
-RESERVED_OWNERS = (
-    "settings", "explore", "trending", "collections", "events", "sponsors", "notifications", "marketplace", "pulls", "issues", "codespaces", "features",
-    "enterprise", "organizations", "pricing", "about", "team", "security", "login", "join",
-)
+from webloom.functions.reserved import RESERVED_OWNERS
 
 AUTHORITY = r"^https?:[/\\]*([^/\\?#]*)"
 
@@ -35,20 +33,45 @@ def bare(url: Column) -> Column:
     return F.when(odd, F.regexp_replace(F.regexp_replace(url, r"[\x00-\x20]+\z", ""), r"[\t\n\r]", "")).otherwise(url)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+#: A last label that makes a host a numeric address.
+NUMERIC = r"(?:^|\.)(?:0x[0-9a-f]*|[0-9]+)\.?\z"
+FORBIDDEN = r"[\x00-\x20\x7f<>^|%\"`{}\\]"
+
+
+def _address(name: Column) -> Column:
+    """A numeric host of one to four parts (decimal, octal after 0, hexadecimal after 0x) as four decimals; null if it isn't valid."""
+    value = lambda p: F.when(F.rlike(p, F.lit(r"^0x[0-9a-f]*\z")), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 99)), 16, 10)).when(F.rlike(p, F.lit(r"^0[0-7]*\z")), F.conv(p, 8, 10)).when(F.rlike(p, F.lit(r"^[1-9][0-9]*\z")), p).try_cast("bigint")
+    power = lambda n: F.pow(F.lit(256), n).cast("bigint")
+
+    def whole(vs: Column) -> Column:
+        n = F.size(vs)
+        good = (n <= 4) & F.forall(F.transform(vs, lambda v, i: (v >= 0) & (v < F.when(i < n - 1, F.lit(256)).otherwise(power(5 - n)))), lambda ok: F.coalesce(ok, F.lit(False)))
+        total = F.aggregate(F.transform(vs, lambda v, i: F.when(i < n - 1, v * power(3 - i)).otherwise(v)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+        return F.when(good, bound(total, lambda t: F.concat_ws(".", *[F.shiftright(t, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])))
+
+    return bound(F.transform(F.split(F.regexp_replace(name, r"\.\z", ""), r"\."), value), whole)
+
+
 def host(url: Column) -> Column:
-    """Lower-case host, percent-decoded, without user and port; null if it can't be decoded."""
+    """Lower-case host, percent-decoded, in ASCII, without user and port; null if it isn't valid, empty if there is none."""
     raw = F.lower(F.regexp_extract(F.regexp_extract(bare(url), AUTHORITY, 1), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
-    return F.when(F.contains(raw, F.lit("%")), F.lower(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")))).otherwise(raw)
+    decoded = F.when(F.contains(raw, F.lit("%")), F.lower(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")))).otherwise(raw)
+    # the JVM's own conversion of names, for rows that have letters beyond ASCII
+    named = bound(decoded, lambda h: F.when(F.rlike(h, F.lit(r"[^\x00-\x7F]")), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h))).otherwise(h))
+    return bound(named, lambda h: F.when(F.rlike(h, F.lit(NUMERIC)), _address(h)).otherwise(h))
 
 
 def parses(url: Column) -> Column:
     """Whether the URL has a host without forbidden characters and, if any, a port in range."""
-    authority = F.regexp_extract(bare(url), AUTHORITY, 1)
-    port = F.regexp_extract(authority, r":([^:@\]]*)$", 1)
-    name = host(url)
-    good = (name != "") & ~F.rlike(name, F.lit(r"[\x00-\x20<>^|%\"`{}\\]|^\[(?![0-9a-f:.]+\]$)"))
-    number = F.when(F.rlike(port, F.lit("^[0-9]{1,9}$")), port).try_cast("int")
-    return F.coalesce(good, F.lit(False)) & ((port == "") | F.coalesce(number <= 65535, F.lit(False)))
+    behind = F.regexp_extract(F.regexp_extract(bare(url), AUTHORITY, 1), r"^(?:.*@)?(?:\[[^\]]*\]|[^:]*)(.*)$", 1)
+    good = bound(host(url), lambda h: (h != "") & F.when(F.startswith(h, F.lit("[")), F.rlike(h, F.lit(r"^\[[0-9a-f:.]+\]$"))).otherwise(~F.rlike(h, F.lit(FORBIDDEN))))
+    number = F.when(F.rlike(behind, F.lit("^:[0-9]{1,9}$")), F.substring(behind, 2, 9)).try_cast("int")
+    return F.coalesce(good, F.lit(False)) & (behind.isin("", ":") | F.coalesce(number <= 65535, F.lit(False)))
 
 
 #: What is percent-encoded in a path, and segments that are resolved.

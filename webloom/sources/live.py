@@ -14,15 +14,16 @@ import time
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from urllib import error, request
+from urllib import error, parse, request
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, Not, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
+from webloom.functions.hosts import has_scheme, parsed, refused
+from webloom.functions.hosts import repository as repository_of
 from webloom.options import DEFAULT_USER_AGENT, FetchOptions
 from webloom.schemas import LIVE_SCHEMA, REQUEST_SCHEMA
 
@@ -68,6 +69,23 @@ class _Response(http.client.HTTPResponse):
         self.fp = io.BufferedReader(_Timed(self.fp.detach(), sock, end))
 
 
+class _Redirects(request.HTTPRedirectHandler):
+    """Redirects to http(s) URLs; any other is a failure of the request."""
+
+    def redirect_request(self, asked, *args):
+        if not has_scheme(args[-1].lower()):
+            raise ValueError("redirected to a URL that isn't http or https")
+        return super().redirect_request(asked, *args)
+
+    def http_error_302(self, asked, answer, code, message, headers):
+        target = headers.get("location", headers.get("uri"))
+        if target and not has_scheme(parse.urljoin(asked.full_url, target).lower()):
+            raise ValueError("redirected to a URL that isn't http or https")
+        return super().http_error_302(asked, answer, code, message, headers)
+
+    http_error_301 = http_error_303 = http_error_307 = http_error_308 = http_error_302
+
+
 def _opener(end: float) -> request.OpenerDirector:
     """Opens URLs with one deadline for connections, redirects, headers and bodies together."""
 
@@ -87,7 +105,10 @@ def _opener(end: float) -> request.OpenerDirector:
         def https_open(self, asked):
             return self.do_open(timed(http.client.HTTPSConnection), asked, context=ssl.create_default_context())
 
-    return request.build_opener(Plain, Secure)
+    opener = request.OpenerDirector()  # nothing but HTTP: no files, no FTP, no data URLs
+    for handler in (request.ProxyHandler, Plain, Secure, _Redirects, request.HTTPDefaultErrorHandler, request.HTTPErrorProcessor, request.UnknownHandler):
+        opener.add_handler(handler())
+    return opener
 
 
 def inflate(body: bytes, coding: str) -> tuple[bytes, bool]:
@@ -174,34 +195,35 @@ def repository(owner: str, repo: str, agent: str | None, base: str = API_BASE) -
     return None, None, None, None, failed, status, record, *readme
 
 
-def capture(requests: DataFrame, options: FetchOptions = FetchOptions(), together: int = 16, api: str = API_BASE) -> DataFrame:
-    """Captures (LIVE_SCHEMA) of a DataFrame of requests. URLs that fail the checks aren't asked for, and have no response.
+def asked(url: str | None, method: str | None, markdown: bool, text: bool, options: FetchOptions, api: str = API_BASE) -> tuple:
+    """What LIVE_SCHEMA has of a request behind its first four fields. Requests that fail a check aren't made; net_error says why."""
+    why = refused(url, options.allow_prefixes, options.block_prefixes) or ("method" if method is not None and method.upper() not in ("GET", "HEAD") else None)
+    if why:
+        return None, None, None, None, why, *(None,) * 4
+    if page := repository_of(url):
+        return repository(*page, options.user_agent, api)
+    return *get(url, method, options.enable_markdown and markdown, options.enable_text and text, options.user_agent), *(None,) * 4
 
-    Repository pages are asked for by the code host's API, under ``api``.
-    """
-    from webloom.functions import url as U
-    from webloom.operators.guard import error_kind
 
-    page = U.repository(F.col("url"))
-    checked = requests.select(*REQUEST_SCHEMA.fieldNames(), error_kind(F.col("url"), options).isNull().alias("ask"), page.owner.alias("owner"), page.repo.alias("repo"))
+def capture(requests: DataFrame, options: FetchOptions = FetchOptions(), together: int = 16, api: str = API_BASE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Captures (LIVE_SCHEMA, behind the columns ``keep``) of a DataFrame of requests.
+
+    URLs that fail the checks of ``options`` aren't asked for; net_error says which check it was. Repository pages are
+    asked for by the code host's API, under ``api``.
+    """
+    rows = requests.select(*keep, *REQUEST_SCHEMA.fieldNames())
     names = LIVE_SCHEMA.fieldNames()
+    schema = StructType([*requests.select(*keep).schema, *LIVE_SCHEMA])
+    flag = lambda v: bool(v) if v is not None else False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flag = lambda v: bool(v) if v is not None else False
-
-        def ask(r) -> tuple:
-            if not r.ask:
-                return (None,) * 9
-            if r.owner is not None:
-                return repository(r.owner, r.repo, options.user_agent, api)
-            return *get(r.url, r.method, options.enable_markdown and flag(r.as_markdown), options.enable_text and flag(r.as_text), options.user_agent), *(None,) * 4
-
         with ThreadPoolExecutor(together) as pool:
             for b in batches:
-                found = pd.DataFrame(list(pool.map(ask, b.itertuples())), columns=names[4:], dtype=object)
-                yield pd.concat([b[names[:4]].reset_index(drop=True), found], axis=1)
+                made = pool.map(lambda r: asked(r.url, r.method, flag(r.as_markdown), flag(r.as_text), options, api), b.itertuples())
+                found = pd.DataFrame(list(made), columns=names[4:], dtype=object)
+                yield pd.concat([b.reset_index(drop=True), found], axis=1)
 
-    return checked.mapInPandas(run, LIVE_SCHEMA)
+    return rows.mapInPandas(run, schema)
 
 
 class _Part(InputPartition):
@@ -209,24 +231,58 @@ class _Part(InputPartition):
         self.urls = urls
 
 
+def _holds(f: Filter, url: str) -> bool | None:
+    """Whether a URL passes a filter of the plan; None if the filter isn't one on URLs that the source decides."""
+    if isinstance(f, Not):
+        found = _holds(f.child, url)
+        return None if found is None else not found
+    if getattr(f, "attribute", None) != ("url",):
+        return None
+    tests = {EqualTo: lambda: url == f.value, EqualNullSafe: lambda: url == f.value, In: lambda: url in f.value, IsNotNull: lambda: True, StringStartsWith: lambda: url.startswith(f.value), StringEndsWith: lambda: url.endswith(f.value), StringContains: lambda: f.value in url}
+    return tests[type(f)]() if type(f) in tests else None
+
+
 class _Reader(DataSourceReader):
+    """Requests by host: neighbours in a partition are of one host, and a host with many URLs has several partitions."""
+
     def __init__(self, options: dict):
+        words = lambda name: tuple(options.get(name, "").split())
+        on = lambda name, default="false": str(options.get(name, default)).lower() == "true"
         self.urls = [u for u in options.get("urls", options.get("path", "")).split() if u]
         self.parts = max(1, int(options.get("partitions", 1)))
-        self.options = options
+        self.method, self.markdown, self.text, self.api = options.get("method"), on("as_markdown"), on("as_text"), options.get("api", API_BASE)
+        self.options = FetchOptions(options.get("user_agent"), words("allow_prefixes"), words("block_prefixes"), on("enable_markdown", "true"), on("enable_text", "true"))
 
     def partitions(self) -> list[_Part]:
-        return [_Part(self.urls[i :: self.parts]) for i in range(self.parts)]
+        host = lambda u: (parsed(u) or ("", ""))[0]
+        urls = sorted(self.urls, key=host)
+        each = max(1, -(-len(urls) // self.parts))
+        return [_Part(urls[a : a + each]) for a in range(0, max(1, len(urls)), each)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        markdown, text = (str(self.options.get(k, "false")).lower() == "true" for k in ("as_markdown", "as_text"))
-        for url in partition.urls:
-            method = self.options.get("method")
-            yield (url, method, markdown, text, *get(url, method, markdown, text, self.options.get("user_agent")), *(None,) * 4)
+        with ThreadPoolExecutor(16) as pool:
+            ask = lambda u: (u, self.method, self.markdown, self.text, *asked(u, self.method, self.markdown, self.text, self.options, self.api))
+            yield from pool.map(ask, partition.urls)
+
+
+class _PushedReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on URLs are decided before anything is asked for."""
+        for f in filters:
+            if _holds(f, "") is None:
+                yield f
+            else:
+                self.urls = [u for u in self.urls if _holds(f, u)]
 
 
 class WebSource(DataSource):
-    """``spark.read.format("webloom")`` with option urls (separated by blanks), method, as_markdown, as_text, user_agent, partitions."""
+    """``spark.read.format("webloom")``: captures of option urls (separated by blanks).
+
+    Further options: method, as_markdown, as_text, enable_markdown, enable_text, user_agent, allow_prefixes and
+    block_prefixes (separated by blanks), api (of the code host), partitions. URLs that aren't http(s), or that the lists
+    refuse, are rows without a response whose net_error says so, and are never asked for. With option pushdown, which needs
+    ``spark.sql.python.filterPushdown.enabled``, filters on url drop rows before their requests are made.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -236,7 +292,8 @@ class WebSource(DataSource):
         return LIVE_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (_PushedReader if options.get("pushdown", "").lower() == "true" else _Reader)(options)
 
 
 def register(spark: SparkSession) -> None:
