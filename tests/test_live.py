@@ -16,8 +16,8 @@ from webloom import api, cli
 from webloom.operators.fetch import fetch_with_options
 from webloom.options import FetchOptions
 from webloom.schemas import REQUEST_SCHEMA
-from webloom.sources import live
-from webloom.streaming import fetch_stream
+from webloom.sources import lines, live, sink
+from webloom.streaming import fetch_stream, server
 
 BOTH = FetchOptions(enable_markdown=True, enable_text=True)
 
@@ -215,6 +215,100 @@ def test_command_line(spark, base, capsys):
     assert cli.main([]) == 1 and cli.main(["--guide"]) == 0
 
 
+def call(i, url):
+    return json.dumps({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": "webloom", "arguments": {"url": url}}})
+
+
+def test_server_of_many_lines(spark, tmp_path):
+    """10,000 lines in one query; one that is started again loses no reply and doubles none, also where a batch broke off."""
+    spool, out, state = tmp_path / "lines", str(tmp_path / "out"), str(tmp_path / "state")
+    spool.write_text("".join(f'{{"jsonrpc":"2.0","id":{i},"method":"m{i}"}}\n' for i in range(10_000)) + '{"jsonrpc":"2.0","id":10000,')
+    run = lambda: server.serve(spark, str(spool), out, state).trigger(availableNow=True).start().awaitTermination()
+    told = lambda: [json.loads(line) for path in server.committed(out) for line in open(path)]
+    run()
+    assert [r["id"] for r in told()] == list(range(10_000)) and told()[77]["error"]["message"] == "Method not found: m77"
+    with spool.open("a") as f:
+        f.write('"method":"last"}\n\n{"jsonrpc":"2.0","id":"x","method":"y"}\n')
+    run()
+    assert [r["id"] for r in told()][10_000:] == [10_000, "x"]
+    # a batch whose commit wasn't noted is written again, in its own place
+    import pathlib
+
+    last = sorted(pathlib.Path(state, "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    last.unlink()
+    pathlib.Path(last.parent, f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert [r["id"] for r in told()] == [*range(10_001), "x"]
+
+
+def test_server_fetches_each_url_once(spark, base, tmp_path):
+    spool = tmp_path / "lines"
+    spool.write_text("\n".join([call(1, f"{base}/z1"), call(2, f"{base}/z1"), call(3, f"{base}/z2"), call(4, "ftp://x")]) + "\n")
+    ASKED.clear()
+    server.serve(spark, str(spool), str(tmp_path / "out"), str(tmp_path / "state"), server.live_captures()).trigger(availableNow=True).start().awaitTermination()
+    found = [json.loads(line) for path in server.committed(str(tmp_path / "out")) for line in open(path)]
+    assert [r["id"] for r in found] == [1, 2, 3, 4] and ["isError" in r["result"] for r in found] == [False, False, False, True]
+    assert sorted(ASKED) == ["z1", "z2"]
+
+
+def test_ranges_of_lines(tmp_path):
+    texts = ["", "a", "é" * 9, "x" * 50, "\r", "end"]
+    (tmp_path / "f").write_bytes(("\n".join(texts * 7) + "\n").encode())
+    for part in (1, 3, 16, 1000):
+        reader = lines.LineReader({"path": str(tmp_path / "f"), "partbytes": str(part)})
+        got = [r for p in reader.partitions() for r in reader.read(p)]
+        assert [r[2] for r in got] == [t.rstrip("\r") for t in texts * 7] and len({r[1] for r in got}) == len(got)
+
+
+def test_sink_leaves_no_halves(spark, tmp_path):
+    """Tasks that fail leave nothing; rows of a failed write aren't seen; writes replace or add."""
+    sink.register(spark)
+    made = spark.range(20).repartition(4).selectExpr("cast(id as string) name", "concat('text ', id) content")
+    write = lambda df, mode, **o: df.write.format("webloom_files").mode(mode).options(path=str(tmp_path / "out"), **o).save()
+    write(made, "overwrite", form="files")
+    files = lambda: sorted(p.name for p in (tmp_path / "out").rglob("*.md"))
+    assert len(files()) == 20 and not list((tmp_path / "out").glob("_pending*"))
+    from pyspark.sql import functions as F
+
+    broken = made.withColumn("content", F.when(F.col("name") == "7", F.raise_error(F.lit("no"))).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="no"):
+        write(broken, "overwrite", form="files")
+    assert len(files()) == 20 and not list((tmp_path / "out").glob("_pending*")) and "new" not in {p.read_text() for p in (tmp_path / "out").rglob("*.md")}
+    write(made.where("name < 3"), "append", form="files")
+    assert len(files()) == 23
+    write(made.selectExpr("if(name = '3', null, concat('a\\n', name)) value"), "overwrite")
+    assert sorted(x for p in (tmp_path / "out").rglob("*.jsonl") for x in p.read_text().splitlines()) == sorted(f"a {i}" for i in range(20) if i != 3) and files() == []
+    with pytest.raises(Exception, match="columns"):
+        write(made, "append", form="lines")
+
+
+def test_killed_attempts_leave_nothing(tmp_path):
+    """What an attempt wrote that isn't committed can't be read, and goes with the commit."""
+    from pyspark.sql import Row
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    writer = sink.SinkWriter({"path": str(tmp_path)}, StructType([StructField("value", StringType())]), False)
+
+    def dies():
+        yield Row(value="half")
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        writer.write(dies())
+    assert not list(tmp_path.glob("part*"))
+    writer.commit([writer.write(iter([Row(value="whole")])), None])
+    assert [p.read_text() for p in tmp_path.rglob("*.jsonl")] == ["whole\n"]
+
+
+def test_command_line_server(spark, base, monkeypatch, capsys):
+    import io
+
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join([call(1, f"{base}/a"), '{"jsonrpc":"2.0","id":2,"method":"tools/list"}', "bad"]) + "\n"))
+    assert cli.main(["rpc"]) == 0
+    found = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+    assert [r.get("id") for r in found] == [1, 2, None] and "status_code: 200" in found[0]["result"]["content"][0]["text"]
+
+
 def test_rpc_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text('{"jsonrpc":"2.0","id":6,"method":"zzz"}\n\n{"jsonrpc":"2.0","method":"notifications/x"}\n')

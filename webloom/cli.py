@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +18,46 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("webloom").config("spark.ui.enabled", "false").getOrCreate()
 
 
+def _serve(spark: SparkSession) -> int:
+    """Answers the lines of standard input until it ends: they are appended to a file, which a stream answers in batches."""
+    from webloom.streaming.server import committed, live_captures, serve
+
+    with tempfile.TemporaryDirectory(prefix="webloom-rpc-") as top:
+        spool = f"{top}/lines"
+        open(spool, "wb").close()
+        ended = threading.Event()
+
+        def take() -> None:
+            with open(spool, "ab", buffering=0) as f:
+                for line in sys.stdin:
+                    f.write((line.rstrip("\r\n") + "\n").encode("utf-8", "surrogatepass"))
+            ended.set()
+
+        threading.Thread(target=take, daemon=True).start()
+        query = serve(spark, spool, f"{top}/out", f"{top}/state", live_captures()).trigger(processingTime="50 milliseconds").start()
+        shown: set[str] = set()
+
+        def show() -> None:
+            for path in committed(f"{top}/out"):
+                if path not in shown:
+                    shown.add(path)
+                    with open(path, encoding="utf-8") as f:
+                        sys.stdout.write(f.read())
+            sys.stdout.flush()
+
+        try:
+            while query.isActive and not ended.wait(0.1):
+                show()
+            if query.isActive:
+                query.processAllAvailable()
+            show()
+        finally:
+            query.stop()
+        if failed := query.exception():
+            raise ValueError(str(failed))
+    return 0
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="webloom")
     parser.add_argument("--guide", action="store_true")
@@ -38,16 +80,7 @@ def main(args: list[str] | None = None) -> int:
             print(out[known.output])
             return 0
         if known.command == "rpc":
-            from webloom.operators.rpc import parse, replies
-            from webloom.sources.live import capture
-
-            spark = _session()
-            for line in sys.stdin:
-                lines = spark.createDataFrame([(line.rstrip("\n"),)], "value string")
-                urls = parse(lines).where("rpc_method = 'tools/call' and url is not null").selectExpr("url", "cast(null as string) method", "true as_markdown", "false as_text")
-                for row in replies(lines, capture(urls)).select("reply").collect():
-                    print(row[0], flush=True)
-            return 0
+            return _serve(_session())
     except ValueError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

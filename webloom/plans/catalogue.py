@@ -1,12 +1,11 @@
 """Queries over the driver's tables, each with its DuckDB equivalent.
 
 The SQL is written apart from the expressions it checks. Where it converts pages it leans on what the test pages hold:
-no lists in lists, no preformatted text, no quotes; ``html_nested`` has pages with these and what they become.
+no lists in lists, no preformatted text, no quotes; ``html_nested`` makes pages with these.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -19,13 +18,17 @@ from webloom.functions import html as H
 from webloom.functions import text as T
 from webloom.functions import url as U
 from webloom.operators import guard, repository, rpc, sinks
+from webloom.operators.conformance import check_schema
 from webloom.operators.fetch import fetch_with_options, result
 from webloom.operators.registry import DefaultFetcher, FetcherRegistry
 from webloom.options import FetchOptions, Tool
+from webloom.plans import derived as D
 from webloom.schemas import CAPTURE_SCHEMA, RESPONSE_FIELDS
+from webloom.sources import lines, live, sink
 from webloom.sources.captured import from_pages, varied
 from webloom.sources.layout import shared_dir, spread
 from webloom.streaming.fetch_stream import to_parquet
+from webloom.streaming.server import serve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,7 +116,8 @@ cap as (select page_id, url, html,
   ['attachment; filename="report.txt"', 'attachment; filename=file.pdf', 'inline; filename="r.xlsx"; size=1', 'inline', 'attachment; filename=""', null, null, null][page_id % 8 + 1] as disposition,
   page_id % 7 = 0 as truncated,
   case when page_id % 19 = 0 then 'timeout' when page_id % 23 = 0 then 'connect' when page_id % 29 = 0 then 'other' end as net_error from pages)"""
-SQL_BINARY = "(" + " or ".join(f"starts_with(lower(content_type), '{p}')" for p in http.BINARY_TYPES) + ")"
+# Fixed values, once more.
+SQL_BINARY = r"""regexp_matches(lower(content_type), '^(image/|audio/|video/|font/|application/(octet-stream|pdf|zip|gzip|x-tar|x-rar|x-7z|vnd\.ms-|vnd\.openxmlformats))')"""
 SQL_IS_HTML = r"(coalesce(contains(lower(content_type), 'text/html'), false) or coalesce(contains(lower(content_type), 'application/xhtml'), false) or regexp_matches(html, '^\s*(<!DOCTYPE|<html)'))"
 SQL_DISPOSITION = r"""case when regexp_matches(disposition, 'filename="[^"]*"') then regexp_extract(disposition, 'filename="([^"]*)"', 1)
   when contains(disposition, 'filename=') and trim(regexp_extract(disposition, 'filename=([^\s;]*)', 1), '"') <> '' then trim(regexp_extract(disposition, 'filename=([^\s;]*)', 1), '"') end"""
@@ -185,27 +189,27 @@ def url_guard(spark, sf_dir):
     return _mutated(spark, sf_dir).select("page_id", guard.error_kind(F.col("url"), options).alias("error_kind"))
 
 
-REPO_URLS = [
-    (1, "https://github.com/owner/repo"), (2, "https://github.com/owner/repo/"), (3, "https://github.com/owner"), (4, "https://github.com/owner/repo/issues"), (5, "https://github.com/settings/profile"),
-    (6, "https://gitlab.com/owner/repo"), (7, "http://user@GitHub.com:8080/a/b.git?x=1#y"), (8, "https://www.github.com/a/b"), (9, "https://github.com//b"), (10, "https://github.com/explore/x"),
-]
+# Fixed values, once more, so that the engine's own list is held against another one.
+SQL_RESERVED = """'settings', 'explore', 'trending', 'collections', 'events', 'sponsors', 'notifications', 'marketplace', 'pulls', 'issues', 'codespaces', 'features', 'enterprise', 'organizations', 'pricing',
+  'about', 'team', 'security', 'login', 'join'"""
 SQL_REPO = f"""({SQL_HOST} = 'github.com' and len(string_split({SQL_PATH}, '/')) = 3 and string_split({SQL_PATH}, '/')[2] <> '' and string_split({SQL_PATH}, '/')[3] <> ''
-  and string_split({SQL_PATH}, '/')[2] not in ({', '.join(repr(o) for o in U.RESERVED_OWNERS)}))"""
+  and string_split({SQL_PATH}, '/')[2] not in ({SQL_RESERVED}))"""
 
 
-@query(f"""with u as (select page_id as id, url from pages union all select -id, url from {_values(REPO_URLS, 'id, url')})
+@query(f"""with u as (select page_id as id, url from pages union all select -page_id - 1, url from ({D.sql_of(url=D.REPO_URL)}))
   select id, url, case when {SQL_REPO} then 'github_repo' else 'default' end as route from u""")
 def route_dispatch(spark, sf_dir):
-    urls = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), "url").unionByName(_rows(spark, "id long, url string", REPO_URLS).withColumn("id", -F.col("id")))
+    pages = _pages(spark, sf_dir)
+    urls = pages.select(F.col("page_id").alias("id"), "url").unionByName(D.derived(pages, url=D.REPO_URL).select((-F.col("page_id") - 1).alias("id"), "url"))
     return urls.select("id", "url", FetcherRegistry.with_defaults().route(F.col("url")).alias("route"))
 
 
-@query(f"""select id, case when {SQL_REPO} then string_split({SQL_PATH}, '/')[2] end as owner, case when {SQL_REPO} then string_split({SQL_PATH}, '/')[3] end as repo,
-  case when {SQL_REPO} then 'https://api.github.com/repos/' || string_split({SQL_PATH}, '/')[2] || '/' || string_split({SQL_PATH}, '/')[3] end as api_url from {_values(REPO_URLS, 'id, url')}""")
+@query(f"""with u as ({D.sql_of(url=D.REPO_URL)}) select page_id, case when {SQL_REPO} then string_split({SQL_PATH}, '/')[2] end as owner, case when {SQL_REPO} then string_split({SQL_PATH}, '/')[3] end as repo,
+  case when {SQL_REPO} then 'https://api.github.com/repos/' || string_split({SQL_PATH}, '/')[2] || '/' || string_split({SQL_PATH}, '/')[3] end as api_url from u""")
 def github_url_parse(spark, sf_dir):
     r = U.repository(F.col("url"))
     api = F.when(r.isNotNull(), repository.api_url(F.col("url")))
-    return _rows(spark, "id int, url string", REPO_URLS).select("id", r.owner.alias("owner"), r.repo.alias("repo"), api.alias("api_url"))
+    return D.derived(_pages(spark, sf_dir), url=D.REPO_URL).select("page_id", r.owner.alias("owner"), r.repo.alias("repo"), api.alias("api_url"))
 
 
 @query(f"select page_id, {SQL_FILE} as filename from pages")
@@ -281,14 +285,11 @@ def is_html_by_body(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", http.is_html(F.lit(None).cast("string"), F.col("text")).alias("is_html"))
 
 
-METHODS = [(1, "GET"), (2, "get"), (3, "Get"), (4, "HEAD"), (5, "head"), (6, "POST"), (7, "invalid"), (8, None), (9, "")]
-
-
-@query(f"""select id, coalesce(upper(method), 'GET') as effective, case when upper(method) not in ('GET', 'HEAD') then 'InvalidMethod' end as error_kind,
-  case when upper(method) not in ('GET', 'HEAD') then 'Invalid method: must be GET or HEAD' end as error_message from {_values(METHODS, 'id, method')}""")
+@query(f"""select page_id, coalesce(upper(method), 'GET') as effective, case when upper(method) not in ('GET', 'HEAD') then 'InvalidMethod' end as error_kind,
+  case when upper(method) not in ('GET', 'HEAD') then 'Invalid method: must be GET or HEAD' end as error_message from ({D.sql_of(method=D.METHOD)})""")
 def method_parse(spark, sf_dir):
     kind = errors.method_kind(F.col("method"))
-    return _rows(spark, "id int, method string", METHODS).select("id", http.effective_method(F.col("method")).alias("effective"), kind.alias("error_kind"), errors.message(kind).alias("error_message"))
+    return D.derived(_pages(spark, sf_dir), method=D.METHOD).select("page_id", http.effective_method(F.col("method")).alias("effective"), kind.alias("error_kind"), errors.message(kind).alias("error_message"))
 
 
 @query("select page_id, strlen(html) as size from pages")
@@ -354,23 +355,10 @@ def html_to_markdown(spark, sf_dir):
     return _dealt(spark, sf_dir).select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-NESTED = [
-    (1, "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>z", "\n- a\n- b\n- c\nz".strip(), "ab\n\nc\nz"),
-    (2, "x<pre>a  b\n<code>c</code></pre>y", "x\n```\na b\nc\n```\ny", "xa b\ncy"),
-    (3, "p<blockquote>q\nr</blockquote>s", "p\n> q\n> r\ns", "pq\nrs"),
-    (4, "a<script>var x='<script>';</script>b</script>c", "ac", "ac"),
-    (5, "<ol><li>1<ol><li>2</li></ol></ol><p>t</p>", "- 1\n- 2\nt", "12\n\nt"),
-    (6, "<pre><b>x</b></pre>&amp;<blockquote>&lt;</blockquote>", "```\n**x**\n```\n&\n> <", "x&<"),
-    (7, "<svg><style>s</svg>t</style></svg>u", "u", "u"),
-    (8, "&#x41;&#66;&mdash;&unknown;&amp", "AB—&&", "AB—&&"),
-    (9, "<BLOCKQUOTE><h2>T</h2>b</BLOCKQUOTE>", ">\n## T\n\nb", "T\nb"),
-]
-
-
-@query("select * from " + _values(NESTED, "id, html, markdown, text").replace("(id, html, markdown, text)", "(id, html, markdown, text)"))
+@query(D.sql_of(**{name: D.by_page([n[i] for n in D.NESTED]) for i, name in enumerate(("html", "markdown", "text"))}))
 def html_nested(spark, sf_dir):
-    rows = _rows(spark, "id int, html string", [r[:2] for r in NESTED])
-    return rows.select("id", "html", H.html_to_markdown(F.col("html")).alias("markdown"), H.html_to_text(F.col("html")).alias("text"))
+    rows = D.derived(_dealt(spark, sf_dir), html=D.by_page([n[0] for n in D.NESTED]))
+    return rows.select("page_id", "html", H.html_to_markdown(F.col("html")).alias("markdown"), H.html_to_text(F.col("html")).alias("text"))
 
 
 @query(f"select page_id, {SQL_MARKDOWN} as markdown, {SQL_TEXT} as text from pages")
@@ -465,154 +453,114 @@ def short_form(spark, sf_dir):
     return fetch_with_options(from_pages(_dealt(spark, sf_dir)), BOTH).select("page_id", sinks.short_form().alias("line"))
 
 
-REQUESTS = [(1, '{"url":"https://a.b","method":"GET","as_markdown":true,"extra":1}'), (2, '{"method":"GET"}'), (3, '{"url":"x","method":"get"}'), (4, "not json"), (5, '{"url":"y"}')]
-
-
-@query("select * from (values (1, 'https://a.b', 'GET', true, null::varchar), (2, null, 'GET', null, 'InvalidRequest'), (3, 'x', 'get', null, 'InvalidRequest'), (4, null, null, null, 'InvalidRequest'), (5, 'y', null, null, null)) t(id, url, method, as_markdown, error_kind)")
+@query(f"""with l as ({D.sql_of(value=D.REQUEST)}), j as (select page_id, case when json_valid(value) then value end as value from l),
+  r as (select page_id, json_extract_string(value, '$.url') as url, json_extract_string(value, '$.method') as method, (value->'$.as_markdown')::boolean as as_markdown, (value->'$.as_text')::boolean as as_text from j)
+  select *, case when url is null or method not in ('GET', 'HEAD') then 'InvalidRequest' end as error_kind from r""")
 def request_json(spark, sf_dir):
-    return sinks.parse_requests(_rows(spark, "id int, value string", REQUESTS)).select("id", "url", "method", "as_markdown", "error_kind")
-
-
-NETWORK = [(1, "timeout"), (2, "connect"), (3, "reset by peer"), (4, None)]
+    return sinks.parse_requests(D.derived(_pages(spark, sf_dir), value=D.REQUEST)).select("page_id", "url", "method", "as_markdown", "as_text", "error_kind")
 
 
-@query(f"""select id, {SQL_KIND} as error_kind, case when net_error = 'timeout' then 'Request timed out: server did not respond within 1 second' when net_error = 'connect' then 'Failed to connect to server'
-  when net_error is not null then 'Request failed: ' || net_error end as error_message from {_values(NETWORK, 'id, net_error')}""")
+@query(f"""with n as ({D.sql_of(net_error=D.NET_ERROR)}), k as (select *, case net_error when 'timeout' then 'FirstByteTimeout' when 'connect' then 'ConnectError' when 'blocked' then 'BlockedUrl' when 'scheme' then 'InvalidUrlScheme'
+  when 'missing' then 'MissingUrl' when 'method' then 'InvalidMethod' else case when net_error is not null then 'RequestError' end end as error_kind from n)
+  select page_id, error_kind, case error_kind when 'FirstByteTimeout' then 'Request timed out: server did not respond within 1 second' when 'ConnectError' then 'Failed to connect to server' when 'BlockedUrl' then 'Blocked URL: prefix not allowed'
+  when 'InvalidUrlScheme' then 'Invalid URL: must start with http:// or https://' when 'MissingUrl' then 'Missing required parameter: url' when 'InvalidMethod' then 'Invalid method: must be GET or HEAD'
+  when 'RequestError' then 'Request failed: ' || net_error end as error_message from k""")
 def error_taxonomy(spark, sf_dir):
     kind = errors.network_kind(F.col("net_error"))
-    return _rows(spark, "id int, net_error string", NETWORK).select("id", kind.alias("error_kind"), errors.message(kind, F.col("net_error")).alias("error_message"))
+    return D.derived(_pages(spark, sf_dir), net_error=D.NET_ERROR).select("page_id", kind.alias("error_kind"), errors.message(kind, F.col("net_error")).alias("error_message"))
 
 
 KINDS = [
     ("MissingUrl", "Missing required parameter: url"), ("InvalidUrlScheme", "Invalid URL: must start with http:// or https://"), ("InvalidMethod", "Invalid method: must be GET or HEAD"),
     ("BlockedUrl", "Blocked URL: prefix not allowed"), ("ClientBuildError", "Failed to create HTTP client"), ("FirstByteTimeout", "Request timed out: server did not respond within 1 second"),
-    ("ConnectError", "Failed to connect to server"), ("RequestError", "Request failed: why"), ("FetcherError", "Fetcher error: why"),
+    ("ConnectError", "Failed to connect to server"), ("RequestError", "Request failed: "), ("FetcherError", "Fetcher error: "),
 ]
 
 
-@query("select kind, message from " + _values(KINDS, "kind, message"))
+@query(D.sql_of(kind=D.by_page([f"'{k}'" for k, _ in KINDS]), message=D.by_page([f"'{m}'" + (" || url" if m.endswith(": ") else "") for _, m in KINDS])))
 def error_messages(spark, sf_dir):
-    return _rows(spark, "kind string", [(k,) for k, _ in KINDS]).select("kind", errors.message(F.col("kind"), F.lit("why")).alias("message"))
+    rows = D.derived(_pages(spark, sf_dir), kind=D.by_page([f"'{k}'" for k, _ in KINDS]), url="url")
+    return rows.select("page_id", "kind", errors.message(F.col("kind"), F.col("url")).alias("message"))
 
 
 # ---- repositories ----------------------------------------------------------------------------------------------------
 
-BASE64 = [(1, "SGVsbG8sIFdvcmxkIQ=="), (2, ""), (3, "abc"), (4, "SGVs\nbG8="), (5, "////"), (6, None), (7, "QQ==Qg==Q0Q="), (8, "QU=DQUJD")]
+ENCODED = D.by_page([
+    "regexp_replace(base64(encode(html, 'UTF-8')), '\\r', '')", "''", "substring(base64(encode(html, 'UTF-8')), 1, 4 * (page_id % 5) + 3)", f"base64(encode({D.LABEL}, 'UTF-8')) || base64(encode({D.NAME}, 'UTF-8'))", "'////'",
+    "base64(encode(url, 'UTF-8')) || chr(9) || ' '",
+])
 
 
-@query("select * from (values (1, 'Hello, World!'), (2, ''), (3, null), (4, 'Hello'), (5, null), (6, null), (7, 'ABCD'), (8, 'A' || chr(3) || 'ABC')) t(id, text)")
+@query(D.sql_of(text=D.by_page(["html", "''", "null", f"{D.LABEL} || {D.NAME}", "null", "decode(from_base64(to_base64(encode(url))))"])))
 def github_base64(spark, sf_dir):
-    return _rows(spark, "id int, encoded string", BASE64).select("id", T.base64_text(F.col("encoded")).alias("text"))
-
-
-def _repo(**changes) -> str:
-    full = {
-        "name": "repo", "full_name": "owner/repo", "description": "A thing", "html_url": "https://github.com/owner/repo", "homepage": "https://h.example", "stargazers_count": 5, "forks_count": 2, "open_issues_count": 1,
-        "language": "Java", "license": {"name": "MIT License", "spdx_id": "MIT"}, "default_branch": "main", "created_at": "2020-01-01T00:00:00Z", "updated_at": "2021-01-01T00:00:00Z", "pushed_at": "2022-01-01T00:00:00Z",
-        "topics": ["a", "b"], "archived": False, "fork": False, "owner": {"login": "owner", "type": "User"},
-    }
-    return json.dumps({k: v for k, v in (full | changes).items() if v != "drop"})
-
-
-README = json.dumps({"content": "IyBSZWFk\nbWU=", "encoding": "base64"})
-REPOS = [
-    (1, 200, _repo(), 200, README), (2, 200, _repo(description=None, homepage="", language=None, license=None, topics=[], archived=True, fork=True), 404, None),
-    (3, 200, _repo(license={"name": "Own", "spdx_id": None}, topics=None), 200, '{"content":"x","encoding":"none"}'), (4, 404, None, None, None), (5, 403, None, None, None), (6, 500, None, None, None),
-    (7, 200, _repo(pushed_at="drop"), None, None), (8, 200, "no json", None, None),
-]
+    return D.derived(_pages(spark, sf_dir), encoded=ENCODED).select("page_id", T.base64_text(F.col("encoded")).alias("text"))
 
 
 def _repo_sql() -> str:
-    j = lambda p: f"json_extract_string(repo_json, '$.{p}')"
     line = lambda label, v: f"'- **{label}:** ' || {v} || chr(10)"
-    valid = [(i, s, r if r != "no json" else None, rs, rd) for i, s, r, rs, rd in REPOS]
-    text = f"""concat('# ', {j('full_name')}, chr(10), chr(10), {j('description')} || chr(10) || chr(10), '## Repository Info', chr(10), chr(10), {line('Stars', j('stargazers_count'))}, {line('Forks', j('forks_count'))},
-      {line('Open Issues', j('open_issues_count'))}, {line('Language', j('language'))}, {line('License', f"coalesce({j('license.spdx_id')}, {j('license.name')})")},
-      {line('Topics', "nullif(array_to_string(from_json(json_extract(repo_json, '$.topics'), '[\"VARCHAR\"]'), ', '), '')")}, {line('URL', j('html_url'))}, {line('Homepage', f"nullif({j('homepage')}, '')")}, {line('Default Branch', j('default_branch'))},
-      {line('Owner', f"{j('owner.login')} || ' (' || {j('owner.type')} || ')'")}, case when {j('archived')} = 'true' then '- **Status:** Archived' || chr(10) end, case when {j('fork')} = 'true' then '- **Fork:** Yes' || chr(10) end,
-      {line('Created', j('created_at'))}, {line('Last Updated', j('updated_at'))}, {line('Last Push', j('pushed_at'))},
-      chr(10) || '---' || chr(10) || chr(10) || '## README' || chr(10) || chr(10) || case when readme_status = 200 and contains(readme_json, 'base64') then '# Readme' end)"""
-    return f"""with g as (select *, repo_status = 200 and repo_json is not null and {j('pushed_at')} is not null as fine from {_values(valid, 'id, repo_status, repo_json, readme_status, readme_json')})
-      select id, case when repo_status <> 200 then repo_status when fine then 200 end as status_code, case when fine then 'text/markdown' end as content_type, case when fine then 'github_repo' end as format,
-      case when fine then {text} end as content, case repo_status when 404 then 'Repository owner/repo not found' when 403 then 'GitHub API rate limit exceeded' when 500 then 'GitHub API error: HTTP 500' end as error,
-      case when repo_status = 200 and not fine then 'Fetcher error: Failed to parse repo data' end as error_message from g"""
+    text = f"""concat('# ', full_name, chr(10), chr(10), description || chr(10) || chr(10), '## Repository Info', chr(10), chr(10), {line('Stars', 'stars')}, {line('Forks', 'forks')}, {line('Open Issues', 'issues')}, {line('Language', 'language')},
+      {line('License', 'coalesce(spdx, license)')}, {line('Topics', 'topics')}, {line('URL', 'html_url')}, {line('Homepage', "nullif(homepage, '')")}, {line('Default Branch', "'main'")}, {line('Owner', "login || ' (User)'")},
+      case when archived then '- **Status:** Archived' || chr(10) end, case when fork then '- **Fork:** Yes' || chr(10) end, {line('Created', 'created')}, {line('Last Updated', 'updated')}, {line('Last Push', 'pushed')},
+      chr(10) || '---' || chr(10) || chr(10) || '## README' || chr(10) || chr(10) || case when encoded then readme end)"""
+    return f"""with g as (select *, repo_status between 200 and 299 as found, found and not bad and pushed is not null as fine from ({D.sql_of(**D.RECORD)}))
+      select page_id, case when not found then repo_status when fine then 200 end as status_code, case when fine then 'text/markdown' end as content_type, case when fine then 'github_repo' end as format,
+      case when fine then {text} end as content, case when found then null when repo_status = 404 then 'Repository ' || full_name || ' not found' when repo_status = 403 then 'GitHub API rate limit exceeded'
+      else 'GitHub API error: HTTP ' || repo_status end as error, case when found and not fine then 'Fetcher error: Failed to parse repo data' end as error_message from g"""
+
+
+def _captures(rows: DataFrame) -> DataFrame:
+    """Rows with all fields of a capture, those that are missing as nulls."""
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CAPTURE_SCHEMA if f.name not in rows.columns])
 
 
 @query(_repo_sql())
 def github_markdown(spark, sf_dir):
-    rows = _rows(spark, "id int, repo_status int, repo_json string, readme_status int, readme_json string", REPOS)
-    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in CAPTURE_SCHEMA}
-    captures = rows.select("*", *[F.lit("https://github.com/owner/repo").alias("url") if n == "url" else c for n, c in blank.items()])
-    return fetch_with_options(captures, BOTH).select("id", "status_code", "content_type", "format", "content", "error", "error_message")
+    return fetch_with_options(_captures(D.repository_records(_dealt(spark, sf_dir))), BOTH).select("page_id", "status_code", "content_type", "format", "content", "error", "error_message")
 
 
-FAILED = [(1, "timeout", None), (2, "connect", 200), (3, "reset", None), (4, None, None), (5, None, 404)]
+FAILED = {"net_error": D.by_page(["'timeout'", "'connect'", f"'reset by ' || {D.LABEL}", "null", "null", "null"]), "repo_status": D.by_page(["null", "200", "null", "null", "404", "403"]), "url": f"'https://github.com/' || {D.PAGE}"}
 
 
-@query(f"""select id, case when net_error is null and repo_status = 404 then 404 end as status_code, case when net_error is null and repo_status = 404 then 'Repository owner/repo not found' end as error,
-  case net_error when 'timeout' then 'FirstByteTimeout' when 'connect' then 'ConnectError' when 'reset' then 'RequestError' else case when repo_status is null then 'FetcherError' end end as error_kind,
-  case net_error when 'timeout' then 'Request timed out: server did not respond within 1 second' when 'connect' then 'Failed to connect to server' when 'reset' then 'Request failed: reset'
-  else case when repo_status is null then 'Fetcher error: No repository record was captured' end end as error_message from {_values(FAILED, 'id, net_error, repo_status')}""")
+@query(f"""with f as ({D.sql_of(name=D.PAGE, **FAILED)}), k as (select *, case when net_error = 'timeout' then 'FirstByteTimeout' when net_error = 'connect' then 'ConnectError' when net_error is not null then 'RequestError'
+  when repo_status is null then 'FetcherError' end as error_kind from f) select page_id, case when error_kind is null then repo_status end as status_code,
+  case when error_kind is null then case repo_status when 404 then 'Repository ' || name || ' not found' else 'GitHub API rate limit exceeded' end end as error, error_kind,
+  case error_kind when 'FirstByteTimeout' then 'Request timed out: server did not respond within 1 second' when 'ConnectError' then 'Failed to connect to server' when 'RequestError' then 'Request failed: ' || net_error
+  when 'FetcherError' then 'Fetcher error: No repository record was captured' end as error_message from k""")
 def github_network_errors(spark, sf_dir):
-    rows = _rows(spark, "id int, net_error string, repo_status int", FAILED)
-    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in CAPTURE_SCHEMA if f.name not in ("url", "net_error")}
-    captures = rows.select("*", F.lit("https://github.com/owner/repo").alias("url"), *blank.values())
-    return fetch_with_options(captures, BOTH).select("id", "status_code", "error", "error_kind", "error_message")
+    rows = D.derived(_pages(spark, sf_dir), **FAILED).withColumn("repo_status", F.col("repo_status").cast("int"))
+    return fetch_with_options(_captures(rows), BOTH).select("page_id", "status_code", "error", "error_kind", "error_message")
 
 
-URLS = [
-    (1, "https://github.com/a/./b", "a", "b", None), (2, "https://github.com/x/../a/b.c", "a", "b.c", "b.c"), (3, "https://github.com/a/b/%2E%2e/c.d", "a", "c.d", "c.d"), (4, "https://github.com/a/\t b.é", "a", "%20b.%C3%A9", "%20b.%C3%A9"),
-    (5, "https://git%68ub.com/a/b", "a", "b", None), (6, "https://github.com/a/b/..", None, None, None), (7, "https://h/q{1}.x?y.z", None, None, "q%7B1%7D.x"), (8, "https://h/a/b.x/.", None, None, None), (9, "https://h/x.y \n", None, None, "x.y"),
-]
-
-
-@query("select id, owner, repo, filename from " + _values(URLS, "id, url, owner, repo, filename"))
+@query(D.sql_of(**D.NORMAL))
 def url_normalised(spark, sf_dir):
     r = U.repository(F.col("url"))
-    return _rows(spark, "id int, url string", [x[:2] for x in URLS]).select("id", r.owner.alias("owner"), r.repo.alias("repo"), U.file_name(F.col("url")).alias("filename"))
-
-
-API_STATUS = [(1, 200), (2, 404), (3, 403), (4, 500), (5, 301), (6, 299)]
+    return D.derived(_pages(spark, sf_dir), url=D.DETOUR).select("page_id", r.owner.alias("owner"), r.repo.alias("repo"), U.file_name(F.col("url")).alias("filename"))
 
 
-@query(f"select id, case when status between 200 and 299 then null when status = 404 then 'Repository o/r not found' when status = 403 then 'GitHub API rate limit exceeded' else 'GitHub API error: HTTP ' || status end as error from {_values(API_STATUS, 'id, status')}")
+@query(f"""select page_id, case when status between 200 and 299 then null when status = 404 then 'Repository ' || owner || '/' || repo || ' not found' when status = 403 then 'GitHub API rate limit exceeded'
+  else 'GitHub API error: HTTP ' || status end as error from ({D.sql_of(owner=D.LABEL, repo=D.NAME, status=D.STATUS)})""")
 def github_api_error(spark, sf_dir):
-    return _rows(spark, "id int, status int", API_STATUS).select("id", repository.api_error(F.lit("o"), F.lit("r"), F.col("status")).alias("error"))
+    rows = D.derived(_pages(spark, sf_dir), owner=D.LABEL, repo=D.NAME, status=D.STATUS)
+    return rows.select("page_id", repository.api_error(F.col("owner"), F.col("repo"), F.col("status")).alias("error"))
 
 
 # ---- JSON-RPC, schemas, streams --------------------------------------------------------------------------------------
 
-LINES = [
-    '{"jsonrpc":"2.0","id":1,"method":"initialize"}', '{"jsonrpc":"2.0","id":"a","method":"tools/list"}', '{"jsonrpc":"2.0","method":"notifications/initialized"}',
-    '{"jsonrpc":"2.0","id":2,"method":"tools/call","params":{"name":"nope"}}', '{"jsonrpc":"2.0","id":3,"method":"tools/call","params":{"name":"webloom","arguments":{}}}',
-    '{"jsonrpc":"2.0","id":4,"method":"tools/call","params":{"name":"webloom","arguments":{"url":7}}}', '{"jsonrpc":"2.0","id":5,"method":"tools/call","params":{"name":"webloom","arguments":{"url":"ftp://x"}}}',
-    '{"jsonrpc":"2.0","id":6,"method":"zzz"}', '{"jsonrpc":"2.0","method":"zzz"}', "not json", "", '{"jsonrpc":"2.0","id":7,"method":"notifications/initialized"}', '{"id":8}',
-]
-ANSWERS = [
-    (3, '{"jsonrpc":"2.0","id":2,"error":{"code":-32602,"message":"Unknown tool: nope"}}'), (4, '{"jsonrpc":"2.0","id":3,"error":{"code":-32602,"message":"Missing required argument: url"}}'),
-    (5, '{"jsonrpc":"2.0","id":4,"error":{"code":-32602,"message":"Missing required argument: url"}}'),
-    (6, '{"jsonrpc":"2.0","id":5,"result":{"content":[{"type":"text","text":"Error: Invalid URL: must start with http:// or https://"}],"isError":true}}'),
-    (7, '{"jsonrpc":"2.0","id":6,"error":{"code":-32601,"message":"Method not found: zzz"}}'), (8, '{"jsonrpc":"2.0","error":{"code":-32601,"message":"Method not found: zzz"}}'),
-    (9, '{"jsonrpc":"2.0","error":{"code":-32700,"message":"Parse error: not a request"}}'), (11, '{"jsonrpc":"2.0","id":7,"result":null}'), (12, '{"jsonrpc":"2.0","error":{"code":-32700,"message":"Parse error: not a request"}}'),
-]
-
-
-@query("select * from " + _values(ANSWERS, "line, reply"))
+@query(f"select * from ({D.sql_of(reply=D.by_page([reply for _, reply in D.LINES]))}) where reply is not null")
 def jsonrpc_dispatch(spark, sf_dir):
-    lines = _rows(spark, "line int, value string", list(enumerate(LINES)))
-    return rpc.replies(lines).where(~F.contains("reply", F.lit("serverInfo")) & ~F.contains("reply", F.lit('"tools"'))).select("line", "reply")
+    return rpc.replies(D.derived(_pages(spark, sf_dir), value=D.by_page([line for line, _ in D.LINES]))).select("page_id", "reply")
 
 
-HANDSHAKE = [
-    (0, '{"jsonrpc":"2.0","id":1,"result":{"protocolVersion":"2024-11-05","capabilities":{"tools":{}},"serverInfo":{"name":"webloom","version":"0.1.0"}}}'),
-    (1, '{"jsonrpc":"2.0","id":"a","result":{"tools":[{"name":"webloom","description":"Turns web responses into Markdown or plain text with their metadata; binary content gives metadata only.","inputSchema":'
-    '{"type":"object","properties":{"url":{"type":"string","description":"Address of the page, beginning with http:// or https://"}},"required":["url"]}}]}}'),
-]
+FIRST_REPLY = """{"protocolVersion":"2024-11-05","capabilities":{"tools":{}},"serverInfo":{"name":"webloom","version":"0.1.0"}}"""
+LISTED = (
+    """{"tools":[{"name":"webloom","description":"Turns web responses into Markdown or plain text with their metadata; binary content gives metadata only.","inputSchema":"""
+    """{"type":"object","properties":{"url":{"type":"string","description":"Address of the page, beginning with http:// or https://"}},"required":["url"]}}]}"""
+)
 
 
-@query("select * from " + _values(HANDSHAKE, "line, reply"))
+@query(D.sql_of(reply=D.by_page([f"{D.OF_ID}\"result\":{FIRST_REPLY}}}'", f"""'{{"jsonrpc":"2.0","id":"' || {D.NAME} || '","result":{LISTED}}}'"""])))
 def jsonrpc_handshake(spark, sf_dir):
-    return rpc.replies(_rows(spark, "line int, value string", list(enumerate(LINES[:2])))).select("line", "reply")
+    return rpc.replies(D.derived(_pages(spark, sf_dir), value=D.by_page(D.HANDSHAKE))).select("page_id", "reply")
 
 
 @query(f"""select page_id, '{{"jsonrpc":"2.0","id":' || page_id || ',"result":{{"content":[{{"type":"text","text":' || to_json(concat('---', chr(10), 'url: ', url, chr(10), 'status_code: 200', chr(10), 'source_content_type: text/html', chr(10),
@@ -624,20 +572,24 @@ def jsonrpc_tools_call(spark, sf_dir):
     return rpc.replies(pages.select("page_id", ask.alias("value")), captures).select("page_id", "reply")
 
 
-@query("""with a as (select * from (values ('in', 'url', 'string', true), ('in', 'method', 'GET,HEAD,null', false), ('in', 'as_markdown', 'boolean,null', false), ('in', 'as_text', 'boolean,null', false),
-  ('out', 'url', 'string', true), ('out', 'status_code', 'integer', true), ('out', 'content_type', 'string,null', false), ('out', 'size', 'integer,null', false), ('out', 'last_modified', 'string,null', false),
-  ('out', 'filename', 'string,null', false), ('out', 'format', 'string,null', false), ('out', 'content', 'string,null', false), ('out', 'truncated', 'boolean,null', false), ('out', 'method', 'string,null', false),
-  ('out', 'error', 'string,null', false)) t(side, property, kinds, required))
-  select 'all' as tool, *, true as described from a union all select 'no_text', *, true from a where not (side = 'in' and property = 'as_text')""")
+SQL_KINDS = "case property when 'status_code' then 'integer' when 'size' then 'integer' when 'truncated' then 'boolean' else 'string' end"
+ASKED = D.by_page([
+    """'{"url":"' || url || '","method":"GET","as_markdown":true}'""", """'{"method":"HEAD"}'""", """'{"url":"' || url || '","method":"PUT"}'""", """'{"url":' || cast(page_id as string) || ',"as_text":true}'""", """'{"url":"' || url || '","as_text":null,"as_markdown":"yes"}'""",
+])
+
+
+@query(f"""{SQL_RESULT}, told as (select page_id, unnest([{', '.join(f"{{'property': '{n}', 'there': {n} is not null}}" for n in RESPONSE_FIELDS)}]) as field from r where error_kind is null)
+  select page_id, 'out' as side, field.property as property, {SQL_KINDS.replace('property', 'field.property')} as kind, null::varchar as fault from told where field.there
+  union all select page_id, 'in', property, kind, fault from ({D.sql_of(form='page_id % 5')}) join (values (0, 'url', 'string', null), (0, 'method', 'string', null), (0, 'as_markdown', 'boolean', null), (1, 'method', 'string', null),
+  (1, 'url', null, 'missing'), (2, 'url', 'string', null), (2, 'method', 'string', 'value'), (3, 'url', 'integer', 'kind'), (3, 'as_text', 'boolean', 'unknown'), (4, 'url', 'string', null), (4, 'as_text', 'null', 'unknown'),
+  (4, 'as_markdown', 'string', 'kind')) t(form, property, kind, fault) using (form)""")
 def tool_schema(spark, sf_dir):
-    rows = []
-    for name, tool in (("all", Tool()), ("no_text", Tool.builder().enable_text(False).build())):
-        for side, schema in (("in", tool.input_schema()), ("out", tool.output_schema())):
-            for field, spec in schema["properties"].items():
-                kinds = spec.get("enum", spec.get("type"))
-                told = ",".join("null" if k is None else k for k in kinds) if isinstance(kinds, list) else kinds
-                rows.append((name, side, field, told, field in schema["required"], bool(spec.get("description"))))
-    return _rows(spark, "tool string, side string, property string, kinds string, required boolean, described boolean", rows)
+    """The properties of results and of requests, held against the tool's schemas; the tool has no conversion to text."""
+    pages = _dealt(spark, sf_dir)
+    made = fetch_with_options(varied(pages), BOTH).where("error_kind is null").select("page_id", F.lit("out").alias("side"), sinks.response_json().alias("json"))
+    asked = D.derived(pages, side="'in'", json=ASKED)
+    out = check_schema(made, Tool().output_schema()).unionByName(check_schema(asked, Tool.builder().enable_text(False).build().input_schema()))
+    return out.select("page_id", "side", "property", "kind", "fault")
 
 
 @query(_sql_fetched("text", SQL_TEXT))
@@ -649,3 +601,52 @@ def stream_fetch_text(spark, sf_dir):
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     to_parquet(out, f"{folder}/out", f"{folder}/state").start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def _written(spark, df: DataFrame, **options) -> str:
+    """The folder that the sink wrote a table to."""
+    sink.register(spark)
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    writer = df.write.format("webloom_files").mode("overwrite").option("path", path)
+    for name, value in options.items():
+        writer = writer.option(name, value)
+    writer.save()
+    return path
+
+
+SQL_FRONT = ORACLE_SQL["front_matter"]
+
+
+@query(f"select page_id::varchar as name, front as content from ({SQL_FRONT})")
+def sink_files(spark, sf_dir):
+    """Pages with front matter as a file each, read again."""
+    made = fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("error_kind is null").select(F.col("page_id").cast("string").alias("name"), sinks.front_matter().alias("content"))
+    path = _written(spark, made, form="files", suffix=".md")
+    read = spark.read.text(f"{path}/*/*.md", wholetext=True)
+    return read.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("content"))
+
+
+@query(f"select json as value from ({ORACLE_SQL['response_json']})")
+def sink_lines(spark, sf_dir):
+    """Results as lines of JSON, read again by the line source."""
+    made = fetch_with_options(varied(_dealt(spark, sf_dir)), BOTH).where("error_kind is null").select(sinks.response_json().alias("value"))
+    lines.register(spark)
+    return spark.read.format("webloom_lines").load(_written(spark, made)).select("value")
+
+
+@query(f"select reply as value from ({ORACLE_SQL['jsonrpc_dispatch']})")
+def stream_rpc(spark, sf_dir):
+    """A line of each kind for each page through the server: a stream of lines in, files of replies out."""
+    asked = _written(spark, D.derived(_dealt(spark, sf_dir), value=D.by_page([line for line, _ in D.LINES])))
+    folder = f"{shared_dir(spark)}/served-{uuid.uuid4().hex}"
+    serve(spark, asked, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.text(f"{folder}/out/batch-*/*.jsonl")
+
+
+@query(f"""with {SQL_MUTATED} select page_id, case when url = '' then 'MissingUrl' when not {SQL_SCHEME} then 'InvalidUrlScheme' else 'BlockedUrl' end as error_kind,
+  case when url = '' then 'Missing required parameter: url' when not {SQL_SCHEME} then 'Invalid URL: must start with http:// or https://' else 'Blocked URL: prefix not allowed' end as error_message from m""")
+def live_guard(spark, sf_dir):
+    """What the live source makes of requests that it must not make: none of these leaves the machine."""
+    options = FetchOptions(allow_prefixes=("http://none.invalid/", "https://none.invalid/"))
+    asked = _mutated(spark, sf_dir).select("page_id", "url", F.lit(None).cast("string").alias("method"), F.lit(True).alias("as_markdown"), F.lit(False).alias("as_text"))
+    return fetch_with_options(live.capture(asked, options, keep=("page_id",)), BOTH).select("page_id", "error_kind", "error_message")
