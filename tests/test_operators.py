@@ -248,3 +248,20 @@ def test_single_urls_equal_columns(spark):
         if found:
             assert found == (r.host, r.path), r.url
             assert hosts.repository(r.url) == (tuple(r.page) if r.page else None), r.url
+
+
+def test_prefix_tables(spark):
+    """A million prefixes without a shuffle of the URLs; beyond the bound by joins; the same rows as by hand."""
+    rng = random.Random(2)
+    urls = ["http://" + "".join(rng.choice("ab./é") for _ in range(rng.randrange(9))) for _ in range(400)] + [None, "", "x"]
+    prefixes = ["http://" + "".join(rng.choice("ab./é") for _ in range(rng.randrange(2, 7))) for _ in range(60)] + [None, "http://aa", "http://aab"]
+    df, table = spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    hit = lambda u: any(u.startswith(p) for p in prefixes if p)
+    for sent in (guard.SENT, 10):
+        assert sorted(r.url or "-" for r in guard.blocked_by_table(df, table, sent).collect()) == sorted(u or ("-" if u is None else "-") for u in urls if u is None or not hit(u))
+        assert sorted(r.url for r in guard.allowed_by_table(df, table, sent).collect()) == sorted(u for u in urls if u is not None and hit(u))
+    assert guard.blocked_by_table(df, table.limit(0)).count() == guard.allowed_by_table(df, table.limit(0)).count() == len(urls)
+    many = spark.range(1_000_000).selectExpr("concat('http://h', id, '.example/') as prefix")
+    out = guard.blocked_by_table(spark.range(1000).selectExpr("concat('http://h', id * 2000, '.example/x') as url"), many)
+    assert out.count() == 500 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert guard.prefix_array(["b", "ab", "a", "abc", "c"]) == ["a", "b", "c"]

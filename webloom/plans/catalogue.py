@@ -176,10 +176,24 @@ def allow_then_block(spark, sf_dir):
     return guard.passed(_pages(spark, sf_dir), FetchOptions(allow_prefixes=("https://", "http://s"), block_prefixes=("https://site1",))).select("page_id", "url")
 
 
-@query("with p as (select prefix from (values ('http://'), ('https://site2')) t(prefix)) select page_id, url from pages where not exists (select 1 from p where starts_with(url, prefix))")
+#: Beginnings of the URLs of every seventh and every fifth page: lists as long as the pages are many.
+BLOCKED, ALLOWED = ("select substr(url, 1, 8 + page_id % 12) as prefix from pages where page_id % 7 = 3", "select substr(url, 1, 10 + page_id % 15) as prefix from pages where page_id % 5 = 1")
+
+
+def _prefixes(pages: DataFrame, sql: str) -> DataFrame:
+    return pages.sparkSession.sql(sql.replace("from pages", "from {pages}"), pages=pages)
+
+
+@query(f"select page_id, url from pages where not exists (select 1 from ({BLOCKED}) where starts_with(url, prefix))")
 def block_prefix_table(spark, sf_dir):
-    prefixes = _rows(spark, "prefix string", [("http://",), ("https://site2",)])
-    return guard.blocked_by_table(_pages(spark, sf_dir), prefixes).select("page_id", "url")
+    pages = _pages(spark, sf_dir)
+    return guard.blocked_by_table(pages, _prefixes(pages, BLOCKED)).select("page_id", "url")
+
+
+@query(f"select page_id, url from pages where exists (select 1 from ({ALLOWED}) where starts_with(url, prefix))")
+def allow_prefix_table(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return guard.allowed_by_table(pages, _prefixes(pages, ALLOWED)).select("page_id", "url")
 
 
 @query(f"""with {SQL_MUTATED} select page_id, case when url = '' then 'MissingUrl' when not {SQL_SCHEME} then 'InvalidUrlScheme'
