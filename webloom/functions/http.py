@@ -53,5 +53,5 @@ def disposition_name(value: Column) -> Column:
     return F.when(first_quoted, F.regexp_extract(value, quoted, 1)).when(bare != "", bare)
 
 
-def file_name(disposition: Column, url: Column) -> Column:
-    return F.coalesce(disposition_name(disposition), U.file_name(url))
+def file_name(disposition: Column, url: Column, known: Column | None = None) -> Column:
+    return F.coalesce(disposition_name(disposition), U.file_name(url, known))

@@ -57,9 +57,21 @@ def _address(name: Column) -> Column:
     return bound(F.transform(F.split(F.regexp_replace(name, r"\.\z", ""), r"\."), value), whole)
 
 
+def _authority(url: Column) -> Column:
+    return F.regexp_extract(bare(url), AUTHORITY, 1)
+
+
 def host(url: Column) -> Column:
     """Lower-case host, percent-decoded, in ASCII, without user and port; null if it isn't valid, empty if there is none."""
-    raw = F.lower(F.regexp_extract(F.regexp_extract(bare(url), AUTHORITY, 1), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
+    return _host(_authority(url))
+
+
+def _host(authority: Column) -> Column:
+    raw = F.lower(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1))
+    return bound(raw, _named)
+
+
+def _named(raw: Column) -> Column:
     decoded = F.when(F.contains(raw, F.lit("%")), F.lower(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")))).otherwise(raw)
     # the JVM's own conversion of names, for rows that have letters beyond ASCII
     named = bound(decoded, lambda h: F.when(F.rlike(h, F.lit(r"[^\x00-\x7F]")), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h))).otherwise(h))
@@ -68,8 +80,12 @@ def host(url: Column) -> Column:
 
 def parses(url: Column) -> Column:
     """Whether the URL has a host without forbidden characters and, if any, a port in range."""
-    behind = F.regexp_extract(F.regexp_extract(bare(url), AUTHORITY, 1), r"^(?:.*@)?(?:\[[^\]]*\]|[^:]*)(.*)$", 1)
-    good = bound(host(url), lambda h: (h != "") & F.when(F.startswith(h, F.lit("[")), F.rlike(h, F.lit(r"^\[[0-9a-f:.]+\]$"))).otherwise(~F.rlike(h, F.lit(FORBIDDEN))))
+    return bound(_authority(url), lambda a: _valid(a, _host(a)))
+
+
+def _valid(authority: Column, name: Column) -> Column:
+    behind = F.regexp_extract(authority, r"^(?:.*@)?(?:\[[^\]]*\]|[^:]*)(.*)$", 1)
+    good = bound(name, lambda h: (h != "") & F.when(F.startswith(h, F.lit("[")), F.rlike(h, F.lit(r"^\[[0-9a-f:.]+\]$"))).otherwise(~F.rlike(h, F.lit(FORBIDDEN))))
     number = F.when(F.rlike(behind, F.lit("^:[0-9]{1,9}$")), F.substring(behind, 2, 9)).try_cast("int")
     return F.coalesce(good, F.lit(False)) & (behind.isin("", ":") | F.coalesce(number <= 65535, F.lit(False)))
 
@@ -95,22 +111,30 @@ def _resolved(raw: Column) -> Column:
 
 def path(url: Column) -> Column:
     """Path, beginning with a slash or empty, normalised."""
-    raw = F.translate(F.regexp_extract(bare(url), r"^https?:[/\\]*[^/\\?#]*([^?#]*)", 1), "\\", "/")
+    return bound(F.translate(F.regexp_extract(bare(url), r"^https?:[/\\]*[^/\\?#]*([^?#]*)", 1), "\\", "/"), _normalised)
+
+
+def _normalised(raw: Column) -> Column:
     raw = F.when(F.rlike(raw, F.lit(DOTS)), _resolved(raw)).otherwise(raw)
     signs = F.regexp_extract_all(raw, F.lit("(?s)."), F.lit(0))
     encoded = F.array_join(F.transform(signs, lambda c: F.when(F.rlike(c, F.lit(ENCODED)), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)), "")
     return F.when(F.rlike(raw, F.lit(ENCODED)), encoded).otherwise(raw)
 
 
-def file_name(url: Column) -> Column:
-    """Last segment of the path if it holds a dot, else null."""
-    last = F.element_at(F.split(path(url), "/"), -1)
+def parts(url: Column) -> Column:
+    """(host, path, fine) of a URL: what the checks, the routes and the file names need of it, each computed once."""
+    return bound(_authority(url), lambda a: bound(_host(a), lambda h: F.struct(h.alias("host"), path(url).alias("path"), _valid(a, h).alias("fine"))))
+
+
+def file_name(url: Column, known: Column | None = None) -> Column:
+    """Last segment of the path if it holds a dot, else null. ``known``: the URL's parts, if there are any."""
+    last = F.regexp_extract(path(url) if known is None else known.path, "[^/]*\\z", 0)
     return F.when(F.contains(last, F.lit(".")), last)
 
 
-def repository(url: Column) -> Column:
+def repository(url: Column, known: Column | None = None) -> Column:
     """(owner, repo) of a repository's page on the code host, else null: two segments, no slash behind, no reserved owner."""
-    parts = F.split(path(url), "/")
-    owner, repo = F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3))
-    fits = (host(url) == "github.com") & (F.size(parts) == 3) & (owner != "") & (repo != "") & ~owner.isin(*RESERVED_OWNERS)
-    return F.when(fits & has_scheme(url), F.struct(owner.alias("owner"), repo.alias("repo")))
+    name, way = (host(url), path(url)) if known is None else (known.host, known.path)
+    owner, repo = F.regexp_extract(way, "^/([^/]+)/[^/]+\\z", 1), F.regexp_extract(way, "^/[^/]+/([^/]+)\\z", 1)
+    fits = has_scheme(url) & (name == "github.com") & (owner != "") & ~owner.isin(*RESERVED_OWNERS)
+    return F.when(fits, F.struct(owner.alias("owner"), repo.alias("repo")))

@@ -43,7 +43,7 @@ def failure_fields(kind: Column, detail: Column) -> dict[str, Column]:
     return {"url": F.col("url"), "error_kind": kind, "error_message": errors.message(kind, detail)}
 
 
-def default_fields(captures: DataFrame, options: FetchOptions, active: Column) -> Fields:
+def default_fields(captures: DataFrame, options: FetchOptions, active: Column, known: Column | None = None) -> Fields:
     """The captures with helper columns, and the result fields of ordinary URLs for the rows that are ``active``.
 
     HEAD rows have metadata only, with the size from Content-Length; binary types have an error text and no content;
@@ -73,7 +73,7 @@ def default_fields(captures: DataFrame, options: FetchOptions, active: Column) -
     step = step.withColumns({
         f"{p}size": F.when(textual, F.coalesce(F.octet_length("body"), F.lit(0)).cast("bigint")).when(ok, http.content_length(http.header(headers, "content-length"))),
         f"{p}content": F.concat(filter_excessive_newlines(content), F.when(cut, TRUNCATED).otherwise("")),
-        f"{p}filename": F.when(ok, http.file_name(http.header(headers, "content-disposition"), F.col("url"))),
+        f"{p}filename": F.when(ok, http.file_name(http.header(headers, "content-disposition"), F.col("url"), known)),
     })
     network = F.when(active, errors.network_kind(F.col("net_error")))
     return step, {

@@ -13,15 +13,15 @@ from webloom.functions import url as U
 from webloom.options import FetchOptions
 
 
-def error_kind(url: Column, options: FetchOptions, missing: bool = True) -> Column:
+def error_kind(url: Column, options: FetchOptions, missing: bool = True, known: Column | None = None) -> Column:
     """First check that a URL fails, else null: missing, scheme, parsing, allow list, block list.
 
     A null URL counts as an empty one. Without ``missing``, as for a registry that is called by itself, an empty URL
-    fails the scheme check.
+    fails the scheme check. ``known``: the URL's parts, if there are any.
     """
     text = F.coalesce(url, F.lit(""))
     out = F.when(text == "", "MissingUrl") if missing else F.when(F.lit(False), "MissingUrl")
-    out = out.when(~U.has_scheme(text) | ~U.parses(text), "InvalidUrlScheme")
+    out = out.when(~U.has_scheme(text) | ~F.coalesce(U.parses(text) if known is None else known.fine, F.lit(False)), "InvalidUrlScheme")
     if options.allow_prefixes:
         out = out.when(~U.any_prefix(text, options.allow_prefixes), "BlockedUrl")
     if options.block_prefixes:

@@ -19,8 +19,9 @@ from webloom.options import FetchOptions
 class Fetcher(Protocol):
     """A plug-in: a predicate on the URL, and rows of captures to rows of results (keeping all other columns).
 
-    One that also has ``fields(captures, options, active)``, which gives the captures with helper columns and a column
-    for each result field, shares a single pass over the captures with all others that have it.
+    One that also has ``fields(captures, options, active, known)``, which gives the captures with helper columns and a
+    column for each result field, shares a single pass over the captures with all others that have it. ``known`` are the
+    parts of the row's URL (see ``functions.url.parts``); ``matches`` of such a one gets them too.
     """
 
     name: str
@@ -33,14 +34,14 @@ class Fetcher(Protocol):
 class DefaultFetcher:
     name = "default"
 
-    def matches(self, url: Column) -> Column:
+    def matches(self, url: Column, known: Column | None = None) -> Column:
         return F.lit(True)
 
     def fetch(self, captures: DataFrame, options: FetchOptions) -> DataFrame:
         return respond.default_response(captures, options)
 
-    def fields(self, captures: DataFrame, options: FetchOptions, active: Column) -> respond.Fields:
-        return respond.default_fields(captures, options, active)
+    def fields(self, captures: DataFrame, options: FetchOptions, active: Column, known: Column | None = None) -> respond.Fields:
+        return respond.default_fields(captures, options, active, known)
 
 
 class RepositoryFetcher:
@@ -48,14 +49,14 @@ class RepositoryFetcher:
 
     name = "github_repo"
 
-    def matches(self, url: Column) -> Column:
-        return U.repository(url).isNotNull()
+    def matches(self, url: Column, known: Column | None = None) -> Column:
+        return U.repository(url, known).isNotNull()
 
     def fetch(self, captures: DataFrame, options: FetchOptions) -> DataFrame:
         return repository.repository_response(captures)
 
-    def fields(self, captures: DataFrame, options: FetchOptions, active: Column) -> respond.Fields:
-        return repository.repository_fields(captures, active)
+    def fields(self, captures: DataFrame, options: FetchOptions, active: Column, known: Column | None = None) -> respond.Fields:
+        return repository.repository_fields(captures, active, known)
 
 
 @dataclass
@@ -70,10 +71,10 @@ class FetcherRegistry:
         self.fetchers.append(fetcher)
         return self
 
-    def route(self, url: Column) -> Column:
+    def route(self, url: Column, known: Column | None = None) -> Column:
         """Name of the first fetcher that matches, else null."""
-        out = reduce(lambda c, f: c.when(f.matches(url), f.name), self.fetchers, F.when(F.lit(False), ""))
-        return out
+        holds = lambda f: f.matches(url, known) if known is not None and hasattr(f, "fields") else f.matches(url)
+        return reduce(lambda c, f: c.when(holds(f), f.name), self.fetchers, F.when(F.lit(False), ""))
 
     def fetch(self, captures: DataFrame, options: FetchOptions = FetchOptions(), missing: bool = False) -> DataFrame:
         """Results of captures, with error_kind and error_message beside the fields of RESPONSE_SCHEMA.
@@ -82,20 +83,22 @@ class FetcherRegistry:
         failure doesn't fall back to another fetcher.
         """
         url, p = F.col("url"), respond.spare(captures.columns)
-        checked = captures.withColumn(f"{p}check", F.coalesce(guard.error_kind(url, options, missing), errors.method_kind(F.col("method"))))
-        checked = checked.withColumn(f"{p}route", F.when(F.col(f"{p}check").isNull(), self.route(url)))
+        known = F.col(f"{p}parts")
+        checked = captures.withColumn(f"{p}parts", U.parts(url))
+        checked = checked.withColumn(f"{p}check", F.coalesce(guard.error_kind(url, options, missing, known), errors.method_kind(F.col("method"))))
+        checked = checked.withColumn(f"{p}route", F.when(F.col(f"{p}check").isNull(), self.route(url, known)))
         route = F.coalesce(F.col(f"{p}route"), F.lit(""))
         apart = [f for f in self.fetchers if not hasattr(f, "fields")]
         step = checked.where(~route.isin(*[f.name for f in apart])) if apart else checked
         made = [(F.lit(True), respond.failure_fields(F.coalesce(F.col(f"{p}check"), F.when(route == "", "FetcherError")), F.lit("No fetcher available for URL")))]
         for f in self.fetchers:
             if f not in apart:
-                step, fields = f.fields(step, options, route == f.name)
+                step, fields = f.fields(step, options, route == f.name, known)
                 made.append((route == f.name, fields))
         fields = {}
         for name in respond.RESULT_FIELDS:
             cases = [(active, given[name]) for active, given in reversed(made) if name in given]
             fields[name] = reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])) if cases else F.lit(None)
         out = respond.result(step, fields, captures.columns)
-        parts = [f.fetch(checked.where(route == f.name).drop(f"{p}check", f"{p}route"), options) for f in apart]
+        parts = [f.fetch(checked.where(route == f.name).drop(f"{p}check", f"{p}route", f"{p}parts"), options) for f in apart]
         return reduce(lambda a, b: a.unionByName(b), parts, out)

@@ -11,7 +11,7 @@ from webloom.functions.text import base64_text
 from webloom.operators.fetch import spare
 from webloom.schemas import README_SCHEMA, REPO_SCHEMA
 
-#: Fields that a repository record must have.
+# Fields that a repository record must have, and below the labels of its summary.
 REQUIRED = (
     "name", "full_name", "html_url", "stargazers_count", "forks_count", "open_issues_count", "default_branch", "created_at", "updated_at",
     "pushed_at", "archived", "fork", "owner.login", "owner.type",
@@ -57,7 +57,7 @@ def markdown(repo: Column, readme: Column) -> Column:
     return F.concat_ws("", *top, *info, F.concat(F.lit("\n---\n\n## README\n\n"), readme))
 
 
-def repository_fields(captures: DataFrame, active: Column) -> tuple[DataFrame, dict[str, Column]]:
+def repository_fields(captures: DataFrame, active: Column, known: Column | None = None) -> tuple[DataFrame, dict[str, Column]]:
     """The captures with helper columns, and the result fields of repository pages, whatever method or conversion was asked for.
 
     A network error is an error like that of any page; so is a capture without a record, which says nothing of the
@@ -72,7 +72,7 @@ def repository_fields(captures: DataFrame, active: Column) -> tuple[DataFrame, d
     step = step.withColumn(f"{p}repo_status", F.when(active & F.col("net_error").isNull(), F.col("repo_status")))
     status = F.col(f"{p}repo_status")
     ok = F.coalesce(status.between(200, 299), F.lit(False))
-    step = step.withColumns({f"{p}repo": F.when(ok, F.from_json("repo_json", REPO_SCHEMA)), f"{p}readme": F.when(ok, readme_text(F.col("readme_status"), F.col("readme_json"))), f"{p}name": F.when(active, U.repository(F.col("url")))})
+    step = step.withColumns({f"{p}repo": F.when(ok, F.from_json("repo_json", REPO_SCHEMA)), f"{p}readme": F.when(ok, readme_text(F.col("readme_status"), F.col("readme_json"))), f"{p}name": F.when(active, U.repository(F.col("url"), known))})
     repo = F.col(f"{p}repo")
     complete = F.lit(True)
     for name in REQUIRED:
