@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions import scanner
+from webloom.functions.sql import sql_text
 from webloom.functions.text import clean_whitespace, filter_excessive_newlines
 
 VECTORS = [
@@ -97,3 +98,19 @@ def test_attribute(spark):
     rows = [('area shape=rect href="/map?x=1" id=z', "href", "/map?x=1"), ("video poster='still frame.webp' loop", "poster", "still frame.webp"), ("td colspan=2>", "colspan", "2"), ("a HREF=up", "href", "up"), ('a href="open', "href", None), ("a href=>", "href", "")]
     for tag, name, want in rows:
         assert spark.createDataFrame([(tag,)], "t string").select(H.attribute(F.col("t"), name)).first()[0] == want
+
+
+def test_sql_functions_are_native(spark):
+    """SQL calls give what the functions give, odd pages included, and have the native form in their plans."""
+    H.register(spark)
+    pages = [None, "", "<p>it's a \\\\ b</p>", "a<ul><li>x<ul><li>y</li></ul></li></ul>", "<pre>k  l</pre>&#65;&amp;", "<h1>T</h1><a href='u'>v</a>"]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    told = df.selectExpr("html_to_markdown(html) as m", "html_to_text(html) as t")
+    assert told.collect() == df.select(H.html_to_markdown(F.col("html")).alias("m"), H.html_to_text(F.col("html")).alias("t")).collect()
+    assert "regexp_extract_all" in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sql_text():
+    column = F.when((F.col("a") == "x'y\\\\=(") & ~(F.col("b") > 1) | (F.col("b") % 2 == 0), F.transform("c", lambda x: x + 1))
+    text = sql_text(column)
+    assert text.startswith("CASE WHEN `or`(`and`(`=`(a, ") and "=(')" in text and "`+`(x" in text

@@ -2,9 +2,12 @@
 
 import json
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from webloom import api
 from webloom.functions import errors, hosts, http
@@ -265,3 +268,50 @@ def test_prefix_tables(spark):
     out = guard.blocked_by_table(spark.range(1000).selectExpr("concat('http://h', id * 2000, '.example/x') as url"), many)
     assert out.count() == 500 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert guard.prefix_array(["b", "ab", "a", "abc", "c"]) == ["a", "b", "c"]
+
+
+def prefixed(letter):
+    """A plug-in of Arrow rows for hosts that begin with a letter; of a class that goes to the workers with it."""
+
+    class Prefixed:
+        name = f"by-{letter}"
+
+        def matches(self, url):
+            return F.startswith(url, F.lit(f"http://{letter}"))
+
+        def answer(self, captures, options):
+            urls, bodies = (captures.column(c).to_pylist() for c in ("url", "body"))
+            return pa.record_batch([pa.array(urls), pa.array([200] * len(urls)), pa.array([f"{letter}: {u} {len(b or b'')}" for u, b in zip(urls, bodies)])], names=["url", "status_code", "content"])
+
+    return Prefixed()
+
+
+def test_plug_ins_share_one_scan(spark, tmp_path):
+    """Five plug-ins of Arrow rows beside the default: one scan, each row by the first that takes it."""
+    urls = [f"http://{c}{i}.example/" for i in range(30) for c in "abcdefg"] + ["bad", "http://github.com/o/r"]
+    rows = [(i, u, None, True, None, 200, {"content-type": "text/html"}, b"<b>x</b>", False, None) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, StructType([StructField("n", LongType()), *CAPTURE_SCHEMA])).repartition(3).write.parquet(str(tmp_path / "captures"))
+    captures = spark.read.parquet(str(tmp_path / "captures"))
+    registry = FetcherRegistry([prefixed(c) for c in "abcde"])
+    registry.register(RepositoryFetcher()).register(DefaultFetcher())
+    out = registry.fetch(captures, BOTH)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 and out.columns[0] == "n"
+    found = {r.n: r for r in out.collect()}
+    assert len(found) == len(urls)
+    for n, url in enumerate(urls[:-2]):
+        letter = url[7]
+        assert found[n].content == (f"{letter}: {url} 8" if letter in "abcde" else "**x**") and found[n].error_kind is None and found[n].url == url
+    assert [found[len(urls) - k].error_kind for k in (2, 1)] == ["InvalidUrlScheme", "FetcherError"]
+
+
+def test_progress_of_tasks(spark):
+    """Percents rise from 20 towards 100 as tasks end, with the time left."""
+    slow = F.udf(lambda b: time.sleep(0.15) or b, "binary")
+    captures = captured(spark, body="<p>x</p>", text=True).crossJoin(spark.range(40)).repartition(24, "id").drop("id").withColumn("body", slow("body"))
+    told = []
+    out = Tool().execute_with_status(captures, told.append, every=0.05)
+    percents = [s.percent_complete for s in told]
+    assert [s.phase for s in told][:3] == ["validate", "connect", "fetch"] and told[-1].phase == "complete" and percents == sorted(percents)
+    between = [s for s in told if 20 < s.percent_complete < 100]
+    assert len(between) >= 2 and all(s.eta_ms >= 0 for s in between) and out.count() == 40
+    out.unpersist()

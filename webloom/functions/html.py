@@ -8,10 +8,13 @@ by itself, the results are joined, and white space is cleaned. Rows for which a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions.scanner import cleaned_scan, scan
+from webloom.functions.scanner import scan
+from webloom.functions.sql import create
 from webloom.functions.text import clean_whitespace
 
 # Elements that are left out whole.
@@ -97,10 +100,10 @@ def _mapped(html: Column, opens: dict[str, str], closes: dict[str, str], links:
     return F.element_at(F.transform(tokens, lambda ts: F.array_join(F.transform(ts, lambda t, i: one(t, i == F.size(ts) - 1)), "")), 1)
 
 
-def converted(html: Column, markdown: Column | None, text: Column | None) -> Column:
+def converted(html: Column, markdown: Column | None, text: Column | None, scan: Callable[[Column, Column], Column] = scan) -> Column:
     """Markdown of the pages where ``markdown`` holds, plain text of those where ``text`` does, null for others.
 
-    Either may be None, if no row wants that form. Both forms share one pass of the scanner and one cleaning.
+    Either may be None, if no row wants that form. Both forms share one pass of the scanner (``scan``) and one cleaning.
     """
     odd, parts = F.lit(False), []
     for wanted, form, links in ((markdown, (MARKDOWN_OPEN, MARKDOWN_CLOSE), True), (text, (TEXT_OPEN, TEXT_CLOSE), False)):
@@ -121,7 +124,16 @@ def html_to_text(html: Column) -> Column:
     return converted(html, None, F.lit(True))
 
 
+#: Name under which the scanner is known to SQL.
+SCANNER = "webloom_scan"
+
+
 def register(spark: SparkSession) -> None:
-    """``html_to_markdown`` and ``html_to_text`` as SQL functions of the session, in the stateful form, by Arrow batches."""
-    for name, markdown in (("html_to_markdown", True), ("html_to_text", False)):
-        spark.udf.register(name, cleaned_scan(markdown))
+    """``html_to_markdown`` and ``html_to_text`` as SQL functions of the session.
+
+    Their bodies are the expressions of the functions here, so calls are planned as these are: natively, and by the
+    scanner for the rows that need it. What one call returns must be written before another one can take it.
+    """
+    spark.udf.register(SCANNER, scan)
+    for name, forms in (("html_to_markdown", (F.lit(True), None)), ("html_to_text", (None, F.lit(True)))):
+        create(spark, name, "html STRING", "STRING", converted(F.col("html"), *forms, scan=lambda html, markdown: F.call_function(SCANNER, html, markdown)))

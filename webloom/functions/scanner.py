@@ -115,13 +115,3 @@ def clean(text: str) -> str:
     text = re.sub(r"\n{3,}", "\n\n", text)
     text = re.sub(rf"[{BLANK.replace('t-', 't' + chr(92) + 'x0b-')}]+", " ", text)
     return re.sub(r" ?(\n+) ?", r"\1", text).strip(" \n")
-
-
-def cleaned_scan(markdown: bool):
-    """The whole conversion as an Arrow function of one column."""
-
-    @F.arrow_udf(StringType())
-    def run(html: pa.Array) -> pa.Array:
-        return pa.array([None if h is None else clean(convert(h, markdown)) for h in html.to_pylist()], pa.string())
-
-    return run

@@ -123,8 +123,11 @@ class Tool:
 
         return fetch_with_options(captures, self.options)
 
-    def execute_with_status(self, captures: DataFrame, report: Callable[[ToolStatus], None]) -> DataFrame:
-        """Runs the job now, with reports: validate 0, connect 10, fetch 20, complete 100.
+    def execute_with_status(self, captures: DataFrame, report: Callable[[ToolStatus], None], every: float = 0.2) -> DataFrame:
+        """Runs the job now, with reports: validate 0, connect 10, fetch 20 and on as its tasks end, complete 100.
+
+        Meanwhile percents rise from 20 towards 100 by the share of tasks that have ended, with the time that the rest will
+        take at that pace; ``report`` is called for these, every ``every`` seconds at most, by another thread.
 
         The result is persisted, as the job has run once it is returned; unpersist() it when it isn't needed any more.
 
@@ -132,6 +135,7 @@ class Tool:
         their errors all the same.
         """
         from webloom.functions.url import has_scheme
+        from webloom.streaming.progress import watched
 
         report(ToolStatus("validate").with_percent(0.0))
         bad = captures.where(~F.coalesce(has_scheme(F.col("url")), F.lit(False))).limit(1).count()
@@ -141,6 +145,7 @@ class Tool:
         report(ToolStatus("connect").with_percent(10.0))
         report(ToolStatus("fetch").with_percent(20.0))
         out = out.persist()
-        out.count()
+        with watched(captures.sparkSession, lambda done, eta: report(ToolStatus("fetch").with_percent(20 + 80 * done).with_eta(eta)), every):
+            out.count()
         report(ToolStatus("complete").with_percent(100.0))
         return out

@@ -262,16 +262,16 @@ def tool_execute(spark, sf_dir):
     return tool.execute(from_pages(_dealt(spark, sf_dir), as_markdown=True)).select("page_id", "error_kind", "error_message", "format", "content")
 
 
-STEPS = [(1, "validate", 0.0), (2, "connect", 10.0), (3, "fetch", 20.0), (4, "complete", 100.0)]
-
-
 @query("select n, phase, percent::double as percent, (select count(*) from pages) as rows from (values (1, 'validate', 0), (2, 'connect', 10), (3, 'fetch', 20), (4, 'complete', 100)) t(n, phase, percent)")
 def tool_status(spark, sf_dir):
     told = []
     out = Tool().execute_with_status(from_pages(_dealt(spark, sf_dir), as_text=True), told.append)
     rows = out.count()
     out.unpersist()
-    return _rows(spark, "n int, phase string, percent double, rows long", [(i + 1, s.phase, s.percent_complete, rows) for i, s in enumerate(told)])
+    first = {}
+    for s in told:
+        first.setdefault(s.phase, s.percent_complete)
+    return _rows(spark, "n int, phase string, percent double, rows long", [(i + 1, phase, percent, rows) for i, (phase, percent) in enumerate(first.items())])
 
 
 # ---- headers, types, methods -----------------------------------------------------------------------------------------
