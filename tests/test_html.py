@@ -72,6 +72,17 @@ def test_most_pages_stay_native(spark):
     assert pages.where(H.irregular(F.col("html"), True)).count() < 0.01 * pages.count()
 
 
+def test_nested_forms_stay_native(spark):
+    """Lists in lists, preformatted text and quotes don't need the scanner, long pages included; nested skipped elements do."""
+    pages = ["<ul><li>a<ul><li>b<ol><li>c</ol></ul></ul>d", "<pre>a <code>b</code></pre><code>c</code>", "<blockquote>a\nb&#10;c<pre>d\n</pre></blockquote>e\nf", "</ul></ol>x<ul></ul></ul>y", "<pre", "<blockquote>" * 3 + "z</blockquote>\nw"]
+    pages += ["<blockquote><ul><li>" + "<p>tide\n</p><ul><li>x</li></ul>" * 3000 + "</ul></blockquote>z\nz"]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert df.where(H.irregular(F.col("html"), True)).count() == 0 and df.where(H.stateful(F.col("html"))).count() == len(pages) - 1
+    native, slow = H.html_to_markdown(F.col("html")), clean_whitespace(scanner.scan("html", F.lit(True)))
+    assert df.where(native != slow).count() == 0
+    assert spark.createDataFrame([("<svg><style>s</style></svg>",)], "html string").where(H.irregular(F.col("html"), True)).count() == 1
+
+
 def test_white_space_and_newlines(spark):
     df = spark.createDataFrame([("\t sea \x85 sky \n\n\n\n\u3000 sand ", "sea sky\n\nsand"), ("a  b\t\nc", "a b\nc"), ("​a", "​a")], "s string, want string")
     assert df.where(clean_whitespace(F.col("s")) != F.col("want")).collect() == []

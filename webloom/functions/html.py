@@ -1,9 +1,10 @@
 """HTML to Markdown and to plain text.
 
 A page is cut into tokens by one regular expression: whole skipped elements, tags, entities, text. Each token is mapped
-by itself, the results are joined, and white space is cleaned. Rows for which a token's result depends on others
-(lists in lists, preformatted text, quotes) or which lie outside the expression's reach (see ``irregular``) go through
-``webloom.functions.scanner`` in Arrow batches; all other rows are null there and cost next to nothing.
+by itself, the results are joined, and white space is cleaned. Where a token's result depends on those before it (lists in
+lists, preformatted text, quotes) the tokens are taken one after another with that state. Rows outside the expressions'
+reach (see ``irregular``) go through ``webloom.functions.scanner`` in Arrow batches; all others are null there and cost
+next to nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from webloom.functions.scanner import scan
 from webloom.functions.sql import create
 from webloom.functions.text import clean_whitespace
+from webloom.functions.url import bound
 
 # Elements that are left out whole.
 SKIPPED = "script|style|noscript|iframe|svg"
@@ -46,13 +48,19 @@ NESTED_LIST = r"(?iU)<\s*[uo]l(?:\s[^>]*)?>(?:[^<]++|<(?!/\s*[uo]l[\s>]|\s*[uo]l
 ODD = r"[İſK]|&[^;\s]{0,11}[^\x00-\x7F]"
 
 
+STATEFUL = r"(?iU)</?\s*(?:pre|blockquote)(?:[\s>]|\z)"
+
+
 def irregular(html: Column, markdown: bool) -> Column:
     """Rows that need the scanner. What only letters beyond ASCII can cause is looked for only where there are any."""
     wide = F.octet_length(html) > F.length(html)
     needs = (wide & F.rlike(html, F.lit(ODD))) | F.rlike(html, F.lit(NESTED_SKIP))
-    if markdown:
-        needs = needs | F.rlike(html, F.lit(NESTED_LIST)) | F.rlike(html, F.lit(r"(?iU)</?\s*(?:pre|blockquote)(?:[\s>]|\z)")) | (wide & F.rlike(html, F.lit(r"(?i)<[^>]*[^\x00-\x7F][^>]*href=")))
-    return needs
+    return needs | (wide & F.rlike(html, F.lit(r"(?i)<[^>]*[^\x00-\x7F][^>]*href="))) if markdown else needs
+
+
+def stateful(html: Column) -> Column:
+    """Rows whose Markdown depends on the order of their tokens."""
+    return F.rlike(html, F.lit(NESTED_LIST)) | F.rlike(html, F.lit(STATEFUL))
 
 
 def _table(values: dict[str, str]) -> Column:
@@ -83,21 +91,61 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(fits, F.concat(value, single, bare))
 
 
-def _mapped(html: Column, opens: dict[str, str], closes: dict[str, str], links: bool) -> Column:
-    """All tokens mapped and joined. A skipped element is one token, whose name no table has."""
+def _mapper(opens: dict[str, str], closes: dict[str, str], links: bool) -> Callable[[Column, Column], Column]:
+    """What a token becomes by itself. A skipped element is one token, whose name no table has."""
     table = _table({f"<{k}": v for k, v in opens.items()} | {f"/{k}": v for k, v in closes.items()})
 
     def one(token: Column, last: Column) -> Column:
         side = F.when(F.startswith(token, F.lit("</")), "/").otherwise("<")
-        tag = F.coalesce(F.try_element_at(table, F.concat(side, F.lower(F.regexp_extract(token, r"(?U)^</?\s*([^\s>]*)", 1)))), F.lit(""))
+        tag = F.coalesce(F.try_element_at(table, F.concat(side, _name(token))), F.lit(""))
         if links:
             link = F.coalesce(F.concat(F.lit("[]("), attribute(token, "href"), F.lit(")")), F.lit(""))
             tag = F.when(F.rlike(token, F.lit(r"(?U)^<\s*[aA]\s")), link).otherwise(tag)
         return F.when(F.startswith(token, F.lit("<")), tag).when(F.startswith(token, F.lit("&")), decode_entity(token, last)).otherwise(token)
 
-    # a lambda over an array of one binds the tokens to a name, so that they are made once
-    tokens = F.array(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)))
-    return F.element_at(F.transform(tokens, lambda ts: F.array_join(F.transform(ts, lambda t, i: one(t, i == F.size(ts) - 1)), "")), 1)
+    return one
+
+
+def _name(token: Column) -> Column:
+    return F.lower(F.regexp_extract(token, r"(?U)^</?\s*([^\s>]*)", 1))
+
+
+def _tokens(html: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the tokens: a lambda over an array of one binds them to a name, so that they are made once."""
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))), f), 1)
+
+
+def _mapped(html: Column, opens: dict[str, str], closes: dict[str, str], links: bool) -> Column:
+    """All tokens mapped and joined."""
+    one = _mapper(opens, closes, links)
+    return _tokens(html, lambda ts: F.array_join(F.transform(ts, lambda t, i: one(t, i == F.size(ts) - 1)), ""))
+
+
+def _walked(html: Column, opens: dict[str, str], closes: dict[str, str], links: bool) -> Column:
+    """The same with what depends on the tokens before: the depth of lists, whether text is preformatted or quoted."""
+    one = _mapper(opens, closes, links)
+    kinds = _table({"ul": "list", "ol": "list", "pre": "pre", "blockquote": "quote", "code": "code"})
+
+    def told(token: Column, last: Column) -> Column:
+        tag = F.startswith(token, F.lit("<"))
+        kind = F.coalesce(F.when(tag, F.try_element_at(kinds, _name(token))), F.lit(""))
+        return F.struct(one(token, last).alias("value"), kind.alias("kind"), F.startswith(token, F.lit("</")).alias("closing"), tag.alias("tag"))
+
+    def step(state: Column, t: Column) -> Column:
+        value = (
+            F.when(t.kind == "list", F.when(t.closing & (state.depth <= 1), "\n").otherwise(""))
+            .when(t.kind == "pre", "\n```\n")
+            .when(t.kind == "quote", F.when(t.closing, "\n").otherwise("\n> "))
+            .when((t.kind == "code") & state.pre, "")
+            .when(~t.tag & state.quote, F.replace(t.value, F.lit("\n"), F.lit("\n> ")))
+            .otherwise(t.value)
+        )
+        depth = F.when(t.kind == "list", F.when(t.closing, F.greatest(state.depth - 1, F.lit(0))).otherwise(state.depth + 1)).otherwise(state.depth)
+        pre, quote = (F.when(t.kind == k, ~t.closing).otherwise(state[k]) for k in ("pre", "quote"))
+        return F.struct(F.concat(state.out, value).alias("out"), depth.alias("depth"), pre.alias("pre"), quote.alias("quote"))
+
+    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("pre"), F.lit(False).alias("quote"))
+    return _tokens(html, lambda ts: F.aggregate(F.transform(ts, lambda t, i: told(t, i == F.size(ts) - 1)), first, step, lambda state: state.out))
 
 
 def converted(html: Column, markdown: Column | None, text: Column | None, scan: Callable[[Column, Column], Column] = scan) -> Column:
@@ -108,9 +156,12 @@ def converted(html: Column, markdown: Column | None, text: Column | None, scan:
     odd, parts = F.lit(False), []
     for wanted, form, links in ((markdown, (MARKDOWN_OPEN, MARKDOWN_CLOSE), True), (text, (TEXT_OPEN, TEXT_CLOSE), False)):
         if wanted is not None:
-            own = wanted & irregular(F.when(wanted, html), links)
-            odd = odd | F.coalesce(own, F.lit(False))
-            parts.append(_mapped(F.when(wanted & ~own, html), *form, links))
+            given = F.when(wanted, html)
+            odd = odd | F.coalesce(irregular(given, links), F.lit(False))
+            # which way a page takes is told once: by itself, by walking, or by the scanner
+            way = F.when(given.isNull() | irregular(given, links), 2).when(stateful(given) if links else F.lit(False), 1).otherwise(0)
+            walked = lambda k: [_walked(F.when(k == 1, html), *form, links)] if links else []  # noqa: B023, E731
+            parts.append(bound(way, lambda k: F.coalesce(_mapped(F.when(k == 0, html), *form, links), *walked(k))))  # noqa: B023
     return clean_whitespace(F.coalesce(*parts, scan(F.when(odd, html), F.lit(False) if markdown is None else F.coalesce(markdown, F.lit(False)))))
 
 
