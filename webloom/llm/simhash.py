@@ -21,8 +21,9 @@ from webloom.llm.common import Stored, chunks, few, pick, release, settled
 from webloom.llm.jaccard import bands, hashes, link, node, shingles
 from webloom.llm.links import components, edges_in_blocks, heavy_from, join_labels, looked_up, pairs, whole_groups
 
-#: Entries of one posting list that are compared in one task, at most twice this many; and whole sets of shingles.
-BLOCK, SETS = 2048, 512
+#: Entries of one posting list that are compared in one task, at most twice this many; and whole sets of shingles, with
+#: the bytes of these in one task at most (but for two sets that are larger together).
+BLOCK, SETS, SET_BYTES = 2048, 512, 512 << 20
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -187,7 +188,9 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
     maybe = settled(candidates)
     one = Stored(nodes.df.join(maybe, "node").select("row", F.col("root").alias("maybe")))
     sets = Stored(texts.join(few(one.df), "row").select("maybe", "text", "n_bytes").mapInArrow(whole, "maybe bigint, node bigint, shingles binary"))
-    root = settled(lambda: components(edges_in_blocks(sets.df, "maybe", SETS, compare)))
+    largest = sets.df.agg(F.coalesce(F.max(F.octet_length("shingles")), F.lit(0))).first()[0]
+    most = max(1, min(SETS, SET_BYTES // (2 * max(1, largest))))
+    root = settled(lambda: components(edges_in_blocks(sets.df, "maybe", most, compare)))
     entries.drop()
     sets.drop()
     group = nodes.df.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("m"), "n")
