@@ -199,7 +199,8 @@ def test_tool(spark):
     assert tool.execute(captured(spark, url="http://no/x")).first().error_kind == "BlockedUrl"
     seen = []
     tool.execute_with_status(captured(spark), lambda s: seen.append((s.phase, s.percent_complete))).unpersist()
-    assert seen == [("validate", 0.0), ("connect", 10.0), ("fetch", 20.0), ("complete", 100.0)]
+    # further reports of the phase fetch may stand between 20 and 100 percent
+    assert [x for x in seen if x[0] != "fetch" or x[1] == 20.0] == [("validate", 0.0), ("connect", 10.0), ("fetch", 20.0), ("complete", 100.0)]
     seen.clear()
     tool.execute_with_status(captured(spark, url=""), lambda s: seen.append(s.phase))
     assert seen == ["validate"]
