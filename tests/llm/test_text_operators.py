@@ -249,6 +249,50 @@ def test_brown_looked_up_counts_equal_listed_ones(spark, monkeypatch):
                 assert r.n_known == want[r.doc_id].n_known and r.score == pytest.approx(want[r.doc_id].score, abs=1e-6) and r.base_score == pytest.approx(want[r.doc_id].base_score, abs=1e-6)
 
 
+def test_brown_is_the_same_whatever_a_task_holds(spark, monkeypatch):
+    """Many small parts that take turns in few partitions, sums in small pieces: the same model and scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 4000")
+    options = {"classes": 8, "rounds": 1, "vocabulary": 150, "frequent": 30, "endings": 40, "ending": 2}
+    told = lambda **more: {r.doc_id: (r.n_known, r.score, r.base_score) for r in brown.score(docs, **options, **more).collect()}
+    want = told()
+    monkeypatch.setattr(brown, "SUMMED", 500)
+    got = told(part_tokens=400, partitions=3)
+    assert got.keys() == want.keys() and len(want) > 100
+    for i, row in want.items():
+        assert got[i] == pytest.approx(row, abs=1e-6)
+
+
+def test_brown_scores_give_no_warnings(recwarn):
+    model = brown.Model(brown.Units([brown.END, b"a"]), np.array([0, 1] + [1] * brown.ENDINGS, np.int8), np.array([2, 3] + [-1] * brown.ENDINGS), np.full((2, 2), 0.5), np.full(2, 0.1), np.full(2, 0.1), 5, 2, 0.98)
+    n, known, base, score, *_ = model.score([b"a x", b""])
+    assert n.tolist() == [3, 1] and known.tolist() == [2, 1] and np.isfinite(base).all() and np.isfinite(score).all() and not len(recwarn)
+
+
+@pytest.mark.parametrize("parts, partitions", [(50, 4), (4, 50), (7, 7)])
+def test_parts_take_turns(spark, parts, partitions):
+    import pyarrow as pa
+
+    spread = min(parts, partitions)
+
+    def make(batches):
+        for _ in batches:
+            code = np.arange(1000)
+            yield from packed.by_part(code % parts % spread, {"code": code, "n": code * 2}, kind=1)
+
+    def told(batches):
+        for held in packed.turns(batches):
+            got = packed.gathered(held, {"code": np.int64, "n": np.int64}, {"kind": 1})
+            small = [x["code"] for x in packed.pieces(held, {"code": np.int64, "n": np.int64}, 30)]
+            assert (got["n"] == 2 * got["code"]).all() and (np.concatenate(small) == got["code"]).all()
+            yield pa.record_batch([pa.array([sorted(got["code"].tolist())], pa.list_(pa.int64()))], names=["code"])
+
+    df = spark.range(3).repartition(3).mapInArrow(make, "part int, kind int, code binary, n binary")
+    out = packed.in_turns(df, {"code": np.int64, "n": np.int64}, ("kind",), lambda x, kind: x["code"] % parts, parts, partitions, 100)
+    rows = sorted(r.code for r in out.mapInArrow(told, "code array<bigint>").collect())
+    times = df.where("kind = 1").select("part").distinct().count() and sum(1 for b in df.select("n").collect()) // spread
+    assert rows == sorted(sorted(list(range(p, 1000, parts)) * times) for p in range(parts))
+
+
 def test_brown_is_a_distribution_and_beats_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r for r in brown.score(docs).collect() if r.held_out]

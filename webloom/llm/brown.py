@@ -34,16 +34,35 @@ VOCABULARY = 2_000_000
 HELD = 1 << 20
 #: Elements that a task sums up before it passes them on, and words that it remembers.
 SUMMED, REMEMBERED = 4_000_000, 300_000
+#: Tokens of a part, which a task holds at once, and partitions of a shuffle at most: beyond, parts take turns in one.
+PART_TOKENS, PARTITIONS = 1 << 20, 20_000
 
 
-def ending_of(word: bytes) -> int:
+def ending_of(word: bytes, length: int, endings: int) -> int:
     """Number of a word's ending; the same as in ``ending_column``."""
-    h = xxhash.xxh64_intdigest(word[-ENDING:], 42)
-    return (h - (1 << 64) if h >> 63 else h) % ENDINGS
+    h = xxhash.xxh64_intdigest(word[-length:] if length else b"", 42)
+    return (h - (1 << 64) if h >> 63 else h) % endings
 
 
-def ending_column(word: str):
-    return F.pmod(F.xxhash64(F.expr(f"substring({word}, -{ENDING}, {ENDING})")), F.lit(ENDINGS))
+def ending_column(word: str, length: int, endings: int):
+    return F.pmod(F.xxhash64(F.expr(f"substring({word}, -{length}, {length})")), F.lit(endings))
+
+
+@dataclass
+class Parts:
+    """How many parts there are, and in how many partitions they take turns."""
+
+    tokens: int
+    part_tokens: int = PART_TOKENS
+    partitions: int = PARTITIONS
+
+    @property
+    def parts(self) -> int:
+        return int(max(16, -(-self.tokens // self.part_tokens)))
+
+    @property
+    def spread(self) -> int:
+        return min(self.parts, self.partitions)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -99,6 +118,8 @@ class Units:
 
     frequent: list[bytes]
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    endings: int = ENDINGS
+    ending: int = ENDING
     seen: dict[bytes, int] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -110,7 +131,7 @@ class Units:
     @property
     def base(self) -> int:
         """Number of the first unit that is found by its hash."""
-        return len(self.frequent) + ENDINGS
+        return len(self.frequent) + self.endings
 
     def of(self, ws: list[bytes]) -> np.ndarray:
         get = self.seen.get
@@ -118,7 +139,7 @@ class Units:
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
             new = list({ws[i] for i in missing})
-            unit = np.array([len(self.frequent) + ending_of(w) for w in new], np.int64)
+            unit = np.array([len(self.frequent) + ending_of(w, self.ending, self.endings) for w in new], np.int64)
             if len(self.hashes):
                 h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -195,8 +216,13 @@ def class_table(code: np.ndarray, n: np.ndarray, of: np.ndarray, size: int, clas
     return np.bincount(at, weights=n, minlength=classes * classes).reshape(classes, classes)
 
 
-def count_pairs(rows: DataFrame, units, fold, parts: int) -> DataFrame:
-    """What stands beside what, packed: (part, kind, code, n), each code in one part, several times as yet.
+def part_of_code(code: np.ndarray, kind: int, size: int, parts: int) -> np.ndarray:
+    """The part of a pair, or of the context of a unit: those of a unit are in one part."""
+    return (code // (2 * size) if kind == 2 else code) % parts
+
+
+def count_pairs(rows: DataFrame, units, fold, deal: Parts) -> DataFrame:
+    """What stands beside what, packed: (part, kind, code, n), each code in one part (mod ``deal.spread``), several times as yet.
 
     Kinds 0 and 1 are pairs of the units that are exchanged, a * base + b, others by ``fold`` (the endings of the units
     beyond base): 0 where both words are exchanged or endings, 1 where one is neither. Kind 2 are the contexts of the
@@ -204,6 +230,8 @@ def count_pairs(rows: DataFrame, units, fold, parts: int) -> DataFrame:
     ``fold`` are broadcasts.
     """
 
+    parts, spread = deal.parts, deal.spread
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = units.value
         base, size = known.base, len(known)
@@ -215,7 +243,7 @@ def count_pairs(rows: DataFrame, units, fold, parts: int) -> DataFrame:
             if held:
                 code, n = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                yield from packed.by_part((code // (2 * size)) % parts, {"code": code, "n": n}, kind=2)
+                yield from packed.by_part(part_of_code(code, 2, size, parts) % spread, {"code": code, "n": n}, kind=2)
 
         for batch in batches:
             for a, b in chunks(batch.column("n_bytes").to_pylist(), HELD):
@@ -235,23 +263,29 @@ def count_pairs(rows: DataFrame, units, fold, parts: int) -> DataFrame:
         for kind in (0, 1):
             own = cells[kind * base * base : (kind + 1) * base * base]
             code = np.flatnonzero(own)
-            yield from packed.by_part(code % parts, {"code": code, "n": own[code].astype(np.int64)}, kind=kind)
+            yield from packed.by_part(part_of_code(code, kind, size, parts) % spread, {"code": code, "n": own[code].astype(np.int64)}, kind=kind)
 
     return rows.select("text", "n_bytes").mapInArrow(run, "part int, kind int, code binary, n binary")
 
 
-def summed_pairs(pairs: DataFrame, parts: int) -> DataFrame:
-    """The same with each code once: a row for each part and kind."""
+def summed_pairs(pairs: DataFrame, size: int, deal: Parts) -> DataFrame:
+    """The same with each code once: a row for each part and kind. ``size`` is the number of units.
+
+    Counts are summed whenever SUMMED of them have come in, so a unit's contexts take the room of the distinct ones.
+    """
+    parts, kinds = deal.parts, {"code": np.int64, "n": np.int64}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        for kind in range(3):
-            got = packed.gathered(held, {"code": np.int64, "n": np.int64}, {"kind": kind})
-            if len(got["code"]):
-                code, n = packed.summed(got["code"], got["n"])
-                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([packed.pack(code)], pa.binary()), pa.array([packed.pack(n)], pa.binary())], names=["kind", "code", "n"])
+        for part in packed.turns(batches):
+            for kind in range(3):
+                code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for got in packed.pieces(part, kinds, SUMMED, {"kind": kind}):
+                    code, n = packed.summed(np.concatenate([code, got["code"]]), np.concatenate([n, got["n"]]))
+                if len(code):
+                    yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([packed.pack(code)], pa.binary()), pa.array([packed.pack(n)], pa.binary())], names=["kind", "code", "n"])
 
-    return packed.dealt(pairs, parts).mapInArrow(run, "kind int, code binary, n binary")
+    dealt = packed.in_turns(pairs, kinds, ("kind",), lambda x, kind: part_of_code(x["code"], kind, size, parts), parts, deal.spread, SUMMED)
+    return dealt.mapInArrow(run, "kind int, code binary, n binary")
 
 
 def collected(pairs: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +394,27 @@ class Model:
         unit = self.units.of(ws)
         cls, c = self.of[unit], self.count[unit]
         last = np.concatenate([[0], cls[:-1]])
-        told = c >= 0
+        told, c = c >= 0, np.maximum(c, 0)
+        starts = np.concatenate([[0], np.array(ends[:-1], np.int64) + 1])
+        terms = (told & (c > 0), np.where(told, np.log10(self.base(c)), 0.0), np.where(told, np.log10(self.mixed(last, cls, c)), 0.0))
+        sums = [np.add.reduceat(v, starts) for v in (terms[0].astype(np.int64), *terms[1:])]
+        n = np.diff(np.concatenate([starts, [len(ws)]]))
+        rare = np.flatnonzero(~told)
+        hashes = np.array([xxhash.xxh64_intdigest(ws[i], 42) for i in rare.tolist()], np.uint64)
+        return n, *sums, np.searchsorted(ends, rare), hashes, last[rare] * len(self.seen) + cls[rare]
+
+
+def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """For each text its tokens, and over the words of known count known ones, base and score; for each other word its text, hash and two classes."""
+        ws, ends = [], []
+        for text in texts:
+            ws += words(text)
+            ends.append(len(ws))
+            ws.append(END)
+        unit = self.units.of(ws)
+        cls, c = self.of[unit], self.count[unit]
+        last = np.concatenate([[0], cls[:-1]])
+        told, c = c >= 0, np.maximum(c, 0)
         starts = np.concatenate([[0], np.array(ends[:-1], np.int64) + 1])
         terms = (told & (c > 0), np.where(told, np.log10(self.base(c)), 0.0), np.where(told, np.log10(self.mixed(last, cls, c)), 0.0))
         sums = [np.add.reduceat(v, starts) for v in (terms[0].astype(np.int64), *terms[1:])]
@@ -370,20 +424,24 @@ class Model:
         return n, *sums, np.searchsorted(ends, rare), hashes, last[rare] * len(self.seen) + cls[rare]
 
 
-def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 2, weight: float = 0.98, strength: float = 5.0, vocabulary: int = VOCABULARY, own: int = 3) -> tuple[Model, DataFrame]:
+def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 2, weight: float = 0.98, strength: float = 5.0, vocabulary: int = VOCABULARY, own: int = 3, frequent: int | None = None, endings: int | None = None, ending: int | None = None, part_tokens: int = PART_TOKENS, partitions: int = PARTITIONS) -> tuple[Model, DataFrame]:
     """The model of the texts of ``rows`` that aren't held_out, and the counts of all their words (word, n, m, listed).
 
     ``classes`` 127 at most. n is how often a word is learned from, m how often it occurs at all: words that occur ``own``
     times or more, the ``vocabulary`` most frequent ones at most, are listed, which means that their counts and classes go
     to all tasks; so no word that has to be looked up is a hot key, also where it is only in texts held out. A listed word
     has a class by its own contexts if it is learned from ``own`` times or more. m has no other effect on the model.
+    ``frequent`` words and ``endings`` endings of ``ending`` bytes are exchanged one by one (FREQUENT, ENDINGS, ENDING if None).
+    Tasks hold the pairs of about ``part_tokens`` tokens at once, and a shuffle has ``partitions`` partitions at most, however
+    many tokens there are.
     """
+    most, endings, ending = (own_ if given is None else given for own_, given in ((FREQUENT, frequent), (ENDINGS, endings), (ENDING, ending)))
     if not 3 <= classes <= 127:
         raise ValueError("classes must be 3 to 127")
     counts = Stored(count_words(rows)).df
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    _, nearly = least_bin(counts, "n", FREQUENT)
-    top = counts.where((F.col("n") > 0) & (count_bin(F.col("n")) >= nearly) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").limit(FREQUENT - 1).select("word", "n").collect()
+    _, nearly = least_bin(counts, "n", most)
+    top = counts.where((F.col("n") > 0) & (count_bin(F.col("n")) >= nearly) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").limit(most - 1).select("word", "n").collect()
     end = next((r[0] for r in counts.where(F.col("word") == F.lit(END)).select("n").collect()), 0)
     frequent, their = [END, *(bytes(r[0]) for r in top)], [end, *(r[1] for r in top)]
     least, _ = least_bin(counts, "m", vocabulary)
@@ -396,16 +454,16 @@ def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 2, w
             columns = [hashes[order], *(batch.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "ending"))]
             yield pa.record_batch([pa.array([packed.pack(x)], pa.binary()) for x in columns], names=["hash", "n", "ending"])
 
-    got = counts.where(F.col("listed") & ~common).select(F.xxhash64("word").alias("hash"), "n", ending_column("word").alias("ending"))
+    got = counts.where(F.col("listed") & ~common).select(F.xxhash64("word").alias("hash"), "n", ending_column("word", ending, endings).alias("ending"))
     got = packed.gathered(got.mapInArrow(listed, "hash binary, n binary, ending binary").toArrow().to_batches(), {"hash": np.uint64, "n": np.int64, "ending": np.int64})
     hashes, at = np.unique(got["hash"], return_index=True)
-    units, n = Units(frequent, hashes), got["n"][at]
+    units, n = Units(frequent, hashes, endings, ending), got["n"][at]
     fold = len(frequent) + got["ending"][at]
     context, base = rows.sparkSession.sparkContext, units.base
-    parts = int(min(20_000, max(16, total >> 20)))
+    deal = Parts(int(total), part_tokens, partitions)
     learned = rows.where(~F.col("held_out"))
-    raw = count_pairs(learned, context.broadcast(units), context.broadcast(fold.astype(np.int16)), parts)
-    pairs = Stored(summed_pairs(raw, parts))
+    raw = count_pairs(learned, context.broadcast(units), context.broadcast(fold.astype(np.int16)), deal)
+    pairs = Stored(summed_pairs(raw, len(units), deal))
     plain, other = collected(pairs.df, 0), collected(pairs.df, 1)
     cells = np.zeros(base * base)
     for code, many in (plain, other):
@@ -420,8 +478,8 @@ def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 2, w
     column, row = m.sum(0), m.sum(1)
     prior = (column + 1) / (column.sum() + classes)
     follow = (m + strength * prior) / (row[:, None] + strength)
-    rare = counts.where(~F.col("listed") & (F.col("n") > 0)).groupBy(ending_column("word").alias("unit")).agg(F.count(F.lit(1)), F.count_if(F.col("n") == 1)).collect()
-    count = np.concatenate([their, np.full(ENDINGS, -1), n]).astype(np.int64)
+    rare = counts.where(~F.col("listed") & (F.col("n") > 0)).groupBy(ending_column("word", ending, endings).alias("unit")).agg(F.count(F.lit(1)), F.count_if(F.col("n") == 1)).collect()
+    count = np.concatenate([their, np.full(endings, -1), n]).astype(np.int64)
     types = np.bincount(of, weights=count > 0, minlength=classes)
     single = np.bincount(of, weights=count == 1, minlength=classes)
     for unit, words_, once in rare:
@@ -431,7 +489,7 @@ def fit(rows: DataFrame, classes: int = 64, rounds: int = 8, placing: int = 2, w
     return Model(units, of.astype(np.int8), count, follow, (1 - share) / np.maximum(column, 1), share / (types + 1), int(total), int(kinds), weight), counts
 
 
-def score(docs: DataFrame, parts: int = 7, aside: int = 2, **options) -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, aside: int = 2, part_tokens: int = PART_TOKENS, partitions: int = PARTITIONS, **options) -> DataFrame:
     """Scores of all whole texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     The model learns from all rows whose crc32(doc_id as text) mod ``parts`` isn't ``aside``, rows with a null id too.
@@ -446,13 +504,24 @@ def score(docs: DataFrame, parts: int = 7, aside: int = 2, **options) -> DataFra
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == aside, F.lit(False))
     rows = rows.withColumns({"n_bytes": F.octet_length("text"), "held_out": held})
-    model, counts = fit(rows, **options)
+    model, counts = fit(rows, part_tokens=part_tokens, partitions=partitions, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     looked_up = counts.where(~F.col("listed")).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    deal = int(min(20_000, max(16, looked_up >> 20)))
+    deal = Parts(int(looked_up), part_tokens, partitions)
+    many, spread = deal.parts, deal.spread
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, part int, side int, hash binary, x binary, y binary"
     kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("part", pa.int32()), ("side", pa.int32()), ("hash", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
 
+    kind = {"hash": np.uint64, "x": np.int64, "y": np.int32}
+    sums_of = {"row": np.int64, "b": np.float64, "s": np.float64, "k": np.int64}
+
+    def part_of_hash(hashes: np.ndarray) -> np.ndarray:
+        return (hashes % np.uint64(many)).astype(np.int64)
+
+    def part_of_row(row: np.ndarray) -> np.ndarray:
+        """That of the task that read the row's text."""
+        return (row >> 33) % many
+
     def blank(batch: pa.RecordBatch) -> pa.RecordBatch:
         """All columns, those that ``batch`` lacks as nulls."""
         return pa.record_batch([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in kinds], schema=kinds)
@@ -465,7 +534,7 @@ def score(docs: DataFrame, parts: int = 7, aside: int = 2, **options) -> DataFra
             if held:
                 hashes, at, classes = (np.concatenate(x) for x in zip(*held))
                 held.clear()
-                yield from map(blank, packed.by_part((hashes % np.uint64(deal)).astype(np.int64), {"hash": hashes, "x": at, "y": classes}, side=1))
+                yield from map(blank, packed.by_part(part_of_hash(hashes) % spread, {"hash": hashes, "x": at, "y": classes}, side=1))
 
         for batch in batches:
             for a, b in chunks(batch.column("n_bytes").to_pylist(), HELD):
@@ -482,40 +551,42 @@ def score(docs: DataFrame, parts: int = 7, aside: int = 2, **options) -> DataFra
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch.column("hash").to_numpy().view(np.uint64)
-            yield from packed.by_part((hashes % np.uint64(deal)).astype(np.int64), {"hash": hashes, "x": batch.column("n").to_numpy(), "y": np.zeros(len(hashes), np.int32)}, side=0)
+            yield from packed.by_part(part_of_hash(hashes) % spread, {"hash": hashes, "x": batch.column("n").to_numpy(), "y": np.zeros(len(hashes), np.int32)}, side=0)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        kind = {"hash": np.uint64, "x": np.int64, "y": np.int32}
-        counted, asked = (packed.gathered(held, kind, {"side": side}) for side in (0, 1))
-        held.clear()
-        if not len(asked["hash"]):
-            return
-        order = np.argsort(counted["hash"], kind="stable")
-        hashes, n = counted["hash"][order], counted["x"][order]
-        c = np.zeros(len(asked["hash"]), np.int64)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, asked["hash"]), len(hashes) - 1)
-            c = np.where(hashes[at] == asked["hash"], n[at], 0)
         own = shared.value
-        last, cls = np.divmod(asked["y"].astype(np.int64), len(own.seen))
-        row, at = np.unique(asked["x"], return_inverse=True)
-        terms = {"b": np.log10(own.base(c)), "s": np.log10(own.mixed(last, cls, c)), "k": (c > 0).astype(float)}
-        sums = {name: np.bincount(at, weights=v, minlength=len(row)) for name, v in terms.items()}
-        yield from packed.by_part((row >> 33) % deal, {"row": row, "b": sums["b"], "s": sums["s"], "k": sums["k"].astype(np.int64)})
+        for part in packed.turns(batches):
+            counted = packed.gathered(part, kind, {"side": 0})
+            order = np.argsort(counted["hash"], kind="stable")
+            hashes, n = counted["hash"][order], counted["x"][order]
+            for asked in packed.pieces(part, kind, SUMMED, {"side": 1}):
+                c = np.zeros(len(asked["hash"]), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, asked["hash"]), len(hashes) - 1)
+                    c = np.where(hashes[at] == asked["hash"], n[at], 0)
+                last, cls = np.divmod(asked["y"].astype(np.int64), len(own.seen))
+                row, sums = summed_rows(asked["x"], np.log10(own.base(c)), np.log10(own.mixed(last, cls, c)), (c > 0).astype(float))
+                yield from packed.by_part(part_of_row(row) % spread, {"row": row, "b": sums[0], "s": sums[1], "k": sums[2].astype(np.int64)})
+
+    def summed_rows(rows_: np.ndarray, *terms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        row, at = np.unique(rows_, return_inverse=True)
+        return row, [np.bincount(at, weights=v, minlength=len(row)) for v in terms]
 
     def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = packed.gathered(batches, {"row": np.int64, "b": np.float64, "s": np.float64, "k": np.int64})
-        row, at = np.unique(got["row"], return_inverse=True)
-        sums = [np.bincount(at, weights=got[c], minlength=len(row)) for c in "bsk"]
-        yield pa.record_batch([pa.array(row), *map(pa.array, sums[:2]), pa.array(sums[2].astype(np.int64))], names=["of", "b", "s", "k"])
+        for part in packed.turns(batches):
+            row, sums = np.zeros(0, np.int64), [np.zeros(0)] * 3
+            for got in packed.pieces(part, sums_of, SUMMED):
+                row, sums = summed_rows(np.concatenate([row, got["row"]]), *[np.concatenate([x, got[c]]) for x, c in zip(sums, "bsk")])
+            yield pa.record_batch([pa.array(row), *map(pa.array, sums[:2]), pa.array(sums[2].astype(np.int64))], names=["of", "b", "s", "k"])
 
     told = Stored(rows.mapInArrow(tell, schema)).df
     side = "part int, side int, hash binary, x binary, y binary"
     known = counts.where(~F.col("listed") & (F.col("n") > 0)).select(F.xxhash64("word").alias("hash"), "n").mapInArrow(table, "part int, side int, hash binary, x binary, y binary")
     asked = told.where("side = 1").select(*[x.split()[0] for x in side.split(", ")])
-    terms = packed.dealt(known.union(asked), deal).mapInArrow(look_up, "part int, row binary, b binary, s binary, k binary")
-    rare = packed.dealt(terms, deal).mapInArrow(give_back, "of bigint, b double, s double, k bigint")
+    both = packed.in_turns(known.union(asked), kind, ("side",), lambda x, side: part_of_hash(x["hash"]), many, spread, SUMMED)
+    terms = both.mapInArrow(look_up, "part int, row binary, b binary, s binary, k binary")
+    terms = packed.in_turns(terms, sums_of, (), lambda x: part_of_row(x["row"]), many, spread, SUMMED)
+    rare = terms.mapInArrow(give_back, "of bigint, b double, s double, k bigint")
     out = told.where("row is not null").join(rare, F.col("row") == F.col("of"), "left")
     plus = lambda x, y: F.col(x) + F.coalesce(y, F.lit(0))
     whole = out.select("doc_id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))

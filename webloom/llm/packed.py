@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,57 @@ def dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, df["part"])
 
 
+def in_turns(df: DataFrame, columns: dict[str, type], constants: tuple[str, ...], part_of: Callable[..., np.ndarray], parts: int, partitions: int, most: int) -> DataFrame:
+    """Part p of ``parts`` in partition p mod ``partitions``, where the rows of a part stand together, one part after another.
+
+    ``df`` has the rows of ``by_part`` for p mod ``partitions``; ``part_of(columns, *constants)`` gives p for each element. Where
+    a partition has several parts, what it gets is dealt to them ``most`` elements at a time and sorted, which spills; so
+    neither the shuffle's rows nor what ``turns`` holds depends on the number of parts.
+    """
+    if parts <= partitions:
+        return dealt(df, parts)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[dict[str, np.ndarray]]] = {}
+        n = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for constant, found in held.items():
+                joined = {c: np.concatenate([x[c] for x in found]) for c in columns}
+                yield from by_part(part_of(joined, *constant), joined, **dict(zip(constants, constant)))
+            held.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = {c: unpack(batch.column(c)[i].as_py(), kind) for c, kind in columns.items()}
+                held.setdefault(tuple(batch.column(c)[i].as_py() for c in constants), []).append(found)
+                n += len(found[next(iter(columns))])
+                if n > most:
+                    yield from out()
+                    n = 0
+        yield from out()
+
+    names = ["part", *constants, *columns]
+    return dealt(df.select(*names), partitions).mapInArrow(split, df.select(*names).schema).sortWithinPartitions("part")
+
+
+def turns(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of a partition of ``in_turns``, those of one part at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist() if len(part) else []
+        for a, b in zip(cuts, cuts[1:]):
+            if held and part[a] != now:
+                yield held
+                held = []
+            now = part[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
 def gathered(batches: Iterable[pa.RecordBatch], kinds: dict[str, type], where: dict[str, int] | None = None) -> dict[str, np.ndarray]:
     """The columns of all rows of a partition, unpacked and joined; ``where`` names constants that rows must have."""
     found: dict[str, list[np.ndarray]] = {k: [] for k in kinds}
@@ -66,3 +117,19 @@ def gathered(batches: Iterable[pa.RecordBatch], kinds: dict[str, type], where: d
             for name, kind in kinds.items():
                 found[name].append(unpack(batch.column(name)[i].as_py(), kind))
     return {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in found.items()}
+
+
+def pieces(batches: Iterable[pa.RecordBatch], kinds: dict[str, type], most: int, where: dict[str, int] | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """What ``gathered`` returns, in pieces that end as soon as they have more than ``most`` elements."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    first = next(iter(kinds))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held.append(batch.slice(i, 1))
+            n += int.from_bytes(batch.column(first)[i].as_py()[:8], "little") // np.dtype(kinds[first]).itemsize
+            if n > most:
+                yield gathered(held, kinds, where)
+                held, n = [], 0
+    if held:
+        yield gathered(held, kinds, where)
