@@ -98,7 +98,7 @@ def slow_lines(docs):
     for d in docs:
         pages.setdefault(d["source"], set()).add(d["text"])
     on = {s: Counter(x for t in ts if t is not None for x in {trim(x) for x in t.split("\n")} if x) for s, ts in pages.items()}
-    bad = {s: {x for x, n in c.items() if n >= 5 and n > 0.05 * len(pages[s])} for s, c in on.items()}
+    bad = {s: {x for x, n in c.items() if n >= 5 and n > 0.02 * len(pages[s])} for s, c in on.items()}
     return [d | {"text": None if d["text"] is None else "\n".join(x for x in d["text"].split("\n") if trim(x) not in bad[d["source"]])} for d in docs]
 
 
