@@ -485,6 +485,11 @@ def test_a_process_apart():
     assert common.apart(quality.shape, "Abc") == quality.shape("Abc")
     with pytest.raises(RuntimeError, match="IndexError"):
         common.apart(quality.shape, "")
+    rows = [(i, " ".join(["fine" if i % 2 else "poor"] * 5 + [f"w{i % 7}"]), i % 2) for i in range(80)]
+    models = [common.apart(quality.train_rows, rows=(r for r in some), dim=8, epochs=3) for some in (rows, rows[::-1])] + [quality.train_rows(rows[:], dim=8, epochs=3)]
+    assert len({tuple(np.round(m.score(["fine w1", "poor"]), 6)) for m in models}) == 1
+    with pytest.raises(RuntimeError, match="ValueError"):
+        common.apart(quality.train_rows, rows=((i, None, "x" * 100_000) for i in range(100)))
 
 
 def test_temperature_is_calibrated():

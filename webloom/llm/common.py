@@ -6,6 +6,7 @@ import atexit
 import pickle
 import subprocess
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
@@ -134,20 +135,42 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-#: What a process of ``apart`` runs: a call from standard input, its result to standard output.
-_CALL = (
-    "import importlib, pickle, sys; sys.path[:], module, name, args, options = pickle.load(sys.stdin.buffer); "
-    "sys.stdout.buffer.write(pickle.dumps(getattr(importlib.import_module(module), name)(*args, **options)))"
-)
+#: What a process of ``apart`` runs: a call from standard input, rows after it, its result to standard output.
+_CALL = """
+import importlib, pickle, sys
+sys.path[:], module, name, args, options = pickle.load(sys.stdin.buffer)
+rows = []
+while (row := pickle.load(sys.stdin.buffer)) is not None:
+    rows.append(row)
+given = [rows] if options.pop("rows", None) else []
+sys.stdout.buffer.write(pickle.dumps(getattr(importlib.import_module(module), name)(*given, *args, **options)))
+"""
 
 
-def apart(make: Callable[..., object], *args, **options) -> object:
-    """The result of a function of a module, run by a process of its own, which takes its memory along when it ends."""
-    call = pickle.dumps((sys.path, make.__module__, make.__qualname__, args, options))
-    done = subprocess.run([sys.executable, "-c", _CALL], input=call, capture_output=True)
-    if done.returncode:
-        raise RuntimeError(f"{make.__qualname__} failed: {done.stderr.decode(errors='replace')[-1000:]}")
-    return pickle.loads(done.stdout)
+def apart(make: Callable[..., object], *args, rows: Iterable[object] | None = None, **options) -> object:
+    """The result of a function of a module, run by a process of its own, which takes its memory along when it ends.
+
+    ``rows`` come to it as a list before ``args``. They are handed on one by one, so only that process ever holds all of them;
+    none may be None. What it writes to standard error goes to a file meanwhile, as a full pipe would stop it.
+    """
+    with tempfile.TemporaryFile() as errors, subprocess.Popen([sys.executable, "-c", _CALL], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=errors) as process:
+        try:
+            told = options | ({} if rows is None else {"rows": True})
+            pickle.dump((sys.path, make.__module__, make.__qualname__, args, told), process.stdin)
+            for row in rows or ():
+                pickle.dump(row, process.stdin)
+            pickle.dump(None, process.stdin)
+            process.stdin.close()
+        except BrokenPipeError:  # it has failed: its own words say why
+            pass
+        except BaseException:
+            process.kill()
+            raise
+        made = process.stdout.read()
+        if process.wait():
+            errors.seek(0)
+            raise RuntimeError(f"{make.__qualname__} failed: {errors.read().decode(errors='replace')[-1000:]}")
+    return pickle.loads(made)
 
 
 def few(rows: DataFrame, most: int = 500_000) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from webloom.llm.common import apart, chunks, pick, release
+from webloom.llm.common import Stored, apart, chunks, pick, release
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Neighbours to either side that make a context.
@@ -188,13 +188,21 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int, seen:
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = known.orderBy(*order).limit(2 * rows)
     texts = pick(docs, "doc_id", "text").where(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(*order).limit(rows)
+    found = Stored(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))).df
+    # no task sorts texts: which ones are taken is settled by the ids
+    return found.join(F.broadcast(found.select("doc_id").orderBy(*order).limit(rows)), "doc_id")
 
 
 def fit(labelled: DataFrame, most_words: int) -> Model:
-    """The model of a bounded sample (doc_id, text, quality), in a process of its own: what it needs goes when it ends."""
-    rows = sorted(labelled.collect(), key=lambda r: r["doc_id"])
-    return apart(train, [r["text"] for r in rows], np.array([r["quality"] for r in rows], np.int64), most_words=most_words)
+    """The model of a bounded sample (doc_id, text, quality), in a process of its own, to which its partitions go one by one."""
+    rows = labelled.select("doc_id", "text", "quality").toLocalIterator()
+    return apart(train_rows, rows=map(tuple, rows), most_words=most_words)
+
+
+def train_rows(rows: list[tuple[int, str, int]], **options) -> Model:
+    """``train`` on (doc_id, text, label), in the order of the ids, so that it doesn't matter how they came."""
+    rows.sort()
+    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), **options)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5):
