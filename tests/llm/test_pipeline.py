@@ -59,6 +59,21 @@ def test_blocks_by_bytes(spark, monkeypatch):
     assert groups() == want
 
 
+def test_equal_halves_of_hashes_lose_nothing(spark, monkeypatch):
+    """Rows, or sets of shingles, that share one half of their hashes but not the other stay apart."""
+    texts = ["a b c d e f", "A b c d e f", "q r s t u v", "k l m n o p", "k l m n o p", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    keys, sign = simhash.row_keys, simhash.signature
+    kept = lambda: sorted(r.doc_id for r in pipeline.keep_one_of_near_copies(spark, docs, SF).collect())
+    assert kept() == [0, 2, 3, 5]
+    monkeypatch.setattr(simhash, "row_keys", lambda: keys() | {"row": F.lit(7).cast("bigint")})
+    monkeypatch.setattr(simhash, "signature", lambda found: (7, sign(found)[1]))
+    assert kept() == [0, 2, 3, 5]
+    monkeypatch.setattr(simhash, "row_keys", lambda: keys() | {"row2": F.lit(7).cast("bigint")})
+    monkeypatch.setattr(simhash, "signature", lambda found: (sign(found)[0], 7))
+    assert kept() == [0, 2, 3, 5]
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_near_copies_of_changed_words_go(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "SETS", block)

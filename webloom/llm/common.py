@@ -174,7 +174,7 @@ def apart(make: Callable[..., object], *args, rows: Iterable[object] | None = No
 
 
 def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """``rows`` of two numbers, to be sent to all tasks if there are ``most`` at most; then what they are joined with isn't shuffled."""
+    """``rows`` of up to four numbers, to be sent to all tasks if there are ``most`` at most (some 50 MB as a hash table); then what they are joined with isn't shuffled."""
     return F.broadcast(rows) if rows.count() <= most else rows
 
 

@@ -32,9 +32,9 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(hashes(text, words))
 
 
-def node(found: np.ndarray) -> int:
-    """The set as a whole: equal sets are one node."""
-    return xxhash.xxh64_intdigest(found.tobytes(), 42)
+def signature(found: np.ndarray) -> tuple[int, int]:
+    """The set as a whole, as two numbers of 64 bits: equal sets are one node."""
+    return divmod(xxhash.xxh128_intdigest(found.tobytes(), 42), 1 << 64)
 
 
 def bands(found: np.ndarray) -> np.ndarray:

@@ -51,12 +51,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     rows = pick(docs, *COLUMNS)
     groups = settled(lambda: simhash.near_copies(rows))
     # equal rows share a key: how often it occurs is known before the texts are touched
-    each = groups.groupBy("group", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("least")
-    first = Stored(each.groupBy("group").agg(least).select("least.row", (F.col("least.n") > 1).alias("repeated"))).df
-    kept = rows.withColumn("row", simhash.row_key()).join(few(first), "row")
+    each = groups.groupBy("group", "row", "row2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "n")).alias("least")
+    first = Stored(each.groupBy("group").agg(least).select("least.row", "least.row2", (F.col("least.n") > 1).alias("repeated"))).df
+    kept = rows.withColumns(simhash.row_keys()).join(few(first), ["row", "row2"])
     if first.where("repeated").limit(1).count():
-        kept = kept.where("not repeated").union(kept.where("repeated").dropDuplicates(["row"]))
+        kept = kept.where("not repeated").union(kept.where("repeated").dropDuplicates(["row", "row2"]))
     return kept.select(*COLUMNS)
 
 

@@ -14,11 +14,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import Stored, chunks, few, pick, release, settled
-from webloom.llm.jaccard import bands, hashes, link, node, shingles
+from webloom.llm.jaccard import bands, hashes, link, shingles, signature
 from webloom.llm.links import components, edges_in_blocks, heavy_from, join_labels, looked_up, pairs, whole_groups
 
 #: Entries of one posting list that are compared in one task, at most twice this many; and whole sets of shingles, with
@@ -116,9 +116,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, joint: int |
     return looked_up(rows.df, "fp", named, heavy_from(total)).select("doc_id", "fp", F.col("m.m").alias("component_id"))
 
 
-def row_key():
-    """A hash of id and text."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary"))
+def row_keys() -> dict[str, Column]:
+    """Two hashes of id and text, 128 bits together, so that at 10**10 rows no two share both."""
+    row = [F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary")]
+    return {"row": F.xxhash64(*row), "row2": F.xxhash64(F.lit(1), *row)}
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -126,14 +127,14 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
-    """Groups of texts linked by a Jaccard similarity of 0.8 or more of their shingles: doc_id, row (a hash of id and text), group.
+    """Groups of texts linked by a Jaccard similarity of 0.8 or more of their shingles: doc_id, row and row2 (hashes of id and text), group.
 
     Candidates are what the byte-position index links at ``bits`` or fewer differing bits, and, as pairs at 0.8 differ by
     up to some 15 bits of 64, which no number of shared bytes guarantees, also what shares a MinHash band. The connected
     candidates are only a way to deal texts out: inside, every set of shingles is compared whole with all that aren't
     yet known to belong to it, and only similarity decides.
 
-    One row for each row of ``docs``. Equal sets of shingles are one node from the start. Null and empty texts are
+    One row for each row of ``docs``. Equal sets of shingles, told by 128 bits, are one node from the start. Null and empty texts are
     equal, and linked to no others. Very long texts are read whole. Repeated rows and null ids stay; an empty table
     gives none; other columns are ignored.
     """
@@ -141,22 +142,24 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            nodes, prints, codes = [], [], []
+            signs, prints, codes = [], [], []
             for a, b in chunks(batch.column("n_bytes").to_pylist(), 1 << 20):
                 for text in batch.column("text").slice(a, b - a).to_pylist():
                     h = hashes(text, words)
                     found = np.unique(h)
-                    nodes.append(node(found))
+                    signs.append(signature(found))
                     prints.append(majority(h))
                     codes.append(bands(found).view(np.int64))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), _signed(nodes), _signed(prints), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "bands"])
+            known = [batch.column(c) for c in ("doc_id", "row", "row2")]
+            made = [_signed([s[0] for s in signs]), _signed([s[1] for s in signs]), _signed(prints), pa.array(codes, pa.list_(pa.int64()))]
+            yield pa.record_batch([*known, *made], names=["doc_id", "row", "row2", "s1", "s2", "fp", "bands"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for a, b in chunks(batch.column("n_bytes").to_pylist(), 1 << 20):
                 sets = [shingles(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
-                yield pa.record_batch([batch.column("maybe").slice(a, b - a), _signed([node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["maybe", "node", "shingles"])
+                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in ("maybe", "node")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["maybe", "node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -169,10 +172,11 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
                     yield pa.record_batch([pa.array(own[a:b]), pa.array(own[a:b][label])], names=["a", "b"])
 
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    texts = texts.withColumns({"n_bytes": F.octet_length("text"), "row": row_key()})
-    rows = Stored(texts.mapInArrow(sketch, "doc_id bigint, row bigint, node bigint, fp bigint, bands array<bigint>"))
+    texts = texts.withColumns({"n_bytes": F.octet_length("text")} | row_keys())
+    rows = Stored(texts.mapInArrow(sketch, "doc_id bigint, row bigint, row2 bigint, s1 bigint, s2 bigint, fp bigint, bands array<bigint>"))
     # equal sets may have several fingerprints, as these count repeated shingles; one will do
-    nodes = Stored(rows.df.groupBy("node").agg(F.min("row").alias("row"), F.any_value("bands").alias("bands"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))
+    alike = rows.df.groupBy("s1", "s2").agg(F.min(F.struct("row", "row2")).alias("one"), F.any_value("bands").alias("bands"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+    nodes = Stored(alike.withColumn("node", F.monotonically_increasing_id()))
     total = nodes.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entries = Stored(nodes.df.select("node", F.explode("bands").alias("band")))
     least = entries.df.groupBy(F.col("band").alias("node")).agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -181,17 +185,20 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 5) -> DataFrame:
     same = nodes.df.join(first, "fp").select("node", "first")
 
     def candidates() -> DataFrame:
-        alike = linked(first.select("fp"), bits)
-        ends = alike.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+        close = linked(first.select("fp"), bits)
+        ends = close.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
         return components(met.union(ends).union(same).where("a <> b").distinct())
 
     maybe = settled(candidates)
-    one = Stored(nodes.df.join(maybe, "node").select("row", F.col("root").alias("maybe")))
-    sets = Stored(texts.join(few(one.df), "row").select("maybe", "text", "n_bytes").mapInArrow(whole, "maybe bigint, node bigint, shingles binary"))
+    one = Stored(nodes.df.join(maybe, "node").select("node", "one.row", "one.row2", F.col("root").alias("maybe")))
+    sets = Stored(texts.join(few(one.df), ["row", "row2"]).select("maybe", "node", "text", "n_bytes").mapInArrow(whole, "maybe bigint, node bigint, shingles binary"))
     largest = sets.df.agg(F.coalesce(F.max(F.octet_length("shingles")), F.lit(0))).first()[0]
     most = max(1, min(SETS, SET_BYTES // (2 * max(1, largest))))
     root = settled(lambda: components(edges_in_blocks(sets.df, "maybe", most, compare)))
     entries.drop()
     sets.drop()
-    group = nodes.df.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("m"), "n")
-    return looked_up(rows.df, "node", group, heavy_from(total)).select("doc_id", "row", F.col("m").alias("group"))
+    group = nodes.df.join(root, "node", "left").select("s1", F.struct("s2", F.coalesce("root", "node").alias("group")).alias("of"), "n")
+    # by the first half of the signature, whose second half is compared then
+    group = group.groupBy(F.col("s1").alias("node")).agg(F.collect_list("of").alias("m"), F.sum("n").alias("n"))
+    named = looked_up(rows.df.select("doc_id", "row", "row2", "s1", "s2"), "s1", group, heavy_from(total))
+    return named.select("doc_id", "row", "row2", F.filter("m", lambda x: x.s2 == F.col("s2"))[0].group.alias("group"))
