@@ -45,6 +45,17 @@ def test_query(spark, duck, name):
     assert got == rows(names, want.fetchall())
 
 
+def test_pages_that_share_a_url(spark, tmp_path):
+    """A call for each page gets one reply, from that page, though others have the same URL."""
+    data = [(i, f"https://h.example/{i % 2}.html", f"<p>page {i} &amp; more</p>") for i in range(5)]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df = QUERIES["jsonrpc_tools_call"](spark, str(tmp_path))
+    want = con.execute(ORACLE_SQL["jsonrpc_tools_call"])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in want.description], want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(entry.queries())

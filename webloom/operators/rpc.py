@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +49,13 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     return told.withColumn("bad", F.col("bad") | F.col("rpc_method").isNull()).drop("_json", *parts)
 
 
-def replies(lines: DataFrame, captures: DataFrame | None = None, column: str = "value", tool_name: str = TOOL_NAME) -> DataFrame:
+def replies(lines: DataFrame, captures: DataFrame | None = None, column: str = "value", tool_name: str = TOOL_NAME, by: Sequence[str] = ()) -> DataFrame:
     """One row (…, reply) for each line that gets a reply.
 
     Notifications without an id get none; an unknown method without an id gets one all the same. A tool call's URL is
     looked up in ``captures`` (as for ``fetch``, one row a URL); one that isn't there counts as a failed connection.
+    Where a URL was captured more than once, ``by`` names columns of both tables that tell whose captures a line sees:
+    those of equal values (nulls are equal), one row a URL.
     """
     told = parse(lines, column)
     told = told.where(F.col("bad") | ~(F.col("id").isNull() & F.startswith("rpc_method", F.lit("notifications/"))))
@@ -64,11 +69,11 @@ def replies(lines: DataFrame, captures: DataFrame | None = None, column: str = "
         told = told.withColumn("text", F.lit(None).cast("string"))
     else:
         # only pages that are called for are converted; a broadcast of the calls, where they are few, saves the shuffle
-        called = told.where("call_url is not null").select("call_url").distinct()
-        captures = captures.join(called, captures["url"] == called["call_url"], "left_semi")
+        called = told.where("call_url is not null").select("call_url", *[F.col(n).alias(f"call_{n}") for n in by]).distinct()
+        captures = captures.join(called, reduce(and_, [F.col(n).eqNullSafe(F.col(f"call_{n}")) for n in by], captures["url"] == called["call_url"]), "left_semi")
         pages = fetch(captures.withColumn("as_markdown", F.lit(True)).select(*captures.columns if "as_markdown" in captures.columns else [*captures.columns, "as_markdown"]))
-        pages = pages.select(F.col("url").alias("page_url"), F.when(F.col("error_kind").isNull(), front_matter({n: F.col(n) for n in RESPONSE_FIELDS})).alias("text"), "error_message")
-        told = told.join(pages, told.call_url == pages.page_url, "left")
+        pages = pages.select(F.col("url").alias("page_url"), *[F.col(n).alias(f"page_{n}") for n in by], F.when(F.col("error_kind").isNull(), front_matter({n: F.col(n) for n in RESPONSE_FIELDS})).alias("text"), "error_message")
+        told = told.join(pages, reduce(and_, [F.col(n).eqNullSafe(F.col(f"page_{n}")) for n in by], told.call_url == pages.page_url), "left")
         failure = F.coalesce("error_message", failure)
     content = lambda s, more: F.concat(F.lit('"result":{"content":[{"type":"text","text":'), _quoted(s), F.lit("}]" + more + "}"))
     listed = {"tools": [{"name": tool_name, "description": TOOL_DESCRIPTION, "inputSchema": {"type": "object", "properties": {"url": {"type": "string", "description": "Address of the page, beginning with http:// or https://"}}, "required": ["url"]}}]}

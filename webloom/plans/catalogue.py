@@ -582,8 +582,8 @@ def jsonrpc_handshake(spark, sf_dir):
 def jsonrpc_tools_call(spark, sf_dir):
     pages = _dealt(spark, sf_dir)
     ask = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.col("page_id").cast("string"), F.lit(',"method":"tools/call","params":{"name":"webloom","arguments":{"url":"'), F.col("url"), F.lit('"}}}'))
-    captures = from_pages(pages).drop("page_id")
-    return rpc.replies(pages.select("page_id", ask.alias("value")), captures).select("page_id", "reply")
+    # pages may share a URL: a call is answered from the page it was made from
+    return rpc.replies(pages.select("page_id", ask.alias("value")), from_pages(pages), by=["page_id"]).select("page_id", "reply")
 
 
 SQL_KINDS = "case property when 'status_code' then 'integer' when 'size' then 'integer' when 'truncated' then 'boolean' else 'string' end"
