@@ -165,6 +165,20 @@ def converted(html: Column, markdown: Column | None, text: Column | None, scan:
     return clean_whitespace(F.coalesce(*parts, scan(F.when(odd, html), F.lit(False) if markdown is None else F.coalesce(markdown, F.lit(False)))))
 
 
+def without_skipped(html: Column) -> Column:
+    """A page without its skipped elements, else as it is: kind after kind, each element up to the first closing tag of its kind.
+
+    Tags count wherever they stand, in entities, comments and attributes too. An element that is never closed stays, and
+    so does all behind it for that kind: it is taken in one piece, so the page isn't read once more for every such tag.
+    """
+    blank = r"[\t\n\f\r ]"
+    for name in SKIPPED.split("|"):
+        name = name.replace("s", "[sſ]")
+        opening, closing = rf"<{blank}*{name}(?:{blank}[^>]*+(?<!/))?>", rf"</{blank}*{name}(?:{blank}[^>]*+)?>"
+        html = F.regexp_replace(html, rf"(?i)(?=<)(?:{opening}[\s\S]*?{closing}|({opening}[\s\S]*+))", "$1")
+    return html
+
+
 def html_to_markdown(html: Column) -> Column:
     """Markdown of a page. A null page gives null; the output may hold more than two newlines in a row."""
     return converted(html, F.lit(True), None)

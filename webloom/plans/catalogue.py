@@ -354,9 +354,7 @@ for _tag in H.SKIPPED.split("|"):
 
 @query(f"select page_id, {SQL_STRIP} as html from pages")
 def strip_skip_elements(spark, sf_dir):
-    tokens = F.regexp_extract_all("html", F.lit(H.TOKEN), F.lit(0))
-    kept = F.filter(tokens, lambda t: ~F.rlike(t, F.lit(rf"(?iU)^<\s*(?:{H.SKIPPED})[\s>]")))
-    return _dealt(spark, sf_dir).select("page_id", F.array_join(kept, "").alias("html"))
+    return _dealt(spark, sf_dir).select("page_id", H.without_skipped(F.col("html")).alias("html"))
 
 
 @query(f"select page_id, {SQL_TEXT} as text from pages")
